@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None, **options) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and read it back.
 
-    This cuts the lineage durably: a lost executor rereads files instead of recomputing.
+    This cuts the lineage durably: a lost executor rereads files instead of recomputing.  The
+    collection asked for afterwards lets Spark drop the shuffle files of what was written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -36,6 +37,7 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None, **
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     if partition_by:
         return spark.read.schema(df.schema).parquet(path)
     return spark.read.parquet(path)
