@@ -5,6 +5,8 @@ from __future__ import annotations
 from .op1_gam import op1_quality_gam
 from .op2_tokens import op2_token_files
 from .op4_pack import op4_pack_nnls
+from .op6_bwt import op6_column_bwt
+from .op7_recompress import op7_recompression
 from .op9_hosts import op9_host_words
 from .op10_ledger import ORACLE_SQL as LEDGER_SQL
 from .op10_ledger import op10_rule_ledger
@@ -13,6 +15,8 @@ QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_token_files": op2_token_files,
     "op4_pack_nnls": op4_pack_nnls,
+    "op6_column_bwt": op6_column_bwt,
+    "op7_recompression": op7_recompression,
     "op9_host_words": op9_host_words,
     "op10_rule_ledger": op10_rule_ledger,
 }
