@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op1_gam import op1_quality_gam
 from .op2_tokens import op2_token_files
 from .op4_pack import op4_pack_nnls
+from .op5_qgrams import op5_qgram_leaks
 from .op6_bwt import op6_column_bwt
 from .op7_recompress import op7_recompression
 from .op9_hosts import op9_host_words
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_token_files": op2_token_files,
     "op4_pack_nnls": op4_pack_nnls,
+    "op5_qgram_leaks": op5_qgram_leaks,
     "op6_column_bwt": op6_column_bwt,
     "op7_recompression": op7_recompression,
     "op9_host_words": op9_host_words,
