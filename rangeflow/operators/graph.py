@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(
+    edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, rounds: int | None = None
+) -> DataFrame:
     """Label every vertex of ``edges`` with the smallest vertex id it can reach.
 
     Returns ``(id, component)``; vertices without an edge are absent.  Rows with a null end are
     ignored, self loops only make their vertex appear, duplicate edges change nothing.
 
+    With ``rounds`` it stops after so many: equal labels are then connected, but not all that is
+    connected has equal labels yet.
+
     Alternating large-star / small-star rounds: every round rewires each vertex to the smallest
     neighbour it knows, so the number of rounds grows with the logarithm of the diameter.  Both
     halves are a ``groupBy(min)`` plus an equi-join that adaptive execution may split when one
@@ -23,7 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     vertices = both.select(F.col("a").alias("id")).union(both.select("b")).distinct()
     e = written(both.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     state = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         # large-star: neighbours above a vertex hang on the smallest vertex of its neighbourhood
         sym = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
@@ -32,12 +37,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         e = written(small.where("a <> b").distinct(), "cc-edges")
+        if rounds is not None:
+            if k + 1 == rounds:
+                break
+            continue
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-    return vertices.join(e.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select(
-        "id", F.coalesce("component", "id").alias("component")
-    )
+    labels = e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    return vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
