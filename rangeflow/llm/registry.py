@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op1_gam import op1_quality_gam
 from .op2_tokens import op2_token_files
+from .op3_sigtree import op3_signature_tree
 from .op4_pack import op4_pack_nnls
 from .op5_qgrams import op5_qgram_leaks
 from .op6_bwt import op6_column_bwt
@@ -15,6 +16,7 @@ from .op10_ledger import op10_rule_ledger
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_token_files": op2_token_files,
+    "op3_signature_tree": op3_signature_tree,
     "op4_pack_nnls": op4_pack_nnls,
     "op5_qgram_leaks": op5_qgram_leaks,
     "op6_column_bwt": op6_column_bwt,
