@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, shared_dir
-from .tokens import word_tokenizer
+from .tokens import slices, word_tokenizer
 
 ROW_GROUP = 16 << 20
 PAGE = 64 << 10
@@ -35,7 +35,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
-        for b in batches:
+        for b in slices(batches):
             ids, counts = word_tokenizer(vocabulary).closed(b.column("text"), end)
             ends = np.cumsum(counts)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.view(np.int32)))

@@ -59,12 +59,12 @@ def shingles(text: bytes, hasher: WordHasher, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def overlap_needed(x: np.ndarray, y: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+def overlap_needed(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
     """Least overlap of sets of sizes x and y with ``den * overlap >= num * union``."""
     return -(-num * (x + y) // (num + den))
 
 
-def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
+def prefix_length(n: int, num: int, den: int) -> int:
     """Shingles of a set of size n that a similar set must meet one of: the overlap is num/den of n at least."""
     return n - -(-num * n // den) + 1
 
@@ -104,7 +104,7 @@ def _missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & ~y).sum(-1, dtype=np.int64)
 
 
-def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, spanning: bool) -> list[tuple[int, int]]:
+def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, spanning: bool, num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of members that may be similar, by dual traversal of the members' signature tree.
 
     Members come in order of size.  ``left``: with several blocks, members before it are one block and
@@ -136,14 +136,14 @@ def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, span
             continue
         a, b = ta.levels[la], tb.levels[lb]
         if not (same and (la, ia) == (lb, ib)):
-            if DEN * a[4][ia] < NUM * b[3][ib] or DEN * b[4][ib] < NUM * a[3][ia]:
+            if den * a[4][ia] < num * b[3][ib] or den * b[4][ib] < num * a[3][ia]:
                 continue  # sizes too far apart
             if a[5][ia] == b[5][ib] >= 0:
                 continue  # all of one component
             # members of both nodes have at most the bits that both maps have, besides colliding shingles
             common = int(np.bitwise_count(a[2][ia] & b[2][ib]).sum())
             spill = max(0, int(min(a[4][ia], b[4][ib])) - common)
-            least = int(overlap_needed(a[3][ia], b[3][ib]))
+            least = int(overlap_needed(a[3][ia], b[3][ib], num, den))
             if not common or (spill and min(a[4][ia], b[4][ib]) < least):
                 continue
         if la or lb:
@@ -154,7 +154,7 @@ def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, span
             continue
         xs, ys = np.arange(a[0][ia], a[1][ia]) + base_a, np.arange(b[0][ib], b[1][ib]) + base_b
         x, y = np.repeat(xs, len(ys)), np.tile(ys, len(xs))
-        need = overlap_needed(sizes[x], sizes[y])
+        need = overlap_needed(sizes[x], sizes[y], num, den)
         # a bit of x that y lacks stands for a shingle at least that y lacks
         ok = (sizes[x] - _missing(maps[x], maps[y]) >= need) & (sizes[y] - _missing(maps[y], maps[x]) >= need) & (parts[x] != parts[y])
         if same:
@@ -169,19 +169,21 @@ def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, span
     return out
 
 
-def group_pairs(ids: list, sizes: list[int], maps: list[bytes], parts: list[int], sides: list[int], spanning: bool) -> list[tuple]:
+def group_pairs(
+    ids: list, sizes: list[int], maps: list[bytes], parts: list[int], sides: list[int], spanning: bool, num: int = NUM, den: int = DEN
+) -> list[tuple]:
     """Pairs ``(id, id)`` of one group (or pair of blocks: ``sides`` 0 and 1) to be verified."""
     size, part, side = np.array(sizes, np.int64), np.array(parts, np.int64), np.array(sides)
     two = side.min() != side.max()
     order = np.lexsort([size, side]) if two else np.argsort(size, kind="stable")
     least = min(len(m) for m in maps)  # fold longer maps to the shortest: hashes are taken modulo powers of two
     folded = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[k], np.uint8).reshape(-1, least), 0) for k in order]).view(np.uint64)
-    got = walk(size[order], folded, part[order], int((side == 0).sum()) if two else -1, spanning)
+    got = walk(size[order], folded, part[order], int((side == 0).sum()) if two else -1, spanning, num, den)
     return [(ids[order[i]], ids[order[j]]) for i, j in got]
 
 
-def similarity_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+def similarity_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row; links have a Jaccard similarity of num/den or more."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     src = docs.select("doc_id", "text")
@@ -193,7 +195,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         for b in batches:
             size, k1, k2 = [], [], []
             for text in as_bytes(b.column("text")):
-                s = shingles(text, hasher)
+                s = shingles(text, hasher, words)
                 size.append(len(s))
                 raw = s.tobytes()
                 k1.append(xxhash.xxh3_64_intdigest(raw, 1) - 2**63)
@@ -234,11 +236,11 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         for b in batches:
             at, token, size, maps = [], [], [], []
             for k, text in enumerate(as_bytes(b.column("text"))):
-                s = shingles(text, hasher)
+                s = shingles(text, hasher, words)
                 if not len(s):
                     continue
                 often = np.isin(s, late, assume_unique=True) if len(late) else np.zeros(len(s), bool)
-                p = np.concatenate([s[~often], s[often]])[: prefix_length(len(s))]
+                p = np.concatenate([s[~often], s[often]])[: prefix_length(len(s), num, den)]
                 at += [k] * (len(p) + 1)
                 token.append(np.append(signed(p), 0))
                 size += [len(s)] * (len(p) + 1)
@@ -257,10 +259,9 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     shared_postings = written(postings.join(counts, "token"), "op3-shared")
     groups = _groups(shared_postings)
 
-    no_parts = None
-    links = written(_verified(_pairs(groups, maps, no_parts, kind), src, kind), "op3-links")
+    links = written(_verified(_pairs(groups, maps, None, kind, num, den), src, kind, words, num, den), "op3-links")
     parts = written(connected_components(links, rounds=2), "op3-components")  # what it joins is joined
-    more = written(_verified(_pairs(groups, maps, parts, kind), src, kind), "op3-more")
+    more = written(_verified(_pairs(groups, maps, parts, kind, num, den), src, kind, words, num, den), "op3-more")
     full = connected_components(links.unionByName(more))
     out = classes.join(full.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component")
@@ -295,7 +296,7 @@ def _groups(postings: DataFrame) -> DataFrame:
     return written(distinct.select(F.concat_ws("-", "g1", "g2").alias("gid"), F.inline("m")), "op3-groups")
 
 
-def _pairs(groups: DataFrame, maps: DataFrame, parts: DataFrame | None, kind: str) -> DataFrame:
+def _pairs(groups: DataFrame, maps: DataFrame, parts: DataFrame | None, kind: str, num: int, den: int) -> DataFrame:
     """Distinct pairs ``(a, b)`` that the groups' tree walks leave to be verified."""
     spanning = parts is None
     full = groups.join(maps, "rep")
@@ -313,9 +314,9 @@ def _pairs(groups: DataFrame, maps: DataFrame, parts: DataFrame | None, kind: st
             for m in b.column("m"):
                 v = m.values
                 cols = [v.field(x).to_pylist() for x in ("rep", "n", "map", "part", "side")]
-                if len(cols[0]) == 2 and DEN * min(cols[1]) < NUM * max(cols[1]):
+                if len(cols[0]) == 2 and den * min(cols[1]) < num * max(cols[1]):
                     continue
-                for x, y in group_pairs(*cols, spanning):
+                for x, y in group_pairs(*cols, spanning, num, den):
                     a.append(min(x, y))
                     c.append(max(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(c, id_type)], ["a", "b"])
@@ -324,7 +325,7 @@ def _pairs(groups: DataFrame, maps: DataFrame, parts: DataFrame | None, kind: st
     return rows.select("m").mapInArrow(solve, f"a {kind}, b {kind}").distinct()
 
 
-def _verified(pairs: DataFrame, src: DataFrame, kind: str) -> DataFrame:
+def _verified(pairs: DataFrame, src: DataFrame, kind: str, words: int, num: int, den: int) -> DataFrame:
     """Pairs ``(src, dst)`` whose sets are similar: shingles of both, counted together."""
     pairs = written(pairs, "op3-pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -334,7 +335,7 @@ def _verified(pairs: DataFrame, src: DataFrame, kind: str) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                sets = [shingles(t, hasher).tobytes() for t in as_bytes(part.column("text"))]
+                sets = [shingles(t, hasher, words).tobytes() for t in as_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "s"])
 
     sets = src.join(wanted, "doc_id", "left_semi").mapInArrow(shingle, f"doc_id {kind}, s binary")
@@ -348,7 +349,7 @@ def _verified(pairs: DataFrame, src: DataFrame, kind: str) -> DataFrame:
             for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 n = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DEN * n >= NUM * (len(x) + len(y) - n))
+                keep.append(den * n >= num * (len(x) + len(y) - n))
             ok = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["src", "dst"])
 

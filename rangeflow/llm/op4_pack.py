@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import read_table, written
-from .tokens import word_tokenizer
+from .tokens import slices, word_tokenizer
 
 WINDOW = 4096
 UNIT = 128
@@ -132,30 +132,28 @@ def encode(docs: DataFrame, vocabulary: str, end: int, window: int, unit: int) -
         part = TaskContext.get().partitionId()
         row = full = 0
         seen = np.zeros(units + 1, np.int64)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
-                ids, n = word_tokenizer(vocabulary).closed(b.column("text"), end)
-                ends = 4 * np.cumsum(n)
-                raw = pa.py_buffer(ids.astype("<u4").tobytes())
-                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
-                u = (n % window) // unit
-                order = np.argsort(u, kind="stable")
-                rank = np.empty(len(n), np.int64)
-                begins = np.searchsorted(u[order], u[order])
-                rank[order] = np.arange(len(n)) - begins + seen[u[order]]
-                seen += np.bincount(u, minlength=units + 1)
-                cum = full + np.cumsum(n // window) - n // window
-                full += int((n // window).sum())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id"), pa.array(np.full(len(n), part), pa.int32()), pa.array(row + np.arange(len(n)), pa.int64()),
-                        pa.array(n, pa.int64()), pa.array(u, pa.int32()), pa.array(rank, pa.int64()), pa.array(cum, pa.int64()),
-                        pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, raw]),
-                    ],
-                    ["doc_id", "part", "row", "n", "unit", "rank", "full_before", "ids"],
-                )
-                row += len(n)
+        for b in slices(batches):
+            ids, n = word_tokenizer(vocabulary).closed(b.column("text"), end)
+            ends = 4 * np.cumsum(n)
+            raw = pa.py_buffer(ids.astype("<u4").tobytes())
+            offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
+            u = (n % window) // unit
+            order = np.argsort(u, kind="stable")
+            rank = np.empty(len(n), np.int64)
+            begins = np.searchsorted(u[order], u[order])
+            rank[order] = np.arange(len(n)) - begins + seen[u[order]]
+            seen += np.bincount(u, minlength=units + 1)
+            cum = full + np.cumsum(n // window) - n // window
+            full += int((n // window).sum())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"), pa.array(np.full(len(n), part), pa.int32()), pa.array(row + np.arange(len(n)), pa.int64()),
+                    pa.array(n, pa.int64()), pa.array(u, pa.int32()), pa.array(rank, pa.int64()), pa.array(cum, pa.int64()),
+                    pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, raw]),
+                ],
+                ["doc_id", "part", "row", "n", "unit", "rank", "full_before", "ids"],
+            )
+            row += len(n)
 
     schema = f"doc_id {kind}, part int, row long, n long, unit int, rank long, full_before long, ids binary"
     return written(docs.select("doc_id", "text").mapInArrow(run, schema), "op4-ids", compression="zstd")
@@ -228,7 +226,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = END, window: int = WINDOW,
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lists = b.column("pieces")
             flat = lists.flatten()
             at = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())

@@ -13,6 +13,7 @@ import gc
 import json
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,8 +23,10 @@ from tokenizers import Tokenizer
 
 from .text import mix
 
-CACHE_WORDS = 2_500_000
-BATCH_BYTES = 4_000_000
+CACHE_WORDS = 1_200_000
+CACHE_PIECES = 200_000
+BATCH_BYTES = 1_000_000
+SLICE_ROWS = 500
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(1, 2**63, 256, np.uint64)
@@ -88,7 +91,7 @@ class WordTokenizer:
         for p in parts:
             got = known.get(p)
             if got is None:
-                if len(known) >= 400_000:
+                if len(known) >= CACHE_PIECES:
                     known.clear()
                 letters = p.encode().decode("latin-1").translate(self.letters)
                 got = known[p] = [t.id for t in self.model.tokenize(letters)]
@@ -191,6 +194,13 @@ class WordTokenizer:
         return np.insert(ids, np.cumsum(counts), np.uint32(end)), counts + 1
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, which bounds what Python holds at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One per worker process and vocabulary."""
