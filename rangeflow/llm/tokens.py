@@ -9,7 +9,6 @@ space touches white space, or that holds other white space, is encoded as a whol
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import unicodedata
@@ -23,8 +22,8 @@ from tokenizers import Tokenizer
 
 from .text import mix
 
-CACHE_WORDS = 1_200_000
-CACHE_PIECES = 200_000
+CACHE_WORDS = 2_000_000
+CACHE_PIECES = 400_000
 BATCH_BYTES = 1_000_000
 SLICE_ROWS = 500
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -54,6 +53,72 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Known:
+    """Ids of known words by the words' hashes: a large sorted table and a small one of new words."""
+
+    def __init__(self) -> None:
+        self.pool = np.empty(1 << 16, np.uint32)
+        self.used = 0
+        self.old = self.new = (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
+
+    def __len__(self) -> int:
+        return len(self.old[0]) + len(self.new[0])
+
+    @staticmethod
+    def _at(table: tuple, keys: np.ndarray) -> np.ndarray:
+        """Row of each key in a table, -1 if it has none."""
+        if not len(table[0]):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+        return np.where(table[0][at] == keys, at, -1)
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        return (self._at(self.old, keys) < 0) & (self._at(self.new, keys) < 0)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of known words begin in the pool, and how many they are."""
+        at = self._at(self.old, keys)
+        begin, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        for table, row in ((self.old, at), (self.new, np.where(at < 0, self._at(self.new, keys), -1))):
+            has = row >= 0
+            begin[has], count[has] = table[1][row[has]], table[2][row[has]]
+            table[3][row[has]] += 1
+        return begin, count
+
+    def add(self, keys: np.ndarray, ids: list[str]) -> None:
+        """Ids come as strings, a character an id: compact, and quick to join."""
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(count.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + total] = np.frombuffer("".join(ids).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.new = self._merged(self.new, (keys, self.used + np.cumsum(count) - count, count, np.zeros(len(keys), np.int64)))
+        self.used += total
+        if len(self.new[0]) > max(20_000, len(self.old[0]) // 4):
+            self.old, self.new = self._merged(self.old, self.new), tuple(x[:0] for x in self.new)
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return (keys[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:], strict=True)))
+
+    def shrink(self) -> None:
+        """Forget words met in one batch only, or all if most were met again."""
+        table = self._merged(self.old, self.new)
+        keep = table[3] > 1
+        if 2 * keep.sum() > CACHE_WORDS:
+            keep[:] = False
+        keys, begin, count, _ = (x[keep] for x in table)
+        to = np.cumsum(count)
+        size = int(to[-1]) if len(to) else 0
+        kept = self.pool[np.repeat(begin - (to - count), count) + np.arange(size)]
+        self.__init__()
+        self.pool = np.concatenate([kept, self.pool])
+        self.used = size
+        self.old = keys, to - count, count, np.zeros(len(keys), np.int64)
+
+
 class WordTokenizer:
     """``flat(column)`` gives the ids of all texts of a string column, and where each text ends."""
 
@@ -65,53 +130,36 @@ class WordTokenizer:
         digit = r"\p{N}" if self.lower else r"\p{N}+"
         self.piece = regex.compile(rf"\p{{L}}+|{digit}|[^\s\p{{L}}\p{{N}}]+")
         self.letters = _byte_letters()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, str] = {}
         self.feed = self._encode("\n")
         self.power = np.cumprod(np.full(1 << 16, _BASE), dtype=np.uint64)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.start = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+        self.known = _Known()
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _word(self, word: str, lead: bool) -> list[int]:
-        """Ids of one word: those of its pieces, which the vocabulary's model looks up."""
+    def _word(self, word: str, lead: bool) -> str:
+        """Ids of one word, as characters: those of its pieces, which the vocabulary's model looks up."""
         if "'" in word or "’" in word or "İ" in word or "Σ" in word or (self.lower and not unicodedata.is_normalized("NFC", word)):
-            return self._encode(" " + word if lead else word)
+            return "".join(map(chr, self._encode(" " + word if lead else word)))
         parts = self.piece.findall(word.lower() if self.lower else word)
         if lead and not self.lower:
             parts[0] = " " + parts[0]
-        out: list[int] = []
-        known = self.pieces
+        pieces = self.pieces
+        try:
+            return "".join([pieces[p] for p in parts])
+        except KeyError:
+            pass
+        if len(pieces) >= CACHE_PIECES:
+            pieces.clear()
         for p in parts:
-            got = known.get(p)
-            if got is None:
-                if len(known) >= CACHE_PIECES:
-                    known.clear()
+            if p not in pieces:
                 letters = p.encode().decode("latin-1").translate(self.letters)
-                got = known[p] = [t.id for t in self.model.tokenize(letters)]
-            out += got
-        return out
+                pieces[p] = "".join([chr(t.id) for t in self.model.tokenize(letters)])
+        return "".join([pieces[p] for p in parts])
 
     def _learn(self, keys: np.ndarray, words: list[bytes], leads: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            self._reset()
-        gc.disable()  # many small lists that all stay for a while
-        ids = [self._word(w.decode(), lead) for w, lead in zip(words, leads.tolist(), strict=True)]
-        gc.enable()
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = len(self.pool) + np.cumsum(count) - count
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.count = np.concatenate([self.count, count])[order]
+        self.known.add(keys, [self._word(w.decode(), lead) for w, lead in zip(words, leads.tolist(), strict=True)])
 
     def _split(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts whose only white space is single spaces and line feeds; ids of each text."""
@@ -133,16 +181,16 @@ class WordTokenizer:
         lead = (s > 0) & space[s - 1] & ~first[s]
         h = mix(h ^ np.where(lead, _LEAD, np.uint64(0)))
         keys, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        new = ~np.isin(keys, self.keys, assume_unique=True) if len(self.keys) else np.ones(len(keys), bool)
-        if new.any() and len(self.keys) + int(new.sum()) > CACHE_WORDS:
-            self._reset()
-            new[:] = True
+        new = self.known.missing(keys)
         if new.any():
             raw, which = data.tobytes(), at[new]
+            if len(self.known) + len(which) > CACHE_WORDS:
+                self.known.shrink()  # it may forget words of this batch
+                new = self.known.missing(keys)
+                which = at[new]
             self._learn(keys[new], [raw[a:b] for a, b in zip(s[which].tolist(), e[which].tolist(), strict=True)], lead[which])
-        row = np.searchsorted(self.keys, keys)[inv]
-        place, begin, count = s, self.start[row], self.count[row]
-        pool = self.pool
+        begin, count = (x[inv] for x in self.known.get(keys))
+        place, pool = s, self.known.pool[: self.known.used]
         if self.feed:  # line feeds are words of their own
             f = np.flatnonzero(feed)
             place = np.concatenate([s, f])
