@@ -38,6 +38,14 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None, **
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    if partition_by:
-        return spark.read.schema(df.schema).parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if partition_by else spark.read.parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more, as all that came of them is written too."""
+    for t in tables:
+        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(conf).delete(path, True)
