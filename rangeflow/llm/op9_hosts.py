@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import read_table, written
 
 RULES = [
     ("org/", "allow"),
@@ -69,10 +69,25 @@ def page_words(html: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w).between(1, LONGEST))
 
 
+def most_frequent(counts: DataFrame, size: int = VOCABULARY) -> DataFrame:
+    """Rows of the largest ``n``, at most ``size``: those over the least threshold that no more reach.
+
+    The threshold comes from a histogram of counts by powers of 1.02, some thousand rows at most.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.02)))
+    least, room = None, size
+    for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("level")).collect():
+        room -= r.rows
+        if room < 0:
+            break
+        least = r.level
+    return counts.where(level >= least) if least is not None else counts.where("false")
+
+
 def unigrams(pages: DataFrame) -> dict[str, float]:
     """Log-probabilities of the ``VOCABULARY`` most frequent words of all pages, seeds and common words."""
-    counts = pages.select(F.explode(page_words(F.col("html"))).alias("w")).groupBy("w").count()
-    top = {r.w: r["count"] for r in counts.orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()}
+    counts = written(pages.select(F.explode(page_words(F.col("html"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "op9-words")
+    top = {r.w: r.n for r in most_frequent(counts).collect()}
     floor = max(top.values(), default=1) // 100 + 1
     for w in SEEDS + COMMON:
         top[w] = max(top.get(w, 0), floor)
@@ -143,8 +158,9 @@ def bayes(counts: DataFrame) -> tuple[float, dict[str, float], float]:
     wide = counts.where("token is not null").groupBy("token").agg(
         F.sum(F.when(F.col("bad") == 1, F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("bad") == 0, F.col("n")).otherwise(0)).alias("good"),
+        F.sum("n").alias("n"),
     )
-    rows = wide.orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(VOCABULARY).collect()
+    rows = most_frequent(wide).collect()
     size = len(rows) + 1
     bad, good = sum(r.bad for r in rows) + size, sum(r.good for r in rows) + size
     odds = {r.token: math.log((r.bad + 1) / bad) - math.log((r.good + 1) / good) for r in rows}
@@ -158,7 +174,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFr
     parts = pages.select("page_id", "url", "html").withColumn("host", host).withColumn("path", path)
     urls = parts.select("host", "path").where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     logs = unigrams(pages)
-    prior, odds, unseen = bayes(token_counts(urls, logs))
+    prior, odds, unseen = bayes(written(token_counts(urls, logs), "op9-tokens"))
     shared = pages.sparkSession.sparkContext.broadcast((logs, odds))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
