@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _name in ("stream_queries",):
+    _module = import_module(f".{_name}", __package__)
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
