@@ -32,8 +32,8 @@ def bands_of(spark: SparkSession) -> DataFrame:
 @query(f"""WITH {FR}, g AS (SELECT *, {band_sql("dist")} AS band, status = 'detected' AS hit FROM fr),
 f AS (SELECT bag, band, min(i) FILTER (hit) AS first_i, count(*) AS n, count(*) FILTER (hit) AS hits FROM g WHERE band IS NOT NULL GROUP BY ALL),
 b AS (SELECT unnest(['0-20','20-50','50-100','100-150','150-200','200-300']) AS band)
-SELECT b.band, coalesce(sum(n), 0)::BIGINT AS objects, coalesce(sum(hits), 0)::BIGINT AS hits, round(sum(hits) / nullif(sum(n), 0)::DOUBLE, 6) AS recall,
-  count(first_i) AS bags_with_hit, min(first_i) AS earliest_first, max(first_i) AS latest_first
+SELECT b.band, coalesce(sum(n), 0)::BIGINT AS objects, coalesce(sum(hits), 0)::BIGINT AS hits, coalesce(round(sum(hits) / nullif(sum(n), 0)::DOUBLE, 6), 0e0) AS recall,
+  count(first_i) AS bags_with_hit, coalesce(min(first_i), -1) AS earliest_first, coalesce(max(first_i), -1) AS latest_first
 FROM b LEFT JOIN f USING (band) GROUP BY b.band""")
 def flagship_banded_first_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall by distance band, empty bands included, and when each recording first has a hit there."""
@@ -43,7 +43,7 @@ def flagship_banded_first_detection(spark: SparkSession, sf_dir: str) -> DataFra
         F.sum("n").alias("objects"), F.sum("hits").alias("hits"), F.round(F.sum("hits") / F.sum("n"), 6).alias("recall"),
         F.count("first_i").alias("bags_with_hit"), F.min("first_i").alias("earliest_first"), F.max("first_i").alias("latest_first"),
     )
-    return bands_of(spark).join(out, "band", "left").fillna(0, ["objects", "hits", "bags_with_hit"])
+    return bands_of(spark).join(out, "band", "left").fillna(0, ["objects", "hits", "bags_with_hit", "recall"]).fillna(-1, ["earliest_first", "latest_first"])
 
 
 def _run_sql(gap: int, where: str, position: str = "i") -> str:
