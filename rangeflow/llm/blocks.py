@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 
 
 def settle(blocks: DataFrame, order: Column, is_first: Column) -> DataFrame:
@@ -33,7 +33,9 @@ def settle(blocks: DataFrame, order: Column, is_first: Column) -> DataFrame:
     keys = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("contents"))
     got = shared.join(firsts, ["key", "bh"]).join(keys, "key")
     got = got.withColumn("settled", ~is_first).where("settled or contents > 1")
-    return written(got.drop("ord", "first"), "blocks-settled")
+    out = written(got.drop("ord", "first"), "blocks-settled")
+    discard(often, shared)
+    return out
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table, written
+from ..session import discard, read_table, written
 from .blocks import settle, spans_by_document
 from .text import WordHasher, as_bytes, mix, signed
 
@@ -151,6 +151,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     fields = f"doc_id {kind}, h long, lo int, n int, key long, bh long"
     blocks = written(usable.mapInArrow(cut, fields), "op7-blocks")
     matter = settle(blocks, F.col("doc_id"), F.col("ord") == F.col("first"))
+    discard(blocks)
     open_ = matter.where("not settled").groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("open"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +172,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     pool = usable.join(open_, ["doc_id", "h"]).select("doc_id", "h", "text", "open")
     wins = written(pool.mapInArrow(windows, f"doc_id {kind}, h long, i int, w1 long, w2 long"), "op7-windows")
     firsts = wins.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    later = wins.join(firsts.select("w1", "w2", "first"), ["w1", "w2"]).where("doc_id > first")
+    later = written(wins.join(firsts.select("w1", "w2", "first"), ["w1", "w2"]).where("doc_id > first").select("doc_id", "h", "i"), "op7-later")
+    discard(wins)
     spans = matter.where("settled").select("doc_id", "h", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi")).unionByName(
         later.select("doc_id", "h", F.col("i").alias("lo"), (F.col("i") + window).alias("hi"))
     )
-    return spans_by_document(spans)
+    return written(spans_by_document(spans), "op7-spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
