@@ -29,12 +29,12 @@ def settle(blocks: DataFrame, order: Column, is_first: Column) -> DataFrame:
     """
     often = written(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "block-keys")
     shared = written(blocks.join(often, "key").withColumn("ord", order), "blocks")
-    firsts = shared.groupBy("key", "bh").agg(F.min("ord").alias("first"))
-    keys = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("contents"))
+    firsts = written(shared.groupBy("key", "bh").agg(F.min("ord").alias("first")), "block-contents")
+    keys = written(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("contents")), "block-anchors")
     got = shared.join(firsts, ["key", "bh"]).join(keys, "key")
     got = got.withColumn("settled", ~is_first).where("settled or contents > 1")
     out = written(got.drop("ord", "first"), "blocks-settled")
-    discard(often, shared)
+    discard(often, shared, firsts, keys)
     return out
 
 

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table, written
+from ..session import discard, read_table, written
 from .blocks import settle, spans_by_document
 from .text import as_bytes, mix, signed
 
 WINDOW = 100
 GRAM = 16
 PIECE = 2_000_000
-MANY = 1000
+MANY = 50_000
 TASK_SEGMENTS = 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _PLACE = 27  # bits of a place, in the low end of a rank
@@ -188,15 +188,14 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     segments = written(
         pool.mapInArrow(fetch, f"doc_id {kind}, h long, key long, lo int, n int, off int, contents long, bytes binary"), "op6-segments", compression="zstd"
     )
-    later = _by_columns(segments.where(F.col("contents") <= MANY), kind, window).unionByName(_by_hash(segments.where(F.col("contents") > MANY), kind, window))
-    spans = matter.where("settled").select("doc_id", "h", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi")).unionByName(
-        later.select("doc_id", "h", F.col("i").alias("lo"), (F.col("i") + window).alias("hi"))
-    )
-    return spans_by_document(spans)
+    later = written(_by_columns(segments.where(F.col("contents") <= MANY), kind, window).unionByName(_by_hash(segments.where(F.col("contents") > MANY), kind, window)), "op6-later")
+    discard(segments)
+    spans = matter.where("settled").select("doc_id", "h", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi")).unionByName(later)
+    return written(spans_by_document(spans), "op6-spans")
 
 
 def _by_columns(segments: DataFrame, kind: str, window: int) -> DataFrame:
-    """``doc_id, h, i``: windows of segments that equal an earlier one, by column-wise construction."""
+    """``doc_id, h, lo, hi``: spans of segments' windows that equal earlier ones, by column-wise construction."""
     # equal keys together, in the order of their documents: the first of a class is the earliest
     placed = segments.repartition("key").sortWithinPartitions("key", "doc_id", "h", "lo")
 
@@ -218,9 +217,15 @@ def _by_columns(segments: DataFrame, kind: str, window: int) -> DataFrame:
             wins.append(win[drop])
         seg = np.concatenate([np.empty(0, np.int64), *segs])
         win = np.concatenate([np.empty(0, np.int64), *wins])
-        at = pa.array(seg)
-        cols = [t[c].combine_chunks().take(at) for c in ("doc_id", "h")]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(lo[seg] + win, pa.int32())], ["doc_id", "h", "i"])
+        order = np.lexsort([win, seg])
+        seg, win = seg[order], win[order]
+        new = np.ones(len(seg), bool)  # neighbouring windows make one span
+        new[1:] = (seg[1:] != seg[:-1]) | (win[1:] != win[:-1] + 1)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(seg)) - 1
+        cols = [t[c].combine_chunks().take(pa.array(seg[a])) for c in ("doc_id", "h")]
+        lo = lo[seg[a]].astype(np.int64)
+        return pa.RecordBatch.from_arrays([*cols, pa.array(lo + win[a], pa.int32()), pa.array(lo + win[b] + window, pa.int32())], ["doc_id", "h", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -239,7 +244,7 @@ def _by_columns(segments: DataFrame, kind: str, window: int) -> DataFrame:
         if rows:
             yield solve(held)
 
-    return placed.mapInArrow(run, f"doc_id {kind}, h long, i int")
+    return placed.mapInArrow(run, f"doc_id {kind}, h long, lo int, hi int")
 
 
 def _by_hash(segments: DataFrame, kind: str, window: int) -> DataFrame:
@@ -265,7 +270,9 @@ def _by_hash(segments: DataFrame, kind: str, window: int) -> DataFrame:
 
     wins = written(segments.mapInArrow(windows, f"doc_id {kind}, h long, i int, w1 long, w2 long"), "op6-windows").withColumn("ord", F.struct("doc_id", "h", "i"))
     firsts = wins.groupBy("w1", "w2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
-    return wins.join(firsts.select("w1", "w2", "first"), ["w1", "w2"]).where("ord > first").select("doc_id", "h", "i")
+    return wins.join(firsts.select("w1", "w2", "first"), ["w1", "w2"]).where("ord > first").select(
+        "doc_id", "h", F.col("i").alias("lo"), (F.col("i") + window).alias("hi")
+    )
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
