@@ -28,7 +28,7 @@ def settle(blocks: DataFrame, order: Column, is_first: Column) -> DataFrame:
     ``ord`` and ``first``, the least of its content.
     """
     often = written(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "block-keys")
-    shared = written(blocks.join(often, "key").withColumn("ord", order), "blocks")
+    shared = written(blocks.join(often.hint("shuffle_hash"), "key").withColumn("ord", order), "blocks")
     firsts = written(shared.groupBy("key", "bh").agg(F.min("ord").alias("first")), "block-contents")
     keys = written(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("contents")), "block-anchors")
     got = shared.join(firsts, ["key", "bh"]).join(keys, "key")

@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from ..session import discard, read_table, written
 from .blocks import settle, spans_by_document
-from .text import WordHasher, as_bytes, mix, signed
+from .text import as_bytes, mix, signed, word_ids
 
 WINDOW = 50
 ROUNDS = 6
 RUN_ROUNDS = (0, 3)
-BATCH_WORDS = 400_000
+BATCH_BYTES = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _SIDE = mix(np.arange(1, 65, dtype=np.uint64))
 _INV = {int(x): np.uint64(pow(int(x), -1, 2**64)) for x in (_A, _B)}
@@ -95,22 +95,20 @@ def anchors(h: np.ndarray, first: np.ndarray, starts: np.ndarray, window: int, r
     return np.where(found, pos[out], -1), sym[out]
 
 
-def block_rows(texts: list[bytes], hasher: WordHasher, window: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
+def block_rows(texts: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
     """Blocks of a list of texts: ``(row, lo, n, key, bh)`` in batches."""
     k = 0
     while k < len(texts):
-        rows, words, size = [], [], 0
-        while k < len(texts) and (not rows or size < BATCH_WORDS):
-            w = texts[k].split()
-            if len(w) >= window:
-                rows.append(k)
-                words.append(w)
-                size += len(w)
+        at, size = k, 0
+        while k < len(texts) and (at == k or size < BATCH_BYTES):
+            size += len(texts[k])
             k += 1
-        if not rows:
+        h, lengths = word_ids(texts[at:k])
+        rows = np.flatnonzero(lengths >= window)
+        if not len(rows):
             continue
-        h = hasher([x for w in words for x in w])
-        lengths = np.array([len(w) for w in words])
+        h = h[np.repeat(lengths >= window, lengths)]
+        rows, lengths = rows + at, lengths[rows]
         begins = np.cumsum(lengths) - lengths
         first = np.zeros(len(h), bool)
         first[begins] = True
@@ -127,7 +125,7 @@ def block_rows(texts: list[bytes], hasher: WordHasher, window: int = WINDOW) ->
         bh = span_hash(h, lo, lo + n - 1 + window, _A)
         key = np.where(lone[at], span_hash(h, lo, lo + window, _B), name[at])
         off = np.where(lone[at], 0, place[at] - lo).astype(np.uint64)
-        yield np.array(rows)[of[at]], lo - begins[of[at]], n, signed(key), signed(mix(bh ^ mix(off + _A)))
+        yield rows[of[at]], lo - begins[of[at]], n, signed(key), signed(mix(bh ^ mix(off + _A)))
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -139,9 +137,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     usable = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for b in batches:
-            for row, lo, n, key, bh in block_rows(as_bytes(b.column("text")), hasher, window):
+            for row, lo, n, key, bh in block_rows(as_bytes(b.column("text")), window):
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").take(at), b.column("h").take(at), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(bh)],
@@ -155,10 +152,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     open_ = matter.where("not settled").groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("open"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for b in batches:
             for k, (text, spans) in enumerate(zip(as_bytes(b.column("text")), b.column("open").to_pylist(), strict=True)):
-                h = hasher(text.split())
+                h, _ = word_ids([text])
                 i = np.concatenate([np.arange(s["lo"], s["lo"] + s["n"]) for s in spans])
                 m = len(i)
                 yield pa.RecordBatch.from_arrays(
