@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tracks.batch import fold
-from ..operators.tracks.core import filter_step, fusion_step
+from ..operators.tracks.batch import HITS, fold
+from ..operators.tracks.core import filter_step, fusion_step, is_reset
 from ..session import shared_dir, written
 from ..streaming.folds import stream_fold
+from . import stream_queries
 from .views import frames
 
 QUERIES: dict = {}
@@ -97,3 +98,39 @@ def windowed_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["windowed_status_stream"] = """SELECT epoch_us(date_trunc('day', ts)) AS day, CASE event_type WHEN 'error' THEN 'detected' WHEN 'signup' THEN 'unknown' ELSE 'clear' END AS status, count(*) AS n FROM events GROUP BY ALL"""
+
+
+def epochs(state: dict, frame: dict) -> dict:
+    """The reset rule alone; the number of resets so far stands where tracks are counted."""
+    reset = is_reset(state["last"], frame["stamp"], 1_000_000, 43_200_000_000_000)
+    state["next"] += reset
+    state["last"] = state["last"] if frame["stamp"] is None else frame["stamp"]
+    return {"reset": reset, "status": "", "distance": None, "tracks": state["next"]}
+
+
+@query
+def reset_epochs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence resets on a stream: a step back in time begins a new sequence and drops nothing."""
+    stamp = F.when(F.col("k") % 11 == 0, F.lit(None)).when(F.col("k") % 13 == 0, F.col("t") - 90_000_000_000).otherwise(F.col("t"))
+    src = frames(spark, sf_dir).select("bag", "i", (stamp * 1000).alias("stamp"), F.lit(False).alias("unknown"), F.lit(None).cast(HITS).alias("hits"))
+    out = run_stream(spark, src.repartition(4, "bag").sortWithinPartitions("bag", "i"), lambda s: stream_fold(s, epochs))
+    return out.select("bag", "i", "reset", F.col("tracks").alias("epoch"))
+
+
+ORACLE_SQL["reset_epochs_stream"] = stream_queries.ORACLE_SQL["reset_epochs"]
+
+
+@query
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream by a gap of six hours; the watermark is longer than the data, so nothing is late."""
+    src = written(frames(spark, sf_dir).select("bag", F.timestamp_micros("t").alias("ts"), "dist"), "stream-in")
+    name = f"sessions_{uuid.uuid4().hex}"
+    s = spark.readStream.schema(src.schema).parquet(src.written_path).withWatermark("ts", "400 days")
+    g = s.groupBy("bag", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist"), 4).alias("total"))
+    out = g.select("bag", F.unix_micros("w.start").alias("t_first"), "n", "total")
+    q = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+ORACLE_SQL["sessions_stream"] = f"SELECT bag, t_first, n, total FROM ({stream_queries.ORACLE_SQL['sessions_by_gap']})"
