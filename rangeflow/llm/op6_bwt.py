@@ -35,6 +35,7 @@ from .text import as_bytes, mix, signed
 WINDOW = 100
 GRAM = 16
 PIECE = 2_000_000
+BATCH_BYTES = 150_000
 MANY = 50_000
 TASK_SEGMENTS = 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -88,7 +89,7 @@ def block_rows(texts: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.nd
     k = 0
     while k < len(pieces):
         some, size = [], 0
-        while k < len(pieces) and (not some or size + len(pieces[k][2]) <= PIECE):
+        while k < len(pieces) and (not some or size + len(pieces[k][2]) <= BATCH_BYTES):
             some.append(pieces[k])
             size += len(pieces[k][2])
             k += 1
