@@ -14,7 +14,7 @@ not joined, the second takes the verified components and keeps every surviving p
 ones.  So a group of k near copies yields about k pairs, yet no link between components is lost.
 
 Groups of more than ``BLOCK`` members are cut into blocks, and pairs of blocks are walked, so a task
-holds at most two blocks.  The number of shingles kept as "frequent" is at most the mean set size
+holds at most two blocks; texts to be verified come in blocks of ``VERIFY_BLOCK``.  The number of shingles kept as "frequent" is at most the mean set size
 divided by ``FREQUENT``, which bounds what is broadcast.
 
 Cases: null, empty or white-space texts have no shingles and are components of their own; a text of
@@ -30,33 +30,48 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import read_table, written
-from .text import WordHasher, as_bytes, mix, signed
+from ..session import discard, read_table, written
+from .text import as_bytes, mix, signed, word_ids
+from .tokens import slices
 
 WORDS = 4
 NUM, DEN = 85, 100
 FREQUENT = 1 / 500
 BLOCK = 1000
+VERIFY_BLOCK = 2000
 LEAF = 8
-MIN_BITS, MAX_BITS = 1 << 8, 1 << 15
+MIN_BITS, MAX_BITS = 1 << 8, 1 << 17
 _A = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(text: bytes, hasher: WordHasher, words: int = WORDS) -> np.ndarray:
-    """Distinct hashes of a text's shingles, ascending."""
-    w = text.lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    h = hasher(w)
-    n = max(1, len(h) - words + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(min(words, len(h))):
-        out = mix(out * _A + h[k : k + n])
-    return np.unique(out)
+_ZERO = np.zeros(1, np.uint64)
+
+
+def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, ascending, one text after the other; and how many each has."""
+    h, n = word_ids(texts, lower=True)
+    h = np.append(h, np.zeros(words, np.uint64))
+    begins = np.cumsum(n) - n
+    m = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    out = np.zeros(len(h) - words, np.uint64)
+    for k in range(words):
+        out = mix(out * _A + h[k : k + len(out)])
+    at = np.cumsum(m) - m
+    out = out[np.repeat(begins - at, m) + np.arange(m.sum())]
+    for k in np.flatnonzero((n > 0) & (n < words)):  # fewer words: the whole sequence is the shingle
+        one = np.zeros(1, np.uint64)
+        for x in h[begins[k] : begins[k] + n[k]]:
+            one = mix(one * _A + x)
+        out[at[k]] = one[0]
+    for a, b in zip(at.tolist(), (at + m).tolist(), strict=True):
+        out[a:b].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[at[m > 0]] = True
+    return out[keep], np.bincount(np.repeat(np.arange(len(m)), m)[keep], minlength=len(m))
 
 
 def overlap_needed(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -74,10 +89,9 @@ def signature(s: np.ndarray) -> bytes:
     bits = MIN_BITS
     while bits < min(MAX_BITS, 4 * len(s)):
         bits *= 2
-    out = np.zeros(bits // 8, np.uint8)
-    at = (s % np.uint64(bits)).astype(np.int64)
-    np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-    return out.tobytes()
+    out = np.zeros(bits, bool)
+    out[(s % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 class Tree:
@@ -104,12 +118,12 @@ def _missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & ~y).sum(-1, dtype=np.int64)
 
 
-def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, spanning: bool, num: int, den: int) -> list[tuple[int, int]]:
+def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, spanning: bool, num: int, den: int) -> tuple[list[tuple[int, int]], bool]:
     """Pairs of members that may be similar, by dual traversal of the members' signature tree.
 
     Members come in order of size.  ``left``: with several blocks, members before it are one block and
     only pairs across blocks are wanted (-1: all pairs).  ``parts``: components; equal ones need no pair.
-    ``spanning``: pairs found join components at once.
+    ``spanning``: pairs found join components at once; the second result says whether that left any out.
     """
     n = len(sizes)
     if left < 0:
@@ -127,6 +141,7 @@ def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, span
         return int(i)
 
     out: list[tuple[int, int]] = []
+    skipped = False
     stack = [(len(ta.levels) - 1, 0, len(tb.levels) - 1, 0)]
     while stack:
         la, ia, lb, ib = stack.pop()
@@ -163,23 +178,46 @@ def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, span
             if spanning:
                 ri, rj = find(i), find(j)
                 if ri == rj:
+                    skipped = True
                     continue
                 root[ri] = rj
             out.append((i, j))
-    return out
+    return out, skipped
 
 
 def group_pairs(
     ids: list, sizes: list[int], maps: list[bytes], parts: list[int], sides: list[int], spanning: bool, num: int = NUM, den: int = DEN
-) -> list[tuple]:
-    """Pairs ``(id, id)`` of one group (or pair of blocks: ``sides`` 0 and 1) to be verified."""
+) -> tuple[list[tuple], bool]:
+    """Pairs ``(id, id)`` of one group (or pair of blocks: ``sides`` 0 and 1) to be verified, and if some were left out."""
     size, part, side = np.array(sizes, np.int64), np.array(parts, np.int64), np.array(sides)
-    two = side.min() != side.max()
-    order = np.lexsort([size, side]) if two else np.argsort(size, kind="stable")
-    least = min(len(m) for m in maps)  # fold longer maps to the shortest: hashes are taken modulo powers of two
-    folded = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[k], np.uint8).reshape(-1, least), 0) for k in order]).view(np.uint64)
-    got = walk(size[order], folded, part[order], int((side == 0).sum()) if two else -1, spanning, num, den)
-    return [(ids[order[i]], ids[order[j]]) for i, j in got]
+    two, bits = side.min() != side.max(), np.array([len(m) for m in maps])
+    out: list[tuple] = []
+    left_out = False
+
+    def run(left: np.ndarray, right: np.ndarray | None, least: int) -> None:
+        nonlocal left_out
+        if not len(left) or (len(left) < 2 if right is None else not len(right)):
+            return
+        order = left[np.argsort(size[left], kind="stable")]
+        if right is not None:
+            order = np.concatenate([order, right[np.argsort(size[right], kind="stable")]])
+        # a map folds to half its length: hashes are taken modulo powers of two
+        rows = [np.bitwise_or.reduce(np.frombuffer(maps[k], np.uint8).reshape(-1, least), 0) for k in order]
+        got, skipped = walk(size[order], np.stack(rows).view(np.uint64), part[order], -1 if right is None else len(left), spanning, num, den)
+        left_out |= skipped
+        out.extend((ids[order[i]], ids[order[j]]) for i, j in got)
+
+    for b in np.unique(bits).tolist():  # similar sets have maps of one length, or of one and its double
+        at, up = np.flatnonzero(bits == b), np.flatnonzero((bits > b) & (num * bits <= 2 * den * b))
+        if two:
+            a0, a1 = at[side[at] == 0], at[side[at] == 1]
+            run(a0, a1, b)
+            run(a0, up[side[up] == 1], b)
+            run(a1, up[side[up] == 0], b)
+        else:
+            run(at, None, b)
+            run(at, up, b)
+    return out, left_out
 
 
 def similarity_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -190,33 +228,30 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a document, and one for each shingle frequent among this task's documents."""
-        hasher = WordHasher()
         docs_seen, pending, seen = 0, [], {}
-        for b in batches:
-            size, k1, k2 = [], [], []
-            for text in as_bytes(b.column("text")):
-                s = shingles(text, hasher, words)
-                size.append(len(s))
-                raw = s.tobytes()
-                k1.append(xxhash.xxh3_64_intdigest(raw, 1) - 2**63)
-                k2.append(xxhash.xxh3_64_intdigest(raw, 2) - 2**63)
-                pending.append(s)
+        for b in slices(batches):
+            flat, size = shingle_sets(as_bytes(b.column("text")), words)
+            raw, ends = memoryview(flat.tobytes()), (8 * np.cumsum(size)).tolist()
+            cuts = [raw[a:e] for a, e in zip([0, *ends], ends)]
+            k1 = [xxhash.xxh3_64_intdigest(c, 1) - 2**63 for c in cuts]
+            k2 = [xxhash.xxh3_64_intdigest(c, 2) - 2**63 for c in cuts]
+            pending.append(flat)
             docs_seen += b.num_rows
             if sum(map(len, pending)) > 2_000_000:
-                _count(pending, seen, docs_seen)
+                _count(pending, seen)
                 pending = []
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["doc"] * b.num_rows), b.column("doc_id"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())],
+                [pa.array(["doc"] * b.num_rows, pa.string()), b.column("doc_id"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())],
                 ["what", "doc_id", "n", "k1", "k2"],
             )
         if docs_seen:
-            _count(pending, seen, docs_seen)
+            _count(pending, seen)
             keys = np.fromiter(seen.keys(), np.int64, len(seen))
             count = np.fromiter(seen.values(), np.int64, len(seen))
             kept = count >= max(3, FREQUENT * docs_seen)
             keys, count = keys[kept], count[kept]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["shingle"] * len(keys)), pa.nulls(len(keys), docs_type), pa.array(count), pa.array(keys), pa.array(np.zeros(len(keys), np.int64))],
+                [pa.array(["shingle"] * len(keys), pa.string()), pa.nulls(len(keys), docs_type), pa.array(count), pa.array(keys), pa.array(np.zeros(len(keys), np.int64))],
                 ["what", "doc_id", "n", "k1", "k2"],
             )
 
@@ -232,22 +267,27 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefix shingles of each class, and one row with its signature."""
-        hasher, late = WordHasher(), shared.value
-        for b in batches:
-            at, token, size, maps = [], [], [], []
-            for k, text in enumerate(as_bytes(b.column("text"))):
-                s = shingles(text, hasher, words)
-                if not len(s):
+        late = shared.value
+        for b in slices(batches):
+            flat, size = shingle_sets(as_bytes(b.column("text")), words)
+            often = np.zeros(len(flat), bool)
+            if len(late):
+                often = late[np.minimum(np.searchsorted(late, flat), len(late) - 1)] == flat
+            ends = np.cumsum(size).tolist()
+            at, token, maps = [], [], []
+            for k, (lo, hi) in enumerate(zip([0, *ends], ends)):
+                if lo == hi:
                     continue
-                often = np.isin(s, late, assume_unique=True) if len(late) else np.zeros(len(s), bool)
-                p = np.concatenate([s[~often], s[often]])[: prefix_length(len(s), num, den)]
-                at += [k] * (len(p) + 1)
-                token.append(np.append(signed(p), 0))
-                size += [len(s)] * (len(p) + 1)
-                maps += [None] * len(p) + [signature(s)]
+                s, f = flat[lo:hi], often[lo:hi]
+                length = prefix_length(hi - lo, num, den)
+                p = np.concatenate([s[~f], s[f]])[:length] if f.any() else s[:length]
+                at.append(np.full(length + 1, k))
+                token += [p, _ZERO]
+                maps += [None] * length + [signature(s)]
             if at:
+                at = np.concatenate(at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(at)), pa.array(np.concatenate(token)), pa.array(size, pa.int64()), pa.array(maps, pa.binary())],
+                    [b.column("doc_id").take(pa.array(at)), pa.array(signed(np.concatenate(token))), pa.array(size[at]), pa.array(maps, pa.binary())],
                     ["rep", "token", "n", "map"],
                 )
 
@@ -259,9 +299,13 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     shared_postings = written(postings.join(counts, "token"), "op3-shared")
     groups = _groups(shared_postings)
 
-    links = written(_verified(_pairs(groups, maps, None, kind, num, den), src, kind, words, num, den), "op3-links")
+    discard(shared_postings)
+    pairs, again = _pairs(groups, maps, None, kind, num, den)
+    links = _verified(pairs, src, kind, words, num, den)
     parts = written(connected_components(links, rounds=2), "op3-components")  # what it joins is joined
-    more = written(_verified(_pairs(groups, maps, parts, kind, num, den), src, kind, words, num, den), "op3-more")
+    pairs, _ = _pairs(groups.join(again, "gid", "left_semi"), maps, parts, kind, num, den)
+    more = _verified(pairs, src, kind, words, num, den)
+    discard(groups, posted)
     full = connected_components(links.unionByName(more))
     out = classes.join(full.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component")
@@ -271,8 +315,8 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     )
 
 
-def _count(pending: list[np.ndarray], seen: dict[int, int], docs_seen: int) -> None:
-    """Add shingle counts; forget those that are far from frequent among the documents seen."""
+def _count(pending: list[np.ndarray], seen: dict[int, int]) -> None:
+    """Add the counts of shingles that are in several of the pending sets."""
     if not pending:
         return
     keys, n = np.unique(np.concatenate(pending), return_counts=True)
@@ -296,64 +340,122 @@ def _groups(postings: DataFrame) -> DataFrame:
     return written(distinct.select(F.concat_ws("-", "g1", "g2").alias("gid"), F.inline("m")), "op3-groups")
 
 
-def _pairs(groups: DataFrame, maps: DataFrame, parts: DataFrame | None, kind: str, num: int, den: int) -> DataFrame:
-    """Distinct pairs ``(a, b)`` that the groups' tree walks leave to be verified."""
+def _pairs(groups: DataFrame, maps: DataFrame, parts: DataFrame | None, kind: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Written pairs ``(a, b)`` that the groups' tree walks leave to be verified, and groups ``gid`` to walk again."""
     spanning = parts is None
-    full = groups.join(maps, "rep")
     if spanning:
-        full = full.withColumn("part", F.col("rep"))
+        full = groups.withColumn("part", F.col("rep"))
     else:
-        full = full.join(parts.select(F.col("id").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+        full = groups.join(parts.select(F.col("id").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+        mixed = full.groupBy("gid").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
+        full = full.join(mixed.select("gid"), "gid", "left_semi")
     part = F.xxhash64("part").bitwiseAND(0x7FFFFFFFFFFFFFFF)
-    rows = full.groupBy("gid").agg(F.collect_list(F.struct("rep", "n", "map", part.alias("part"), "side")).alias("m"))
-    rows = rows.where(F.size(F.array_distinct(F.transform("m", lambda s: s["part"]))) > 1)
+    rows = full.join(maps, "rep").groupBy("gid").agg(F.collect_list(F.struct("rep", "n", "map", part.alias("part"), "side")).alias("m"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = [], []
-            for m in b.column("m"):
+            a, c, again = [], [], []
+            for gid, m in zip(b.column("gid").to_pylist(), b.column("m"), strict=True):
                 v = m.values
-                cols = [v.field(x).to_pylist() for x in ("rep", "n", "map", "part", "side")]
-                if len(cols[0]) == 2 and den * min(cols[1]) < num * max(cols[1]):
+                sizes = v.field("n").to_pylist()
+                if len(sizes) == 2 and den * min(sizes) < num * max(sizes):
                     continue
-                for x, y in group_pairs(*cols, spanning, num, den):
+                cols = [v.field(x).to_pylist() for x in ("rep", "map", "part", "side")]
+                got, skipped = group_pairs(cols[0], sizes, *cols[1:], spanning, num, den)
+                for x, y in got:
                     a.append(min(x, y))
                     c.append(max(x, y))
-            yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(c, id_type)], ["a", "b"])
+                if skipped:
+                    again.append(gid)
+            none = [None] * len(again)
+            yield pa.RecordBatch.from_arrays([pa.array(a + none, id_type), pa.array(c + none, id_type), pa.array([None] * len(a) + again, pa.string())], ["a", "b", "gid"])
 
     id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    return rows.select("m").mapInArrow(solve, f"a {kind}, b {kind}").distinct()
+    out = written(rows.mapInArrow(solve, f"a {kind}, b {kind}, gid string").distinct(), "op3-walk")
+    return out.where("gid is null").select("a", "b"), out.where("gid is not null").select("gid")
 
 
 def _verified(pairs: DataFrame, src: DataFrame, kind: str, words: int, num: int, den: int) -> DataFrame:
-    """Pairs ``(src, dst)`` whose sets are similar: shingles of both, counted together."""
-    pairs = written(pairs, "op3-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    """A written table of links ``(src, dst)`` among the pairs that join all that similar pairs join.
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                sets = [shingles(t, hasher, words).tobytes() for t in as_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "s"])
-
-    sets = src.join(wanted, "doc_id", "left_semi").mapInArrow(shingle, f"doc_id {kind}, s binary")
-    sets = written(sets.groupBy("doc_id").agg(F.first("s").alias("s")), "op3-verify")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    Texts that pairs connect are bundled in one place, ``VERIFY_BLOCK`` at most, and compressed together; pairs
+    of places are verified.  A text so travels once a place and not once a pair, as a small addition to its
+    near copies.  Within a pair of places, pairs that verified links have joined need no check.
+    """
+    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    near = written(connected_components(pairs, "a", "b"), "op3-near")
+    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
+    sub = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / VERIFY_BLOCK)).cast("int")
+    place = written(near.join(sizes, "component").select("id", F.concat_ws("-", "component", sub).alias("at")), "op3-place")
+    placed = pairs.join(place.select(F.col("id").alias("a"), F.col("at").alias("x")), "a").join(place.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
+    lists = placed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b").groupBy("x", "y").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(3)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([press.compress(t) for t in as_bytes(b.column("text"))], pa.binary())], ["doc_id", "z"])
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of one place compressed as one: near copies then take little more than one text."""
+        open_ = zstandard.ZstdDecompressor()
+        press = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=24, enable_ldm=True))
+        for b in slices(batches, 20):
+            ends, packed = [], []
+            for docs in b.column("docs"):
+                texts = [open_.decompress(z.as_py()) for z in docs.values.field("z")]
+                ends.append(np.cumsum([len(t) for t in texts]).tolist())
+                packed.append(press.compress(b"".join(texts)))
+            ids = pa.array([d.values.field("doc_id").to_pylist() for d in b.column("docs")], pa.list_(id_type))
+            yield pa.RecordBatch.from_arrays([b.column("at"), ids, pa.array(ends, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["at", "ids", "ends", "z"])
+
+    texts = src.join(near.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(squeeze, f"doc_id {kind}, z binary")
+    texts = texts.join(place.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("at").agg(F.collect_list(F.struct("doc_id", "z")).alias("docs"))
+    bundles = written(texts.mapInArrow(bundle, f"at string, ids array<{kind}>, ends array<long>, z binary"), "op3-bundles")
+    side = lambda name: bundles.select(F.col("at").alias(name), F.struct("ids", "ends", "z").alias(f"{name}b"))
+    # most blocks have both ends in one place: that bundle travels once
+    both = lists.join(side("x"), "x").join(side("y"), "y").select("pairs", "xb", F.when(F.col("x") != F.col("y"), F.col("yb")).alias("yb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * n >= num * (len(x) + len(y) - n))
-            ok = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["src", "dst"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, f"src {kind}, dst {kind}")
+        open_ = zstandard.ZstdDecompressor(max_window_size=1 << 24)
+        for b in slices(batches, 20):
+            out: list[tuple] = []
+            for wanted, *sides in zip(b.column("pairs"), b.column("xb"), b.column("yb"), strict=True):
+                a, c = (wanted.values.field(x).to_pylist() for x in ("a", "b"))
+                texts: dict = {}
+                for s in sides:
+                    if s.is_valid:
+                        raw, at = open_.decompress(s["z"].as_py()), 0
+                        for d, end in zip(s["ids"].as_py(), s["ends"].as_py(), strict=True):
+                            texts[d] = raw[at:end]
+                            at = end
+                sets: dict = {}
+                root = {d: d for d in texts}
+
+                def find(x, root=root):
+                    while root[x] != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                for p, q in zip(a, c, strict=True):
+                    rp, rq = find(p), find(q)
+                    if rp == rq:
+                        continue
+                    for d in (p, q):
+                        if d not in sets:
+                            sets[d] = shingle_sets([texts[d]], words)[0]
+                    x, y = sets[p], sets[q]
+                    if len(x) > len(y):
+                        x, y = y, x
+                    n = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if den * n >= num * (len(x) + len(y) - n):
+                        root[rp] = rq
+                        out.append((p, q))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], id_type), pa.array([p[1] for p in out], id_type)], ["src", "dst"])
+
+    links = written(both.mapInArrow(check, f"src {kind}, dst {kind}"), "op3-links")
+    discard(near, place, bundles)
+    return links
 
 
 def op3_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

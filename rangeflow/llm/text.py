@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six ASCII white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
-WORD_CACHE = 400_000
 CHUNK_BYTES = 600_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -28,25 +26,6 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-class WordHasher:
-    """64-bit ids of words, the same in every process; remembers common words within a bound."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        missing = set(words).difference(known)
-        if missing:
-            if len(known) + len(missing) > WORD_CACHE:
-                known.clear()
-                missing = set(words)
-            digest = xxhash.xxh3_64_intdigest
-            for w in missing:
-                known[w] = digest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(33))
