@@ -234,3 +234,23 @@ def test_10_matches_sql(spark):
     names = [x[0] for x in c.description]
     got = op10_ledger.op10_rule_ledger(spark, SF).select(names).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("num", [85, 60, 30])
+def test_3_walk_leaves_no_similar_pair_out(num):
+    rng = np.random.default_rng(num)
+    for _ in range(10):
+        sets = []
+        for _ in range(6):
+            base = rng.integers(0, 2**63, rng.integers(5, 400)).astype(np.uint64)
+            for _ in range(rng.integers(1, 6)):
+                keep = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.1, 0.2])]
+                sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, 1 + rng.integers(0, len(base) // 8 + 1)).astype(np.uint64)])))
+        n, side = len(sets), [int(x) for x in rng.integers(0, 2, len(sets))]
+        similar = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j]))}
+        given = (list(range(n)), [len(s) for s in sets], [op3_sigtree.signature(s) for s in sets], list(range(n)))
+        got, _ = op3_sigtree.group_pairs(*given, [0] * n, False, num, 100)
+        assert similar <= {tuple(sorted(p)) for p in got}
+        if len(set(side)) == 2:
+            got, _ = op3_sigtree.group_pairs(*given, side, False, num, 100)
+            assert {(i, j) for i, j in similar if side[i] != side[j]} <= {tuple(sorted(p)) for p in got}
