@@ -9,6 +9,8 @@ from .op4_pack import op4_pack_nnls
 from .op5_qgrams import op5_qgram_leaks
 from .op6_bwt import op6_column_bwt
 from .op7_recompress import op7_recompression
+from .op8_licences import ORACLE_SQL as LICENCE_SQL
+from .op8_licences import op8_sentence_rules
 from .op9_hosts import op9_host_words
 from .op10_ledger import ORACLE_SQL as LEDGER_SQL
 from .op10_ledger import op10_rule_ledger
@@ -21,7 +23,8 @@ QUERIES = {
     "op5_qgram_leaks": op5_qgram_leaks,
     "op6_column_bwt": op6_column_bwt,
     "op7_recompression": op7_recompression,
+    "op8_sentence_rules": op8_sentence_rules,
     "op9_host_words": op9_host_words,
     "op10_rule_ledger": op10_rule_ledger,
 }
-ORACLE_SQL = {"op10_rule_ledger": LEDGER_SQL}
+ORACLE_SQL = {"op8_sentence_rules": LICENCE_SQL, "op10_rule_ledger": LEDGER_SQL}

@@ -254,3 +254,24 @@ def test_3_walk_leaves_no_similar_pair_out(num):
         if len(set(side)) == 2:
             got, _ = op3_sigtree.group_pairs(*given, side, False, num, 100)
             assert {(i, j) for i, j in similar if side[i] != side[j]} <= {tuple(sorted(p)) for p in got}
+
+
+def test_8_sentence_rules(spark, empty):
+    from rangeflow.llm import op8_licences
+
+    texts = [None, "", "Released under the MIT License.", "x. Released  under the\tMIT license! All rights reserved.\nRedistribution and use in source", "LICENSED UNDER CC BY 4.0"]
+    long = "word. " * 5000 + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction. Other. The software is provided \"as is\", without warranty of any kind, express or implied."
+    d = spark.createDataFrame([(k, t, "", "", 0, 0, "", "") for k, t in enumerate([*texts, long, long])], fx.SCHEMA)
+    got = {r.doc_id: (r.n_sentences, r.sentence_ids, r.licences) for r in op8_licences.scan_licences(d).collect()}
+    assert got == {0: (0, "", ""), 1: (0, "", ""), 2: (1, "1", "mit"), 3: (2, "1 11", "mit,reserved"), 4: (1, "6", "cc-by-4.0"), 5: (2, "7 8", "mit"), 6: (2, "7 8", "mit")}
+    assert op8_licences.scan_licences(empty).count() == 0
+
+
+def test_8_matches_sql(spark):
+    from rangeflow.llm import op8_licences
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = c.execute(op8_licences.ORACLE_SQL).fetchall()
+    names = [x[0] for x in c.description]
+    assert sorted(tuple(r) for r in op8_licences.op8_sentence_rules(spark, SF).select(names).collect()) == sorted(want)
