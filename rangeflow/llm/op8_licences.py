@@ -1,9 +1,14 @@
 """Licence recognition by sentence rules: known sentences become ids, ordered rules match id sequences.
 
-A text is cut into sentences at line feeds and after ``.``, ``!`` or ``?`` before white space; a sentence
-is normalised to lower-case a-z and 0-9 words.  Known sentences map to ids, others are passed over.  A
-rule is a sequence of ids that must stand next to each other in a text's sequence, in order.  All of it
-is DataFrame functions on one row a document, so nothing is shuffled.
+A text is cut after ``.``, ``!`` or ``?`` before white space, and at lines without a letter a-z or digit;
+what is between is normalised to lower-case a-z and 0-9 words.  A known sentence is one line of that or
+several joined, so hard-wrapped texts are read like those on one line; where several known ones begin
+at a line, the longest counts.  Known sentences map to ids, others are passed over.  A rule is a
+sequence of ids that must stand next to each other in a text's sequence, in order.  All of it is
+DataFrame functions on one row a document, so nothing is shuffled.
+
+``ORACLE_SQL`` knows ``SENTENCES`` on one line only, neither wrapped ones nor the licences' own texts:
+it gives the same rows where a text has none of those.
 
 Cases: a null or empty text has no sentence and no licence; repeated rows are judged each on its own; an
 empty table gives an empty result; long texts are judged whole; other input columns are ignored.
@@ -30,20 +35,60 @@ SENTENCES = {
     10: "you may not use this file except in compliance with the license",
     11: "all rights reserved",
 }
+_GRANT = f"{SENTENCES[7]} including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_NOTICE = "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+_AS_IS = f"{SENTENCES[8]} including but not limited to the warranties of merchantability fitness for a particular purpose and"
+_APACHE = "licensed under the apache license version 2 0 the license"
+_CLAUSE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_FSF = "as published by the free software foundation"
+#: Sentences of the licences' own texts and notices, in their normal form, and the ids they stand for.
+VARIANTS = {
+    f"{_AS_IS} noninfringement": "8",
+    f"{_AS_IS} non infringement": "8",
+    _APACHE: "2",
+    "apache license version 2 0 january 2004": "2",
+    "apache license version 2 0 january 2004 http www apache org licenses": "2",
+    f"{SENTENCES[9]} 1": "9",
+    f"{SENTENCES[9]} {_CLAUSE}": "9",
+    "gnu general public license version 2 june 1991": "4",
+    "gnu general public license version 3 29 june 2007": "3",
+}
+#: Those that also stand after other words, as a title and a copyright line are no sentences.
+AFTER_TITLES = {_GRANT: "7", f"{_GRANT} {_NOTICE}": "7", f"{_APACHE} {SENTENCES[10]}": "2 10"} | {
+    f"{_GPL} {terms}": i
+    for v, i in (("2", "4"), ("3", "3"))
+    for terms in (
+        f"{_FSF} either version {v} of the license or at your option any later version",
+        f"{_FSF} version {v} of the license",
+        f"{_FSF} version {v}",
+        f"version {v} {_FSF}",
+    )
+}
 #: Licence and the sentence ids that prove it, in order.
 RULES = [
     ("apache-2.0", [2]), ("apache-2.0", [2, 10]), ("bsd", [11, 9]), ("bsd", [9]), ("cc-by-4.0", [6]), ("cc-by-nc-4.0", [5]),
     ("gpl-2.0", [4]), ("gpl-3.0", [3]), ("mit", [1]), ("mit", [7, 8]), ("reserved", [11]),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_END = "\x01"  # stands for the end of a sentence
+
+
+def _any_of(sentences: dict[str, str]) -> str:
+    """Pattern of any of the sentences, the longest first, with each space a space or the end of a line."""
+    return f"(?:{'|'.join(s.replace(' ', r'[ \n]') for s in sorted(sentences, key=len, reverse=True))})"
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
     """``doc_id, n_sentences`` (known ones), ``sentence_ids`` and ``licences`` (comma-separated, in rule order)."""
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
-    lines = F.split(F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\n"), "\n")
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, str(i))])
-    ids = F.filter(F.transform(lines, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))), lambda i: i.isNotNull())
+    text = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER + _END, _LOWER + " ")
+    plain = F.regexp_replace(F.regexp_replace(text, r"[.!?][\x20\x09-\x0D]+", _END), rf"[^a-z0-9\n{_END}]+", " ")
+    lines = F.regexp_replace(F.regexp_replace(plain, rf" ?(?:{_END}|\n ?\n)[ \n{_END}]*", "|"), r" ?\n ?", "\n")
+    whole = {s: str(i) for i, s in SENTENCES.items()} | VARIANTS
+    known = rf"(?:(?<=[|\n ]){_any_of(AFTER_TITLES)}|(?<=[|\n]){_any_of(whole)})(?=[|\n])"
+    held = F.regexp_extract_all(F.concat(F.lit("|"), F.trim(lines), F.lit("|")), F.lit(known), 0)
+    ids_of = F.create_map(*[F.lit(x) for pair in (whole | AFTER_TITLES).items() for x in pair])
+    ids = F.transform(held, lambda s: F.element_at(ids_of, F.translate(s, "\n", " ")))
     d = docs.select("doc_id", F.array_join(ids, " ").alias("sentence_ids"))
     held = F.concat(F.lit(" "), "sentence_ids", F.lit(" "))
     rules: dict[str, list[str]] = {}

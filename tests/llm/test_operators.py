@@ -275,3 +275,70 @@ def test_8_matches_sql(spark):
     want = c.execute(op8_licences.ORACLE_SQL).fetchall()
     names = [x[0] for x in c.description]
     assert sorted(tuple(r) for r in op8_licences.op8_sentence_rules(spark, SF).select(names).collect()) == sorted(want)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+APACHE = """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.
+"""
+
+
+def test_8_unshortened_licences(spark):
+    from rangeflow.llm import op8_licences
+
+    want = {MIT: ("7 8", "mit"), BSD: ("11 9", "bsd,reserved"), APACHE: ("2 10", "apache-2.0"), GPL: ("3", "gpl-3.0"), GPL.replace("version 3", "version 2"): ("4", "gpl-2.0")}
+    forms = [lambda t: t, lambda t: " ".join(t.split()), lambda t: "".join(f" * {x}\r\n" for x in t.split("\n")), lambda t: t.replace("\n\n", "\n")]
+    one_line_bsd = ("9", "bsd")  # "All rights reserved." does not begin a line there
+    cases = [(f(t), one_line_bsd if t == BSD and k == 1 else w) for t, w in want.items() for k, f in enumerate(forms)]
+    cases += [(head + "    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n\n Copyright", ("3", "gpl-3.0")) for head in ("", "x\n", "x. ")]
+    cases += [("                  Apache License\n            Version 2.0, January 2004\n         http://www.apache.org/licenses/\n\n", ("2", "apache-2.0"))]
+    cases += [("Released under the\nMIT License", ("1", "mit")), ("Released under the\n\nMIT License", ("", "")), ("Not released under the\nMIT License", ("", "")), (GPL.replace("GNU General", "GNU Lesser General"), ("", ""))]
+    d = spark.createDataFrame([(k, t, "", "", 0, 0, "", "") for k, (t, _) in enumerate(cases)], fx.SCHEMA)
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in op8_licences.scan_licences(d).collect()}
+    assert [got[k] for k in range(len(cases))] == [w for _, w in cases]
