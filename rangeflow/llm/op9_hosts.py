@@ -6,8 +6,9 @@ naive Bayes model over the words that their host and path are made of.
 
 The word model and the classifier are trained on the whole table: word counts come from the visible
 text of every page, and a page counts as unwanted for training when its segmented host or path holds
-one of ``SEEDS``.  Both tables of counts are cut to ``VOCABULARY`` entries, the bound on what is
-broadcast.
+one of ``SEEDS``.  Both tables of counts are kept whole: a run of letters is segmented once, with the
+counts of those of its substrings that are words, and a url is scored with the log-odds of its tokens,
+both looked up by joins.
 
 Cases: a null url, or one without ``://``, has empty host and path, no rule and the verdict "allow";
 a null or empty page text adds no words; repeated rows are judged alike, each on its own; an empty
@@ -17,15 +18,13 @@ table gives an empty result; columns of the input other than ``page_id, url, htm
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table, written
+from ..session import discard, read_table, written
 
 RULES = [
     ("org/", "allow"),
@@ -38,9 +37,7 @@ RULES = [
 SEEDS = ["spam", "casino", "pills", "bets", "adult", "ads", "porn", "xxx", "viagra", "loan", "track", "cheap"]
 #: Words any host may be built of, known to the segmenter besides those counted.
 COMMON = ["farm", "win", "free", "blog", "news", "shop", "online", "web", "site", "my", "the", "best", "mail", "data", "home", "example"]
-VOCABULARY = 50_000
 LONGEST = 24
-SPACE = re.compile(r"[^a-z]+")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -69,30 +66,14 @@ def page_words(html: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w).between(1, LONGEST))
 
 
-def most_frequent(counts: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """Rows of the largest ``n``, at most ``size``: those over the least threshold that no more reach.
-
-    The threshold comes from a histogram of counts by powers of 1.02, some thousand rows at most.
-    """
-    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.02)))
-    least, room = None, size
-    for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("level")).collect():
-        room -= r.rows
-        if room < 0:
-            break
-        least = r.level
-    return counts.where(level >= least) if least is not None else counts.where("false")
-
-
-def unigrams(pages: DataFrame) -> dict[str, float]:
-    """Log-probabilities of the ``VOCABULARY`` most frequent words of all pages, seeds and common words."""
+def lexicon(pages: DataFrame) -> tuple[DataFrame, dict[str, int], int]:
+    """``w, n`` of every word of all pages; counts of seeds and common words, raised to a floor; and the sum of all."""
     counts = written(pages.select(F.explode(page_words(F.col("html"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "op9-words")
-    top = {r.w: r.n for r in most_frequent(counts).collect()}
-    floor = max(top.values(), default=1) // 100 + 1
-    for w in SEEDS + COMMON:
-        top[w] = max(top.get(w, 0), floor)
-    total = sum(top.values())
-    return {w: math.log(n / total) for w, n in top.items()}
+    own = {r.w: r.n for r in counts.where(F.col("w").isin(SEEDS + COMMON)).collect()}
+    most, total = counts.agg(F.max("n"), F.sum("n")).first()
+    floor = (most or 1) // 100 + 1
+    base = {w: max(own.get(w, 0), floor) for w in SEEDS + COMMON}
+    return counts, base, (total or 0) + sum(base.values()) - sum(own.values())
 
 
 def segment(name: str, logs: dict[str, float]) -> list[str]:
@@ -113,83 +94,80 @@ def segment(name: str, logs: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
-def url_tokens(host: str, path: str, logs: dict[str, float], seen: dict[str, list[str]]) -> list[str]:
-    """Segmented words of host and path; digits of the path count as one token ``0``."""
-    out = []
-    for mark, part in (("h:", host), ("p:", path.lower())):
-        for run in SPACE.split(part):
-            if run:
-                if run not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen[run] = segment(run, logs)
-                out += [mark + w for w in seen[run]]
-    if any(c.isdigit() for c in path):
-        out.append("p:0")
-    return out
+def letter_runs() -> list[tuple[str, Column]]:
+    """Runs of letters a-z of host and path, each with its mark."""
+    return [(mark, F.filter(F.split(part, "[^a-z]+"), lambda r: r != "")) for mark, part in (("h:", F.col("host")), ("p:", F.lower("path")))]
 
 
-def token_counts(urls: DataFrame, logs: dict[str, float]) -> DataFrame:
-    """``(bad, token, n)``: pages of each training class with each token; token null counts pages."""
-    shared = urls.sparkSession.sparkContext.broadcast(logs)
+def segmented(runs: DataFrame, counts: DataFrame, base: dict[str, int], total: int) -> DataFrame:
+    """``run, words`` of distinct runs of letters (``rid, run``)."""
+    at = runs.select("rid", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("s"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - F.col("s") + 1))
+    pieces = at.select("rid", F.explode(F.transform(sizes, lambda k: F.substring("run", F.col("s"), k))).alias("w"))
+    found = pieces.join(counts, "w").groupBy("rid").agg(F.collect_set(F.struct("w", "n")).alias("found"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[str]] = {}
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: math.log(n / total) for w, n in base.items()}
         for b in batches:
-            sums: Counter = Counter()
-            for host, path, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tokens = set(url_tokens(host, path, shared.value, seen))
-                bad = int(any(t[2:] in SEEDS for t in tokens))
-                sums[bad, None] += n
-                for t in tokens:
-                    sums[bad, t] += n
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array(sums.values(), pa.int64())],
-                ["bad", "token", "n"],
-            )
-
-    return urls.mapInArrow(count, "bad int, token string, n long").groupBy("bad", "token").agg(F.sum("n").alias("n"))
-
-
-def bayes(counts: DataFrame) -> tuple[float, dict[str, float], float]:
-    """Prior log-odds, each token's log-odds of being unwanted, and an unseen token's."""
-    pages = {r.bad: r.n for r in counts.where("token is null").collect()}
-    wide = counts.where("token is not null").groupBy("token").agg(
-        F.sum(F.when(F.col("bad") == 1, F.col("n")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("bad") == 0, F.col("n")).otherwise(0)).alias("good"),
-        F.sum("n").alias("n"),
-    )
-    rows = most_frequent(wide).collect()
-    size = len(rows) + 1
-    bad, good = sum(r.bad for r in rows) + size, sum(r.good for r in rows) + size
-    odds = {r.token: math.log((r.bad + 1) / bad) - math.log((r.good + 1) / good) for r in rows}
-    prior = math.log((pages.get(1, 0) + 1) / (pages.get(0, 0) + 1))
-    return prior, odds, math.log(good / bad)
+            out = []
+            for run, words in zip(b.column("run").to_pylist(), b.column("found").to_pylist(), strict=True):
+                out.append(segment(run, known | {x["w"]: math.log(max(x["n"], base.get(x["w"], 0)) / total) for x in words or []}))
+            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(out, pa.list_(pa.string()))], ["run", "words"])
+
+    return runs.join(found, "rid", "left").select("run", "found").mapInArrow(split, "run string, words array<string>")
+
+
+def _marked(mark: str, runs: Column) -> Column:
+    return F.transform(runs, lambda r: F.struct(F.lit(mark).alias("mark"), r.alias("run")))
+
+
+def url_tokens(urls: DataFrame, words: DataFrame) -> DataFrame:
+    """``urls`` with the segmented words of host and path as ``tokens``; digits of the path count as one token ``0``."""
+    marked = [_marked(mark, runs) for mark, runs in letter_runs()]
+    each = urls.select("uid", F.explode(F.concat(*marked)).alias("m")).select("uid", "m.mark", "m.run")
+    split = each.join(words, "run").select("uid", F.transform("words", lambda w: F.concat("mark", w)).alias("t"))
+    bags = split.groupBy("uid").agg(F.flatten(F.collect_list("t")).alias("t"))
+    none = F.array().cast("array<string>")
+    digits = F.when(F.col("path").rlike(r"\p{Nd}"), F.array(F.lit("p:0"))).otherwise(none)
+    tokens = F.array_distinct(F.concat(F.coalesce("t", none), digits))
+    return urls.join(bags, "uid", "left").select("uid", "host", "path", "n", tokens.alias("tokens"))
+
+
+def token_counts(bags: DataFrame) -> DataFrame:
+    """``token, bad, good``: pages of each training class with each token."""
+    each = bags.select("bad", "n", F.explode("tokens").alias("token"))
+    return each.groupBy("token").agg(*[F.sum(F.when(F.col("bad") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((True, "bad"), (False, "good"))])
+
+
+def bayes(bags: DataFrame, counts: DataFrame) -> tuple[float, DataFrame]:
+    """Prior log-odds, and each token's log-odds of being unwanted (``token, odds``)."""
+    pages = {r.bad: r.n for r in bags.groupBy("bad").agg(F.sum("n").alias("n")).collect()}
+    size, bad, good = (x or 0 for x in counts.agg(F.count(F.lit(1)), F.sum("bad"), F.sum("good")).first())
+    size += 1
+    odds = F.log((F.col("bad") + 1) / F.lit(float(bad + size))) - F.log((F.col("good") + 1) / F.lit(float(good + size)))
+    return math.log((pages.get(True, 0) + 1) / (pages.get(False, 0) + 1)), counts.select("token", odds.alias("odds"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, score``; score is the model's log-odds of "block"."""
     host, path = split_url(F.col("url"))
-    parts = pages.select("page_id", "url", "html").withColumn("host", host).withColumn("path", path)
-    urls = parts.select("host", "path").where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    logs = unigrams(pages)
-    prior, odds, unseen = bayes(written(token_counts(urls, logs), "op9-tokens"))
-    shared = pages.sparkSession.sparkContext.broadcast((logs, odds))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, odds = shared.value
-        seen: dict[str, list[str]] = {}
-        for b in batches:
-            hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
-            got = [
-                prior + sum(odds.get(t, unseen) for t in sorted(set(url_tokens(h, p, logs, seen)))) if h else -1.0
-                for h, p in zip(hosts, paths, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], ["page_id", "host", "path", "score"])
-
-    kind = dict(pages.dtypes)["page_id"]
-    scored = parts.select("page_id", "host", "path").mapInArrow(score, f"page_id {kind}, host string, path string, score double")
+    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
+    urls = written(
+        parts.where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("uid", F.monotonically_increasing_id()), "op9-urls"
+    )
+    runs = urls.select(F.explode(F.concat(*[r for _, r in letter_runs()])).alias("run")).distinct()
+    runs = written(runs.withColumn("rid", F.monotonically_increasing_id()), "op9-runs")
+    counts, base, total = lexicon(pages)
+    tokens = url_tokens(urls, segmented(runs, counts, base, total))
+    bad = F.exists("tokens", lambda t: F.substring(t, 3, LONGEST).isin(SEEDS))
+    bags = written(tokens.withColumn("bad", bad), "op9-bags")
+    discard(urls, runs, counts)
+    prior, odds = bayes(bags, written(token_counts(bags), "op9-tokens"))
+    own = F.array_sort(F.collect_list(F.struct("token", "odds")))  # a fixed order of the sum
+    sums = bags.select("uid", F.explode("tokens").alias("token")).join(odds, "token").groupBy("uid").agg(own.alias("own"))
+    sums = sums.select("uid", F.aggregate("own", F.lit(0.0), lambda a, x: a + x.odds).alias("sum"))
+    known = bags.join(sums, "uid", "left").select("host", "path", (F.lit(prior) + F.coalesce("sum", F.lit(0.0))).alias("score"))
+    scored = parts.join(known, ["host", "path"], "left").withColumn("score", F.coalesce("score", F.lit(-1.0)))
     r = rule_col(F.col("host"), F.col("path"), rules)
     return scored.withColumn("r", r).select(
         "page_id",

@@ -342,3 +342,39 @@ def test_8_unshortened_licences(spark):
     d = spark.createDataFrame([(k, t, "", "", 0, 0, "", "") for k, (t, _) in enumerate(cases)], fx.SCHEMA)
     got = {r.doc_id: (r.sentence_ids, r.licences) for r in op8_licences.scan_licences(d).collect()}
     assert [got[k] for k in range(len(cases))] == [w for _, w in cases]
+
+
+def host_scores(rows: list[tuple]) -> dict:
+    """Brute force of op9's scores for plain urls, with every word and token counted."""
+    import collections
+    import math
+    import re
+
+    letters = re.compile("[a-z]+")
+    n = collections.Counter(w for _, _, html in rows for w in letters.findall(html or ""))
+    floor = max(n.values()) // 100 + 1
+    for w in op9_hosts.SEEDS + op9_hosts.COMMON:
+        n[w] = max(n[w], floor)
+    total = sum(n.values())
+    logs = {w: math.log(k / total) for w, k in n.items()}
+    bags = {}
+    for page, url, _ in rows:
+        host, path = re.fullmatch(r"http://([^/]*)(.*)", url).groups()
+        bag = [m + w for m, part in (("h:", host), ("p:", path)) for run in letters.findall(part) for w in op9_hosts.segment(run, logs)]
+        bag += ["p:0"] * any(c.isdigit() for c in path)
+        bags[page] = bag
+    bad = {k: any(t[2:] in op9_hosts.SEEDS for t in b) for k, b in bags.items()}
+    by = {v: collections.Counter(t for k, b in bags.items() if bad[k] == v for t in b) for v in (True, False)}
+    size = len(by[True] | by[False]) + 1
+    odds = {t: math.log((by[True][t] + 1) / (by[True].total() + size)) - math.log((by[False][t] + 1) / (by[False].total() + size)) for t in by[True] | by[False]}
+    prior = math.log((sum(bad.values()) + 1) / (len(bad) - sum(bad.values()) + 1))
+    return {k: prior + sum(odds[t] for t in b) for k, b in bags.items()}
+
+
+def test_9_keeps_every_word(spark):
+    import itertools
+
+    many = ["q" + "".join(x) for x in itertools.islice(itertools.product("bcdfghjklmnp", repeat=5), 60_000)]
+    rows = [(k, f"http://{'zebraquill' if k < 5 else 'quill' if k % 2 else 'zebra'}.example.org/{w}/{k}", " ".join(many[k::20]) + " zebra" * (k == 3) + " quill" * (k == 5)) for k, w in enumerate(["cheap", "tulip"] * 10)]
+    got = {r.page_id: r.score for r in op9_hosts.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == pytest.approx(host_scores(rows), abs=1e-9)
