@@ -8,7 +8,7 @@ The word model and the classifier are trained on the whole table: word counts co
 text of every page, and a page counts as unwanted for training when its segmented host or path holds
 one of ``SEEDS``.  Both tables of counts are kept whole: a run of letters is segmented once, with the
 counts of those of its substrings that are words, and a url is scored with the log-odds of its tokens,
-both looked up by joins.
+both looked up by joins.  A token counts as often as it stands in a url.
 
 Cases: a null url, or one without ``://``, has empty host and path, no rule and the verdict "allow";
 a null or empty page text adds no words; repeated rows are judged alike, each on its own; an empty
@@ -129,12 +129,12 @@ def url_tokens(urls: DataFrame, words: DataFrame) -> DataFrame:
     bags = split.groupBy("uid").agg(F.flatten(F.collect_list("t")).alias("t"))
     none = F.array().cast("array<string>")
     digits = F.when(F.col("path").rlike(r"\p{Nd}"), F.array(F.lit("p:0"))).otherwise(none)
-    tokens = F.array_distinct(F.concat(F.coalesce("t", none), digits))
+    tokens = F.concat(F.coalesce("t", none), digits)
     return urls.join(bags, "uid", "left").select("uid", "host", "path", "n", tokens.alias("tokens"))
 
 
 def token_counts(bags: DataFrame) -> DataFrame:
-    """``token, bad, good``: pages of each training class with each token."""
+    """``token, bad, good``: occurrences of each token in the pages of each training class."""
     each = bags.select("bad", "n", F.explode("tokens").alias("token"))
     return each.groupBy("token").agg(*[F.sum(F.when(F.col("bad") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((True, "bad"), (False, "good"))])
 

@@ -378,3 +378,10 @@ def test_9_keeps_every_word(spark):
     rows = [(k, f"http://{'zebraquill' if k < 5 else 'quill' if k % 2 else 'zebra'}.example.org/{w}/{k}", " ".join(many[k::20]) + " zebra" * (k == 3) + " quill" * (k == 5)) for k, w in enumerate(["cheap", "tulip"] * 10)]
     got = {r.page_id: r.score for r in op9_hosts.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == pytest.approx(host_scores(rows), abs=1e-9)
+
+
+def test_9_counts_occurrences(spark):
+    urls = ["http://casino.news.example.org/win/win/win", "http://news.news.example.org/news/news/1", "http://win.example.org/x", "http://news.example.net/win/2/3", "http://spam.spam.example.net/spam/news"]
+    rows = [(k, u, "the casino news win spam") for k, u in enumerate(urls * 2)]
+    got = {r.page_id: r.score for r in op9_hosts.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == pytest.approx(host_scores(rows), abs=1e-9)
