@@ -4,8 +4,8 @@ Documents with equal shingle sets are one class.  Classes whose sets may be simi
 shingle of their prefixes: with shingles in a fixed order, two sets of overlap ``a`` share one among
 the first ``size - a + 1`` of each.  The order puts shingles of very many documents last, so that
 prefixes are made of rare ones.  All classes of a prefix shingle form a group, and within a group a
-signature tree finds the pairs: nodes hold the OR of their members' shingle bitmaps, their sizes'
-range and their components; two nodes are walked together, and left as soon as the largest overlap
+signature tree finds the pairs: nodes hold the OR and the AND of their members' shingle bitmaps, their
+sizes' range and their components; two nodes are walked together, and left as soon as the largest overlap
 that the bitmaps and sizes allow is too small, or all their members are in one component.  What
 survives is verified on the shingle sets themselves.
 
@@ -102,14 +102,14 @@ class Tree:
         at = np.arange(0, n, LEAF)
         self.levels = [(
             at, np.append(at[1:], n), np.bitwise_or.reduceat(maps, at, 0), np.minimum.reduceat(sizes, at), np.maximum.reduceat(sizes, at),
-            np.where(np.minimum.reduceat(parts, at) == np.maximum.reduceat(parts, at), parts[at], -1),
+            np.where(np.minimum.reduceat(parts, at) == np.maximum.reduceat(parts, at), parts[at], -1), np.bitwise_and.reduceat(maps, at, 0),
         )]
         while len(self.levels[-1][0]) > 1:
-            lo, hi, bm, small, large, part = self.levels[-1]
+            lo, hi, bm, small, large, part, every = self.levels[-1]
             k = np.arange(0, len(lo), 2)
             self.levels.append((
                 lo[k], np.maximum.reduceat(hi, k), np.bitwise_or.reduceat(bm, k, 0), np.minimum.reduceat(small, k), np.maximum.reduceat(large, k),
-                np.where(np.minimum.reduceat(part, k) == np.maximum.reduceat(part, k), part[k], -1),
+                np.where(np.minimum.reduceat(part, k) == np.maximum.reduceat(part, k), part[k], -1), np.bitwise_and.reduceat(every, k, 0),
             ))
 
 
@@ -155,11 +155,11 @@ def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, span
                 continue  # sizes too far apart
             if a[5][ia] == b[5][ib] >= 0:
                 continue  # all of one component
-            # members of both nodes have at most the bits that both maps have, besides colliding shingles
-            common = int(np.bitwise_count(a[2][ia] & b[2][ib]).sum())
-            spill = max(0, int(min(a[4][ia], b[4][ib])) - common)
-            least = int(overlap_needed(a[3][ia], b[3][ib], num, den))
-            if not common or (spill and min(a[4][ia], b[4][ib]) < least):
+            # bits of all members of one node that no member of the other has: what is left of the largest set
+            # is the overlap's bound; less size lowers it by more than the overlap needed
+            if a[4][ia] - _missing(a[6][ia], b[2][ib]) < overlap_needed(a[4][ia], b[3][ib], num, den):
+                continue
+            if b[4][ib] - _missing(b[6][ib], a[2][ia]) < overlap_needed(a[3][ia], b[4][ib], num, den):
                 continue
         if la or lb:
             if la >= lb:

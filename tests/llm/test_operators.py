@@ -385,3 +385,16 @@ def test_9_counts_occurrences(spark):
     rows = [(k, u, "the casino news win spam") for k, u in enumerate(urls * 2)]
     got = {r.page_id: r.score for r in op9_hosts.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == pytest.approx(host_scores(rows), abs=1e-9)
+
+
+def test_3_prunes_inner_nodes(monkeypatch):
+    rng = np.random.default_rng(3)
+    shared, sets = np.uint64(7), []
+    for _ in range(32):  # clusters of one size that share one shingle, as the members of a group do
+        base = rng.integers(0, 2**63, 210).astype(np.uint64)
+        sets += [np.unique(np.append(np.delete(base, k), shared)) for k in range(8)]
+    n, compared, missing = len(sets), [], op3_sigtree._missing
+    monkeypatch.setattr(op3_sigtree, "_missing", lambda x, y: (compared.append(len(x) if x.ndim > 1 else 0), missing(x, y))[1])
+    got, _ = op3_sigtree.group_pairs(list(range(n)), [len(s) for s in sets], [op3_sigtree.signature(s) for s in sets], list(range(n)), [0] * n, False)
+    assert {tuple(sorted(p)) for p in got} == {(i, j) for i in range(n) for j in range(i + 1, n) if i // 8 == j // 8}
+    assert sum(compared) < n * n // 4  # of the n * n of both directions
