@@ -8,7 +8,8 @@
 
 All but the last return the columns of ``documents``.  Near copies are those of the n-gram Jaccard
 join at five words and a similarity of 0.8 or more.  A document none of whose words are left after
-stage 3 goes.
+stage 3 goes.  Stage 4 judges each row by its text, whatever its doc_id.  Stage 2 goes by doc_id: rows
+with a null doc_id all stay, as do rows repeated with the doc_id that stays.
 """
 
 from __future__ import annotations
@@ -51,8 +52,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bad = find_leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    key = F.md5(F.col("text").cast("binary"))  # whether a row leaks depends on its text alone, and doc_id may be null or repeated
+    held = find_leaks(docs.select(key.alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return docs.join(held.select(F.col("doc_id").alias("__leak")).distinct(), key == F.col("__leak"), "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,11 @@ def test_stages(spark):
 def test_run_is_its_stages(spark):
     assert [n for n, _ in P.STAGES] == ["quality", "near_dups", "repeats", "leaks", "packing"]
     assert P.run(spark, SF).count() > 0
+
+
+def test_leaks_of_null_and_repeated_ids(spark):
+    item = P.read_table(spark, SF, "benchmark").first().text
+    rows = [(None, item), (None, "clean text"), (5, item), (5, "other clean text"), (6, None), (6, item), (7, "clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in P.leaks(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([r for r in rows if r[1] != item], key=str)
