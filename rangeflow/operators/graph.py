@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 
 
 def connected_components(
@@ -13,7 +13,7 @@ def connected_components(
 ) -> DataFrame:
     """Label every vertex of ``edges`` with the smallest vertex id it can reach.
 
-    Returns ``(id, component)``; vertices without an edge are absent.  Rows with a null end are
+    Returns a written table ``(id, component)``; vertices without an edge are absent.  Rows with a null end are
     ignored, self loops only make their vertex appear, duplicate edges change nothing.
 
     With ``rounds`` it stops after so many: equal labels are then connected, but not all that is
@@ -22,9 +22,10 @@ def connected_components(
     Alternating large-star / small-star rounds: every round rewires each vertex to the smallest
     neighbour it knows, so the number of rounds grows with the logarithm of the diameter.  Both
     halves are a ``groupBy(min)`` plus an equi-join that adaptive execution may split when one
-    vertex is hot.  Each round is written to the shared folder, which cuts the lineage.
+    vertex is hot.  Each round is written to the shared folder, which cuts the lineage, and its
+    predecessor deleted.
     """
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    both = written(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"), "cc-input")
     vertices = both.select(F.col("a").alias("id")).union(both.select("b")).distinct()
     e = written(both.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     state = None
@@ -36,7 +37,8 @@ def connected_components(
         # small-star: neighbours below a vertex, and the vertex, hang on the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        e = written(small.where("a <> b").distinct(), "cc-edges")
+        old, e = e, written(small.where("a <> b").distinct(), "cc-edges")
+        discard(old)
         if rounds is not None:
             if k + 1 == rounds:
                 break
@@ -48,4 +50,6 @@ def connected_components(
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     labels = e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-    return vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    out = written(vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "cc-labels")
+    discard(both, e)
+    return out
