@@ -1,31 +1,39 @@
 """Exact n-gram Jaccard join with signature trees.
 
-Documents with equal shingle sets are one class.  Classes whose sets may be similar enough share a
-shingle of their prefixes: with shingles in a fixed order, two sets of overlap ``a`` share one among
-the first ``size - a + 1`` of each.  The order puts shingles of very many documents last, so that
-prefixes are made of rare ones.  All classes of a prefix shingle form a group, and within a group a
-signature tree finds the pairs: nodes hold the OR and the AND of their members' shingle bitmaps, their
-sizes' range and their components; two nodes are walked together, and left as soon as the largest overlap
-that the bitmaps and sizes allow is too small, or all their members are in one component.  What
-survives is verified on the shingle sets themselves.
-
-That happens twice.  The first walk keeps only pairs that join what the group's earlier pairs have
-not joined, the second takes the verified components and keeps every surviving pair between different
-ones.  So a group of k near copies yields about k pairs, yet no link between components is lost.
-
-Groups of more than ``BLOCK`` members are cut into blocks, and pairs of blocks are walked, so a task
-holds at most two blocks; texts to be verified come in blocks of ``VERIFY_BLOCK``.  The number of shingles kept as "frequent" is at most the mean set size
-divided by ``FREQUENT``, which bounds what is broadcast.
+Documents with equal shingle sets are one class, and one document of a class stands for it.  Classes
+whose sets may be similar enough share a shingle of their prefixes: with shingles in a fixed order, two
+sets of overlap ``a`` share one among the first ``size - a + 1`` of each.  The order puts shingles of very
+many documents last, the most frequent at the end, so that prefixes are made of rare ones.
+
+1. Candidates.  The classes of a prefix shingle form a group, cut where sizes are too far apart; equal
+   groups are one.  A signature tree finds what may be similar in a group: nodes hold the OR and the AND
+   of their members' shingle bitmaps and the range of their sizes, two nodes are walked together, and left
+   as soon as the largest overlap that bitmaps and sizes allow is too small.  A group gives no more
+   than a forest over what its pairs join: a row a member at most, whatever the group holds.  A group of
+   more than ``BLOCK`` members is not walked, its members are all joined with one of them.
+2. Clusters.  All pairs that may be similar lie in one connected component of the forests.  Its texts
+   meet in one place, each once, where a second signature tree over them finds the pairs and each that
+   would join two components is verified on the shingle sets themselves.
+3. Large clusters, of more than ``ROWS`` texts or ``BYTES`` bytes, are cut into blocks within bands of size
+   that similar sets differ by one of at most.  First each text is verified against one of its band, which
+   joins most of a group of copies; blocks of these, being joined, never meet each other.  All other
+   pairs of blocks of near sizes are walked.
+
+So rows grow with the documents and not with the pairs in a group, except the pairs of blocks of a
+large cluster whose texts are neither copies of one nor told apart by size: their number is the square of
+``1 / ROWS`` of it, which an exact join of such texts cannot go below.  What is broadcast are the
+frequent shingles: at most the mean set size divided by ``FREQUENT``.
 
 Cases: null, empty or white-space texts have no shingles and are components of their own; a text of
 fewer words than a shingle has is one shingle; rows of one doc_id are taken as equal vertices; rows
-with a null doc_id get a null component; an empty table gives an empty result; other input columns
-are ignored.
+with a null doc_id get a null component; an empty table gives an empty result; a text over ``BYTES`` is a
+block of its own; other input columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +41,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
 from ..session import discard, read_table, written
@@ -42,12 +51,12 @@ from .tokens import slices
 WORDS = 4
 NUM, DEN = 85, 100
 FREQUENT = 1 / 500
-BLOCK = 1000
-VERIFY_BLOCK = 2000
-LEAF = 8
+BLOCK = 2000
+ROWS, BYTES = 2000, 6_000_000
+LEAF = 16
 MIN_BITS, MAX_BITS = 1 << 8, 1 << 17
+COUNT_SHINGLES = 2_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
-_ZERO = np.zeros(1, np.uint64)
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,32 +93,54 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def signature(s: np.ndarray) -> bytes:
-    """Bitmap of a set's shingles: a power of two of bits, four or more a shingle up to ``MAX_BITS``."""
+def signature(s: np.ndarray, per: int = 4) -> bytes:
+    """Bitmap of a set's shingles: a power of two of bits, ``per`` or more a shingle up to ``MAX_BITS``."""
     bits = MIN_BITS
-    while bits < min(MAX_BITS, 4 * len(s)):
+    while bits < min(MAX_BITS, per * len(s)):
         bits *= 2
     out = np.zeros(bits, bool)
     out[(s % np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
+class Forest:
+    """Which members are joined already."""
+
+    def __init__(self, n: int) -> None:
+        self.root = list(range(n))
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were not joined yet."""
+        a, b = self.find(i), self.find(j)
+        self.root[a] = b
+        return a != b
+
+
 class Tree:
-    """Signature tree over some sets, ordered by size: levels of nodes, each over two of the level below."""
+    """Signature tree over some sets, ordered by size: levels of nodes, each over two of the level below.
+
+    A level has: first and last member, OR map, AND map, least and largest size.
+    """
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray) -> None:
-        n = len(sizes)
-        at = np.arange(0, n, LEAF)
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray) -> None:
+        at = np.arange(0, len(sizes), LEAF)
         self.levels = [(
-            at, np.append(at[1:], n), np.bitwise_or.reduceat(maps, at, 0), np.minimum.reduceat(sizes, at), np.maximum.reduceat(sizes, at),
-            np.where(np.minimum.reduceat(parts, at) == np.maximum.reduceat(parts, at), parts[at], -1), np.bitwise_and.reduceat(maps, at, 0),
+            at, np.append(at[1:], len(sizes)), np.bitwise_or.reduceat(maps, at, 0), np.bitwise_and.reduceat(maps, at, 0),
+            np.minimum.reduceat(sizes, at), np.maximum.reduceat(sizes, at),
         )]
         while len(self.levels[-1][0]) > 1:
-            lo, hi, bm, small, large, part, every = self.levels[-1]
+            lo, hi, any_, every, small, large = self.levels[-1]
             k = np.arange(0, len(lo), 2)
             self.levels.append((
-                lo[k], np.maximum.reduceat(hi, k), np.bitwise_or.reduceat(bm, k, 0), np.minimum.reduceat(small, k), np.maximum.reduceat(large, k),
-                np.where(np.minimum.reduceat(part, k) == np.maximum.reduceat(part, k), part[k], -1), np.bitwise_and.reduceat(every, k, 0),
+                lo[k], np.maximum.reduceat(hi, k), np.bitwise_or.reduceat(any_, k, 0), np.bitwise_and.reduceat(every, k, 0),
+                np.minimum.reduceat(small, k), np.maximum.reduceat(large, k),
             ))
 
 
@@ -118,48 +149,35 @@ def _missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & ~y).sum(-1, dtype=np.int64)
 
 
-def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, spanning: bool, num: int, den: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of members that may be similar, by dual traversal of the members' signature tree.
+def walk(sizes: np.ndarray, maps: np.ndarray, left: int, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members that may be similar, some at a time, by dual traversal of the members' signature trees.
 
-    Members come in order of size.  ``left``: with several blocks, members before it are one block and
-    only pairs across blocks are wanted (-1: all pairs).  ``parts``: components; equal ones need no pair.
-    ``spanning``: pairs found join components at once; the second result says whether that left any out.
+    Members come in order of size.  ``left``: members before it and those after are two sides and only
+    pairs across are wanted (-1: all pairs).
     """
-    n = len(sizes)
     if left < 0:
-        trees = [(Tree(sizes, maps, parts), 0)] * 2
+        ta = tb = Tree(sizes, maps)
+        base = 0
     else:
-        trees = [(Tree(sizes[:left], maps[:left], parts[:left]), 0), (Tree(sizes[left:], maps[left:], parts[left:]), left)]
-    (ta, base_a), (tb, base_b) = trees
+        ta, tb, base = Tree(sizes[:left], maps[:left]), Tree(sizes[left:], maps[left:]), left
     same = left < 0
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return int(i)
-
-    out: list[tuple[int, int]] = []
-    skipped = False
     stack = [(len(ta.levels) - 1, 0, len(tb.levels) - 1, 0)]
     while stack:
         la, ia, lb, ib = stack.pop()
-        if same and (la, ia) == (lb, ib) and la:
+        itself = same and (la, ia) == (lb, ib)
+        if itself and la:
             kids = [k for k in (2 * ia, 2 * ia + 1) if k < len(ta.levels[la - 1][0])]
             stack += [(la - 1, x, la - 1, y) for i, x in enumerate(kids) for y in kids[i:]]
             continue
         a, b = ta.levels[la], tb.levels[lb]
-        if not (same and (la, ia) == (lb, ib)):
-            if den * a[4][ia] < num * b[3][ib] or den * b[4][ib] < num * a[3][ia]:
+        if not itself:
+            if den * a[5][ia] < num * b[4][ib] or den * b[5][ib] < num * a[4][ia]:
                 continue  # sizes too far apart
-            if a[5][ia] == b[5][ib] >= 0:
-                continue  # all of one component
             # bits of all members of one node that no member of the other has: what is left of the largest set
             # is the overlap's bound; less size lowers it by more than the overlap needed
-            if a[4][ia] - _missing(a[6][ia], b[2][ib]) < overlap_needed(a[4][ia], b[3][ib], num, den):
+            if a[5][ia] - _missing(a[3][ia], b[2][ib]) < overlap_needed(a[5][ia], b[4][ib], num, den):
                 continue
-            if b[4][ib] - _missing(b[6][ib], a[2][ia]) < overlap_needed(a[3][ia], b[4][ib], num, den):
+            if b[5][ib] - _missing(b[3][ib], a[2][ia]) < overlap_needed(a[4][ia], b[5][ib], num, den):
                 continue
         if la or lb:
             if la >= lb:
@@ -167,295 +185,369 @@ def walk(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray, left: int, span
             else:
                 stack += [(la, ia, lb - 1, k) for k in (2 * ib, 2 * ib + 1) if k < len(tb.levels[lb - 1][0])]
             continue
-        xs, ys = np.arange(a[0][ia], a[1][ia]) + base_a, np.arange(b[0][ib], b[1][ib]) + base_b
+        xs, ys = np.arange(a[0][ia], a[1][ia]), np.arange(b[0][ib], b[1][ib]) + base
         x, y = np.repeat(xs, len(ys)), np.tile(ys, len(xs))
         need = overlap_needed(sizes[x], sizes[y], num, den)
-        # a bit of x that y lacks stands for a shingle at least that y lacks
-        ok = (sizes[x] - _missing(maps[x], maps[y]) >= need) & (sizes[y] - _missing(maps[y], maps[x]) >= need) & (parts[x] != parts[y])
+        ok = (sizes[x] >= need) & (sizes[y] >= need)
         if same:
             ok &= x < y
-        for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
-            if spanning:
-                ri, rj = find(i), find(j)
-                if ri == rj:
-                    skipped = True
-                    continue
-                root[ri] = rj
-            out.append((i, j))
-    return out, skipped
+        x, y, need = x[ok], y[ok], need[ok]
+        # a bit of x that y lacks stands for a shingle at least that y lacks
+        ok = (sizes[x] - _missing(maps[x], maps[y]) >= need) & (sizes[y] - _missing(maps[y], maps[x]) >= need)
+        if ok.any():
+            yield x[ok], y[ok]
 
 
-def group_pairs(
-    ids: list, sizes: list[int], maps: list[bytes], parts: list[int], sides: list[int], spanning: bool, num: int = NUM, den: int = DEN
-) -> tuple[list[tuple], bool]:
-    """Pairs ``(id, id)`` of one group (or pair of blocks: ``sides`` 0 and 1) to be verified, and if some were left out."""
-    size, part, side = np.array(sizes, np.int64), np.array(parts, np.int64), np.array(sides)
-    two, bits = side.min() != side.max(), np.array([len(m) for m in maps])
-    out: list[tuple] = []
-    left_out = False
+def forest(
+    sizes: np.ndarray, maps: list[bytes], side: np.ndarray | None, num: int, den: int, verify: Callable[[int, int], bool] | None = None
+) -> list[tuple[int, int]]:
+    """Pairs that join what all similar pairs among some members join, or those across two sides.
+
+    With ``verify`` pairs are those it finds similar, else those that may be by their maps.
+    """
+    bits = np.array([len(m) for m in maps])
+    joined, out = Forest(len(maps)), []
 
     def run(left: np.ndarray, right: np.ndarray | None, least: int) -> None:
-        nonlocal left_out
         if not len(left) or (len(left) < 2 if right is None else not len(right)):
             return
-        order = left[np.argsort(size[left], kind="stable")]
+        order = left[np.argsort(sizes[left], kind="stable")]
         if right is not None:
-            order = np.concatenate([order, right[np.argsort(size[right], kind="stable")]])
+            order = np.concatenate([order, right[np.argsort(sizes[right], kind="stable")]])
         # a map folds to half its length: hashes are taken modulo powers of two
         rows = [np.bitwise_or.reduce(np.frombuffer(maps[k], np.uint8).reshape(-1, least), 0) for k in order]
-        got, skipped = walk(size[order], np.stack(rows).view(np.uint64), part[order], -1 if right is None else len(left), spanning, num, den)
-        left_out |= skipped
-        out.extend((ids[order[i]], ids[order[j]]) for i, j in got)
+        for x, y in walk(sizes[order], np.stack(rows).view(np.uint64), -1 if right is None else len(left), num, den):
+            for i, j in zip(order[x].tolist(), order[y].tolist(), strict=True):
+                if joined.find(i) != joined.find(j) and (verify is None or verify(i, j)):
+                    joined.join(i, j)
+                    out.append((i, j))
 
     for b in np.unique(bits).tolist():  # similar sets have maps of one length, or of one and its double
         at, up = np.flatnonzero(bits == b), np.flatnonzero((bits > b) & (num * bits <= 2 * den * b))
-        if two:
-            a0, a1 = at[side[at] == 0], at[side[at] == 1]
-            run(a0, a1, b)
-            run(a0, up[side[up] == 1], b)
-            run(a1, up[side[up] == 0], b)
-        else:
+        if side is None:
             run(at, None, b)
             run(at, up, b)
-    return out, left_out
+        else:
+            run(at[~side[at]], at[side[at]], b)
+            run(at[~side[at]], up[side[up]], b)
+            run(at[side[at]], up[~side[up]], b)
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two ascending sets have a Jaccard similarity of num/den or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    if den * len(x) < num * len(y):
+        return False
+    n = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return den * n >= num * (len(x) + len(y) - n)
+
+
+def links_among(texts: list[bytes], left: int, words: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Similar pairs that join all that similar pairs among the texts join; across ``left`` only, if not -1."""
+    flat, sizes = shingle_sets(texts, words)
+    ends = np.cumsum(sizes)
+    sets = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    side = None if left < 0 else np.arange(len(texts)) >= left
+    maps = [signature(s, 16) for s in sets]
+    return forest(sizes, maps, side, num, den, lambda i, j: similar(sets[i], sets[j], num, den))
+
+
+def groups_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key as a table, of batches that come sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, bool)
+        for c in keys:
+            v = b.column(c).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            key = tuple(b.column(c)[lo].as_py() for c in keys)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _arrow_type(kind: str) -> pa.DataType:
+    return pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+
+
+def similarity_classes(
+    docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rows: int = ROWS, size: int = BYTES
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row; links have a Jaccard similarity of num/den or more.
+
+    ``block``: members that a group may have to be walked; ``rows``, ``size``: texts and bytes of a block of texts.
+    """
+    src = docs.select("doc_id", "text")
+    members, classes, frequent = _sets(src, words)
+    near = _candidates(src, classes, frequent, words, num, den, block)
+    links = _links(src, near, words, num, den, rows, size)
+    discard(near)
+    full = connected_components(links)
+    discard(links)
+    out = classes.join(full.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+        "k1", "k2", F.coalesce("component", "rep").alias("component")
+    )
+    return members.join(out, ["k1", "k2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
 
 
-def similarity_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row; links have a Jaccard similarity of num/den or more."""
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)["doc_id"]
-    src = docs.select("doc_id", "text")
+def _sets(src: DataFrame, words: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Documents with the hashes of their sets, classes of equal sets, and frequent shingles, rare ones first."""
+    kind = dict(src.dtypes)["doc_id"]
+    id_type = _arrow_type(kind)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a document, and one for each shingle frequent among this task's documents."""
-        docs_seen, pending, seen = 0, [], {}
+        """A row a document, and one for each shingle frequent among some of this task's documents."""
+        seen, pending, held = 0, [], 0
         for b in slices(batches):
             flat, size = shingle_sets(as_bytes(b.column("text")), words)
             raw, ends = memoryview(flat.tobytes()), (8 * np.cumsum(size)).tolist()
             cuts = [raw[a:e] for a, e in zip([0, *ends], ends)]
             k1 = [xxhash.xxh3_64_intdigest(c, 1) - 2**63 for c in cuts]
             k2 = [xxhash.xxh3_64_intdigest(c, 2) - 2**63 for c in cuts]
-            pending.append(flat)
-            docs_seen += b.num_rows
-            if sum(map(len, pending)) > 2_000_000:
-                _count(pending, seen)
-                pending = []
             yield pa.RecordBatch.from_arrays(
                 [pa.array(["doc"] * b.num_rows, pa.string()), b.column("doc_id"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())],
                 ["what", "doc_id", "n", "k1", "k2"],
             )
-        if docs_seen:
-            _count(pending, seen)
-            keys = np.fromiter(seen.keys(), np.int64, len(seen))
-            count = np.fromiter(seen.values(), np.int64, len(seen))
-            kept = count >= max(3, FREQUENT * docs_seen)
-            keys, count = keys[kept], count[kept]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["shingle"] * len(keys), pa.string()), pa.nulls(len(keys), docs_type), pa.array(count), pa.array(keys), pa.array(np.zeros(len(keys), np.int64))],
-                ["what", "doc_id", "n", "k1", "k2"],
-            )
+            pending.append(flat)
+            seen, held = seen + b.num_rows, held + len(flat)
+            if held > COUNT_SHINGLES:
+                yield often(pending, seen)
+                seen, pending, held = 0, [], 0
+        if held:
+            yield often(pending, seen)
+
+    def often(pending: list[np.ndarray], seen: int) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(pending), return_counts=True)
+        keep = n >= max(3, FREQUENT * seen)
+        k = int(keep.sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(["shingle"] * k, pa.string()), pa.nulls(k, id_type), pa.array(n[keep]), pa.array(signed(keys[keep])), pa.array(np.zeros(k, np.int64))],
+            ["what", "doc_id", "n", "k1", "k2"],
+        )
 
-    docs_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
     first = written(src.mapInArrow(sets, f"what string, doc_id {kind}, n long, k1 long, k2 long"), "op3-sets")
     members = first.where("what = 'doc'")
-    classes = written(members.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "op3-classes")
-    # a shingle in FREQUENT of all documents is so in some task at least, where it was counted
+    classes = written(members.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "op3-classes")
     total = members.count()
-    rows = first.where("what = 'shingle'").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, FREQUENT * total)).select("k1").collect()
-    frequent = np.sort(np.array([r.k1 for r in rows], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(frequent)
+    # the order is a heuristic: any set of frequent shingles that all tasks share gives the same result
+    often_ = first.where("what = 'shingle'").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, FREQUENT * total))
+    return members, classes, [r.k1 for r in often_.orderBy("n", "k1").collect()]
+
+
+def _candidates(src: DataFrame, classes: DataFrame, frequent: list[int], words: int, num: int, den: int, block: int) -> DataFrame:
+    """A written table ``id, component, n, bytes`` of texts: clusters that hold all similar pairs of classes."""
+    kind = dict(src.dtypes)["doc_id"]
+    id_type = _arrow_type(kind)
+    keys = np.array(frequent, np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    shared = src.sparkSession.sparkContext.broadcast((keys[order], order))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Prefix shingles of each class, and one row with its signature."""
-        late = shared.value
+        """Prefix shingles of each class, and one row with its signature and its text's bytes."""
+        late, place = shared.value
         for b in slices(batches):
-            flat, size = shingle_sets(as_bytes(b.column("text")), words)
-            often = np.zeros(len(flat), bool)
+            texts = as_bytes(b.column("text"))
+            flat, size = shingle_sets(texts, words)
+            rank = np.full(len(flat), -1)
             if len(late):
-                often = late[np.minimum(np.searchsorted(late, flat), len(late) - 1)] == flat
+                at = np.minimum(np.searchsorted(late, flat), len(late) - 1)
+                rank = np.where(late[at] == flat, place[at], -1)
             ends = np.cumsum(size).tolist()
-            at, token, maps = [], [], []
+            at, token, maps, amount = [], [], [], []
             for k, (lo, hi) in enumerate(zip([0, *ends], ends)):
                 if lo == hi:
                     continue
-                s, f = flat[lo:hi], often[lo:hi]
+                s, r = flat[lo:hi], rank[lo:hi]
                 length = prefix_length(hi - lo, num, den)
-                p = np.concatenate([s[~f], s[f]])[:length] if f.any() else s[:length]
+                p = s[np.argsort(r, kind="stable")][:length] if r.max() >= 0 else s[:length]
                 at.append(np.full(length + 1, k))
-                token += [p, _ZERO]
+                token += [p, np.zeros(1, np.uint64)]
                 maps += [None] * length + [signature(s)]
+                amount += [None] * length + [len(texts[k])]
             if at:
                 at = np.concatenate(at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(at)), pa.array(signed(np.concatenate(token))), pa.array(size[at]), pa.array(maps, pa.binary())],
-                    ["rep", "token", "n", "map"],
+                    [b.column("doc_id").take(pa.array(at)), pa.array(signed(np.concatenate(token))), pa.array(size[at]), pa.array(maps, pa.binary()), pa.array(amount, pa.int64())],
+                    ["rep", "token", "n", "map", "bytes"],
                 )
 
     reps = src.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    posted = written(reps.mapInArrow(post, f"rep {kind}, token long, n long, map binary"), "op3-postings", compression="zstd")
-    maps = posted.where("map is not null").groupBy("rep").agg(F.first("n").alias("n"), F.first("map").alias("map"))
-    postings = posted.where("map is null").select("token", "rep")
+    posted = written(reps.mapInArrow(post, f"rep {kind}, token long, n long, map binary, bytes long"), "op3-postings", compression="zstd")
+    maps = posted.where("map is not null").select("rep", "n", "map", "bytes")  # several of a doc_id that has several texts
+    postings = posted.where("map is null").select("token", "rep", "n")
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared_postings = written(postings.join(counts, "token"), "op3-shared")
-    groups = _groups(shared_postings)
-
-    discard(shared_postings)
-    pairs, again = _pairs(groups, maps, None, kind, num, den)
-    links = _verified(pairs, src, kind, words, num, den)
-    parts = written(connected_components(links, rounds=2), "op3-components")  # what it joins is joined
-    pairs, _ = _pairs(groups.join(again, "gid", "left_semi"), maps, parts, kind, num, den)
-    more = _verified(pairs, src, kind, words, num, den)
-    discard(groups, posted)
-    full = connected_components(links.unionByName(more))
-    out = classes.join(full.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "k1", "k2", F.coalesce("component", "rep").alias("component")
-    )
-    return members.join(out, ["k1", "k2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    met = written(postings.join(counts, "token"), "op3-shared")
 
+    hot = met.where(F.col("c") > block)
+    star = hot.join(hot.groupBy("token").agg(F.min("rep").alias("hub")), "token").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
 
-def _count(pending: list[np.ndarray], seen: dict[int, int]) -> None:
-    """Add the counts of shingles that are in several of the pending sets."""
-    if not pending:
-        return
-    keys, n = np.unique(np.concatenate(pending), return_counts=True)
-    keep = n > 1
-    for k, c in zip(signed(keys[keep]).tolist(), n[keep].tolist(), strict=True):
-        seen[k] = seen.get(k, 0) + c
-
-
-def _groups(postings: DataFrame) -> DataFrame:
-    """``gid, rep, side``: members of each distinct group; large ones as pairs of blocks."""
-    cut = postings.withColumn("b", F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("b")).cast("int")
-    # a member meets each block: as side 0 of (mine, other), as side 1 of (other, mine); and its own
-    other = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
-    met = cut.withColumn("mine", mine).select("token", "rep", "mine", other.alias("other"))
-    met = met.select(
-        "token", "rep", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side")
-    )
-    lists = met.groupBy("token", "x", "y").agg(F.sort_array(F.collect_set(F.struct("rep", "side"))).alias("m")).where(F.size("m") > 1)
-    distinct = lists.groupBy(F.xxhash64("m").alias("g1"), F.md5(F.to_json("m")).alias("g2")).agg(F.first("m").alias("m"))
-    return written(distinct.select(F.concat_ws("-", "g1", "g2").alias("gid"), F.inline("m")), "op3-groups")
-
+    by_size = Window.partitionBy("token").orderBy("n", "rep")
+    far = F.coalesce(F.lit(den) * F.lag("n").over(by_size) < F.lit(num) * F.col("n"), F.lit(False))
+    chains = met.where(F.col("c") <= block).withColumn("far", far.cast("int")).withColumn("chain", F.sum("far").over(by_size))
+    lists = chains.groupBy("token", "chain").agg(F.sort_array(F.collect_set("rep")).alias("m")).where(F.size("m") > 1)
+    lists = lists.groupBy(F.xxhash64("m").alias("g1"), F.xxhash64(F.lit(1), "m").alias("g2")).agg(F.first("m").alias("m"))
+    groups = lists.select("g1", "g2", F.explode("m").alias("rep")).join(maps, "rep").select("g1", "g2", "rep", "n", "map")
 
-def _pairs(groups: DataFrame, maps: DataFrame, parts: DataFrame | None, kind: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Written pairs ``(a, b)`` that the groups' tree walks leave to be verified, and groups ``gid`` to walk again."""
-    spanning = parts is None
-    if spanning:
-        full = groups.withColumn("part", F.col("rep"))
-    else:
-        full = groups.join(parts.select(F.col("id").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-        mixed = full.groupBy("gid").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
-        full = full.join(mixed.select("gid"), "gid", "left_semi")
-    part = F.xxhash64("part").bitwiseAND(0x7FFFFFFFFFFFFFFF)
-    rows = full.join(maps, "rep").groupBy("gid").agg(F.collect_list(F.struct("rep", "n", "map", part.alias("part"), "side")).alias("m"))
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, c = [], []
+        for g in groups_of(batches, ["g1", "g2"]):
+            ids = g["rep"].to_pylist()
+            for i, j in forest(g["n"].to_numpy(), g["map"].to_pylist(), None, num, den):
+                a.append(ids[i])
+                c.append(ids[j])
+            if len(a) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(c, id_type)], ["a", "b"])
+                a, c = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(c, id_type)], ["a", "b"])
+
+    sorted_ = groups.repartition("g1").sortWithinPartitions("g1", "g2", "rep")
+    pairs = sorted_.mapInArrow(solve, f"a {kind}, b {kind}").unionByName(star).distinct()
+    parts = connected_components(pairs, "a", "b")
+    near = written(parts.join(maps.select(F.col("rep").alias("id"), "n", "bytes").distinct(), "id"), "op3-near")
+    discard(posted, met, parts)
+    return near
+
+
+def _links(src: DataFrame, near: DataFrame, words: int, num: int, den: int, rows: int, size: int) -> DataFrame:
+    """A written table of links ``(src, dst)``, joining within each cluster all that similar pairs join."""
+    kind = dict(src.dtypes)["doc_id"]
+    id_type = _arrow_type(kind)
+    fields = f"src {kind}, dst {kind}"
+    both = near.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("s"))
+    large = (F.col("c") > rows) | ((F.col("s") > size) & (F.col("c") > 1))
+
+    def as_links(pairs: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], id_type), pa.array([p[1] for p in pairs], id_type)], ["src", "dst"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c, again = [], [], []
-            for gid, m in zip(b.column("gid").to_pylist(), b.column("m"), strict=True):
-                v = m.values
-                sizes = v.field("n").to_pylist()
-                if len(sizes) == 2 and den * min(sizes) < num * max(sizes):
-                    continue
-                cols = [v.field(x).to_pylist() for x in ("rep", "map", "part", "side")]
-                got, skipped = group_pairs(cols[0], sizes, *cols[1:], spanning, num, den)
-                for x, y in got:
-                    a.append(min(x, y))
-                    c.append(max(x, y))
-                if skipped:
-                    again.append(gid)
-            none = [None] * len(again)
-            yield pa.RecordBatch.from_arrays([pa.array(a + none, id_type), pa.array(c + none, id_type), pa.array([None] * len(a) + again, pa.string())], ["a", "b", "gid"])
-
-    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    out = written(rows.mapInArrow(solve, f"a {kind}, b {kind}, gid string").distinct(), "op3-walk")
-    return out.where("gid is null").select("a", "b"), out.where("gid is not null").select("gid")
-
-
-def _verified(pairs: DataFrame, src: DataFrame, kind: str, words: int, num: int, den: int) -> DataFrame:
-    """A written table of links ``(src, dst)`` among the pairs that join all that similar pairs join.
-
-    Texts that pairs connect are bundled in one place, ``VERIFY_BLOCK`` at most, and compressed together; pairs
-    of places are verified.  A text so travels once a place and not once a pair, as a small addition to its
-    near copies.  Within a pair of places, pairs that verified links have joined need no check.
-    """
-    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    near = written(connected_components(pairs, "a", "b"), "op3-near")
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
-    sub = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / VERIFY_BLOCK)).cast("int")
-    place = written(near.join(sizes, "component").select("id", F.concat_ws("-", "component", sub).alias("at")), "op3-place")
-    placed = pairs.join(place.select(F.col("id").alias("a"), F.col("at").alias("x")), "a").join(place.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
-    lists = placed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b").groupBy("x", "y").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(3)
+        for g in groups_of(batches, ["component"]):
+            ids = g["id"].to_pylist()
+            got = links_among([x or b"" for x in g["text"].cast(pa.binary()).to_pylist()], -1, words, num, den)
+            yield as_links([(ids[i], ids[j]) for i, j in got])
+
+    near = near.join(both.select("component", large.alias("large")), "component")
+    texts = src.withColumnRenamed("doc_id", "id")
+    small = texts.join(near.where("not large").select("id", "component").distinct(), "id").repartition("component").sortWithinPartitions("component", "id")
+    links = written(small.select("id", "component", "text").mapInArrow(solve, fields), "op3-links")
+    big = written(near.where("large"), "op3-large")
+    if big.isEmpty():
+        discard(big)
+        return links
+    more = _large_links(texts, big, words, num, den, rows, size, as_links, id_type)
+    out = written(links.unionByName(more), "op3-links")
+    discard(links, more, big)
+    return out
+
+
+def _large_links(
+    texts: DataFrame, big: DataFrame, words: int, num: int, den: int, rows: int, size: int, as_links: Callable[[list[tuple]], pa.RecordBatch], id_type: pa.DataType
+) -> DataFrame:
+    """A written table of links within clusters of many texts: against one text a band first, then by pairs of blocks."""
+    kind = dict(texts.dtypes)["id"]
+    fields = f"src {kind}, dst {kind}"
+    # similar sets' sizes differ by a factor of den / num at most, so by one band
+    big = big.withColumn("band", F.floor(F.log(F.col("n")) / (math.log(den / num) * 1.000001)))
+
+    def blocks(keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Members with a block ``s`` among those of their keys, and the keys' number of blocks and least member."""
+        n = F.ceil(F.greatest(F.count(F.lit(1)) / rows, F.sum("bytes") / size)).cast("int")
+        per = placed.groupBy(*keys).agg(n.alias("blocks"), F.min("id").alias("hub"))
+        return placed.join(per, keys).withColumn("s", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), per
+
+    placed = big
+    members, bands = blocks(["component", "band"])
+    at = ["component", "band", "s"]
+    hubs = bands.select("component", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"), F.col("hub").alias("id"), F.lit(0).alias("rank"))
+    rest = members.where("id <> hub").select(*at, "id", F.lit(1).alias("rank"))
+    below = bands.select("component", (F.col("band") + 1).alias("band"), F.col("hub").alias("below"))
+    tied = bands.join(below, ["component", "band"])  # is one band's copies' text like the next one's?
+    rest = rest.unionByName(tied.where("below <> hub").select("component", "band", F.lit(0).alias("s"), F.col("below").alias("id"), F.lit(1).alias("rank"))).distinct()
+
+    def spokes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text against its block's first."""
+        key = hub = held = None
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([press.compress(t) for t in as_bytes(b.column("text"))], pa.binary())], ["doc_id", "z"])
+            flat, n = shingle_sets(as_bytes(b.column("text")), words)
+            ends, out = np.cumsum(n).tolist(), []
+            ids = b.column("id").to_pylist()
+            for k, now in enumerate(zip(*(b.column(c).to_pylist() for c in at), strict=True)):
+                own = flat[ends[k] - n[k] : ends[k]]
+                if now != key:
+                    key, hub, held = now, ids[k], own.copy()
+                elif similar(own, held, num, den):
+                    out.append((ids[k], hub))
+            yield as_links(out)
+
+    lined = texts.join(hubs.unionByName(rest), "id").repartition(*at).sortWithinPartitions(*at, "rank", "id")
+    star = written(lined.select("id", *at, "text").mapInArrow(spokes, fields), "op3-star")
+    to_hub = star.select(F.col("src").alias("id"), F.col("dst").alias("hub"), F.lit(True).alias("joined")).distinct()
+    tied = tied.join(to_hub.withColumnRenamed("id", "below"), ["below", "hub"], "left").select(
+        "component", F.col("band").alias("upper"), (F.coalesce("joined", F.lit(False)) | (F.col("below") == F.col("hub"))).alias("tied")
+    )
+    placed = big.join(bands.select("component", "band", "hub"), ["component", "band"]).join(to_hub, ["id", "hub"], "left")
+    placed = placed.withColumn("joined", F.coalesce("joined", F.col("id") == F.col("hub"))).drop("hub")
+    members = blocks(["component", "band", "joined"])[0]
+    at = ["component", "band", "joined", "s"]
+    members = written(members.select("id", *at).distinct(), "op3-places")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of one place compressed as one: near copies then take little more than one text."""
-        open_ = zstandard.ZstdDecompressor()
         press = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=24, enable_ldm=True))
-        for b in slices(batches, 20):
-            ends, packed = [], []
-            for docs in b.column("docs"):
-                texts = [open_.decompress(z.as_py()) for z in docs.values.field("z")]
-                ends.append(np.cumsum([len(t) for t in texts]).tolist())
-                packed.append(press.compress(b"".join(texts)))
-            ids = pa.array([d.values.field("doc_id").to_pylist() for d in b.column("docs")], pa.list_(id_type))
-            yield pa.RecordBatch.from_arrays([b.column("at"), ids, pa.array(ends, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["at", "ids", "ends", "z"])
-
-    texts = src.join(near.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(squeeze, f"doc_id {kind}, z binary")
-    texts = texts.join(place.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("at").agg(F.collect_list(F.struct("doc_id", "z")).alias("docs"))
-    bundles = written(texts.mapInArrow(bundle, f"at string, ids array<{kind}>, ends array<long>, z binary"), "op3-bundles")
-    side = lambda name: bundles.select(F.col("at").alias(name), F.struct("ids", "ends", "z").alias(f"{name}b"))
-    # most blocks have both ends in one place: that bundle travels once
-    both = lists.join(side("x"), "x").join(side("y"), "y").select("pairs", "xb", F.when(F.col("x") != F.col("y"), F.col("yb")).alias("yb"))
+        for g in groups_of(batches, at):
+            raws = [x or b"" for x in g["text"].cast(pa.binary()).to_pylist()]
+            one = g.slice(0, 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(one[c].combine_chunks() for c in at), pa.array([g["id"].to_pylist()], pa.list_(id_type)),
+                    pa.array([np.cumsum([len(x) for x in raws])], pa.list_(pa.int64())), pa.array([press.compress(b"".join(raws))], pa.binary()),
+                ],
+                [*at, "ids", "ends", "z"],
+            )
+
+    lined = texts.join(members, "id").repartition(*at).sortWithinPartitions(*at, "id")
+    bundles = written(
+        lined.select("id", *at, "text").mapInArrow(bundle, f"component {kind}, band long, joined boolean, s int, ids array<{kind}>, ends array<long>, z binary"), "op3-bundles"
+    )
+    name = F.struct("band", "joined", "s")
+    places = bundles.select("component", name.alias("x"))
+    pairs = places.join(places.withColumnRenamed("x", "y"), "component").where("x <= y and abs(x.band - y.band) <= 1")
+    upper = F.when(F.col("x.band") < F.col("y.band"), F.col("y.band"))
+    pairs = pairs.withColumn("upper", upper).join(tied, ["component", "upper"], "left").where("not (x.joined and y.joined and (upper is null or tied))")
+    side = lambda x: bundles.select("component", name.alias(x), F.struct("ids", "ends", "z").alias(f"{x}b"))
+    met = pairs.join(side("x"), ["component", "x"]).join(side("y"), ["component", "y"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor(max_window_size=1 << 24)
-        for b in slices(batches, 20):
-            out: list[tuple] = []
-            for wanted, *sides in zip(b.column("pairs"), b.column("xb"), b.column("yb"), strict=True):
-                a, c = (wanted.values.field(x).to_pylist() for x in ("a", "b"))
-                texts: dict = {}
-                for s in sides:
-                    if s.is_valid:
-                        raw, at = open_.decompress(s["z"].as_py()), 0
-                        for d, end in zip(s["ids"].as_py(), s["ends"].as_py(), strict=True):
-                            texts[d] = raw[at:end]
-                            at = end
-                sets: dict = {}
-                root = {d: d for d in texts}
-
-                def find(x, root=root):
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for p, q in zip(a, c, strict=True):
-                    rp, rq = find(p), find(q)
-                    if rp == rq:
-                        continue
-                    for d in (p, q):
-                        if d not in sets:
-                            sets[d] = shingle_sets([texts[d]], words)[0]
-                    x, y = sets[p], sets[q]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    n = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    if den * n >= num * (len(x) + len(y) - n):
-                        root[rp] = rq
-                        out.append((p, q))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], id_type), pa.array([p[1] for p in out], id_type)], ["src", "dst"])
-
-    links = written(both.mapInArrow(check, f"src {kind}, dst {kind}"), "op3-links")
-    discard(near, place, bundles)
-    return links
+        for b in slices(batches, 1):
+            itself, held, ids = b.column("itself")[0].as_py(), [], []
+            for c in ("xb",) if itself else ("xb", "yb"):
+                s = b.column(c)[0]
+                raw, lo, left = open_.decompress(s["z"].as_py()), 0, len(ids)
+                for end in s["ends"].as_py():
+                    held.append(raw[lo:end])
+                    lo = end
+                ids += s["ids"].as_py()
+            yield as_links([(ids[i], ids[j]) for i, j in links_among(held, -1 if itself else left, words, num, den)])
+
+    # many small tasks: a pair of blocks is a task's work for a while
+    met = met.select((F.col("x") == F.col("y")).alias("itself"), "xb", "yb").repartition(F.col("itself"), F.xxhash64("xb.ids", "yb.ids"))
+    more = met.mapInArrow(check, fields)
+    out = written(star.unionByName(more), "op3-large-links")
+    discard(star, members, bundles)
+    return out
 
 
 def op3_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -26,6 +27,7 @@ CACHE_WORDS = 2_000_000
 CACHE_PIECES = 400_000
 BATCH_BYTES = 1_000_000
 SLICE_ROWS = 500
+SLICE_BYTES = 2_000_000
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(1, 2**63, 256, np.uint64)
@@ -242,11 +244,17 @@ class WordTokenizer:
         return np.insert(ids, np.cumsum(counts), np.uint32(end)), counts + 1
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``, which bounds what Python holds at a time."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` and about ``size`` bytes of text, which bounds what Python holds at a time."""
     for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+        ends = np.zeros(b.num_rows, np.int64)
+        if "text" in b.schema.names:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy().astype(np.int64))
+        lo = before = 0
+        while lo < b.num_rows:
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(lo, hi - lo)
+            lo, before = hi, int(ends[hi - 1])
 
 
 @lru_cache(maxsize=2)

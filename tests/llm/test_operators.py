@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from rangeflow.session import written
 from rangeflow.llm import op1_gam, op2_tokens, op3_sigtree, op4_pack, op5_qgrams, op6_bwt, op7_recompress, op9_hosts, op10_ledger
 
 from . import fixtures as fx
@@ -81,13 +82,55 @@ def test_3_components(docs, words, num):
     assert got == fx.components(fx.corpus(), words, num, 100)
 
 
-def test_3_blocks_and_frequent(spark, docs, monkeypatch):
-    monkeypatch.setattr(op3_sigtree, "BLOCK", 3)
-    monkeypatch.setattr(op3_sigtree, "VERIFY_BLOCK", 2)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op3_sigtree.similarity_classes(docs).collect()}
+@pytest.mark.parametrize("block,rows,size", [(3, 2000, 10**9), (2000, 2, 10**9), (3, 5, 3000), (2000, 2000, 1)])
+def test_3_hot_groups_and_large_clusters(docs, block, rows, size):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op3_sigtree.similarity_classes(docs, block=block, rows=rows, size=size).collect()}
     assert got == fx.components(fx.corpus(), 4, 85, 100)
 
 
+def near_copies(n: int) -> list[tuple]:
+    """Copies of one text with words replaced, some beyond the similarity; sizes on both sides of a band's edge."""
+    import random
+
+    rng, out = random.Random(5), []
+    base = fx.prose(rng, 120, 10**6).split()
+    for k in range(n):
+        w = base + fx.prose(rng, rng.choice([0, 0, 0, 12]), 10**6).split()
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        out.append((k, " ".join(w), "en", "s", 0, 7, "x", "y"))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 100, "rows": 150}, {"rows": 300}])
+def test_3_one_group_of_2000_near_copies(spark, monkeypatch, options):
+    """The same components whichever way, and rows in proportion to the group and not to its square."""
+    rows = near_copies(2000)
+    sets = {d: frozenset(zip(*[t.split()[i:] for i in range(4)])) for d, t, *_ in rows}
+    column = {x: k for k, x in enumerate(sorted(set().union(*sets.values())))}
+    held = np.zeros((len(rows), len(column)), np.float32)
+    for d, s in sets.items():
+        held[d, [column[x] for x in s]] = 1
+    both, size = held @ held.T, held.sum(1)
+    like = 100 * both >= 85 * (size[:, None] + size - both)
+    want = np.arange(len(rows))
+    while (now := np.where(like, want, len(rows)).min(1)).tolist() != want.tolist():
+        want = now
+    made = {}
+
+    def counted(df, label, *a, **b):
+        out = written(df, label, *a, **b)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(op3_sigtree, "written", counted)
+    got = {r.doc_id: r.component_id for r in op3_sigtree.similarity_classes(spark.createDataFrame(rows, fx.SCHEMA), **options).collect()}
+    assert got == dict(enumerate(want.tolist())) and 10 < len(set(want.tolist())) < 1000
+    assert all(made.get(label, 0) <= 2 * len(rows) for label in ("op3-near", "op3-star", "op3-places"))
+    blocks = 1 + len(rows) // options.get("rows", len(rows))
+    assert made["op3-links"] <= 2 * blocks * len(rows)
+
+
 def test_3_empty_null_and_repeated(spark, empty):
     assert op3_sigtree.similarity_classes(empty).count() == 0
     rows = [(None, "a b c d e", "", "", 0, 0, "", ""), (5, "a b c d e", "", "", 0, 0, "", ""), (5, "a b c d e", "", "", 0, 0, "", ""), (9, "a b c d e", "", "", 0, 0, "", "")]
@@ -95,6 +138,18 @@ def test_3_empty_null_and_repeated(spark, empty):
     assert len(got) == 4 and {r.component_id for r in got if r.doc_id} == {5}
 
 
+def test_3_two_texts_of_one_doc_id_and_a_long_one(spark):
+    import random
+
+    rng = random.Random(2)
+    a, b, long = fx.prose(rng, 90, 10**6), fx.prose(rng, 200, 10**6), fx.prose(rng, 60_000, 10**6)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, long), (5, long + " z"), (6, fx.prose(rng, 90, 10**6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"rows": 1}, {"block": 1}):
+        got = {r.doc_id: r.component_id for r in op3_sigtree.similarity_classes(docs, **options).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
 def test_4_pieces(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
@@ -246,14 +301,24 @@ def test_3_walk_leaves_no_similar_pair_out(num):
             for _ in range(rng.integers(1, 6)):
                 keep = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.1, 0.2])]
                 sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, 1 + rng.integers(0, len(base) // 8 + 1)).astype(np.uint64)])))
-        n, side = len(sets), [int(x) for x in rng.integers(0, 2, len(sets))]
-        similar = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j]))}
-        given = (list(range(n)), [len(s) for s in sets], [op3_sigtree.signature(s) for s in sets], list(range(n)))
-        got, _ = op3_sigtree.group_pairs(*given, [0] * n, False, num, 100)
-        assert similar <= {tuple(sorted(p)) for p in got}
-        if len(set(side)) == 2:
-            got, _ = op3_sigtree.group_pairs(*given, side, False, num, 100)
-            assert {(i, j) for i, j in similar if side[i] != side[j]} <= {tuple(sorted(p)) for p in got}
+        n, side = len(sets), rng.integers(0, 2, len(sets)).astype(bool)
+        sizes, maps = np.array([len(s) for s in sets]), [op3_sigtree.signature(s) for s in sets]
+        like = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j]))}
+        for two in (None, side):
+            want = {p for p in like if two is None or two[p[0]] != two[p[1]]}
+            loose = joined(n, op3_sigtree.forest(sizes, maps, two, num, 100))
+            assert all(loose[i] == loose[j] for i, j in want)
+            exact = op3_sigtree.forest(sizes, maps, two, num, 100, lambda i, j: op3_sigtree.similar(sets[i], sets[j], num, 100))
+            assert {tuple(sorted(p)) for p in exact} <= want and joined(n, exact) == joined(n, list(want)) and len(exact) < n
+
+
+def joined(n: int, pairs: list[tuple[int, int]]) -> list[int]:
+    """Smallest member that each can reach."""
+    at = list(range(n))
+    for i, j in pairs:
+        a, b = sorted((at[i], at[j]))
+        at = [a if x == b else x for x in at]
+    return at
 
 
 def test_8_sentence_rules(spark, empty):
@@ -395,6 +460,6 @@ def test_3_prunes_inner_nodes(monkeypatch):
         sets += [np.unique(np.append(np.delete(base, k), shared)) for k in range(8)]
     n, compared, missing = len(sets), [], op3_sigtree._missing
     monkeypatch.setattr(op3_sigtree, "_missing", lambda x, y: (compared.append(len(x) if x.ndim > 1 else 0), missing(x, y))[1])
-    got, _ = op3_sigtree.group_pairs(list(range(n)), [len(s) for s in sets], [op3_sigtree.signature(s) for s in sets], list(range(n)), [0] * n, False)
-    assert {tuple(sorted(p)) for p in got} == {(i, j) for i in range(n) for j in range(i + 1, n) if i // 8 == j // 8}
+    got = op3_sigtree.forest(np.array([len(s) for s in sets]), [op3_sigtree.signature(s) for s in sets], None, 85, 100)
+    assert joined(n, got) == [i // 8 * 8 for i in range(n)]
     assert sum(compared) < n * n // 4  # of the n * n of both directions
