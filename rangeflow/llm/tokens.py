@@ -3,8 +3,9 @@
 The vocabularies used here never merge across a single space or line feed that stands between two
 other characters, so the ids of a text are the ids of its words, each with the space before it, in
 order.  A batch is cut into words and its words are told apart by vectorised 64-bit hashes; each
-distinct word goes through the library once per worker (the cache is bounded).  A text in which white
-space touches white space, or that holds other white space, is encoded as a whole instead.
+distinct word goes through the library once per worker (the caches are bounded, about 120 MB in all).  A
+text in which white space touches white space, or that holds other white space or what may be an added
+token's text, is encoded as a whole instead.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from tokenizers import Tokenizer
 
 from .text import mix
 
-CACHE_WORDS = 2_000_000
-CACHE_PIECES = 400_000
+#: Words (32 bytes each), their ids (4 bytes each) and pieces of words (about 200 bytes each) that a worker keeps.
+CACHE_WORDS = 1_000_000
+CACHE_IDS = 6_000_000
+CACHE_PIECES = 150_000
+PIECE_LETTERS = 64
 BATCH_BYTES = 1_000_000
 SLICE_ROWS = 500
 SLICE_BYTES = 2_000_000
@@ -109,7 +113,7 @@ class _Known:
         """Forget words met in one batch only, or all if most were met again."""
         table = self._merged(self.old, self.new)
         keep = table[3] > 1
-        if 2 * keep.sum() > CACHE_WORDS:
+        if 2 * keep.sum() > CACHE_WORDS or 2 * table[2][keep].sum() > CACHE_IDS:
             keep[:] = False
         keys, begin, count, _ = (x[keep] for x in table)
         to = np.cumsum(count)
@@ -126,7 +130,7 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.lower()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.model = self.tokenizer.model
         self.lower = json.loads(self.tokenizer.to_str())["normalizer"] is not None
         digit = r"\p{N}" if self.lower else r"\p{N}+"
@@ -154,11 +158,15 @@ class WordTokenizer:
             pass
         if len(pieces) >= CACHE_PIECES:
             pieces.clear()
+        out = []
         for p in parts:
-            if p not in pieces:
-                letters = p.encode().decode("latin-1").translate(self.letters)
-                pieces[p] = "".join([chr(t.id) for t in self.model.tokenize(letters)])
-        return "".join([pieces[p] for p in parts])
+            got = pieces.get(p)
+            if got is None:
+                got = "".join([chr(t.id) for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
+                if len(p) <= PIECE_LETTERS:
+                    pieces[p] = got
+            out.append(got)
+        return "".join(out)
 
     def _learn(self, keys: np.ndarray, words: list[bytes], leads: np.ndarray) -> None:
         self.known.add(keys, [self._word(w.decode(), lead) for w, lead in zip(words, leads.tolist(), strict=True)])
@@ -186,7 +194,7 @@ class WordTokenizer:
         new = self.known.missing(keys)
         if new.any():
             raw, which = data.tobytes(), at[new]
-            if len(self.known) + len(which) > CACHE_WORDS:
+            if len(self.known) + len(which) > CACHE_WORDS or self.known.used > CACHE_IDS:
                 self.known.shrink()  # it may forget words of this batch
                 new = self.known.missing(keys)
                 which = at[new]
@@ -215,7 +223,7 @@ class WordTokenizer:
     def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) of the texts, null as empty, and how many each text has."""
         texts = ["" if x is None else x for x in column.to_pylist()]
-        whole = [_as_whole(x) for x in texts]
+        whole = [_as_whole(x) or any(a in x.lower() for a in self.added if a[0] in x) for x in texts]
         ids, counts = [], []
         k = 0
         while k < len(texts):

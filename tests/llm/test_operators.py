@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -47,13 +48,11 @@ def test_1_odd_cases(spark, docs, empty):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokenizer_equals_library(name):
-    import pyarrow as pa
-
     from rangeflow.llm import tokens
 
-    texts = [r[1] for r in fx.corpus()] + [" lead", "trail ", "\n", "a\n", "ΣΑΣ İx é", "it's 123 45a"]
+    texts = [r[1] for r in fx.corpus()] + [" lead", "trail ", "\n", "a\n", "ΣΑΣ İx é", "it's 123 45a", "x" * 300, "ab1" * 5000]
+    texts += ["<|endoftext|>", "a b<|endoftext|>c d", "<|EndOfText|> x", "<|startoftext|> y", "a <| b", "<|endoftext|><|endoftext|>"]
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     ids, counts = tokens.WordTokenizer(public_tokenizers.path(name)).flat(pa.array(texts))
     got = np.split(ids, np.cumsum(counts)[:-1])
     assert [x.tolist() for x in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
@@ -64,18 +63,69 @@ def test_2_round_trip(spark, docs, empty, tmp_path):
     op2_tokens.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     got = op2_tokens.read_tokens(spark, path).orderBy("start").collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     at = 0
-    for row, (d, text, *_) in zip(got, sorted(fx.corpus()), strict=True):
+    crcs = op2_tokens.ids_crc(pa.array([r.ids for r in got], pa.list_(pa.int32()))).to_pylist()
+    for row, sum_, (d, text, *_) in zip(got, crcs, sorted(fx.corpus()), strict=True):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
-        assert (row.doc_id, row.start, row.n_tokens, row.ids) == (d, at, len(ids), ids)
+        assert (row.doc_id, row.start, row.n_tokens, row.ids, sum_) == (d, at, len(ids), ids, fx.crc(ids))
         at += len(ids)
     span = op2_tokens.read_span(spark, path, 100, 101).collect()
     assert len(span) == 1 and span[0].start <= 100 < span[0].start + span[0].n_tokens
+    every = [(r.doc_id, r.start) for r in got]
+    for lo, hi in ((0, at), (at // 3, at // 2), (at - 1, at + 9), (at, at + 1), (5, 5)):
+        want = [x for x, r in zip(every, got) if r.start < hi and r.start + r.n_tokens > lo]
+        assert [(r.doc_id, r.start) for r in op2_tokens.read_span(spark, path, lo, hi).orderBy("start").collect()] == want
     op2_tokens.write_tokens(empty, path + "0", public_tokenizers.path("byte_bpe_50k.json"))
     assert op2_tokens.read_tokens(spark, path + "0").count() == 0
 
 
+def test_2_selective_reads(spark, tmp_path):
+    """A range of ids opens one file of several and skips most of its pages; the ids' column is read only if asked for."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = f"file://{tmp_path}/ids"
+    docs = spark.range(40_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.hash("id", F.lit(k)).cast("string") for k in range(6)]).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    op2_tokens.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = glob.glob(f"{tmp_path}/ids/*.parquet")
+    meta = pq.ParquetFile(files[0]).metadata.row_group(0)
+    ids = meta.column(meta.num_columns - 1)
+    assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(ids.encodings) and ids.has_column_index and ids.has_offset_index
+    starts = sorted(op2_tokens.file_starts(spark, path).collect(), key=lambda r: r.base)
+    at = starts[2].base + starts[2].n // 2
+    span = op2_tokens.read_span(spark, path, at, at + 50)
+    assert 0 < len(span.collect()) < 10 and len(files) > 2 and len(span.inputFiles()) == 1
+
+    def scanned(df):
+        """Rows that the scans of a plan gave, after row groups and pages were skipped."""
+        df.collect()
+        stack, rows = [df._jdf.queryExecution().executedPlan()], 0
+        while stack:
+            p = stack.pop()
+            if p.nodeName().startswith("Scan parquet"):
+                rows += p.metrics().apply("numOutputRows").value()
+            kids = p.children() if not p.nodeName().startswith("AdaptiveSparkPlan") else None
+            stack += [p.executedPlan()] if kids is None else [kids.apply(k) for k in range(kids.size())]
+        return rows
+
+    assert scanned(span) < docs.count() // 20
+    plain = op2_tokens.read_tokens(spark, path, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert all("ids" not in x.split("ReadSchema")[1] for x in plain.splitlines() if "ReadSchema" in x)
+
+
+def test_2_null_and_repeated_ids_and_a_long_text(spark, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    rows = [(None, "b"), (None, "a"), (3, "z"), (3, "y"), (3, "y"), (1, "long word " * 200_000), (2, None)]
+    op2_tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    got = op2_tokens.read_tokens(spark, path).orderBy("start").collect()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert [(r.doc_id, r.ids) for r in got] == [(d, t.encode(x or "", add_special_tokens=False).ids + [2]) for d, x in want]
+
+
 @pytest.mark.parametrize("words,num", [(4, 85), (5, 80), (1, 60)])
 def test_3_components(docs, words, num):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op3_sigtree.similarity_classes(docs, words, num, 100).collect()}
@@ -153,7 +203,6 @@ def test_3_two_texts_of_one_doc_id_and_a_long_one(spark):
 def test_4_pieces(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = op4_pack.pack(docs, path, window=256, unit=16).collect()
     ids = {d: t.encode(x or "", add_special_tokens=False).ids + [2] for d, x, *_ in fx.corpus()}
     by_doc, by_seq = {}, {}
