@@ -443,19 +443,81 @@ but WITHOUT ANY WARRANTY.
 """
 
 
+#: Notices as people write them, not taken from the table of known sentences; "-": none that proves a licence.
+NOTICES = """
+mit | This module is released under the terms of the MIT License.
+mit | Code in this repository is licensed under MIT.
+apache-2.0 | Distributed under the Apache License 2.0. See LICENSE for more information.
+apache-2.0 | SPDX-License-Identifier: Apache-2.0
+gpl-3.0 | The plugin is free software, released under the GNU GPL v3.
+gpl-2.0 | All scripts here are published under the GNU General Public Licence, version 2.
+lgpl-2.1 | This library is available under the GNU LGPL version 2.1.
+agpl-3.0 | The server is covered under the terms of the GNU Affero General Public License v3.
+bsd-3-clause | Provided under the 3-Clause BSD License.
+bsd-2-clause | It is licensed under a BSD 2-Clause License.
+mpl-2.0 | This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+cc-by-sa-4.0 | This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.
+cc-by-4.0 | Text available under CC BY 4.0.
+cc0-1.0 | The data set is published under CC0 1.0.
+unlicense | This is free and unencumbered software released into the public domain.
+isc | Our tools are shared under the ISC license.
+epl-2.0 | Made available under the terms of the Eclipse Public License 2.0.
+zlib | The engine is released under the zlib license.
+bsl-1.0 | Distributed under the Boost Software License, Version 1.0.
+ofl-1.1 | This Font Software is licensed under the SIL Open Font License, Version 1.1.
+gpl-3.0-or-later | SPDX-License-Identifier: GPL-3.0-or-later
+gpl-2.0-or-later | This tool is licensed under the GNU General Public License version 2 or later.
+- | This module is not released under the MIT License.
+- | You can read about the MIT license here.
+- | Licences are under review by the committee.
+- | Never distributed under the Apache License 2.0.
+artistic-2.0 | You may use it; it is distributed under the Artistic License 2.0.
+mit | Copyright 2021 Jane Doe. MIT License.
+gpl-3.0 | Licensed under the GPL, version 3
+mit | Use of this file is governed by the MIT license
+apache-2.0 | The Apache License, Version 2.0, applies to every file of the project.
+"""
+
+
 def test_8_unshortened_licences(spark):
     from rangeflow.llm import op8_licences
 
-    want = {MIT: ("7 8", "mit"), BSD: ("11 9", "bsd,reserved"), APACHE: ("2 10", "apache-2.0"), GPL: ("3", "gpl-3.0"), GPL.replace("version 3", "version 2"): ("4", "gpl-2.0")}
+    want = {MIT: "mit", BSD: "bsd,reserved", APACHE: "apache-2.0", GPL: "gpl-3.0", GPL.replace("version 3", "version 2"): "gpl-2.0"}
     forms = [lambda t: t, lambda t: " ".join(t.split()), lambda t: "".join(f" * {x}\r\n" for x in t.split("\n")), lambda t: t.replace("\n\n", "\n")]
-    one_line_bsd = ("9", "bsd")  # "All rights reserved." does not begin a line there
-    cases = [(f(t), one_line_bsd if t == BSD and k == 1 else w) for t, w in want.items() for k, f in enumerate(forms)]
-    cases += [(head + "    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n\n Copyright", ("3", "gpl-3.0")) for head in ("", "x\n", "x. ")]
-    cases += [("                  Apache License\n            Version 2.0, January 2004\n         http://www.apache.org/licenses/\n\n", ("2", "apache-2.0"))]
-    cases += [("Released under the\nMIT License", ("1", "mit")), ("Released under the\n\nMIT License", ("", "")), ("Not released under the\nMIT License", ("", "")), (GPL.replace("GNU General", "GNU Lesser General"), ("", ""))]
+    # "All rights reserved." does not begin a line where all is on one
+    cases = [(f(t), "bsd" if t == BSD and k == 1 else w) for t, w in want.items() for k, f in enumerate(forms)]
+    three = BSD.replace("disclaimer.", "disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n")
+    cases += [(three, "bsd-2-clause,reserved")]
+    cases += [(three + "3. Neither the name of the copyright holder nor the names of its contributors may\n   be used to endorse or promote products derived from this software without\n   specific prior written permission.\n", "bsd-3-clause,reserved")]
+    cases += [(head + "    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n\n Copyright", "gpl-3.0") for head in ("", "x\n", "x. ")]
+    cases += [("                  Apache License\n            Version 2.0, January 2004\n         http://www.apache.org/licenses/\n\n", "apache-2.0")]
+    cases += [("Released under the\nMIT License", "mit"), ("Released under the\n\nMIT License", "mit"), ("Not released under the\nMIT License nor", ""), (GPL.replace("GNU General", "GNU Middle General"), "")]
     d = spark.createDataFrame([(k, t, "", "", 0, 0, "", "") for k, (t, _) in enumerate(cases)], fx.SCHEMA)
-    got = {r.doc_id: (r.sentence_ids, r.licences) for r in op8_licences.scan_licences(d).collect()}
+    got = {r.doc_id: r.licences for r in op8_licences.scan_licences(d).collect()}
     assert [got[k] for k in range(len(cases))] == [w for _, w in cases]
+    assert op8_licences.sentence_ids(APACHE.encode()) == ["2", "10", "17"] and op8_licences.sentence_ids(MIT.encode()) == ["1", "7", "12", "8", "13"]
+
+
+def test_8_recall_on_other_notices():
+    from rangeflow.llm import op8_licences
+
+    found, there = 0, 0
+    for line in NOTICES.strip().splitlines():
+        want, _, text = line.partition(" | ")
+        got = op8_licences.licences_of(op8_licences.sentence_ids(text.encode()))
+        assert got in ([want], []) and (want != "-" or not got), line
+        found, there = found + len(got), there + (want != "-")
+    assert found / there >= 0.9
+    assert all(op8_licences._SIGNS.search(f"released {s}".encode()) for s in op8_licences.KNOWN)
+
+
+def test_8_odd_cases(spark):
+    from rangeflow.llm import op8_licences
+
+    long = "some words of a line\n" * 100_000 + "Released under the MIT License.\n"
+    rows = [(None, long), (1, None), (1, None), (2, "All rights reserved. All rights reserved."), (2, "All rights reserved. All rights reserved.")]
+    got = op8_licences.scan_licences(spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, licences string, n_sentences string")).collect()
+    assert sorted((r.doc_id or 0, r.n_sentences, r.licences) for r in got) == [(0, 1, "mit"), (1, 0, ""), (1, 0, ""), (2, 2, "reserved"), (2, 2, "reserved")]
 
 
 def host_scores(rows: list[tuple]) -> dict:
@@ -466,8 +528,10 @@ def host_scores(rows: list[tuple]) -> dict:
 
     letters = re.compile("[a-z]+")
     n = collections.Counter(w for _, _, html in rows for w in letters.findall(html or ""))
+    for host in {re.fullmatch(r"http://([^/]*)(.*)", u)[1] for _, u, _ in rows}:
+        n.update(w for part in host.split(".") if "-" in part for w in letters.findall(part))
     floor = max(n.values()) // 100 + 1
-    for w in op9_hosts.SEEDS + op9_hosts.COMMON:
+    for w in op9_hosts.SEEDS:
         n[w] = max(n[w], floor)
     total = sum(n.values())
     logs = {w: math.log(k / total) for w, k in n.items()}
@@ -475,14 +539,13 @@ def host_scores(rows: list[tuple]) -> dict:
     for page, url, _ in rows:
         host, path = re.fullmatch(r"http://([^/]*)(.*)", url).groups()
         bag = [m + w for m, part in (("h:", host), ("p:", path)) for run in letters.findall(part) for w in op9_hosts.segment(run, logs)]
-        bag += ["p:0"] * any(c.isdigit() for c in path)
+        bag += ["h:-"] * host.count("-") + ["h:0"] * len(re.findall("[0-9]+", host)) + ["p:0"] * any(c.isdigit() for c in path)
         bags[page] = bag
     bad = {k: any(t[2:] in op9_hosts.SEEDS for t in b) for k, b in bags.items()}
     by = {v: collections.Counter(t for k, b in bags.items() if bad[k] == v for t in b) for v in (True, False)}
     size = len(by[True] | by[False]) + 1
     odds = {t: math.log((by[True][t] + 1) / (by[True].total() + size)) - math.log((by[False][t] + 1) / (by[False].total() + size)) for t in by[True] | by[False]}
-    prior = math.log((sum(bad.values()) + 1) / (len(bad) - sum(bad.values()) + 1))
-    return {k: prior + sum(odds[t] for t in b) for k, b in bags.items()}
+    return {k: sum(odds[t] for t in b) for k, b in bags.items()}
 
 
 def test_9_keeps_every_word(spark):
@@ -494,6 +557,56 @@ def test_9_keeps_every_word(spark):
     assert got == pytest.approx(host_scores(rows), abs=1e-9)
 
 
+def test_9_long_words_and_urls(spark):
+    """Words of any length are known to the segmenter, and very long urls are judged whole."""
+    word = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    rows = [(1, f"http://{word}casino.example.org/{'tulip' * 200}/{word}", f"{word} tulip"), (2, f"http://{word}.example.org/x", ""), (3, "http://a.example.org/", None)] * 2
+    rows = [(k, u, h) for k, (_, u, h) in enumerate(rows)]
+    logs = {word: -5.0, "casino": -5.0, "tulip": -5.0}
+    assert op9_hosts.segment(f"{word}casinoqq", logs) == [word, "casino", "qq"] and op9_hosts.segment("zzz", logs) == ["zzz"] and op9_hosts.segment("", logs) == []
+    got = {r.page_id: r.score for r in op9_hosts.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == pytest.approx(host_scores(rows), abs=1e-9)
+
+
+def test_9_blocks_hosts_whose_words_are_in_no_list(spark):
+    """The classifier carries a seed's evidence over to words that stand beside it elsewhere."""
+    plain = [f"http://{w}.example.com/en/{k}" for k, w in enumerate(["tulip", "garden", "history", "mail", "school"] * 12)]
+    spam = [f"http://{w}.example.com/en/{k}" for k, w in enumerate(["casino-win", "viagra-cheap", "win-poker", "cheap-porn"] * 3)]
+    fresh = ["http://win-cheap.example.com/en/1", "http://cheapwin.example.com/en/2"]
+    assert not {"win", "cheap"} & set(op9_hosts.SEEDS)
+    rows = [(k, u, "tulip garden history mail school") for k, u in enumerate(plain + spam + fresh)]
+    got = {r.page_id: r.verdict for r in op9_hosts.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=[]).collect()}
+    assert [got[k] for k in range(len(rows))] == ["allow"] * len(plain) + ["block"] * (len(spam) + len(fresh))
+
+
+def test_9_rules_equal_sql(spark):
+    """Host, path and rule of every url of sf0.01, and of odd ones, as SQL finds them."""
+    odd = [None, "", "no scheme", "http://", "x://Org", "x://a.ORG/", "x://org/", "x://norg/", "x://a.example.org/es/x?y", "x://example.org/en/1", "x://example.org/en/12#z", "x://example.org/en/2", "x://b.com/de/", "x://com/fr/a", "x://com/fr", "x://h?/es/", "a://b://c/d", "x://ÀB.COM/fr/"]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    pages = pages.unionByName(spark.createDataFrame([(-k, u, "") for k, u in enumerate(odd, 1)], "page_id long, url string, html string"))
+    got = op9_hosts.judge_urls(pages).toPandas()
+    duck = duckdb.connect()
+    duck.register("pages", pages.toPandas())
+    rules = ", ".join(f"('{r}', '{v}')" for r, v in op9_hosts.RULES)
+    want = duck.execute(rf"""
+        WITH p AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        r(rule, verdict) AS (VALUES {rules}), s AS (SELECT *, split_part(rule, '/', 1) AS name, substr(rule, strpos(rule, '/')) AS start FROM r),
+        f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM q JOIN s ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
+        SELECT page_id, host, path, rule, verdict FROM q LEFT JOIN f USING (page_id)""").fetchall()
+    by = {r.page_id: r for r in got.itertuples()}
+    assert len(got) == len(want)
+    for page, host, path, rule, verdict in want:
+        r = by[page]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (rule is None or r.verdict == verdict)
+
+
+def test_9_repeated_rows(spark):
+    rows = [(k % 2, "http://casino-win.example.net/a/1", "casino") for k in range(4)] + [(None, None, None)] * 2
+    got = op9_hosts.judge_urls(spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, score int")).collect()
+    assert len(got) == 6 and len({(r.host, r.path, r.verdict, r.score) for r in got}) == 2
+
+
 def test_9_counts_occurrences(spark):
     urls = ["http://casino.news.example.org/win/win/win", "http://news.news.example.org/news/news/1", "http://win.example.org/x", "http://news.example.net/win/2/3", "http://spam.spam.example.net/spam/news"]
     rows = [(k, u, "the casino news win spam") for k, u in enumerate(urls * 2)]
