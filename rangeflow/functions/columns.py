@@ -62,6 +62,23 @@ def curve_factor(b: float, low: float = 2.5e-4, high: float = 3.5e-4, at_low: fl
     return at_low + t * (at_high - at_low)
 
 
+def curve_factor_of(b: Column, low: float = 2.5e-4, high: float = 3.5e-4, at_low: float = 0.1, at_high: float = 0.25) -> Column:
+    """``curve_factor`` of a column of curvatures."""
+    t = F.greatest(lit(0), F.least(lit(1), (F.abs(b) - low) / (high - low)))
+    return lit(at_low) + t * (at_high - at_low)
+
+
+def corridor_bottom(d: Column, bed_until: float, seen_until: float, rms: float, bed_slope: float = 0.004) -> Column:
+    """Lower edge of the clearance corridor: it rises where the bed, and then the rail, was not seen."""
+    beyond, bed = F.greatest(lit(0), d - seen_until), F.greatest(lit(0), d - bed_until)
+    return lit(0.30) + 0.002 * d + bed_slope * (bed - beyond) + 0.008 * beyond + rms
+
+
+def corridor_top(d: Column, seen_until: float, rms: float) -> Column:
+    """Upper edge of the clearance corridor."""
+    return lit(3.40) - 0.002 * d - 0.006 * F.greatest(lit(0), d - seen_until) - rms
+
+
 def corridor_half_width(d: Column, dh: Column, b: float, low: float = 1.0, high: float = 1.4, step: float = 0.8, shrink: float = 0.003, closed: float = 0.7) -> Column:
     """Half width of the clearance corridor at a distance and height; -1 where it is closed."""
     w = F.when(dh < step, lit(low)).otherwise(lit(high)) - shrink * d - curve_factor(b) * abs(b) * d * d
@@ -89,6 +106,12 @@ def digitize(x: Column, edges: list[float]) -> Column:
     return out.cast("long")
 
 
+def histogram_bin(x: Column, low: float, high: float, bins: int) -> Column:
+    """Index of equal-width bins from ``low`` to ``high``; the last is closed at both ends, beyond is null."""
+    k = F.floor((x - low) / ((high - low) / bins)).cast("long")
+    return F.when(x == high, F.lit(bins - 1).cast("long")).when((x >= low) & (x < high), k)
+
+
 def band_label(d: Column, bands: list[tuple[int, int]] = BANDS) -> Column:
     out = F.lit(None).cast("string")
     for lo, hi in bands:
