@@ -32,6 +32,8 @@ from .tokens import slices, word_tokenizer
 ROW_GROUP = 16 << 20
 PAGE, PAGE_ROWS = 64 << 10, 256
 END = 2
+#: Up to so many files (a row of about 100 bytes each) their starts are broadcast; beyond, joined by shuffle.
+BROADCAST_FILES = 100_000
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> None:
@@ -72,8 +74,12 @@ def file_starts(spark: SparkSession, path: str) -> DataFrame:
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids`` (or only those asked for) and ``start``, the ids of all documents before."""
     names = columns or ["doc_id", "n_tokens", "ids"]
-    rows = spark.read.parquet(path).select(*names, "start_in_file", F.col("_metadata.file_name").alias("file"))
-    return rows.join(file_starts(spark, path), "file").select(*names, (F.col("base") + F.col("start_in_file")).alias("start"))
+    every = spark.read.parquet(path)
+    starts = file_starts(spark, path)
+    if len(every.inputFiles()) <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
+    rows = every.select(*names, "start_in_file", F.col("_metadata.file_name").alias("file"))
+    return rows.join(starts, "file").select(*names, (F.col("base") + F.col("start_in_file")).alias("start"))
 
 
 def read_span(spark: SparkSession, path: str, lo: int, hi: int, columns: list[str] | None = None) -> DataFrame:
