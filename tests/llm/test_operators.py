@@ -302,6 +302,40 @@ def test_6_7_null_and_repeated_ids(spark):
         assert got == [(0, False), (3, False), (3, False), (8, True)]
 
 
+def test_7_names_are_of_content_alone():
+    """Equal spans of words have equal names wherever they stand, different ones different names, and anchors are alike."""
+    import random
+
+    rng = random.Random(4)
+    shared = fx.prose(rng, 90, 60).split() + ["run"] * 70 + ["a", "b"] * 40 + fx.prose(rng, 60, 10**6).split()
+    texts = [" ".join(fx.prose(rng, rng.randrange(50), 60).split() + shared + fx.prose(rng, rng.randrange(50), 60).split()).encode() for _ in range(12)]
+    by_words, by_name, anchor_of = {}, {}, {}
+    for size in (50, 23, 77):
+        for rows, begins, lengths, rounds in op7_recompress.batches_of(texts, 50):
+            starts = np.concatenate([np.arange(b, b + n - size + 1) for b, n in zip(begins, lengths)])
+            one, two = rounds.names(starts, starts + size)
+            anchors = rounds.anchors(starts, size)
+            of = np.searchsorted(begins, starts, side="right") - 1
+            for s, k, x, y, at in zip(starts.tolist(), of.tolist(), one.tolist(), two.tolist(), anchors.tolist()):
+                lo = s - int(begins[k])
+                words = tuple(texts[rows[k]].split()[lo : lo + size])
+                assert by_words.setdefault(words, (x, y)) == (x, y) and by_name.setdefault((size, x, y), words) == words
+                place = (int(rounds.pos[at]) - s, int(rounds.top[at])) if at >= 0 else None
+                assert anchor_of.setdefault(words, place) == place
+
+
+def test_7_repeated_words_and_long_texts(spark):
+    """Runs and short periods, whose windows have no anchor, and a text of 100,000 words."""
+    import random
+
+    rng = random.Random(8)
+    long = fx.prose(rng, 100_000, 10**7)
+    texts = ["w " * 120, "x y " * 45 + fx.prose(rng, 30, 10**6), "w " * 60, "y x " * 30, "z " + "w " * 49, "w " * 49, "w " * 50 + "q " * 80 + "w " * 300, "x y z " * 40, long, long + " tail", fx.prose(rng, 20, 99) + " " + long]
+    rows = [(k, t) for k, t in enumerate(texts + texts[:4])]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in op7_recompress.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d: v[:2] for d, v in fx.without_repeated_words(rows).items()}
+
+
 def test_9_rules_and_method(spark):
     urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?q", "https://example.org/en/12#t", "http://notexample.org/es/", "http://x.com/fr/1", "http://x.com/de/", "http://x.com", "ftp://casino-win.example.net/a"]
     rows = [(k, u, "<p>the casino win news</p>" if k % 2 else None, "z") for k, u in enumerate(urls)] + [(k + 20, "http://news.example.net/en/1", "<p>the news</p>", "z") for k in range(8)]
