@@ -130,6 +130,11 @@ def quantise(x: Column, step: float) -> Column:
     return F.rint(x / step) * step
 
 
+def standard_normal(a: Column, b: Column) -> Column:
+    """A standard normal of two uniforms, the first above zero."""
+    return F.sqrt(-2.0 * F.log(a)) * F.cos(2.0 * F.pi() * b)
+
+
 def logistic(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
