@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import read_table, shared_dir
-from .tokens import slices, word_tokenizer
+from .tokens import released, slices, word_tokenizer
 
 ROW_GROUP = 16 << 20
 PAGE, PAGE_ROWS = 64 << 10, 256
@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
-        for b in slices(batches):
+        for b in slices(released(batches)):
             ids, counts = word_tokenizer(vocabulary).closed(b.column("text"), end)
             ends = np.cumsum(counts)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.view(np.int32)))
@@ -98,9 +98,9 @@ def read_span(spark: SparkSession, path: str, lo: int, hi: int, columns: list[st
 
 def ids_crc(ids: pa.ListArray) -> pa.Array:
     """Unsigned crc32 of each list's ids as little-endian unsigned 32-bit integers."""
-    flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-    raw = memoryview(flat.tobytes())
-    return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])], pa.int64())
+    raw = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+    ends = np.concatenate([[0], 4 * np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]).tolist()
+    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = read_tokens(spark, path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(released(batches)):
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("start"), b.column("n_tokens"), ids_crc(b.column("ids"))],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],

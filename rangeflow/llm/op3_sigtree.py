@@ -46,7 +46,7 @@ from pyspark.sql.window import Window
 from ..operators.graph import connected_components
 from ..session import discard, read_table, written
 from .text import as_bytes, mix, signed, word_ids
-from .tokens import slices
+from .tokens import released, slices
 
 WORDS = 4
 NUM, DEN = 85, 100
@@ -311,7 +311,7 @@ def _sets(src: DataFrame, words: int) -> tuple[DataFrame, DataFrame, list[int]]:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a document, and one for each shingle frequent among some of this task's documents."""
         seen, pending, held = 0, [], 0
-        for b in slices(batches):
+        for b in slices(released(batches)):
             flat, size = shingle_sets(as_bytes(b.column("text")), words)
             raw, ends = memoryview(flat.tobytes()), (8 * np.cumsum(size)).tolist()
             cuts = [raw[a:e] for a, e in zip([0, *ends], ends)]
@@ -358,7 +358,7 @@ def _candidates(src: DataFrame, classes: DataFrame, frequent: list[int], words:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefix shingles of each class, and one row with its signature and its text's bytes."""
         late, place = shared.value
-        for b in slices(batches):
+        for b in slices(released(batches)):
             texts = as_bytes(b.column("text"))
             flat, size = shingle_sets(texts, words)
             rank = np.full(len(flat), -1)
@@ -403,7 +403,7 @@ def _candidates(src: DataFrame, classes: DataFrame, frequent: list[int], words:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, c = [], []
-        for g in groups_of(batches, ["g1", "g2"]):
+        for g in groups_of(released(batches), ["g1", "g2"]):
             ids = g["rep"].to_pylist()
             for i, j in forest(g["n"].to_numpy(), g["map"].to_pylist(), None, num, den):
                 a.append(ids[i])
@@ -433,7 +433,7 @@ def _links(src: DataFrame, near: DataFrame, words: int, num: int, den: int, rows
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], id_type), pa.array([p[1] for p in pairs], id_type)], ["src", "dst"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(batches, ["component"]):
+        for g in groups_of(released(batches), ["component"]):
             ids = g["id"].to_pylist()
             got = links_among([x or b"" for x in g["text"].cast(pa.binary()).to_pylist()], -1, words, num, den)
             yield as_links([(ids[i], ids[j]) for i, j in got])
@@ -479,7 +479,7 @@ def _large_links(
     def spokes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text against its block's first."""
         key = hub = held = None
-        for b in slices(batches):
+        for b in slices(released(batches)):
             flat, n = shingle_sets(as_bytes(b.column("text")), words)
             ends, out = np.cumsum(n).tolist(), []
             ids = b.column("id").to_pylist()
@@ -506,7 +506,7 @@ def _large_links(
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of one place compressed as one: near copies then take little more than one text."""
         press = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=24, enable_ldm=True))
-        for g in groups_of(batches, at):
+        for g in groups_of(released(batches), at):
             raws = [x or b"" for x in g["text"].cast(pa.binary()).to_pylist()]
             one = g.slice(0, 1)
             yield pa.RecordBatch.from_arrays(
@@ -531,7 +531,7 @@ def _large_links(
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor(max_window_size=1 << 24)
-        for b in slices(batches, 1):
+        for b in slices(released(batches), 1):
             itself, held, ids = b.column("itself")[0].as_py(), [], []
             for c in ("xb",) if itself else ("xb", "yb"):
                 s = b.column(c)[0]

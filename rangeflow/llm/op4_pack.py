@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import read_table, written
-from .tokens import slices, word_tokenizer
+from .tokens import released, slices, word_tokenizer
 
 WINDOW = 4096
 UNIT = 128
@@ -132,7 +132,7 @@ def encode(docs: DataFrame, vocabulary: str, end: int, window: int, unit: int) -
         part = TaskContext.get().partitionId()
         row = full = 0
         seen = np.zeros(units + 1, np.int64)
-        for b in slices(batches):
+        for b in slices(released(batches)):
             ids, n = word_tokenizer(vocabulary).closed(b.column("text"), end)
             ends = 4 * np.cumsum(n)
             raw = pa.py_buffer(ids.astype("<u4").tobytes())
@@ -178,7 +178,7 @@ def plan_pieces(table: DataFrame, window: int, unit: int, depth: int) -> DataFra
     shared = table.sparkSession.sparkContext.broadcast(plan)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in released(batches):
             seq, slot = shared.value.place(b.column("unit").to_numpy(), b.column("rank").to_numpy())
             rest = [c for c in b.schema.names if c not in ("unit", "rank")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(seq), pa.array(slot)], [*rest, "seq", "slot"])
@@ -226,7 +226,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = END, window: int = WINDOW,
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(released(batches)):
             lists = b.column("pieces")
             flat = lists.flatten()
             at = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 from .text import as_bytes, mix
+from .tokens import released, slices
 
 Q = 10
 EDITS = 7
@@ -181,7 +182,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(released(batches)):
                 rows = list(matches(shared.value, as_bytes(b.column("text"))))
                 row, item, start, end, edits = zip(*rows, strict=True) if rows else ([],) * 5
                 ids = [shared.value.ids[k] for k in item]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..session import discard, read_table, written
 from .blocks import spans_by_document
 from .text import as_bytes, mix, signed, word_ids
-from .tokens import slices
+from .tokens import released, slices
 
 WINDOW = 50
 ROUNDS = 6
@@ -228,7 +228,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names = ["left", "right", "b1", "b2", "single"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(released(batches)):
             for row, lo, n, *of in block_rows(as_bytes(b.column("text")), window):
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -249,7 +249,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     open_ = matter.where("not settled and not single").groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("open"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(released(batches)):
             spans = [[(s["lo"], s["n"]) for s in x] for x in b.column("open").to_pylist()]
             for row, i, w1, w2 in window_rows(as_bytes(b.column("text")), spans, window):
                 at = pa.array(row)
@@ -280,7 +280,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ).select(*rest, "__spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(released(batches)):
             total, gone, kept = [], [], []
             for text, spans in zip(as_bytes(b.column("text")), b.column("__spans").to_pylist(), strict=True):
                 words = text.split()

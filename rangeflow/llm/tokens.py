@@ -3,17 +3,19 @@
 The vocabularies used here never merge across a single space or line feed that stands between two
 other characters, so the ids of a text are the ids of its words, each with the space before it, in
 order.  A batch is cut into words and its words are told apart by vectorised 64-bit hashes; each
-distinct word goes through the library once per worker (the caches are bounded, about 120 MB in all).  A
+distinct word goes through the library once per worker (the caches are bounded, about 70 MB in all).  A
 text in which white space touches white space, or that holds other white space or what may be an added
 token's text, is encoded as a whole instead.
 """
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +26,10 @@ from tokenizers import Tokenizer
 
 from .text import mix
 
-#: Words (32 bytes each), their ids (4 bytes each) and pieces of words (about 200 bytes each) that a worker keeps.
-CACHE_WORDS = 1_000_000
-CACHE_IDS = 6_000_000
-CACHE_PIECES = 150_000
+#: Words (17 bytes each, thrice that while tables merge), their ids (4 bytes each) and pieces of words (about 200 bytes each) that a worker keeps.
+CACHE_WORDS = 700_000
+CACHE_IDS = 4_000_000
+CACHE_PIECES = 80_000
 PIECE_LETTERS = 64
 BATCH_BYTES = 1_000_000
 SLICE_ROWS = 500
@@ -65,7 +67,7 @@ class _Known:
     def __init__(self) -> None:
         self.pool = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.old = self.new = (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
+        self.old = self.new = (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint8))
 
     def __len__(self) -> int:
         return len(self.old[0]) + len(self.new[0])
@@ -88,7 +90,7 @@ class _Known:
         for table, row in ((self.old, at), (self.new, np.where(at < 0, self._at(self.new, keys), -1))):
             has = row >= 0
             begin[has], count[has] = table[1][row[has]], table[2][row[has]]
-            table[3][row[has]] += 1
+            table[3][row[has]] = np.minimum(table[3][row[has]], 99) + 1
         return begin, count
 
     def add(self, keys: np.ndarray, ids: list[str]) -> None:
@@ -98,7 +100,7 @@ class _Known:
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + total] = np.frombuffer("".join(ids).encode("utf-32-le", "surrogatepass"), "<u4")
-        self.new = self._merged(self.new, (keys, self.used + np.cumsum(count) - count, count, np.zeros(len(keys), np.int64)))
+        self.new = self._merged(self.new, (keys, (self.used + np.cumsum(count) - count).astype(np.int32), count.astype(np.int32), np.zeros(len(keys), np.uint8)))
         self.used += total
         if len(self.new[0]) > max(20_000, len(self.old[0]) // 4):
             self.old, self.new = self._merged(self.old, self.new), tuple(x[:0] for x in self.new)
@@ -116,13 +118,13 @@ class _Known:
         if 2 * keep.sum() > CACHE_WORDS or 2 * table[2][keep].sum() > CACHE_IDS:
             keep[:] = False
         keys, begin, count, _ = (x[keep] for x in table)
-        to = np.cumsum(count)
+        to = np.cumsum(count, dtype=np.int64)
         size = int(to[-1]) if len(to) else 0
         kept = self.pool[np.repeat(begin - (to - count), count) + np.arange(size)]
         self.__init__()
         self.pool = np.concatenate([kept, self.pool])
         self.used = size
-        self.old = keys, to - count, count, np.zeros(len(keys), np.int64)
+        self.old = keys, (to - count).astype(np.int32), count, np.zeros(len(keys), np.uint8)
 
 
 class WordTokenizer:
@@ -265,6 +267,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             lo, before = hi, int(ends[hi - 1])
 
 
+def released(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end the worker, which later tasks use again, gives free memory back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other systems' C libraries do without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One per worker process and vocabulary."""
