@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, fields, replace
 
 
@@ -40,3 +41,15 @@ class Thresholds:
         if unknown := set(given) - names:
             raise KeyError(f"unknown thresholds: {sorted(unknown)}")
         return replace(cls(), **given)
+
+
+def parse_override(text: str) -> tuple[str, object]:
+    """``name=value`` of a command line; a value that reads as JSON is that, others are texts."""
+    name, sep, value = text.partition("=")
+    if not sep or not name.strip():
+        raise ValueError(f"not name=value: {text}")
+    try:
+        given = json.loads(value)
+    except json.JSONDecodeError:
+        given = value
+    return name.strip(), tuple(given) if isinstance(given, list) else given

@@ -93,6 +93,32 @@ def in_corridor(d: Column, dl: Column, dh: Column, b: float, reach: float) -> Co
     return (F.abs(dl) <= corridor_half_width(d, dh, b)) & (dh >= bottom) & (dh <= top)
 
 
+def glob_pattern(pattern: str, separator: bool = False) -> str:
+    """A regular expression of a shell pattern, for the whole of a text; with ``separator``, ``*`` stops at a slash but for the last."""
+    out, k = "", 0
+    last = pattern.rfind("*")
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "*":
+            out += "[^/]*" if separator and k != last else ".*"
+        elif c == "?":
+            out += "."
+        elif c == "[" and "]" in pattern[k + 1 :]:
+            end = pattern.index("]", k + 1)
+            out += "[" + pattern[k + 1 : end].replace("!", "^", 1 if pattern[k + 1] == "!" else 0) + "]"
+            k = end
+        else:
+            out += "\\" + c if c in ".^$+{}()|\\[]" else c
+        k += 1
+    return f"^{out}$"
+
+
+def stamp_parts(ns: Column) -> tuple[Column, Column]:
+    """Whole seconds and the rest of a stamp in nanoseconds, rounded down before 1970 too."""
+    sec = F.floor(ns / F.lit(1_000_000_000).cast("decimal(20,0)")).cast("long")
+    return sec, ns - sec * 1_000_000_000
+
+
 def floor_bin(x: Column, width: float) -> Column:
     """Index of equal-width bins, negative numbers included."""
     return F.floor(x / width).cast("long")

@@ -1,4 +1,4 @@
-"""Ordered and iterative fits of one frame's few bins, in NumPy: trimming, gating, best paths, linking.
+"""Ordered folds of one frame's few bins or one recording's frames, in NumPy: gating, best paths, linking, placement.
 
 Points are aggregated to bins by Spark first, so a call sees some hundred rows at most.
 """
@@ -8,34 +8,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def quadratic(x: np.ndarray, y: np.ndarray, w: np.ndarray, c_max: float) -> np.ndarray:
-    """Weighted a + b x + c x^2 with |c| at most ``c_max``: beyond it c is fixed and the rest refit."""
-    s = np.sqrt(w)
-    a = np.stack([np.ones_like(x), x, x * x], 1)
-    coef = np.linalg.lstsq(a * s[:, None], y * s, rcond=None)[0]
-    if abs(coef[2]) > c_max:
-        c = float(np.clip(coef[2], -c_max, c_max))
-        line = np.linalg.lstsq(a[:, :2] * s[:, None], (y - c * x * x) * s, rcond=None)[0]
-        coef = np.array([*line, c])
-    return coef
-
-
-def trimmed_quadratic(x: np.ndarray, y: np.ndarray, w: np.ndarray, c_max: float, limits: tuple[float, ...] = (0.5, 0.25, 0.25), least: int = 4) -> dict:
-    """Fit, drop what is farther off than each limit in turn, refit; not ok under ``least`` bins."""
-    keep = np.ones(len(x), bool)
-    coef = np.zeros(3)
-    for limit in limits:
-        if keep.sum() < least:
-            return {"ok": False, "a": 0.0, "b": 0.0, "c": 0.0, "used": int(keep.sum()), "rms": 0.0}
-        coef = quadratic(x[keep], y[keep], w[keep], c_max)
-        keep &= np.abs(y - (coef[0] + coef[1] * x + coef[2] * x * x)) <= limit
-    if keep.sum() < least:
-        return {"ok": False, "a": 0.0, "b": 0.0, "c": 0.0, "used": int(keep.sum()), "rms": 0.0}
-    coef = quadratic(x[keep], y[keep], w[keep], c_max)
-    off = y[keep] - (coef[0] + coef[1] * x[keep] + coef[2] * x[keep] ** 2)
-    return {"ok": True, "a": float(coef[0]), "b": float(coef[1]), "c": float(coef[2]), "used": int(keep.sum()), "rms": float(np.sqrt(np.mean(off**2)))}
-
-
 def gated_chain(x: np.ndarray, y: np.ndarray, gate: float, memory: int = 4) -> np.ndarray:
     """Accept values from near to far while they lie within ``gate`` of the line through the last accepted."""
     taken: list[int] = []
@@ -70,11 +42,15 @@ def best_path(cost: np.ndarray, change: float) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def link(frames: list[list[tuple[float, float]]], gate: float, max_gap: int) -> list[list[int]]:
-    """Track ids of detections by frame: per frame, pairs of track and detection by ascending distance."""
+def link(frames: list[list[tuple[float, float]]], gate: float, max_gap: int, numbers: list[int] | None = None) -> list[list[int]]:
+    """Track ids of detections by frame: per frame, pairs of track and detection by ascending distance.
+
+    ``numbers``: the frames' numbers, where some without detections are left out.  A track unseen for more than
+    ``max_gap`` frames is lost.
+    """
     tracks: list[dict] = []
     out = []
-    for f, found in enumerate(frames):
+    for f, found in zip(numbers if numbers is not None else range(len(frames)), frames, strict=True):
         live = [t for t in tracks if f - t["seen"] <= max_gap]
         pairs = sorted((np.hypot(t["d"] - d, t["l"] - s), t["id"], k) for t in live for k, (d, s) in enumerate(found))
         ids: list[int] = [-1] * len(found)

@@ -6,13 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .core import new_state
 
 #: One row a frame: what the folds read.
 HITS = "array<struct<det:string,d:double,l:double,score:double,cls:string>>"
-OUT = "i long, reset boolean, status string, distance double, tracks long"
+OUT = "i long, reset boolean, status string, distance double, tracks long, confirmed long, coasting long"
 
 
 def frame_dict(row) -> dict:
@@ -41,9 +40,3 @@ def fold(frames: DataFrame, step: Callable[[dict, dict], dict], key: str = "bag"
 
     kind = dict(frames.dtypes)[key]
     return placed.mapInPandas(run, f"{key} {kind}, {OUT}")
-
-
-def with_hits(df: DataFrame, keys: list[str], hit: dict) -> DataFrame:
-    """One row a frame, with its hits in order of distance."""
-    fields = F.struct(*[v.alias(k) for k, v in hit.items()])
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias("hits"))

@@ -49,6 +49,26 @@ class FusionRules:
     far_llr: float = 4.0
     keep_llr: float = 1.2
     max_misses: int = 8
+    vote: float = 0.3
+    still: float = 0.85
+    far_vote_from: float = 0.0  # from here few points of a moving sensor add evidence without a vote; 0: nowhere
+    far_vote_points: int = 8
+    plate_background: float = 0.5
+    weak_votes: bool = True
+    compact_extent: float = 1.0
+    compact_points: int = 3
+    compact_pixels: int = 4
+    compact_background: float = 0.8
+    straddle_background: float = 0.5
+    compact_attached: float = 0.1
+    pair: tuple[float, float] = (1.5, 0.5)
+    alone: tuple[float, float] = (2.5, 2.0)
+    single_far_frames: int = 0  # 0: one detector alone never confirms far off
+    strong_frames: int = 0  # 0: one detector alone never confirms near by
+    strong_score: float = 0.5
+    strong_llr: float = 5.0
+    dust_score: float = 0.5
+    max_d: float = float("inf")
 
 
 def is_reset(last: int | None, stamp: int | None, back_ns: int = 1_000_000, gap_ns: int = 1_500_000_000) -> bool:
@@ -107,15 +127,67 @@ def filter_step(state: dict, frame: dict, rules: FilterRules = FilterRules(), ba
             confirmed.append(t)
     best = min(confirmed, key=lambda t: (t["d"], t["id"]), default=None)
     status = "unknown" if frame["unknown"] else "detected" if best else "clear"
-    return {"reset": reset, "status": status, "distance": best["d"] if best and status == "detected" else None, "tracks": len(state["tracks"])}
+    told = len(confirmed) if status == "detected" else 0
+    return {"reset": reset, "status": status, "distance": best["d"] if best and status == "detected" else None, "tracks": len(state["tracks"]), "confirmed": told, "coasting": 0}
+
+
+def _within(a: dict, b: dict, reach: tuple[float, float]) -> bool:
+    return abs(a["d"] - b["d"]) <= reach[0] and abs(a["l"] - b["l"]) <= reach[1]
+
+
+def weighed(frame: dict, rules: FusionRules) -> list[dict]:
+    """A frame's hits with the scores they vote by.
+
+    Hits may tell more than place and score: ``n`` points, ``size`` (largest extent), ``n_ring``, ``n_bg`` and
+    ``attached`` of beam groups, and the flags ``plate``, ``weak``, ``compact``, ``straddle`` and ``rejected`` of
+    clusters; a frame may tell ``still``, how much of the scene stands.  Without these a hit votes by its own score.
+    Rejected clusters are no hits unless a rule lets them vote.
+    """
+    standing = frame.get("still", 0.0) >= rules.still
+    every = [dict(h) for h in frame["hits"]]
+    clusters, beams = [h for h in every if h["det"] == "d1"], [h for h in every if h["det"] == "d2" and h["cls"] == "obstacle"]
+    share = lambda h: h.get("n_bg", 0) / max(h.get("n_ring", 0), 1)
+
+    def no_vote(h: dict) -> bool:
+        return 0 < rules.far_vote_from <= h["d"] and not standing and h.get("n", 1 << 30) < rules.far_vote_points
+
+    voters = [b for b in beams if b["score"] >= rules.vote]
+    taken = {id(h) for h in every if not h.get("rejected")}
+    for h in clusters:
+        if h.get("rejected"):
+            if h.get("weak") and rules.weak_votes and standing and any(_within(h, b, (rules.ahead, rules.side)) for b in voters):
+                h["score"] = rules.vote
+                taken.add(id(h))
+        elif no_vote(h) or (h.get("plate") and not any(share(b) >= rules.plate_background and _within(h, b, (rules.ahead, rules.side)) for b in voters)):
+            h["score"] = 0.0
+    # a small cluster and a small group in free space at one place both vote, if the cluster stands alone
+    free = [b for b in beams if b.get("n", 0) >= rules.compact_pixels and b.get("size", 9.0) <= rules.compact_extent and b.get("n_ring", 0) > 0 and b.get("attached", 1.0) <= rules.compact_attached]
+    for h in clusters:
+        small = h.get("compact") if h.get("rejected") else not h.get("weak") and h.get("n", 0) >= rules.compact_points and h.get("size", 9.0) <= rules.compact_extent
+        if not small or no_vote(h):
+            continue
+        least = rules.straddle_background if h.get("straddle") else rules.compact_background
+        mates = [b for b in free if share(b) >= least and _within(h, b, rules.pair)]
+        others = [o for o in clusters if o is not h and _within(h, o, rules.alone)]
+        if not mates or any(o.get("size", 0.0) > rules.compact_extent or (o.get("n", 0) >= rules.compact_points and not _within(h, o, rules.pair)) for o in others):
+            continue
+        for x in (h, *mates):
+            x["score"] = max(x["score"], rules.vote)
+        taken.add(id(h))
+    return [h for h in every if id(h) in taken]
 
 
 def fusion_step(state: dict, frame: dict, rules: FusionRules = FusionRules(), back_ns: int = 1_000_000, gap_ns: int = 1_500_000_000, clear_allowed: bool = True) -> dict:
     """One frame of the fusion filter: per track at most one hit a detector, log-likelihood evidence,
-    confirmation near by two voting detectors and far by persistence, coasting while evidence lasts."""
+    confirmation near by two voting detectors and far by persistence, coasting while evidence lasts.
+
+    ``confirmed`` counts the reported tracks with a hit of the first detector, ``coasting`` those without, which are
+    reported where they were last seen; tracks beyond ``max_d`` are not reported.
+    """
     reset = _before(state, frame, back_ns, gap_ns)
     now = state["frame"]
-    by = {x: [h for h in frame["hits"] if h["det"] == x] for x in ("d1", "d2", "d3")}
+    hits = weighed(frame, rules)
+    by = {x: [h for h in hits if h["det"] == x] for x in ("d1", "d2", "d3")}
     free = {x: list(range(len(v))) for x, v in by.items()}
     gain, floor, votes = dict(rules.gain), dict(rules.floor), dict(rules.votes)
     given: dict[int, dict[str, dict]] = {}
@@ -155,6 +227,8 @@ def fusion_step(state: dict, frame: dict, rules: FusionRules = FusionRules(), ba
                 t["d"], t["l"] = h["d"], h["l"]
                 t["exact"] = t["exact"] or lead is not None
             t["cls"] = (mine.get("d2") or mine.get("d1") or mine.get("d3"))["cls"]
+            if "d3" in mine and mine["d3"]["cls"] == "dust" and mine["d3"]["score"] >= rules.dust_score:
+                t["cls"] = "dust"
             voting = sorted(x for x, h in mine.items() if h["score"] >= votes[x] and h["cls"] != "dust")
             t["recent"].append([now, sorted(mine), voting])
         else:
@@ -162,15 +236,19 @@ def fusion_step(state: dict, frame: dict, rules: FusionRules = FusionRules(), ba
         t["recent"] = [r for r in t["recent"] if r[0] > now - rules.window]
         frames = sum(1 for r in t["recent"] if "d1" in r[1] or "d2" in r[1])
         voters = {x for r in t["recent"] for x in r[2]}
+        strong = 0 < rules.strong_frames <= frames and t["llr"] >= rules.strong_llr and max((h["score"] for h in mine.values()), default=0.0) >= rules.strong_score
+        alone = 0 < rules.single_far_frames <= frames
         if t["cls"] == "dust":
             t["confirmed"] = False
         elif t["confirmed"]:
             t["confirmed"] = t["llr"] >= rules.keep_llr and frames >= 1
         elif t["d"] >= rules.far_from:
-            t["confirmed"] = frames >= rules.far_frames and t["llr"] >= rules.far_llr and len(voters) >= 2
+            t["confirmed"] = strong or (frames >= rules.far_frames and t["llr"] >= rules.far_llr and (len(voters) >= 2 or alone))
         else:
-            t["confirmed"] = frames >= rules.near_frames and len(voters) >= 2 and t["llr"] >= rules.near_llr
+            t["confirmed"] = strong or (frames >= rules.near_frames and len(voters) >= 2 and t["llr"] >= rules.near_llr)
     state["tracks"] = [t for t in state["tracks"] if t["llr"] > rules.low and t["misses"] <= rules.max_misses]
-    best = min((t for t in state["tracks"] if t["confirmed"]), key=lambda t: (t["d"], t["id"]), default=None)
+    told = [t for t in state["tracks"] if t["confirmed"] and t["d"] <= rules.max_d]
+    best = min(told, key=lambda t: (t["d"], t["id"]), default=None)
     status = "detected" if best else "unknown" if frame["unknown"] or not clear_allowed else "clear"
-    return {"reset": reset, "status": status, "distance": best["d"] if best else None, "tracks": len(state["tracks"])}
+    seen = sum("d1" in given[t["id"]] and not given[t["id"]]["d1"].get("rejected", False) for t in told)
+    return {"reset": reset, "status": status, "distance": best["d"] if best else None, "tracks": len(state["tracks"]), "confirmed": seen, "coasting": len(told) - seen}

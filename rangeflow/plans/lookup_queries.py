@@ -148,13 +148,13 @@ def beam_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PT}, s AS (SELECT frame, quantile_cont(abs(d), 0.98) AS reach, quantile_cont(degrees(atan2(l, d)), 0.97) - quantile_cont(degrees(atan2(l, d)), 0.03) AS spread,
-  bool_and(slot % 40 < 40) AS layout, avg((r = floor(r))::INT) AS whole FROM pt GROUP BY frame) SELECT frame, round(reach, 4) AS reach, round(spread, 6) AS spread, layout, round(whole, 6) AS whole FROM s""")
+  avg((slot % 40 = slot // 2 % 40)::INT) > 0.9e0 AS layout, avg((r = floor(r))::INT) AS whole FROM pt GROUP BY frame) SELECT frame, round(reach, 4) AS reach, round(spread, 6) AS spread, layout, round(whole, 6) AS whole FROM s""")
 def axis_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reach and angular spread of each frame, and probes of its layout."""
     az = C.azimuth_deg(F.col("d"), F.col("l"))
     return points(spark, sf_dir).groupBy("frame").agg(
         F.round(F.percentile(F.abs("d"), 0.98), 4).alias("reach"), F.round(F.percentile(az, 0.97) - F.percentile(az, 0.03), 6).alias("spread"),
-        F.bool_and(F.col("slot") % 40 < 40).alias("layout"), F.round(F.avg((F.col("r") == F.floor("r")).cast("int")), 6).alias("whole"),
+        (F.avg((F.col("slot") % 40 == F.floor(F.col("slot") / 2) % 40).cast("int")) > 0.9).alias("layout"), F.round(F.avg((F.col("r") == F.floor("r")).cast("int")), 6).alias("whole"),
     )
 
 

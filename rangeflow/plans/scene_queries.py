@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..operators import cells as cl
 from ..operators import robust
 from ..operators.graph import connected_components
-from .views import PT, band_sql, frames, points
+from .views import FR, PT, band_sql, frames, points
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -120,18 +120,6 @@ def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("frame", "bin").agg(F.percentile("h", 0.2).alias("y"), F.least(F.count(F.lit(1)), F.lit(500)).cast("double").alias("w"))
 
 
-@query()
-def trimmed_profile_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quadratic profile of a frame's bins, with three trimming passes."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("bin")
-        x = g["bin"].to_numpy() * 4.0 + 2.0
-        return pd.DataFrame([{"frame": g["frame"].iloc[0], **robust.trimmed_quadratic(x, g["y"].to_numpy(), g["w"].to_numpy(), 2e-3)}])
-
-    return _bins(spark, sf_dir).groupBy("frame").applyInPandas(one, "frame long, ok boolean, a double, b double, c double, used long, rms double")
-
-
 @query()
 def gated_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins accepted from near to far by extrapolation of the last accepted."""
@@ -159,12 +147,22 @@ def motion_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def linked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of a recording linked over frames, nearest pairs first."""
+    """Detections of a recording linked over frames, nearest pairs first; a gap counts frames."""
     c = frames(spark, sf_dir).where("status = 'detected'").select("bag", "i", F.col("dist").alias("d"), ((F.col("k") % 5) * 0.3).alias("l"))
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("i")
-        ids = robust.link([[(d, s)] for d, s in zip(g["d"], g["l"], strict=True)], 25.0, 25)
+        ids = robust.link([[(d, s)] for d, s in zip(g["d"], g["l"], strict=True)], 25.0, 25, g["i"].tolist())
         return g[["bag", "i"]].assign(track=[x[0] for x in ids])
 
     return c.groupBy("bag").applyInPandas(one, "bag long, i long, track long")
+
+
+#: The same by recursion over a recording's detections, with the tracks in a list.
+ORACLE_SQL["linked_components"] = f"""WITH RECURSIVE {FR}, c AS (SELECT bag, i, dist AS d, (k % 5) * 0.3e0 AS l, row_number() OVER (PARTITION BY bag ORDER BY i) AS n FROM fr WHERE status = 'detected'),
+a AS (SELECT bag, 0::BIGINT AS n, 0::BIGINT AS i, []::STRUCT(id BIGINT, d DOUBLE, l DOUBLE, seen BIGINT)[] AS tr, -1::BIGINT AS track FROM (SELECT DISTINCT bag FROM c)
+  UNION ALL SELECT bag, n, i, CASE WHEN best.dist <= 25e0 THEN list_transform(tr, lambda x: CASE WHEN x.id = best.id THEN struct_pack(id := x.id, d := d, l := l, seen := i) ELSE x END) ELSE list_append(tr, struct_pack(id := len(tr), d := d, l := l, seen := i)) END,
+    CASE WHEN best.dist <= 25e0 THEN best.id ELSE len(tr) END FROM (
+      SELECT c.bag, c.n, c.i, c.d, c.l, a.tr, list_sort(list_transform(list_filter(a.tr, lambda x: c.i - x.seen <= 25), lambda x: struct_pack(dist := sqrt(power(x.d - c.d, 2) + power(x.l - c.l, 2)), id := x.id)))[1] AS best
+      FROM a JOIN c ON c.bag = a.bag AND c.n = a.n + 1))
+SELECT bag, i, track FROM a WHERE n > 0"""

@@ -25,7 +25,7 @@ def stream_fold(frames: DataFrame, step: Callable[[dict, dict], dict], key: str
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([{key: keys[0], "i": None, "reset": True, "status": "unknown", "distance": None, "tracks": 0}])
+            yield pd.DataFrame([{key: keys[0], "i": None, "reset": True, "status": "unknown", "distance": None, "tracks": 0, "confirmed": 0, "coasting": 0}])
             return
         kept = json.loads(state.get[0]) if state.exists else new_state()
         rows = sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.i)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rangeflow.config import Thresholds
 from rangeflow.functions import columns as C
-from rangeflow.operators import cells, fit, islands, match, robust
+from rangeflow.operators import cells, fit, islands, match, profiles, robust
 from rangeflow.operators.graph import connected_components
 from rangeflow.operators.quantiles import rank_quantiles, robust_nearest
 from rangeflow.sources import clouds, recordings, sinks
@@ -91,18 +91,37 @@ def test_quadratic_matches_numpy(spark):
     df = spark.createDataFrame([(1, *map(float, t)) for t in zip(x, y, w)], "g int, x double, y double, w double")
     for limit in (1.0, 0.1):
         r = fit.weighted_quadratic(df, ["g"], F.col("x"), F.col("y"), F.col("w"), limit).first()
-        assert np.allclose([r.a, r.b, r.c], robust.quadratic(x, y, w, limit), atol=1e-6)
+        assert np.allclose([r.a, r.b, r.c], quadratic(x, y, w, limit), atol=1e-6)
+
+
+def quadratic(x, y, w, c_max):
+    """Weighted least squares by NumPy; beyond ``c_max`` the quadratic term is that and the rest refit."""
+    s, a = np.sqrt(w), np.stack([np.ones_like(x), x, x * x], 1)
+    coef = np.linalg.lstsq(a * s[:, None], y * s, rcond=None)[0]
+    if abs(coef[2]) <= c_max:
+        return coef
+    c = float(np.clip(coef[2], -c_max, c_max))
+    return np.array([*np.linalg.lstsq(a[:, :2] * s[:, None], (y - c * x * x) * s, rcond=None)[0], c])
+
+
+def test_kept_fits_match_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random(80) * 10
+    y, w, keep = 1 + 2 * x + 0.3 * x * x + rng.normal(0, 0.1, 80), rng.random(80) + 0.5, rng.random(80) > 0.3
+    df = spark.createDataFrame([(1, *map(float, t), bool(k)) for *t, k in zip(x, y, w, keep)], "g int, x double, y double, w double, keep boolean")
+    for limit in (1.0, 0.1, 0.0):
+        r = profiles.fit_kept(df, ["g"], F.lit(limit)).first()
+        assert r.fn == keep.sum() and np.allclose([r.fa, r.fb, r.fc], quadratic(x[keep], y[keep], w[keep], limit), atol=1e-6)
 
 
 def test_robust_steps():
     x = np.arange(12.0)
     y = 0.5 * x
     y[5] = 9
-    got = robust.trimmed_quadratic(x, y, np.ones(12), 0.01)
-    assert got["ok"] and got["used"] <= 11 and abs(got["b"] - 0.5) < 0.05
     assert robust.gated_chain(x, y, 0.3).tolist() == [k != 5 for k in range(12)] or not robust.gated_chain(x, y, 0.3)[5]
     assert robust.best_path(np.array([[0, 5, 5], [5, 0, 1], [5, 5, 0.0]]), 0.1).tolist() == [0, 1, 2]
     assert robust.link([[(1.0, 0.0), (50.0, 0.0)], [(49.0, 0.0), (2.0, 0.0)]], 5.0, 3) == [[0, 1], [1, 0]]
+    assert robust.link([[(1.0, 0.0)], [(1.5, 0.0)]], 5.0, 3, [0, 4]) == [[0], [1]] and robust.link([[(1.0, 0.0)], [(1.5, 0.0)]], 5.0, 3, [0, 3]) == [[0], [0]]
     assert len(robust.spaced(np.array([10.0, 11.0, 10.0]), 5.0)) == 3
 
 
