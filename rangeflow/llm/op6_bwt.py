@@ -1,17 +1,20 @@
 """Suffix-array dedup of bytes by column-wise construction over a collection of texts.
 
-Every 100-byte window has an anchor, the least-hashed 20-byte string in it (see ``blocks``); only
-windows of one anchor can be equal, and then they lie alike around it.  The distinct surroundings of
-an anchor are the collection to be sorted: aligned at the anchor, one symbol of each is inserted a
-round, from the last column to the first.  A round keeps the order of all suffixes that begin in its
+Every 100-byte window has an anchor: the least-hashed 16-byte string in it, with the 42 bytes before it
+where the window has so many, else the 42 bytes after it, which it then has.  Only windows of one anchor can be equal, and then
+they lie alike around it; neighbouring windows of one anchor are a block.  Blocks whose anchor stands
+nowhere else go no further, and of equal blocks (by 128-bit names) one stands for all.  The distinct
+surroundings of an anchor are the collection to be sorted: aligned at the anchor, one symbol of each is
+inserted a round, from the last column to the first.  A round keeps the order of all suffixes that begin in its
 column and the common prefixes of neighbours.  The symbols before those suffixes, in that order, are
 the column's part of the Burrows-Wheeler transform: stably sorting them is the order of the next
 column, and the next common prefixes are one more than the least common prefix between two that the
 same symbol precedes.  Neighbours with a common prefix of 100 or more are equal windows.
 
-Collections stream through each task in anchor order as sequential files; a task holds some thousand
-surroundings at a time.  An anchor of more than ``MANY`` surroundings is no collection of one task:
-its windows are told apart by 128-bit hashes in an aggregation with map-side combining instead.
+Collections stream through each task in anchor order.  Their symbols lie column by column in a
+sequential file of the task, one column of which is read a round; the transform is appended to a second
+file, and a third carries the common prefixes from round to round.  What a task holds in memory are some
+sixty bytes a surrounding, whatever its length, so an anchor may have millions of them.
 
 Cases: a null or empty text, or one under 100 bytes, loses nothing; rows with a null doc_id lose
 nothing and are no source; rows of one doc_id are ordered by a hash of their text, equal rows all
@@ -21,6 +24,7 @@ pieces of ``PIECE`` windows; input columns that clash with the added ones are re
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +35,15 @@ from pyspark.sql import functions as F
 from ..session import discard, read_table, written
 from .blocks import settle, spans_by_document
 from .text import as_bytes, mix, signed
+from .tokens import released, slices
 
 WINDOW = 100
 GRAM = 16
 PIECE = 2_000_000
 BATCH_BYTES = 150_000
-MANY = 50_000
 TASK_SEGMENTS = 20_000
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+CHUNK = 2_000
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x94D049BB133111EB)
 _PLACE = 27  # bits of a place, in the low end of a rank
 
 
@@ -103,45 +108,103 @@ def block_rows(texts: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.nd
         of = np.searchsorted(begins, starts, side="right") - 1
         inside = starts + window <= (begins + lengths)[of]
         new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | ~inside[:-1] | (of[1:] != of[:-1])
+        half = (window - GRAM) // 2
+        before = place - starts >= half  # else so many bytes of the window lie behind the string
+        new[1:] = (place[1:] != place[:-1]) | ~inside[:-1] | (of[1:] != of[:-1]) | (before[1:] != before[:-1])
         at = np.flatnonzero(new & inside)
         ends = np.append(np.flatnonzero(new | ~inside), len(place))
         n = ends[np.searchsorted(ends, at, side="right")] - at
         row, shift = np.array([p[0] for p in some]), np.array([p[1] for p in some])
         off = place[at] - at
-        key = signed(mix(gram[place[at]] ^ _B))
+        left, p = before[at], place[at]
+        key = sums.span(np.where(left, p - half, p), np.where(left, p + GRAM, np.minimum(p + GRAM + half, len(gram) + GRAM - 1)))
+        key = signed(mix(key ^ np.where(left, _B, _C)))
         bh = signed(mix(sums.span(at, at + n - 1 + window) ^ mix(off.astype(np.uint64) + _A)))
         yield row[of[at]], at - begins[of[at]] + shift[of[at]], n, key, bh, off
 
 
-def equal_windows(group: np.ndarray, segments: list[bytes], off: np.ndarray, n: np.ndarray, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Column-wise construction over the segments of several groups (``group`` ascending).
-
-    Segment k begins ``off[k]`` before its anchor and has ``n[k]`` windows.  Yields, for each column
-    with windows that equal others: ``(segment, window, class)`` of those in classes of two or more.
+class Collection:
+    """Surroundings of anchors, aligned, in sequential files: symbols by column, transform and common prefixes by round."""
+
+    def __init__(self, folder: str, low: int, high: int) -> None:
+        self.low, self.high, self.rows = low, high, 0
+        self.chunks: list[tuple[int, int]] = []  # where a chunk's columns begin, and its surroundings
+        self.columns, self.transform, self.prefixes = (open(f"{folder}/{n}", "w+b") for n in ("columns", "transform", "prefixes"))  # noqa: SIM115
+
+    def add(self, segments: list[bytes], off: np.ndarray) -> None:
+        """Append surroundings whose anchor lies ``off`` bytes from their beginning; symbol 0 stands for nothing."""
+        lengths = np.array([len(x) for x in segments], np.int64)
+        row = np.repeat(np.arange(len(segments)), lengths)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths + off, lengths) - self.low
+        grid = np.zeros((self.high - self.low, len(segments)), np.uint16)
+        grid[column, row] = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + 1
+        self.chunks.append((self.columns.tell(), len(segments)))
+        self.columns.write(grid.tobytes())
+        self.rows += len(segments)
+
+    def column(self, x: int) -> np.ndarray:
+        """The symbols of a column, in the order of adding."""
+        out = np.empty(self.rows, np.uint16)
+        at = 0
+        for begin, m in self.chunks:
+            self.columns.seek(begin + 2 * m * (x - self.low))
+            out[at : at + m] = np.frombuffer(self.columns.read(2 * m), np.uint16)
+            at += m
+        return out
+
+    def emit(self, symbols: np.ndarray) -> None:
+        """Append a column's part of the transform."""
+        self.transform.write(symbols.tobytes())
+
+    def common(self) -> np.ndarray:
+        """Common prefixes of neighbours after the last round."""
+        self.prefixes.seek(0)
+        return np.frombuffer(self.prefixes.read(self.rows), np.uint8)
+
+    def keep(self, common: np.ndarray) -> None:
+        self.prefixes.seek(0)
+        self.prefixes.write(common.astype(np.uint8).tobytes())
+
+    def clear(self) -> None:
+        """Begin another collection in the same files."""
+        self.rows, self.chunks = 0, []
+        for f in (self.columns, self.transform, self.prefixes):
+            f.seek(0)
+            f.truncate()
+
+    def close(self) -> None:
+        for f in (self.columns, self.transform, self.prefixes):
+            f.close()
+
+
+def equal_windows(group: np.ndarray, held: Collection, off: np.ndarray, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Column-wise construction over the surroundings of several anchors (``group`` ascending).
+
+    Surrounding k begins ``off[k]`` before its anchor.  Yields, for each column with windows that equal others:
+    ``(surrounding, window, class)`` of those in classes of two or more.
     """
-    m = len(segments)
-    lengths = np.array([len(s) for s in segments])
-    data = np.frombuffer(b"".join(segments), np.uint8)
-    base = np.cumsum(lengths) - lengths + off  # where the anchor is
-    first, last = -off, lengths - off  # columns a segment has
-    order, common = np.arange(m), np.zeros(m, np.int64)
-    for x in range(int(last.max(initial=0)) - 1, int(first.min(initial=0)) - 1, -1):
-        has = (first <= x) & (x < last)
-        symbol = np.zeros(m, np.int64)  # 0: nothing at this column
-        symbol[has] = data[base[has] + x] + 1
+    order = np.arange(held.rows)
+    held.keep(np.zeros(held.rows, np.uint8))
+    for x in range(held.high - 1, held.low - 1, -1):
+        symbol = held.column(x)
+        if not symbol.any():  # a column without symbols ends all prefixes
+            held.keep(np.zeros(held.rows, np.uint8))
+            continue
         ranked = symbol[order]
-        by = np.argsort(group[order] * 257 + ranked, kind="stable")
-        same = np.zeros(m, bool)
-        g = group[order[by]]
-        same[1:] = (g[1:] == g[:-1]) & (ranked[by[1:]] == ranked[by[:-1]]) & (ranked[by[1:]] > 0)
+        held.emit(ranked)
+        g = group[order]
+        by = np.argsort(g * 257 + ranked, kind="stable")
+        g, ranked = g[by], ranked[by]
+        same = np.zeros(held.rows, bool)
+        same[1:] = (g[1:] == g[:-1]) & (ranked[1:] == ranked[:-1]) & (ranked[1:] > 0)
         to = np.flatnonzero(same)
-        fresh = np.zeros(m, np.int64)
+        common = np.zeros(held.rows, np.uint8)
         if len(to):
-            lo, hi = by[to - 1] + 1, by[to] + 1
-            ranges = np.stack([lo, hi], 1).ravel()
-            fresh[to] = 1 + np.minimum.reduceat(np.append(common, 0), ranges)[::2]
-        order, common = order[by], np.minimum(fresh, window)
+            ranges = np.stack([by[to - 1] + 1, by[to] + 1], 1).ravel()
+            least = np.minimum.reduceat(np.append(held.common(), np.uint8(0)), ranges)[::2]
+            common[to] = np.minimum(least, window - 1) + 1
+        held.keep(common)
+        order = order[by]
         if x > 0:
             continue
         begins = common < window
@@ -149,8 +212,8 @@ def equal_windows(group: np.ndarray, segments: list[bytes], off: np.ndarray, n:
             continue
         cls = np.cumsum(begins)
         size = np.bincount(cls)[cls]
-        seg = order[size > 1]
-        yield seg, x + off[seg], cls[size > 1]
+        some = order[size > 1]
+        yield some, x + off[some], cls[size > 1]
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -159,7 +222,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     usable = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(released(batches)):
             for row, lo, n, key, bh, off in block_rows(as_bytes(b.column("text")), window):
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -173,7 +236,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     open_ = matter.where("not settled").groupBy("doc_id", "h").agg(F.collect_list(some).alias("open"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(released(batches)):
             for k, (text, spans) in enumerate(zip(as_bytes(b.column("text")), b.column("open").to_pylist(), strict=True)):
                 m = len(spans)
                 yield pa.RecordBatch.from_arrays(
@@ -189,10 +252,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     segments = written(
         pool.mapInArrow(fetch, f"doc_id {kind}, h long, key long, lo int, n int, off int, contents long, bytes binary"), "op6-segments", compression="zstd"
     )
-    later = written(_by_columns(segments.where(F.col("contents") <= MANY), kind, window).unionByName(_by_hash(segments.where(F.col("contents") > MANY), kind, window)), "op6-later")
+    later = written(_by_columns(segments, kind, window), "op6-later")
     discard(segments)
     spans = matter.where("settled").select("doc_id", "h", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi")).unionByName(later)
-    return written(spans_by_document(spans), "op6-spans")
+    out = written(spans_by_document(spans), "op6-spans")
+    discard(matter, later)
+    return out
 
 
 def _by_columns(segments: DataFrame, kind: str, window: int) -> DataFrame:
@@ -200,13 +265,15 @@ def _by_columns(segments: DataFrame, kind: str, window: int) -> DataFrame:
     # equal keys together, in the order of their documents: the first of a class is the earliest
     placed = segments.repartition("key").sortWithinPartitions("key", "doc_id", "h", "lo")
 
-    def solve(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(batches)
+    names = ["key", "doc_id", "h", "lo", "off"]
+
+    def solve(rows: list[pa.RecordBatch], held: Collection) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
         key = t["key"].to_numpy()
         group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
         lo, h, segs, wins = t["lo"].to_numpy(), t["h"].to_numpy(), [], []
         doc = t["doc_id"].combine_chunks().dictionary_encode().indices.to_numpy()
-        for seg, win, cls in equal_windows(group, t["bytes"].to_pylist(), t["off"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64), window):
+        for seg, win, cls in equal_windows(group, held, t["off"].to_numpy().astype(np.int64), window):
             least = np.full(cls.max() + 1, len(key))
             np.minimum.at(least, cls, seg)
             best = least[cls]
@@ -223,59 +290,38 @@ def _by_columns(segments: DataFrame, kind: str, window: int) -> DataFrame:
         new = np.ones(len(seg), bool)  # neighbouring windows make one span
         new[1:] = (seg[1:] != seg[:-1]) | (win[1:] != win[:-1] + 1)
         a = np.flatnonzero(new)
-        b = np.append(a[1:], len(seg)) - 1
+        b = np.append(a[1:], len(seg))[: len(a)] - 1
         cols = [t[c].combine_chunks().take(pa.array(seg[a])) for c in ("doc_id", "h")]
         lo = lo[seg[a]].astype(np.int64)
         return pa.RecordBatch.from_arrays([*cols, pa.array(lo + win[a], pa.int32()), pa.array(lo + win[b] + window, pa.int32())], ["doc_id", "h", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            rows += b.num_rows
-            if rows >= TASK_SEGMENTS:
+        with tempfile.TemporaryDirectory() as folder:  # this task's own files
+            held, rows, last = Collection(folder, GRAM - window, window), [], None
+            for b in slices(released(batches), CHUNK):
                 key = b.column("key").to_numpy()
-                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-                if cut or (len(held) > 1 and held[-2].column("key")[-1].as_py() != key[0]):
-                    yield solve([*held[:-1], b.slice(0, cut)])
-                    held, rows = [b.slice(cut)], b.num_rows - cut
-        if rows:
-            yield solve(held)
+                at = 0
+                while at < b.num_rows:
+                    if held.rows < TASK_SEGMENTS:
+                        to = min(b.num_rows, at + TASK_SEGMENTS - held.rows)
+                    else:  # enough, once the last anchor is complete
+                        to = int(np.searchsorted(key, last, side="right"))
+                        if to <= at:
+                            yield solve(rows, held)
+                            held.clear()
+                            rows = []
+                            continue
+                    part = b.slice(at, to - at)
+                    held.add(part.column("bytes").to_pylist(), part.column("off").to_numpy().astype(np.int64))
+                    rows.append(part.select(names))
+                    at, last = to, key[to - 1]
+            if held.rows:
+                yield solve(rows, held)
+            held.close()
 
     return placed.mapInArrow(run, f"doc_id {kind}, h long, lo int, hi int")
 
 
-def _by_hash(segments: DataFrame, kind: str, window: int) -> DataFrame:
-    """The same for anchors of very many surroundings, by hashes of windows."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws = b.column("bytes").to_pylist()
-            n = b.column("n").to_numpy().astype(np.int64)
-            lengths = np.array([len(x) for x in raws], np.int64)
-            data = np.frombuffer(b"".join(raws), np.uint8)
-            at = np.repeat(np.arange(len(n)), n)
-            win = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            lo = np.repeat(np.cumsum(lengths) - lengths, n) + win
-            where = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id").take(where), b.column("h").take(where), pa.array(b.column("lo").to_numpy()[at] + win, pa.int32()),
-                    pa.array(signed(Sums(data, _A).span(lo, lo + window))), pa.array(signed(Sums(data, _B).span(lo, lo + window))),
-                ],
-                ["doc_id", "h", "i", "w1", "w2"],
-            )
-
-    wins = written(segments.mapInArrow(windows, f"doc_id {kind}, h long, i int, w1 long, w2 long"), "op6-windows").withColumn("ord", F.struct("doc_id", "h", "i"))
-    firsts = wins.groupBy("w1", "w2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
-    return wins.join(firsts.select("w1", "w2", "first"), ["w1", "w2"]).where("ord > first").select(
-        "doc_id", "h", F.col("i").alias("lo"), (F.col("i") + window).alias("hi")
-    )
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Columns of ``docs`` and ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_bytes``."""
     added = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
@@ -287,7 +333,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ).select(*rest, "__spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(released(batches)):
             sizes, gone, runs, kept = [], [], [], []
             for text, spans in zip(as_bytes(b.column("text")), b.column("__spans").to_pylist(), strict=True):
                 out, end, count, removed = [], 0, 0, 0

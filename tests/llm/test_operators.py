@@ -282,11 +282,51 @@ def test_6_bytes(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(op6_bwt, "TASK_SEGMENTS", 3)
     monkeypatch.setattr(op6_bwt, "PIECE", 150)
     assert run() == want
-    monkeypatch.setattr(op6_bwt, "MANY", 1)
-    assert run() == want
     assert op6_bwt.remove_repeats(empty).count() == 0
 
 
+def test_6_collections_in_files(tmp_path):
+    """Classes of equal windows of several anchors equal brute force; the transform has every symbol once."""
+    rng = np.random.default_rng(6)
+    window, segments, off, group = 100, [], [], []
+    for g in range(6):
+        middle = bytes(rng.integers(97, 99, 16).tolist())
+        for _ in range(rng.integers(1, 30)):
+            a, b = int(rng.integers(0, 85)), int(rng.integers(0, 85))
+            b = max(b, 84 - a)  # at least one window
+            segments.append(bytes(rng.choice([97, 98], a, p=[0.996, 0.004]).tolist()) + middle + bytes(rng.choice([97, 98], b, p=[0.996, 0.004]).tolist()))
+            off.append(a)
+            group.append(g)
+    held = op6_bwt.Collection(str(tmp_path), 16 - window, window)
+    for k in range(0, len(segments), 7):
+        held.add(segments[k : k + 7], np.array(off[k : k + 7]))
+    got = set()
+    for seg, win, cls in op6_bwt.equal_windows(np.array(group), held, np.array(off), window):
+        for c in set(cls.tolist()):
+            got.add(frozenset((int(s), int(w)) for s, w in zip(seg[cls == c], win[cls == c])))
+    want = {}
+    for s, x in enumerate(segments):
+        for w in range(min(off[s], len(x) - window) + 1):
+            if len(x) >= w + window:
+                want.setdefault((group[s], w - off[s], x[w : w + window]), set()).add((s, w))
+    assert got == {frozenset(v) for v in want.values() if len(v) > 1} and len(got) > 5
+    held.transform.seek(0)
+    symbols = np.frombuffer(held.transform.read(), np.uint16)
+    assert np.bincount(symbols, minlength=257)[1:].tolist() == np.bincount(np.frombuffer(b"".join(segments), np.uint8), minlength=256).tolist()
+
+
+def test_6_hot_anchor(spark):
+    """A passage of under a window that very many texts share, within different surroundings, and some copies of those."""
+    import random
+
+    rng = random.Random(3)
+    passage = "the very common passage of some eighty letters that stands in each of all the texts"
+    rows = [(k, fx.prose(rng, 12, 10**6) + passage + fx.prose(rng, 12, 10**6)) for k in range(400)]
+    rows += [(k + 400, rows[k * 7][1][30:] + fx.prose(rng, 5, 10**6)) for k in range(50)] + [(500, "Osas " * 200), (501, "Osas " * 90 + "x"), (502, None)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in op6_bwt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {d: v[:3] for d, v in fx.without_repeated_bytes(rows).items()}
+
+
 def test_7_words(spark, docs, empty):
     got = op7_recompress.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("s"))
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == fx.without_repeated_words(fx.corpus())
