@@ -54,16 +54,19 @@ def combinations(units: int, depth: int) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Non-negative x of least squared error of a @ x against b (active sets)."""
+    """Non-negative x of least squared error of a @ x against b, by active sets until no combination helps any more."""
     x = np.zeros(a.shape[1])
     active = np.zeros(a.shape[1], bool)
     scale = max(1.0, float(np.abs(b).max(initial=0)))
-    for _ in range(3 * a.shape[0]):
-        slope = a.T @ (b - a @ x)
+    error = np.inf
+    while True:
+        rest = b - a @ x
+        slope = a.T @ rest
         slope[active] = -np.inf
         k = int(np.argmax(slope))
-        if slope[k] <= 1e-9 * scale:
+        if active.all() or slope[k] <= 1e-9 * scale or rest @ rest >= error:  # every step lowers the error, up to rounding
             break
+        error = rest @ rest
         active[k] = True
         while True:
             at = np.flatnonzero(active)

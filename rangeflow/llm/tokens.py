@@ -258,8 +258,8 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
     """The same rows in batches of at most ``rows`` and about ``size`` bytes of text, which bounds what Python holds at a time."""
     for b in batches:
         ends = np.zeros(b.num_rows, np.int64)
-        if "text" in b.schema.names:
-            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy().astype(np.int64))
+        for c in {"text", "__text"} & set(b.schema.names):
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy().astype(np.int64))
         lo = before = 0
         while lo < b.num_rows:
             hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + size, side="right"))))
