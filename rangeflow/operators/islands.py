@@ -58,3 +58,27 @@ def trailing_count(df: DataFrame, keys: list[str], position: str, hit: Column, w
     """Hits with positions in ``(position - window, position]``."""
     w = by(keys, [position]).rangeBetween(-(window - 1), 0)
     return df.withColumn(name, F.sum(hit.cast("long")).over(w))
+
+
+def clipped_sum(df: DataFrame, keys: list[str], order: str, value: str, low: float, high: float, name: str, chunk: int = 4096) -> DataFrame:
+    """``keys, n, name``: values added in order from zero, clipped to ``[low, high]`` at each step.
+
+    A run of steps is one step: add, then clip to its own limits.  So runs of ``chunk`` positions are folded by themselves,
+    and then a key's runs; no array is longer than a chunk or a key's number of chunks.
+    """
+    clip = lambda x, lo, hi: F.greatest(lo, F.least(hi, x))
+
+    def fold(rows: Column) -> Column:
+        whole = F.struct(F.lit(0.0).alias("add"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+
+        def then(s: Column, x: Column) -> Column:
+            return F.struct((s["add"] + x["add"]).alias("add"), clip(s["lo"] + x["add"], x["lo"], x["hi"]).alias("lo"), clip(s["hi"] + x["add"], x["lo"], x["hi"]).alias("hi"))
+
+        return F.aggregate(rows, whole, then)
+
+    one = F.struct(F.col(order).alias("at"), F.col(value).alias("add"), F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"))
+    part = F.floor(F.col(order) / chunk).alias("_c")
+    runs = df.groupBy(*keys, part).agg(fold(F.array_sort(F.collect_list(one))).alias("f"), F.count(F.lit(1)).alias("n"))
+    each = F.array_sort(F.collect_list(F.struct(F.col("_c").alias("at"), "f.add", "f.lo", "f.hi")))
+    f = runs.groupBy(*keys).agg(fold(each).alias("f"), F.sum("n").alias("n"))
+    return f.select(*keys, "n", clip(F.col("f.add"), F.col("f.lo"), F.col("f.hi")).alias(name))

@@ -60,9 +60,13 @@ def radius_pairs(points: DataFrame, keys: list[str], axes: list[str], point_id:
     return met.select(*keys, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
 
 
-def any_match(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, how: str) -> DataFrame:
-    """Semi or anti join on keys and a condition."""
-    on = condition
-    for k in keys:
-        on = on & (left[k] == right[k])
-    return left.join(right, on, how)
+def near_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, reach: int, condition: Column) -> DataFrame:
+    """Pairs of rows of one key whose times lie within ``reach`` and that meet a condition.
+
+    Both sides meet in buckets of time, so a key with very many rows is dealt out, and no more pairs are formed than
+    lie in neighbouring buckets.  Columns of the two sides, but the keys, must differ.
+    """
+    bucket = lambda c: F.floor(F.col(c) / reach).cast("long")
+    a = left.withColumn("_b", F.explode(F.sequence(bucket(left_time) - 1, bucket(left_time) + 1)))
+    met = a.join(right.withColumn("_b", bucket(right_time)), [*keys, "_b"])
+    return met.where((F.abs(F.col(left_time) - F.col(right_time)) <= reach) & condition).drop("_b")

@@ -221,11 +221,11 @@ def stamp_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).groupBy("bag").agg(F.min(sec).alias("first_sec"), F.max(nano).alias("last_nano"), F.sum((sec * 1_000_000_000 + nano == ns).cast("int")).alias("whole"))
 
 
-@query(f"""WITH {FR}, k AS (SELECT bag, dist AS angle, i AS row FROM fr WHERE k % 5 = 0), q AS (SELECT bag, i, dist FROM fr), c AS (SELECT q.bag, q.i, k.row, row_number() OVER (PARTITION BY q.bag, q.i ORDER BY abs(k.angle - q.dist), k.angle) AS rn FROM q JOIN k USING (bag)) SELECT bag, i, "row" FROM c WHERE rn = 1""")
+@query(f"""WITH {FR}, k AS (SELECT bag, dist AS angle, min(i) AS row FROM fr WHERE k % 5 = 0 GROUP BY ALL), q AS (SELECT bag, i, dist FROM fr), c AS (SELECT q.bag, q.i, k.row, row_number() OVER (PARTITION BY q.bag, q.i ORDER BY abs(k.angle - q.dist), k.angle) AS rn FROM q JOIN k USING (bag)) SELECT bag, i, "row" FROM c WHERE rn = 1""")
 def nearest_table_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row of the nearest angle in a sorted table, the lower of two equally near: two running windows, no join."""
     fr = frames(spark, sf_dir)
-    table = fr.where("k % 5 = 0").select("bag", F.col("dist").alias("angle"), F.col("i").alias("row"))
+    table = fr.where("k % 5 = 0").groupBy("bag", F.col("dist").alias("angle")).agg(F.min("i").alias("row"))
     q = fr.select("bag", "i", F.col("dist").alias("angle"))
     return as_of_nearest(q, table, ["bag"], "angle", "row").where("row is not null").select("bag", "i", "row")
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.match import near_in_time
 from ..operators.quantiles import rank_quantiles
-from ..session import read_table
+from ..session import read_table, written
 from .views import FR, PT, band_sql, frames, points
 
 QUERIES: dict = {}
@@ -51,8 +52,12 @@ def _objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return o, c
 
 
-def _near(o: DataFrame, c: DataFrame):
-    return (o.bag == c.bag) & (F.abs(o.od - c.cd) <= 2 + 0.02 * o.od) & (F.abs(o.ot - c.ct) <= 259_200_000_000)
+_REACH = 259_200_000_000
+
+
+def _matched(o: DataFrame, c: DataFrame) -> DataFrame:
+    """Objects and candidates near in distance and time."""
+    return near_in_time(o, c, ["bag"], "ot", "ct", _REACH, F.abs(F.col("od") - F.col("cd")) <= 2 + 0.02 * F.col("od"))
 
 
 @query(f"""WITH {FR}, o AS (SELECT * FROM fr WHERE event_type = 'purchase'), c AS (SELECT * FROM fr WHERE event_type = 'click')
@@ -60,8 +65,9 @@ SELECT o.bag, o.event_id AS obj, count(c.event_id) AS matches, count(c.event_id)
 def theta_match_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects with any candidate near in distance and time."""
     o, c = _objects(spark, sf_dir)
-    j = o.join(c.withColumnRenamed("bag", "cbag"), (o.bag == F.col("cbag")) & (F.abs(o.od - c.cd) <= 2 + 0.02 * o.od) & (F.abs(o.ot - c.ct) <= 259_200_000_000), "left")
-    return j.groupBy("bag", "obj").agg(F.count("cand").alias("matches"), (F.count("cand") > 0).alias("hit"))
+    hits = _matched(o, c).groupBy("bag", "obj").agg(F.count("cand").alias("matches"))
+    j = o.select("bag", "obj").join(hits, ["bag", "obj"], "left").fillna(0, ["matches"])
+    return j.withColumn("hit", F.col("matches") > 0)
 
 
 @query(f"""WITH {FR}, o AS (SELECT * FROM fr WHERE event_type = 'purchase'), c AS (SELECT * FROM fr WHERE event_type = 'click')
@@ -69,14 +75,14 @@ SELECT bag, event_id AS cand FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.ba
 def fp_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that match no object."""
     o, c = _objects(spark, sf_dir)
-    return c.join(o, _near(o, c), "left_anti").select("bag", "cand")
+    return c.select("bag", "cand").join(_matched(o, c), ["bag", "cand"], "left_anti")
 
 
 @query(f"""WITH {FR}, o AS (SELECT * FROM fr WHERE event_type = 'purchase'), c AS (SELECT * FROM fr WHERE event_type = 'click')
 SELECT bag, event_id AS cand FROM c WHERE EXISTS (SELECT 1 FROM o WHERE o.bag = c.bag AND {_NEAR})""")
 def beside_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = _objects(spark, sf_dir)
-    return c.join(o, _near(o, c), "left_semi").select("bag", "cand")
+    return c.select("bag", "cand").join(_matched(o, c), ["bag", "cand"], "left_semi")
 
 
 @query(f"""WITH {FR}, c AS (SELECT bag, event_id, dist, t FROM fr WHERE event_type = 'click')
@@ -84,9 +90,8 @@ SELECT bag, event_id AS cand FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.
 def isolation_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with no other near."""
     _, c = _objects(spark, sf_dir)
-    o = c.select(F.col("bag").alias("ob"), F.col("cand").alias("oc"), F.col("cd").alias("od"), F.col("ct").alias("ot"))
-    near = (c.bag == o.ob) & (c.cand != o.oc) & (F.abs(o.od - c.cd) <= 2 + 0.02 * o.od) & (F.abs(o.ot - c.ct) <= 259_200_000_000)
-    return c.join(o, near, "left_anti").select("bag", "cand")
+    o = c.select("bag", F.col("cand").alias("obj"), F.col("cd").alias("od"), F.col("ct").alias("ot"))
+    return c.select("bag", "cand").join(_matched(o, c).where("cand <> obj"), ["bag", "cand"], "left_anti")
 
 
 @query(f"""WITH {FR}, run AS (SELECT bag, i, status = 'detected' AS hit FROM fr WHERE k % 9 <> 0), ref AS (SELECT bag, i, dist > 300 AS hit FROM fr WHERE k % 8 <> 0)
@@ -125,22 +130,20 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT o_orderkey AS id FROM orders EXCEPT SELECT l_orderkey FROM lineitem), y AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM m)
 SELECT min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM y GROUP BY g""")
 def missing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of consecutive missing ids, numbered within id ranges so that no task holds them all."""
+    """Runs of consecutive missing ids: within blocks of ids, then over the blocks' edges, of which there are two rows a block."""
+    size = 1_000_000
     m = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).distinct().join(read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")), "id", "left_anti")
-    prev = m.select((F.col("id") + 1).alias("id"), F.lit(True).alias("after"))
-    starts = m.join(prev, "id", "left").where("after is null").select(F.col("id").alias("first_id"))
-    ends = m.join(m.select((F.col("id") - 1).alias("id"), F.lit(True).alias("before")), "id", "left").where("before is null").select(F.col("id").alias("last_id"))
-    s = starts.select(F.col("first_id").alias("id"), F.lit(0).alias("end")).union(ends.select("last_id", F.lit(1)))
-    # the k-th start belongs to the k-th end: within blocks of ids a start is followed by its end, or the block's edge
-    block = F.floor(F.col("id") / 1_000_000)
-    w = Window.partitionBy(block).orderBy("id", "end")
-    p = s.withColumn("nxt", F.lead("id").over(w)).withColumn("kind", F.lead("end").over(w))
-    whole = p.where("end = 0 and kind = 1").select(F.col("id").alias("first_id"), F.col("nxt").alias("last_id"))
-    cut = p.where("end = 0 and kind is null").select(F.col("id").alias("first_id"))
-    rest = ends.join(whole, "last_id", "left_anti")
-    crossing = cut.join(rest, F.col("last_id") >= F.col("first_id")).groupBy("first_id").agg(F.min("last_id").alias("last_id"))  # one a block edge at most
-    out = whole.unionByName(crossing)
-    return out.select("first_id", "last_id", (F.col("last_id") - F.col("first_id") + 1).alias("n"))
+    m = m.withColumn("block", F.floor(F.col("id") / size).cast("long"))
+    w = Window.partitionBy("block").orderBy("id")
+    new = F.coalesce((F.col("id") - F.lag("id").over(w) > 1).cast("long"), F.lit(1).cast("long"))
+    r = m.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = written(r.groupBy("block", "run").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")), "missing-runs")
+    edge = (F.col("first_id") % size == 0) | (F.col("last_id") % size == size - 1)
+    e = Window.orderBy("first_id")
+    tied = runs.where(edge).withColumn("new", F.coalesce((F.col("first_id") - F.lag("last_id").over(e) > 1).cast("long"), F.lit(1).cast("long")))
+    tied = tied.withColumn("chain", F.sum("new").over(e.rowsBetween(Window.unboundedPreceding, 0))).groupBy("chain").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+    out = runs.where(~edge).select("first_id", "last_id").unionByName(tied.select("first_id", "last_id"))
+    return out.withColumn("n", F.col("last_id") - F.col("first_id") + 1)
 
 
 @query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), p AS (SELECT p_partkey AS k FROM part)

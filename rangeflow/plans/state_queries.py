@@ -82,21 +82,31 @@ def fusion_tracks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stream(spark, src, lambda s: stream_fold(s, fused))
 
 
+def run_windows(spark: SparkSession, source: DataFrame, plan) -> DataFrame:
+    """Windows over ``ts`` of a table streamed through ``plan`` in append mode to a table of its own.
+
+    The watermark only evicts: it lags by 400 days, so nothing is late.  A last row, 900 days after all others and with null
+    columns but ``ts``, moves it past every window, which are then written; its own window never is.
+    """
+    last = source.agg((F.max("ts") + F.expr("interval 900 days")).alias("ts"))
+    src = written(source.unionByName(last, allowMissingColumns=True).coalesce(1), "stream-in")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = plan(spark.readStream.schema(src.schema).parquet(src.written_path).withWatermark("ts", "400 days"))
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 @query
 def windowed_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status counts by day of event time as a stream with a watermark that only evicts state."""
     fr = frames(spark, sf_dir).select(F.timestamp_micros("t").alias("ts"), "status")
 
     def plan(s: DataFrame) -> DataFrame:
-        g = s.withWatermark("ts", "400 days").groupBy(F.window("ts", "1 day").alias("w"), "status").agg(F.count(F.lit(1)).alias("n"))
+        g = s.groupBy(F.window("ts", "1 day").alias("w"), "status").agg(F.count(F.lit(1)).alias("n"))
         return g.select(F.unix_micros("w.start").alias("day"), "status", "n")
 
-    src = written(fr, "stream-in")
-    name = f"windowed_{uuid.uuid4().hex}"
-    stream = plan(spark.readStream.schema(src.schema).parquet(src.written_path))
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return run_windows(spark, fr, plan)
 
 
 ORACLE_SQL["windowed_status_stream"] = """SELECT epoch_us(date_trunc('day', ts)) AS day, CASE event_type WHEN 'error' THEN 'detected' WHEN 'signup' THEN 'unknown' ELSE 'clear' END AS status, count(*) AS n FROM events GROUP BY ALL"""
@@ -125,14 +135,13 @@ ORACLE_SQL["reset_epochs_stream"] = stream_queries.ORACLE_SQL["reset_epochs"]
 @query
 def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a stream by a gap of six hours; the watermark is longer than the data, so nothing is late."""
-    src = written(frames(spark, sf_dir).select("bag", F.timestamp_micros("t").alias("ts"), "dist"), "stream-in")
-    name = f"sessions_{uuid.uuid4().hex}"
-    s = spark.readStream.schema(src.schema).parquet(src.written_path).withWatermark("ts", "400 days")
-    g = s.groupBy("bag", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist"), 4).alias("total"))
-    out = g.select("bag", F.unix_micros("w.start").alias("t_first"), "n", "total")
-    q = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    src = frames(spark, sf_dir).select("bag", F.timestamp_micros("t").alias("ts"), "dist")
+
+    def plan(s: DataFrame) -> DataFrame:
+        g = s.groupBy("bag", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist"), 4).alias("total"))
+        return g.select("bag", F.unix_micros("w.start").alias("t_first"), "n", "total")
+
+    return run_windows(spark, src, plan)
 
 
 ORACLE_SQL["sessions_stream"] = f"SELECT bag, t_first, n, total FROM ({stream_queries.ORACLE_SQL['sessions_by_gap']})"

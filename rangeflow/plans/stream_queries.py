@@ -206,9 +206,8 @@ SELECT bag, n, round(list_reduce(gains, lambda a, x: greatest(-2e0, least(6e0, a
 def llr_clipped_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of a recording's frames in order, clipped to [-2, 6] at each step."""
     gain = F.when(F.col("status") == "detected", 2.0 * F.greatest(F.lit(0.3), F.least(F.lit(1.0), F.col("dist") / 400.0))).when(F.col("k") % 5 == 0, -1.5).otherwise(-0.8)
-    s = frames(spark, sf_dir).groupBy("bag").agg(F.array_sort(F.collect_list(F.struct("i", gain.alias("g")))).alias("s"), F.count(F.lit(1)).alias("n"))
-    fold = F.aggregate("s", F.lit(0.0), lambda a, x: F.greatest(F.lit(-2.0), F.least(F.lit(6.0), a + x["g"])))
-    return s.select("bag", "n", F.round(fold, 6).alias("llr"))
+    s = frames(spark, sf_dir).select("bag", "i", gain.alias("gain"))
+    return isl.clipped_sum(s, ["bag"], "i", "gain", -2.0, 6.0, "llr").withColumn("llr", F.round("llr", 6))
 
 
 @query(f"""WITH {FR} SELECT bag, i, sum((status = 'detected')::INT) OVER (PARTITION BY bag ORDER BY i RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)::BIGINT AS hits FROM fr""")
