@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sqlite3
 import uuid
 
 import numpy as np
@@ -9,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources.clouds import decode_headers, decode_points, explode_points, write_cloud
+from ..sources.recordings import completeness, count_messages, message_at, topic_counts, unpack
 from .views import FR, PT, frames, points
 
 QUERIES: dict = {}
@@ -72,3 +74,55 @@ def json_log_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     skipped = read_results(spark, path, "skip").select("bag", "status", "distance_m")
     a = kept.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_corrupt").isNotNull() & F.col("status").isNull()).alias("corrupt")).select(F.lit("keep").alias("mode"), "n", "corrupt")
     return a.union(skipped.where("status is not null").agg(F.count(F.lit(1)).alias("n")).select(F.lit("skip").alias("mode"), "n", F.lit(0).cast("long").alias("corrupt")))
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as an SQLite log ``path, content`` of two topics, every seventh cut short; made in executors' memory."""
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        bag = int(frame["bag"].iloc[0])
+        db = sqlite3.connect(":memory:")
+        db.execute("create table topics (id integer primary key, name text)")
+        db.execute("create table messages (id integer primary key, topic_id integer, timestamp integer, data blob)")
+        db.executemany("insert into topics values (?, ?)", [(1, "/points"), (2, "/status")])
+        rows = [(int(r.i), 1 if r.k % 3 else 2, int(r.t), str(r.event_id).encode()) for r in frame.itertuples()]
+        db.executemany("insert into messages values (?, ?, ?, ?)", rows)
+        db.commit()
+        content = db.serialize()
+        db.close()
+        return pd.DataFrame([{"path": f"bag_{bag}", "content": content[:3000] if bag % 7 == 6 else content}])
+
+    return frames(spark, sf_dir).select("bag", "i", "t", "k", "event_id").groupBy("bag").applyInPandas(pack, "path string, content binary")
+
+
+_LOG = "g AS (SELECT 'bag_' || bag::VARCHAR AS bag, CASE WHEN k % 3 <> 0 THEN '/points' ELSE '/status' END AS topic, i, t, event_id FROM fr WHERE bag % 7 <> 6)"
+
+
+@query(f"""WITH {FR}, {_LOG} SELECT bag, topic, row_number() OVER (PARTITION BY bag ORDER BY t, i) - 1 AS i, t AS bag_time_ns, event_id::VARCHAR AS data, false AS broken FROM g UNION ALL SELECT DISTINCT 'bag_' || bag::VARCHAR, NULL, NULL, NULL, NULL, true FROM fr WHERE bag % 7 = 6""")
+def recording_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of SQLite logs in the order of storage; a broken log stays as a row."""
+    m = unpack(written(recordings(spark, sf_dir), "logs"))
+    return m.select("bag", "topic", "i", "bag_time_ns", F.decode("raw", "utf-8").alias("data"), F.col("error").isNotNull().alias("broken"))
+
+
+@query(f"""WITH {FR}, {_LOG}, n AS (SELECT bag, topic, count(*) AS n FROM g GROUP BY ALL), x AS (SELECT *, n + CASE WHEN topic = '/status' THEN 1 ELSE 0 END AS expected FROM n) SELECT bag, topic, n, expected, ceil(expected / 2e0)::BIGINT AS wanted, false AS complete FROM x WHERE n <> ceil(expected / 2e0)
+UNION ALL SELECT bag, topic, n, expected, ceil(expected / 2e0)::BIGINT, true FROM x WHERE n = ceil(expected / 2e0)""")
+def recording_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts pushed into each log, held against what its manifest tells, of which every second is wanted."""
+    c = count_messages(written(recordings(spark, sf_dir), "logs")).where("error is null and n > 0").withColumnRenamed("bag", "folder")
+    e = c.select("folder", "topic", (F.col("n") + F.when(F.col("topic") == "/status", 1).otherwise(0)).alias("expected"))
+    return completeness(c, e, 2).withColumnRenamed("folder", "bag")
+
+
+@query(f"""WITH {FR}, {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY bag, topic ORDER BY t, i) - 1 AS n FROM g) SELECT bag, t AS bag_time_ns, event_id::VARCHAR AS data FROM r WHERE topic = '/points' AND n = 7""")
+def recording_message_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eighth message of a topic of each log, fetched by offset."""
+    m = message_at(written(recordings(spark, sf_dir), "logs"), "/points", 7).where("error is null")
+    return m.select("bag", "bag_time_ns", F.decode("raw", "utf-8").alias("data"))
+
+
+@query(f"""WITH {FR}, {_LOG} SELECT bag, topic, count(*) AS n, 0 AS backward FROM g GROUP BY ALL""")
+def recording_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of each log and topic, and steps back in time, of which an ordered log has none."""
+    return topic_counts(unpack(written(recordings(spark, sf_dir), "logs")))

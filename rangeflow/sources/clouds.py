@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Field type codes of the wire format, as NumPy type strings.
 KINDS = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 8: "f8"}
 MAX_FIELDS = 1024
+#: Fields that are one number a point.
+SCALARS = ("x", "y", "z", "intensity", "ring")
 POINT = "array<struct<slot:long,x:float,y:float,z:float,intensity:float,ring:int>>"
 
 
@@ -30,8 +32,10 @@ class Reader:
     def __init__(self, raw: bytes) -> None:
         if len(raw) < 4:
             raise CloudError("no header")
+        if raw[0] or raw[1] > 1:
+            raise CloudError(f"encapsulation {raw[:2].hex()}")
         self.raw, self.at = raw, 4
-        self.order = "<" if raw[1] & 1 else ">"
+        self.order = "<" if raw[1] else ">"
 
     def number(self, kind: str) -> int:
         size = struct.calcsize(kind)
@@ -83,7 +87,11 @@ def read_cloud(raw: bytes) -> dict:
         one = np.dtype((">" if big else "<") + KINDS[kind])
         if offset + one.itemsize * max(1, count) > step:
             raise CloudError(f"field {name} beyond the point")
+        if name in SCALARS and count > 1:
+            raise CloudError(f"field {name} is an array")
         formats.append(one if count <= 1 else (one, (count,)))
+    if not step:
+        raise CloudError("points of no size")
     kind = np.dtype({"names": names, "formats": formats, "offsets": [f[1] for f in fields], "itemsize": step})
     height, width = out["height"], out["width"]
     line = row if height > 1 and row != width * step else width * step
@@ -139,7 +147,7 @@ def decode_headers(messages: DataFrame, raw: str = "raw") -> DataFrame:
                 try:
                     stamp, name = read_header(m or b"")
                     error = None
-                except CloudError as e:
+                except ValueError as e:
                     stamp, name, error = None, None, str(e)
                 stamps.append(stamp)
                 ids.append(name)
@@ -151,20 +159,27 @@ def decode_headers(messages: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def decode_points(messages: DataFrame, raw: str = "raw") -> DataFrame:
-    """One row a message with its ``points``; missing optional fields are null, NaN becomes null."""
+    """One row a message with its ``points``; missing optional fields are null, NaN becomes null.
+
+    A ring that is no whole number of 32 bits is null.
+    """
     rest = [c for c in messages.columns if c != raw]
 
     def column(p: np.ndarray, name: str, kind: pa.DataType) -> pa.Array:
         if name not in (p.dtype.names or ()):
             return pa.nulls(len(p), kind)
-        return pa.array(np.ascontiguousarray(p[name].astype(p[name].dtype.newbyteorder("="))), from_pandas=True).cast(kind)
+        values = np.ascontiguousarray(p[name].astype(p[name].dtype.newbyteorder("=")))
+        if kind == pa.int32():
+            fits = (values >= -(2**31)) & (values < 2**31) & (values == np.floor(values))
+            return pa.array(np.where(fits, values, 0).astype(np.int32), mask=~fits)
+        return pa.array(values.astype(np.float32), from_pandas=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, m in enumerate(b.column(raw).to_pylist()):
                 try:
                     c, error = read_cloud(m or b""), None
-                except CloudError as e:
+                except ValueError as e:
                     c, error = {"stamp_ns": None, "frame_id": None, "points": np.empty(0, [("x", "f4")])}, str(e)
                 p = c["points"]
                 names = [("slot", pa.int64()), *((n, pa.float32()) for n in ("x", "y", "z", "intensity")), ("ring", pa.int32())]

@@ -23,47 +23,113 @@ def read_results(spark: SparkSession, path: str, corrupt: str = "keep") -> DataF
     return spark.read.schema(schema).json(path, mode=mode, columnNameOfCorruptRecord="_corrupt")
 
 
-def find_recordings(spark: SparkSession, root: str) -> DataFrame:
-    """``path, bytes, modified`` of message logs below a folder, hidden ones left out, read by no one yet."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.db3").load(root)
-    return files.where(~F.col("path").rlike(r"/\.")).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+def ordered_results(spark: SparkSession, path: str, corrupt: str = "keep") -> DataFrame:
+    """A result log in order of recording and frame."""
+    return read_results(spark, path, corrupt).orderBy("bag", "frame_index")
+
+
+#: Changes when what is kept of a file changes, so that manifests of older code are made again.
+MANIFEST_VERSION = 2
+
+
+def find_recordings(spark: SparkSession, root: str, max_depth: int = 5) -> DataFrame:
+    """``path, bytes, modified, version, depth`` of message logs below a folder, read by no one yet.
+
+    Hidden files and folders are left out, as are logs more than ``max_depth`` folders down, and logs inside a folder of
+    another recording (one with a ``metadata.yaml``).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{*.db3,metadata.yaml}").load(root)
+    top = root.rstrip("/").split(":")[-1].lstrip("/") + "/"
+    below = F.substring_index("path", top, -1)
+    f = files.where(~F.col("path").rlike(r"/\.")).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), below.alias("below"))
+    f = f.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).withColumn("depth", F.size(F.split("below", "/")) - 1)
+    homes = f.where(F.col("path").endswith("/metadata.yaml")).select(F.col("folder").alias("home")).distinct()
+    logs = f.where(F.col("path").endswith(".db3") & (F.col("depth") <= max_depth))
+    # a log is inside another recording if one of the folders above its own has a manifest
+    parts = F.split("folder", "/")
+    above = logs.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("home"))
+    inside = above.join(homes, "home", "left_semi").select("path").distinct()
+    return logs.join(inside, "path", "left_anti").select("path", "bytes", "modified", F.lit(MANIFEST_VERSION).alias("version"), "depth")
 
 
 def changed(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files that the manifest does not have with this size and time."""
-    return found.join(manifest.select("path", "bytes", "modified"), ["path", "bytes", "modified"], "left_anti")
+    """Files that the manifest does not have with this size, time and version."""
+    key = ["path", "bytes", "modified", "version"]
+    return found.join(manifest.select(*key), key, "left_anti")
+
+
+def expected_counts(spark: SparkSession, root: str) -> DataFrame:
+    """``folder, topic, kind, expected`` of the topics that recordings' ``metadata.yaml`` list."""
+    text = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.yaml").load(root)
+    topics = F.regexp_extract_all(F.decode("content", "utf-8"), F.lit(r"(topic_metadata:\s+name: [^\n]*(?:\n(?!\s*- topic_metadata)[^\n]*)*)"), F.lit(1))
+    t = text.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.explode(topics).alias("t"))
+    field = lambda name: F.trim(F.regexp_extract("t", rf"\b{name}: *'?\"?([^\s'\"]+)", 1))
+    return t.select("folder", field("name").alias("topic"), field("type").alias("kind"), field("message_count").cast("long").alias("expected"))
+
+
+def completeness(counts: DataFrame, expected: DataFrame, stride: int = 1) -> DataFrame:
+    """``folder, topic, n, expected, wanted, complete``: what was read of what a recording's manifest tells."""
+    wanted = F.ceil(F.col("expected") / stride).cast("long")
+    j = expected.join(counts.groupBy("folder", "topic").agg(F.sum("n").alias("n")), ["folder", "topic"], "left").fillna(0, ["n"])
+    return j.select("folder", "topic", "n", "expected", wanted.alias("wanted"), (F.col("n") == wanted).alias("complete"))
 
 
 def read_messages(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
     """``bag, topic, i, bag_time_ns, raw, error``: messages of SQLite logs in the order of storage.
 
-    Files come through Spark's reader, so any store serves.  ``topic`` is pushed into each file's
-    query.  A file that is no log becomes one row with ``error``.
+    Files come through Spark's reader, so any store serves; that reader takes files of up to 2 GB, so larger
+    logs become rows with ``error``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.db3").load(path)
+    big = F.col("length") >= (1 << 31) - 1
+    none = F.lit(None)
+    late = files.where(big).select(F.col("path").alias("bag"), none.cast("string").alias("topic"), none.cast("long").alias("i"), none.cast("long").alias("bag_time_ns"), none.cast("binary").alias("raw"), F.lit("over 2 GB").alias("error"))
+    return unpack(files.where(~big).select("path", "content"), topic).unionByName(late)
+
+
+def _queried(files: DataFrame, sql: str, args: tuple, names: list[str], kinds: list[pa.DataType], fields: str, numbered: bool) -> DataFrame:
+    """Rows of a query on each SQLite log ``path, content``, with the log's path before them; a file that is no log becomes a row with ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bag", "topic", "i", "bag_time_ns", "raw", "error"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 db = sqlite3.connect(":memory:")
                 try:
                     db.deserialize(content)
-                    sql = "select t.name, m.timestamp, m.data from messages m join topics t on t.id = m.topic_id" + (" where t.name = ?" if topic else "") + " order by m.timestamp, m.id"
-                    cursor = db.execute(sql, (topic,) if topic else ())
+                    cursor = db.execute(sql, args)
                     i = 0
                     while rows := cursor.fetchmany(64):
-                        n = len(rows)
-                        cols = [[name] * n, [r[0] for r in rows], list(range(i, i + n)), [r[1] for r in rows], [r[2] for r in rows], [None] * n]
+                        cols = [[name] * len(rows), *([list(c) for c in zip(*rows)]), [None] * len(rows)]
+                        if numbered:
+                            cols.insert(2, list(range(i, i + len(rows))))
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-                        i += n
-                except sqlite3.DatabaseError as e:
-                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip([name, None, None, None, None, str(e)], kinds, strict=True)], names)
+                        i += len(rows)
+                except sqlite3.Error as e:
+                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip([name, *[None] * (len(names) - 2), str(e)], kinds, strict=True)], names)
                 finally:
                     db.close()
 
-    return files.select("path", "content").mapInArrow(run, "bag string, topic string, i long, bag_time_ns long, raw binary, error string")
+    return files.select("path", "content").mapInArrow(run, fields)
+
+
+def unpack(files: DataFrame, topic: str | None = None) -> DataFrame:
+    """Messages of SQLite logs ``path, content``, as ``read_messages`` gives them; ``topic`` is pushed into each log's query."""
+    sql = "select t.name, m.timestamp, m.data from messages m join topics t on t.id = m.topic_id" + (" where t.name = ?" if topic else "") + " order by m.timestamp, m.id"
+    names, kinds = ["bag", "topic", "i", "bag_time_ns", "raw", "error"], [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+    return _queried(files, sql, (topic,) if topic else (), names, kinds, "bag string, topic string, i long, bag_time_ns long, raw binary, error string", True)
+
+
+def count_messages(files: DataFrame, topic: str | None = None) -> DataFrame:
+    """``bag, topic, n, error`` counted by each log itself: no message is read."""
+    sql = "select t.name, count(m.id) from topics t left join messages m on t.id = m.topic_id" + (" where t.name = ?" if topic else "") + " group by t.name"
+    return _queried(files, sql, (topic,) if topic else (), ["bag", "topic", "n", "error"], [pa.string(), pa.string(), pa.int64(), pa.string()], "bag string, topic string, n long, error string", False)
+
+
+def message_at(files: DataFrame, topic: str, index: int) -> DataFrame:
+    """The ``index``-th message of a topic of each log, found by the log's own order and offset."""
+    sql = "select t.name, m.timestamp, m.data from messages m join topics t on t.id = m.topic_id where t.name = ? order by m.timestamp, m.id limit 1 offset ?"
+    names, kinds = ["bag", "topic", "bag_time_ns", "raw", "error"], [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    return _queried(files, sql, (topic, index), names, kinds, "bag string, topic string, bag_time_ns long, raw binary, error string", False)
 
 
 def topic_counts(messages: DataFrame) -> DataFrame:
@@ -75,7 +141,7 @@ def topic_counts(messages: DataFrame) -> DataFrame:
 
 def pick_topic(counts: DataFrame, wanted: str | None = None) -> str:
     """The topic asked for, or the only one; several are an error."""
-    names = sorted(r.topic for r in counts.select("topic").distinct().limit(100).collect())
+    names = sorted(r.topic for r in counts.select("topic").distinct().collect())  # a recording's topics, a few dozen names
     if wanted is not None:
         if wanted not in names:
             raise ValueError(f"no topic {wanted}; there are {names}")
@@ -83,3 +149,13 @@ def pick_topic(counts: DataFrame, wanted: str | None = None) -> str:
     if len(names) != 1:
         raise ValueError(f"choose one of {names}")
     return names[0]
+
+
+def inspect(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """``topic, n, problem, note``: a recording that lacks messages or topics has a problem, steps back in time are noted."""
+    e = expected.groupBy("topic").agg(F.sum("expected").alias("expected"))
+    c = counts.groupBy("topic").agg(F.sum("n").alias("n"), F.sum("backward").alias("backward"))
+    j = e.join(c, "topic", "full").fillna(0, ["n", "backward"])
+    problem = F.when(F.col("n") == 0, "no messages").when(F.col("expected").isNull(), "not in the manifest").when(F.col("n") < F.col("expected"), "messages missing")
+    note = F.when(F.col("backward") > 0, F.concat(F.col("backward").cast("string"), F.lit(" steps back in time"))).when(F.col("n") > F.col("expected"), "more than the manifest tells")
+    return j.select("topic", "n", problem.alias("problem"), note.alias("note"))

@@ -139,6 +139,36 @@ def test_cloud_round_trip_and_errors(spark, big):
     assert all(got[k].error and not got[k].points for k in (1, 2, 3))
 
 
+def test_malformed_clouds_are_rows(spark):
+    """Whatever is wrong with a message, it becomes a row with an error; odd rings become null."""
+    import random
+    import struct
+
+    p = np.zeros(2, [("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("ring", "<f4")])
+    p["ring"] = [1.5, 7]
+    good = clouds.write_cloud(5, "f", p)
+    huge = np.zeros(1, [("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("ring", "<u4")])
+    huge["ring"] = 2**31 + 1
+    bad = [b"\0\3" + good[2:], b"\1\1" + good[2:], b"", b"\0\1", good[:-30], good.replace(struct.pack("<I", 0) + b"\x07", struct.pack("<I", 0) + b"\x63", 1)]
+    array = clouds.write_cloud(5, "f", p)
+    at = array.index(b"x\0") + 2
+    at += -(at - 4) % 4 + 4 + 1  # past the offset and the kind
+    at += -(at - 4) % 4
+    bad.append(array[:at] + struct.pack("<I", 2) + array[at + 4 :])
+    rng = random.Random(3)
+    noise = []
+    for _ in range(200):
+        b = bytearray(good)
+        for _ in range(rng.randrange(1, 4)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        noise.append(bytes(b[: rng.randrange(1, len(b) + 1)]) if rng.random() < 0.3 else bytes(b))
+    df = spark.createDataFrame([(k, m) for k, m in enumerate([good, clouds.write_cloud(1, "g", huge), *bad, *noise])], "k long, raw binary")
+    got = {r.k: r for r in clouds.decode_points(df).collect()}
+    assert len(got) == 2 + len(bad) + len(noise) and [x.ring for x in got[0].points] == [None, 7] and got[1].points[0].ring is None
+    assert all(got[2 + k].error for k in range(len(bad)))
+    assert clouds.decode_headers(df).count() == len(got)
+
+
 def test_recordings(spark, tmp_path):
     import sqlite3
 
@@ -161,6 +191,71 @@ def test_recordings(spark, tmp_path):
         recordings.pick_topic(counts)
     found = recordings.find_recordings(spark, root)
     assert found.count() == 2 and recordings.changed(found, found).count() == 0
+    assert recordings.changed(found, found.withColumn("version", F.lit(1))).count() == 2
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.db3").load(root + "/a").select("path", "content")
+    counted = {(r.topic, r.n) for r in recordings.count_messages(files).where("error is null").collect()}
+    assert counted == {("/p", 2), ("/q", 1)} and recordings.count_messages(files).where("error is not null").count() == 1
+    assert [bytes(r.raw) for r in recordings.message_at(files, "/p", 1).where("error is null").collect()] == [b"a"]
+    assert recordings.message_at(files, "/p", 2).where("error is null").count() == 0
+
+
+METADATA = """rosbag2_bagfile_information:
+  version: 5
+  storage_identifier: sqlite3
+  topics_with_message_count:
+    - topic_metadata:
+        name: /p
+        type: sensor_msgs/msg/PointCloud2
+        serialization_format: cdr
+      message_count: 3
+    - topic_metadata:
+        name: '/q'
+        type: std_msgs/msg/String
+      message_count: 1
+"""
+
+
+def test_manifests_and_discovery(spark, tmp_path):
+    """Counts that manifests tell, logs inside another recording or too far down left out, completeness and findings."""
+    for place in ("one", "one/inner", "a/b/c/d/e", ".hidden", "two"):
+        (tmp_path / place).mkdir(parents=True)
+        (tmp_path / place / "x.db3").write_bytes(b"x")
+    (tmp_path / "one" / "metadata.yaml").write_text(METADATA)
+    root = f"file://{tmp_path}"
+    assert sorted(r.path.split(str(tmp_path))[-1] for r in recordings.find_recordings(spark, root, 4).collect()) == ["/one/x.db3", "/two/x.db3"]
+    assert recordings.find_recordings(spark, root, 5).count() == 3
+    e = recordings.expected_counts(spark, root)
+    assert sorted((r.topic, r.kind, r.expected) for r in e.collect()) == [("/p", "sensor_msgs/msg/PointCloud2", 3), ("/q", "std_msgs/msg/String", 1)]
+    folder = e.first().folder
+    counts = spark.createDataFrame([(folder, "/p", 2, 1), (folder, "/r", 1, 0)], "folder string, topic string, n long, backward long")
+    got = {r.topic: (r.n, r.wanted, r.complete) for r in recordings.completeness(counts, e, 2).collect()}
+    assert got == {"/p": (2, 2, True), "/q": (0, 1, False)}
+    found = {r.topic: (r.problem, r.note) for r in recordings.inspect(counts, e).collect()}
+    assert found == {"/p": ("messages missing", "1 steps back in time"), "/q": ("no messages", None), "/r": ("not in the manifest", None)}
+
+
+def test_json_modes_and_order(spark, tmp_path):
+    lines = ['{"bag": "b", "frame_index": 2, "status": "clear"}', '{"bag": "b", "frame_index', '{"bag": "a", "frame_index": 1}', '{"bag": "b", "frame_index": 0}']
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    path = f"file://{tmp_path}/log.jsonl"
+    assert [(r.bag, r.frame_index) for r in recordings.ordered_results(spark, path, "skip").collect() if r.bag] == [("a", 1), ("b", 0), ("b", 2)]
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        recordings.read_results(spark, path, "fail").collect()
+
+
+def test_overrides_and_globs():
+    from rangeflow.config import Thresholds, parse_override
+    from rangeflow.functions.columns import glob_pattern
+
+    assert parse_override("roi_l=0.5") == ("roi_l", 0.5) and parse_override("a=[1, 2]") == ("a", (1, 2)) and parse_override("a=b=c") == ("a", "b=c")
+    with pytest.raises(ValueError):
+        parse_override("nothing")
+    with pytest.raises(KeyError):
+        Thresholds.from_mapping({"unheard": 1})
+    import re
+
+    for pattern, yes, no in (("a*.b?", ["a.bc", "axx.bz"], ["a.b", "xa.bc"]), ("[ab]c", ["ac", "bc"], ["cc"]), ("[!a]", ["b"], ["a"]), ("x.y", ["x.y"], ["xzy"])):
+        assert all(re.match(glob_pattern(pattern), x) for x in yes) and not any(re.match(glob_pattern(pattern), x) for x in no)
 
 
 def test_sinks(spark, tmp_path):
@@ -168,3 +263,27 @@ def test_sinks(spark, tmp_path):
     sinks.write_json_log(df, f"file://{tmp_path}/log")
     assert sorted(tuple(r) for r in spark.read.schema("k int, x double").json(f"file://{tmp_path}/log").fillna(-1.0).collect()) == [(1, -1.0), (2, 3.0)]
     assert sinks.markdown(df.fillna(0.0), ["k"]).splitlines()[0] == "| k | x |"
+    run = spark.createDataFrame([("a", 0, "clear", 5.0), ("a", 1, "detected", 7.0), ("b", 0, "unknown", float("nan"))], "bag string, frame_index long, status string, processing_ms double")
+    assert sinks.write_run(run, 3, f"file://{tmp_path}/run")["exit"] == 0
+    out = sinks.write_run(run, 4, f"file://{tmp_path}/run")
+    assert out["exit"] == 3 and (out["n_done"], out["detected"], out["unknown"]) == (3, 1, 1)
+    assert spark.read.json(f"file://{tmp_path}/run/frames").count() == 3
+    labels = spark.createDataFrame([("s", 1, [(5, True)])], "scene string, frame long, objects array<struct<id:long,is_obstacle:boolean>>")
+    slots = spark.createDataFrame([("s", 1, 7, 5)], "scene string, frame long, slot long, obj_id long")
+    sinks.write_labels(labels, slots, f"file://{tmp_path}/set")
+    assert spark.read.json(f"file://{tmp_path}/set/labels").select("objects.id").first()[0] == [5] and spark.read.parquet(f"file://{tmp_path}/set/slot_labels").count() == 1
+    text = sinks.report("Run", {"first": (df.fillna(0.0), ["k"]), "second": (run.select("bag").distinct(), ["bag"])})
+    assert text.index("# Run") < text.index("## first") < text.index("| 1 |") < text.index("## second") < text.index("| a |")
+
+
+def test_clipped_sums_in_chunks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, k, float(x)) for g in range(3) for k, x in enumerate(rng.normal(0, 2, 200))]
+    df = spark.createDataFrame(rows, "g int, i long, v double").repartition(7)
+    for chunk in (4096, 7):
+        got = {r.g: (r.n, r.s) for r in islands.clipped_sum(df, ["g"], "i", "v", -2.0, 6.0, "s", chunk).collect()}
+        for g in range(3):
+            s = 0.0
+            for _, _, x in rows[g * 200 : g * 200 + 200]:
+                s = max(-2.0, min(6.0, s + x))
+            assert got[g][0] == 200 and abs(got[g][1] - s) < 1e-9
