@@ -1,16 +1,19 @@
 """Benchmark decontamination by the q-gram lemma, verified by banded alignment.
 
 Texts and benchmark items are compared as UTF-8 bytes with A-Z lower-cased and each run of ASCII
-white space made one space.  An item of m bytes may differ by an edit budget of ``EDITS`` per cent of
+white space made one space.  An item of m bytes may differ by an edit budget of k, ``EDITS`` per cent of
 m; an occurrence within k edits shares at least m - q + 1 - k * q of the item's q-grams, all within a
-diagonal band of width k.  Hits are counted in overlapping bands; bands that meet the bound are
-aligned with the item in a band, the rest can't hold an occurrence.
+diagonal band of width k.  q is ``Q``, or less where m would leave no shared q-gram, down to m // (k + 1).
 
-The benchmark is a stated query set: blocks of at most ``BLOCK_BYTES`` of its items are broadcast, one
-pass over all texts each.
+1. An item in k + 1 pieces has one that an occurrence holds unchanged, as an edit changes one piece.  A q-gram of
+   each piece is a seed.  A bitmap of all seeds' hashes, of ``BITS`` bits whatever the benchmark's size, is what is
+   broadcast; one pass over the texts keeps those with a q-gram in it, and the hits.
+2. Hits meet the seeds by an equi-join, which gives pairs of texts and items.
+3. Each pair's shared q-grams are counted in overlapping diagonal bands; bands that meet the bound are
+   aligned with the item in a band, the rest can't hold an occurrence.
 
-Cases: null or empty texts and items match nothing; an item shorter than q + 1 bytes is looked for
-as it is; repeated rows are judged each on its own; an empty table on either side gives no rows; long
+Cases: null or empty texts and items match nothing; an item without a budget is looked for as it is;
+repeated rows are judged each on its own, rows with a null doc_id too; an empty table on either side gives no rows; long
 texts are scanned whole, in overlapping pieces; other input columns are ignored.
 """
 
@@ -20,20 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import discard, read_table, written
 from .text import as_bytes, mix
 from .tokens import released, slices
 
 Q = 10
 EDITS = 7
-BLOCK_BYTES = 4_000_000
+BITS = 24
 PIECE = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) ^ _BASE)
-_BITS = np.uint64(42)
 
 
 def normal(text: bytes) -> bytes:
@@ -53,54 +56,65 @@ def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
     return mix(out)
 
 
+def budget_and_q(m: int) -> tuple[int, int]:
+    """Edits that an item of m bytes may have, and the length of its q-grams."""
+    k = m * EDITS // 100
+    return k, min(Q, m // (k + 1))
+
+
+def seeds(text: bytes) -> tuple[int, np.ndarray]:
+    """q, and the hash of one q-gram of each of an item's pieces."""
+    k, q = budget_and_q(len(text))
+    at = np.arange(k + 1) * (len(text) // (k + 1))
+    return q, grams(np.frombuffer(text, np.uint8), q)[at]
+
+
 class Items:
-    """A block of benchmark items and the index of their q-grams."""
+    """Some benchmark items and the index of their q-grams, by q."""
 
     def __init__(self, ids: list, texts: list[bytes]) -> None:
         self.ids, self.texts = ids, [normal(t) for t in texts]
         m = np.array([len(t) for t in self.texts], np.int64)
-        self.short = [k for k in range(len(ids)) if 0 < m[k] <= Q]
-        # no budget may take the bound on shared q-grams below one
-        self.budget = np.maximum(0, np.minimum(m * EDITS // 100, (m - Q) // Q))
-        self.bound = m - Q + 1 - self.budget * Q
+        both = [budget_and_q(n) for n in m.tolist()]
+        self.budget, self.q = np.array([k for k, _ in both], np.int64), np.array([q for _, q in both], np.int64)
+        self.bound = m - self.q + 1 - self.budget * self.q
         step = 1
         while step < self.budget.max(initial=0) + 1:
             step *= 2
         self.step = step  # bands overlap by half their width of two steps
-        hashes, where = [], []
-        for k, t in enumerate(self.texts):
-            if m[k] > Q:
-                g = grams(np.frombuffer(t, np.uint8))
-                hashes.append(g)
-                where.append(np.stack([np.full(len(g), k), np.arange(len(g))], 1))
-        h = np.concatenate([np.empty(0, np.uint64), *hashes])
-        w = np.concatenate([np.empty((0, 2), np.int64), *where])
-        order = np.argsort(h, kind="stable")
-        self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
-        self.item, self.place = w[order, 0], w[order, 1]
-        self.maybe = np.zeros(1 << (64 - int(_BITS)), bool)
-        self.maybe[(self.keys >> _BITS).astype(np.int64)] = True
+        self.index = {}
+        for q in sorted(set(self.q[m > 0].tolist())):
+            held = [k for k in range(len(ids)) if self.q[k] == q and m[k]]
+            found = [grams(np.frombuffer(self.texts[k], np.uint8), q) for k in held]
+            h = np.concatenate(found)
+            item = np.repeat(held, [len(g) for g in found])
+            place = np.concatenate([np.arange(len(g)) for g in found])
+            order = np.argsort(h, kind="stable")
+            keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
+            self.index[q] = keys, first, count, item[order], place[order]
 
     def regions(self, data: np.ndarray) -> np.ndarray:
         """Rows ``(item, lowest diagonal)`` of the bands of a text that meet an item's bound."""
-        h = grams(data)
-        at = np.flatnonzero(self.maybe[(h >> _BITS).astype(np.int64)])
-        k = np.searchsorted(self.keys, h[at])
-        k[k == len(self.keys)] = 0
-        ok = self.keys[k] == h[at] if len(self.keys) else np.zeros(len(at), bool)
-        at, k = at[ok], k[ok]
-        if not len(at):
-            return np.empty((0, 2), np.int64)
-        n = self.count[k]
-        to = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, diagonal = self.item[to], np.repeat(at, n) - self.place[to]
-        band = diagonal // self.step
-        wide = 1 << 40
-        keys = np.concatenate([item * wide + band + (1 << 20), item * wide + band - 1 + (1 << 20)])
-        keys, n = np.unique(keys, return_counts=True)
-        item = keys // wide
-        good = n >= self.bound[item]
-        return np.stack([item[good], (keys[good] % wide - (1 << 20)) * self.step], 1)
+        out = [np.empty((0, 2), np.int64)]
+        for q, (keys, first, count, of, where) in self.index.items():
+            h = grams(data, q)
+            k = np.searchsorted(keys, h)
+            k[k == len(keys)] = 0
+            at = np.flatnonzero(keys[k] == h)
+            k = k[at]
+            if not len(at):
+                continue
+            n = count[k]
+            to = np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            item, diagonal = of[to], np.repeat(at, n) - where[to]
+            band = diagonal // self.step
+            wide = 1 << 40
+            bands = np.concatenate([item * wide + band + (1 << 20), item * wide + band - 1 + (1 << 20)])
+            bands, n = np.unique(bands, return_counts=True)
+            item = bands // wide
+            good = n >= self.bound[item]
+            out.append(np.stack([item[good], (bands[good] % wide - (1 << 20)) * self.step], 1))
+        return np.concatenate(out)
 
     def verify(self, text: bytes, item: int, low: int) -> tuple[int, int, int] | None:
         """``(edits, start, end)`` of the item's best alignment from a diagonal of the band, if in budget."""
@@ -150,48 +164,101 @@ def matches(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, int, i
                 if got and got[0] <= items.budget[item]:
                     got = (got[0], got[1] + at, got[2] + at)
                     best[item] = min(best.get(item, got), got)
-        for item in items.short:
-            at = text.find(items.texts[item])
-            if at >= 0:
-                best[item] = (0, at, at + len(items.texts[item]))
         for item, (edits, start, end) in sorted(best.items()):
             yield row, item, start, end, edits
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
-    """The benchmark in blocks of bounded size, streamed through the driver."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        raw = r.text.encode()
-        if texts and size + len(raw) > block_bytes:
-            yield Items(ids, texts)
-            ids, texts, size = [], [], 0
-        ids.append(r.item_id)
-        texts.append(raw)
-        size += len(raw)
-    if texts:
-        yield Items(ids, texts)
+def _arrow_type(kind: str) -> pa.DataType:
+    return pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+
+
+def seed_table(benchmark: DataFrame) -> DataFrame:
+    """``seed, q, item_id, item``: an item's seeds, and its normal form."""
+    kind = dict(benchmark.dtypes)["item_id"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(released(batches)):
+            texts = [normal(x) for x in as_bytes(b.column("text"))]
+            found = [seeds(t) if t else (0, np.empty(0, np.uint64)) for t in texts]
+            at = np.repeat(np.arange(len(texts)), [len(h) for _, h in found])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.empty(0, np.uint64), *(h for _, h in found)]).view(np.int64)), pa.array([found[k][0] for k in at.tolist()], pa.int32()),
+                    b.column("item_id").take(pa.array(at, pa.int64())), pa.array([texts[k] for k in at.tolist()], pa.binary()),
+                ],
+                ["seed", "q", "item_id", "item"],
+            )
+
+    return benchmark.select("item_id", "text").mapInArrow(cut, f"seed long, q int, item_id {kind}, item binary")
+
+
+def bitmap(seeds_: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The lengths of all seeds, and a bitmap of the leading ``BITS`` bits of their hashes.  A task gives one bitmap, or none."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, some = np.zeros(1 << BITS, bool), False
+        for b in batches:
+            bits[(b.column("seed").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)] = True
+            some |= b.num_rows > 0
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << BITS >> 3, np.uint8)
+    for r in seeds_.select("seed").mapInArrow(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r.bits, np.uint8)
+    return sorted(r.q for r in seeds_.select("q").distinct().collect()), out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, end, edits`` of each item that a text holds (places in the normal form)."""
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {kind}, item_id {item_kind}, start long, end long, edits int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(released(batches)):
-                rows = list(matches(shared.value, as_bytes(b.column("text"))))
-                row, item, start, end, edits = zip(*rows, strict=True) if rows else ([],) * 5
-                ids = [shared.value.ids[k] for k in item]
-                doc = b.column("doc_id").take(pa.array(row, pa.int64()))
-                cols = [doc, pa.array(ids, schema_item), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "start", "end", "edits"])
-
-        schema_item = pa.string() if item_kind == "string" else pa.int32() if item_kind == "int" else pa.int64()
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(scan, schema))
+    table = written(seed_table(benchmark.where("text is not null")), "op5-seeds")
+    lengths, bits = bitmap(table)
+    shared = docs.sparkSession.sparkContext.broadcast((lengths, bits))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with some seed, perhaps, and what they hit; rows are numbered, as doc_ids may be null or repeated."""
+        lengths, bits = shared.value
+        part, row = TaskContext.get().partitionId(), 0
+        for b in slices(released(batches)):
+            at, texts, found, rows = [], [], [], []
+            for k, raw in enumerate(as_bytes(b.column("text"))):
+                text = normal(raw)
+                data, hit = np.frombuffer(text, np.uint8), []
+                for q in lengths:
+                    h = grams(data, q)
+                    p = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                    hit.append(h[(bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)])
+                hit = np.unique(np.concatenate([np.empty(0, np.uint64), *hit])).view(np.int64)
+                if len(hit):
+                    at.append(k)
+                    texts.append(text)
+                    found.append(hit)
+                    rows.append((part << 40) + row + k)
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(rows, pa.int64()), pa.array(texts, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "row", "text", "hits"]
+            )
+
+    some = written(docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, row long, text binary, hits array<long>"), "op5-texts")
+    pairs = some.select("row", F.explode("hits").alias("seed")).join(table.select("seed", "item_id", "item"), "seed").select("row", "item_id", "item").distinct()
+    wanted = pairs.groupBy("row").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    item_type = _arrow_type(item_kind)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(released(batches)):
+            asked = [{(x["item_id"], x["item"]) for x in row} for row in b.column("items").to_pylist()]
+            every = sorted(set().union(*asked), key=lambda x: (x[0] is not None, x))
+            items = Items([i for i, _ in every], [t for _, t in every])
+            rows = list(matches(items, as_bytes(b.column("text"))))
+            row, item, start, end, edits = zip(*rows, strict=True) if rows else ([],) * 5
+            doc = b.column("doc_id").take(pa.array(row, pa.int64()))
+            cols = [doc, pa.array([items.ids[k] for k in item], item_type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "start", "end", "edits"])
+
+    met = some.select("doc_id", "row", "text").join(wanted, "row").select("doc_id", "text", "items")
+    out = written(met.mapInArrow(verify, f"doc_id {kind}, item_id {item_kind}, start long, end long, edits int"), "op5-leaks")
+    discard(table, some)
     return out
 
 

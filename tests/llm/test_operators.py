@@ -272,6 +272,80 @@ def test_5_leaks(spark, docs, empty):
     assert op5_qgrams.find_leaks(empty, bench).count() == 0 and op5_qgrams.find_leaks(d, bench.where("false")).count() == 0
 
 
+def test_5_equals_brute_force(spark, monkeypatch):
+    """Items of every length from one byte on, edited and cut into texts, against a full alignment of all pairs."""
+    import random
+
+    from .test_pipeline import holds
+
+    rng = random.Random(9)
+    letters = "abcdefgh "
+    items = ["".join(rng.choice(letters) for _ in range(m)) for m in [1, 2, 5, 9, 10, 11, 14, 15, 17, 18, 19, 22, 28, 29, 30, 43, 57, 80, 120]]
+    texts = [None, "", "abc"]
+    for k in range(60):
+        x = list(rng.choice(items))
+        for _ in range(rng.randrange(0, 2 + len(x) * op5_qgrams.EDITS // 100)):
+            at = rng.randrange(len(x)) if x else 0
+            x[at : at + rng.choice([0, 1])] = rng.choice([[], ["z"], ["a"]])
+        texts.append("".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(60))) + "".join(x) + "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(60))))
+    rows = [(k if k % 7 else None, t) for k, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3])]
+    normal = [op5_qgrams.normal(t.encode()) for t in items]
+    want = {}
+    for d, t in rows:
+        for i, item in enumerate(normal):
+            if item and holds(op5_qgrams.normal((t or "").encode()), item, op5_qgrams.budget_and_q(len(item))[0]):
+                want[d, i] = want.get((d, i), 0) + 1
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for piece in (op5_qgrams.PIECE, 50):
+        monkeypatch.setattr(op5_qgrams, "PIECE", piece)
+        got = {}
+        for r in op5_qgrams.find_leaks(docs, bench).collect():
+            got[r.doc_id, r.item_id] = got.get((r.doc_id, r.item_id), 0) + 1
+        assert got == want and len(got) > 60
+
+
+def test_5_long_text(spark):
+    import random
+
+    rng = random.Random(2)
+    item = fx.prose(rng, 40, 10**6)
+    long = fx.prose(rng, 400_000, 10**6)
+    rows = [(1, long + " " + item), (2, long[:2_000_000] + item[:100] + "x" + item[101:] + long[2_000_000:]), (3, long)]
+    got = op5_qgrams.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == [(1, 7, 0), (2, 7, 1)]
+
+
+def test_1_brute_force_and_odd_rows(spark):
+    from .test_pipeline import brute_score
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = op1_gam.fit_quality(docs, labels)
+    rows = [(None, "null id " * 30), (1, "same"), (1, "same"), (1, "other text\n" * 5), (2, "word " * 200_000), (3, "日本語 テスト"), (4, None), (5, "")]
+    got = op1_gam.score_quality(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, score string"), model).collect()
+    assert len(got) == len(rows)
+    want = sorted((d or 0, round(brute_score(t, model), 6)) for d, t in rows)
+    assert sorted((r.doc_id or 0, round(r.score, 6)) for r in got) == want and len({r.score for r in got if r.doc_id in (4, 5)}) == 1
+
+
+def test_4_and_10_odd_rows(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, "a b"), (None, "a b"), (1, "x"), (1, "y z"), (2, "long text here " * 100_000), (3, None)]
+    pieces = op4_pack.with_crc(op4_pack.pack(spark.createDataFrame(rows, "doc_id long, text string"), path)).collect()
+    t = Tokenizer.from_file(path)
+    assert sum(p.length for p in pieces) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in rows)
+    one = next(p for p in pieces if p.doc_id == 3)
+    assert (one.length, one.ids_crc32) == (1, fx.crc([2]))
+    sizes = {}
+    for p in pieces:
+        sizes[p.sequence_id] = sizes.get(p.sequence_id, 0) + p.length
+    assert max(sizes.values()) == 4096 and sum(v < 4096 for v in sizes.values()) <= 1
+    ledger = {}
+    for r in op10_ledger.apply_policy(op10_ledger.quality_ledger(spark.createDataFrame([(*x, 9) for x in rows], "doc_id long, text string, n_words int")), "v1").collect():
+        ledger.setdefault((r.doc_id, r.n_words), []).append(r.kept)
+    assert ledger[None, 2] == [False, False] and ledger[2, 300_000] == [False] and ledger[3, 0] == [False]
+
+
 def test_6_bytes(spark, docs, empty, monkeypatch):
     def run():
         got = op6_bwt.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("s"))
