@@ -217,7 +217,10 @@ _CHECKS = [
     ("nation_region", "nation", "n_regionkey", "region", "r_regionkey"),
     ("label_document", "labels", "doc_id", "documents", "doc_id"),
 ]
-_DOMAINS = [("discount_range", "lineitem", "l_discount < 0 OR l_discount > 0.1"), ("quantity_positive", "lineitem", "l_quantity <= 0"), ("length_of_text", "documents", "n_chars <> length(text)"), ("quality_flag", "labels", "quality NOT IN (0, 1)")]
+_DOMAINS = [("discount_range", "lineitem", "l_discount < 0 OR l_discount > 0.1"), ("quantity_positive", "lineitem", "l_quantity <= 0"), ("length_of_text", "documents", "n_chars <> length(text)"), ("quality_flag", "labels", "quality NOT IN (0, 1)"), ("toxic_flag", "labels", "toxic NOT IN (0, 1)"),
+    ("price_positive", "lineitem", "l_extendedprice <= 0"), ("tax_range", "lineitem", "l_tax < 0 OR l_tax > 0.08"), ("return_flag", "lineitem", "l_returnflag NOT IN ('A', 'N', 'R')"),
+    ("order_status", "orders", "o_orderstatus NOT IN ('F', 'O', 'P')"), ("url_given", "pages", "url IS NULL OR url = ''"), ("turn_number", "conversations", "turn < 0"), ("event_value", "events", "value < 0"), ("vector_label", "embeddings", "label IS NULL"),
+]
 
 
 @query(" UNION ALL ".join([f"SELECT '{n}' AS rule, count(*) AS violations FROM {a} WHERE {x} IS NOT NULL AND {x} NOT IN (SELECT {y} FROM {b})" for n, a, x, b, y in _CHECKS] + [f"SELECT '{n}', count(*) FROM {t} WHERE {c}" for n, t, c in _DOMAINS]))

@@ -40,6 +40,28 @@ def stream_fold(frames: DataFrame, step: Callable[[dict, dict], dict], key: str
     return frames.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {OUT}", "state string", "append", timeout)
 
 
+def stream_gaps(frames: DataFrame, key: str, order: str, time: str, tick: int) -> DataFrame:
+    """``key, tick, missed``: a row for every ``tick`` that a key stays silent, as soon as it speaks again.
+
+    ``time`` is a column of the input, so the result does not depend on when micro-batches run.
+    """
+    kind = dict(frames.dtypes)[key]
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        out = []
+        for b in sorted((r for x in batches for r in x.itertuples(index=False)), key=lambda r: getattr(r, order)):
+            now = int(getattr(b, time))
+            if last is not None and now - last > tick:
+                out += [(keys[0], last + m * tick, m) for m in range(1, (now - last - 1) // tick + 1)]
+            last = now
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(out, columns=[key, "tick", "missed"])
+
+    return frames.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, tick long, missed long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def freshest(batch: DataFrame, key: str, order: str) -> DataFrame:
     """Load shedding of a micro-batch, for ``foreachBatch``: only each key's newest row."""
     from pyspark.sql import Window

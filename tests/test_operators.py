@@ -287,3 +287,14 @@ def test_clipped_sums_in_chunks(spark):
             for _, _, x in rows[g * 200 : g * 200 + 200]:
                 s = max(-2.0, min(6.0, s + x))
             assert got[g][0] == 200 and abs(got[g][1] - s) < 1e-9
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from rangeflow.__main__ import main
+
+    assert main(["list"]) == 0 and "alarm_runs" in capsys.readouterr().out.split()
+    assert main(["run", "alarm_runs", "/root/testdata/sf0.001", "--out", f"file://{tmp_path}/out"]) == 0
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() > 0
+    assert main(["explain", "alarm_runs", "/root/testdata/sf0.001"]) == 0 and "Window" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["run", "no_such_query", "x"])
