@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import read_table, written
+from ..session import discard, read_table, written
 from .tokens import released, slices, word_tokenizer
 
 WINDOW = 4096
@@ -167,7 +167,7 @@ def plan_pieces(table: DataFrame, window: int, unit: int, depth: int) -> DataFra
     units = window // unit
     docs = table.select("part", "row", "n", "unit", "rank", "full_before")
     full = (F.col("n") / window).cast("long")
-    counts = docs.groupBy("part", "unit").agg(F.count(F.lit(1)).alias("c"), F.sum(full).alias("f"))
+    counts = written(docs.groupBy("part", "unit").agg(F.count(F.lit(1)).alias("c"), F.sum(full).alias("f")), "op4-counts")
     by_unit = Window.partitionBy("unit").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("part", "unit", F.coalesce(F.sum("c").over(by_unit), F.lit(0)).alias("rank_base"))
     total_full = 0
@@ -189,13 +189,14 @@ def plan_pieces(table: DataFrame, window: int, unit: int, depth: int) -> DataFra
     ranked = docs.join(ranks, ["part", "unit"]).join(fulls, "part").select(
         "part", "row", "n", "unit", (F.col("rank") + F.col("rank_base")).alias("rank"), (F.col("full_before") + F.col("full_base")).alias("full_first")
     )
-    placed = ranked.mapInArrow(place, "part int, row long, n long, full_first long, seq long, slot long")
+    placed = written(ranked.mapInArrow(place, "part int, row long, n long, full_first long, seq long, slot long"), "op4-placed")
     size = F.col("n") % window
     in_seq = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     combined = placed.where("seq >= 0").withColumn("off", F.coalesce(F.sum(size).over(in_seq), F.lit(0)))
     combined = combined.withColumn("keep", F.greatest(F.lit(0), F.least(size, window - F.col("off"))))
     alone = placed.where("seq < 0").withColumn("off", F.lit(0).cast("long")).withColumn("keep", F.lit(0).cast("long"))
     every = written(combined.unionByName(alone).withColumn("left", size - F.col("keep")), "op4-plan")
+    discard(counts, placed)
     sums = every.groupBy("part").agg(F.sum("left").alias("s"))
     sums = sums.select("part", F.coalesce(F.sum("s").over(by_part), F.lit(0)).alias("left_base"))
     in_part = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
