@@ -3,7 +3,7 @@
 The vocabularies used here never merge across a single space or line feed that stands between two
 other characters, so the ids of a text are the ids of its words, each with the space before it, in
 order.  A batch is cut into words and its words are told apart by vectorised 64-bit hashes; each
-distinct word goes through the library once per worker (the caches are bounded, about 70 MB in all).  A
+distinct word goes through the library once per worker (the caches are bounded, about 90 MB in all).  A
 text in which white space touches white space, or that holds other white space or what may be an added
 token's text, is encoded as a whole instead.
 """
@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .text import mix
 
 #: Words (17 bytes each, thrice that while tables merge), their ids (4 bytes each) and pieces of words (about 200 bytes each) that a worker keeps.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 CACHE_IDS = 4_000_000
 CACHE_PIECES = 80_000
 PIECE_LETTERS = 64
