@@ -141,3 +141,78 @@ def stale_ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks of silence as a stream: the last stamp of each recording is the state."""
     src = frames(spark, sf_dir).select("bag", "i", "t").repartition(4, "bag").sortWithinPartitions("bag", "i")
     return run_stream(spark, src, lambda s: stream_gaps(s, "bag", "i", "t", 43_200_000_000))
+
+
+@query(f"""WITH {FR}, f AS (SELECT bag % 10 AS scene, bag, i FROM fr WHERE status = 'detected' AND event_type <> 'purchase' AND dist > 100), o AS (SELECT *, lag(i) OVER w AS last_i, lag(bag) OVER w AS last_bag FROM f WINDOW w AS (PARTITION BY scene ORDER BY bag, i)),
+e AS (SELECT *, (last_i IS NULL OR last_bag <> bag OR i - last_i > 2)::INT AS new FROM o), n AS (SELECT *, sum(new) OVER (PARTITION BY scene ORDER BY bag, i) AS episode FROM e)
+SELECT scene, episode::BIGINT AS episode, bag, min(i) AS first_i, max(i) AS last_i, count(*) AS frames FROM n GROUP BY scene, episode, bag""")
+def fp_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """False alarms in episodes: a new one where the recording changes or more than two frames lie between."""
+    f = frames(spark, sf_dir).where("status = 'detected' and event_type <> 'purchase' and dist > 100").select((F.col("bag") % 10).alias("scene"), "bag", "i")
+    w = Window.partitionBy("scene").orderBy("bag", "i")
+    new = F.coalesce(((F.lag("bag").over(w) != F.col("bag")) | (F.col("i") - F.lag("i").over(w) > 2)).cast("long"), F.lit(1).cast("long"))
+    n = f.withColumn("new", new).withColumn("episode", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return n.groupBy("scene", "episode", "bag").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count(F.lit(1)).alias("frames"))
+
+
+@query(f"""WITH {PT}, b AS (SELECT frame, floor(d / 5)::BIGINT AS bin, h, row_number() OVER (PARTITION BY frame, floor(d / 5) ORDER BY h) - 1 AS i, count(*) OVER (PARTITION BY frame, floor(d / 5)) AS n FROM pt WHERE h > 1.2e0)
+SELECT frame, bin, max(n) AS n, round(max(h) FILTER (i = floor((n - 1) * 0.9e0)), 6) AS top, round(sqrt(least(max(n), 200)), 6) AS weight FROM b GROUP BY frame, bin HAVING max(n) >= 4""")
+def ceiling_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ceiling's height in bins of 5 m by the floor-index quantile, weighted by the root of its points."""
+    from ..operators.quantiles import rank_quantiles
+
+    p = points(spark, sf_dir).where("h > 1.2D").select("frame", C.floor_bin(F.col("d"), 5.0).alias("bin"), "h")
+    q = rank_quantiles(p, ["frame", "bin"], "h", {"top": (0.9, "floor")}).where("n >= 4")
+    return q.select("frame", "bin", "n", F.round("top", 6).alias("top"), F.round(F.sqrt(F.least(F.col("n"), F.lit(200))), 6).alias("weight"))
+
+
+@query(f"""WITH {FR} SELECT bag, i, '{{"frame_index":' || i::VARCHAR || ',"status":"' || status || '"' || CASE WHEN k % 7 <> 0 THEN ',"distance_cm":' || round_even(dist * 100, 0)::BIGINT::VARCHAR ELSE '' END || ',"confirmed":' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END || '}}' AS line FROM fr""")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as JSON objects: numbers rounded half to even, NaN and missing values left out."""
+    fr = frames(spark, sf_dir)
+    dist = F.when(F.col("k") % 7 != 0, F.col("dist")).otherwise(F.lit(float("nan")))
+    cm = F.when(~F.isnan(dist), F.rint(dist * 100).cast("long"))
+    line = F.to_json(F.struct(F.col("i").alias("frame_index"), "status", cm.alias("distance_cm"), (F.col("k") % 2 == 0).alias("confirmed")))
+    return fr.select("bag", "i", line.alias("line"))
+
+
+@query(f"""WITH {PT}, e AS (SELECT frame, slot, d, h, r, coalesce(lead(d) OVER w - d, 0e0) AS ahead, coalesce(d - lag(d) OVER w, 0e0) AS behind FROM pt WINDOW w AS (PARTITION BY frame, slot % 40 ORDER BY slot)),
+m AS (SELECT *, greatest(abs(ahead), abs(behind)) BETWEEN 0.5e0 AND 40e0 AND r % 4 = 1 AS mixed, CASE WHEN abs(ahead) >= abs(behind) THEN d + ahead ELSE d - behind END AS other FROM e)
+SELECT frame, count(*) FILTER (mixed) AS mixed, round(sum(CASE WHEN mixed THEN 0.5e0 * (d + other) ELSE d END), 6) AS ranges FROM m GROUP BY frame""")
+def mixed_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels at depth edges between neighbours of a ring, some of which return a range between both surfaces."""
+    w = Window.partitionBy("frame", F.col("slot") % 40).orderBy("slot")
+    p = points(spark, sf_dir).select("frame", "slot", "d", "r", F.coalesce(F.lead("d").over(Window.partitionBy("frame", F.col("slot") % 40).orderBy("slot")) - F.col("d"), F.lit(0.0)).alias("ahead"), F.coalesce(F.col("d") - F.lag("d").over(w), F.lit(0.0)).alias("behind"))
+    mixed = F.greatest(F.abs("ahead"), F.abs("behind")).between(0.5, 40.0) & (F.col("r") % 4 == 1)
+    other = F.when(F.abs("ahead") >= F.abs("behind"), F.col("d") + F.col("ahead")).otherwise(F.col("d") - F.col("behind"))
+    return p.groupBy("frame").agg(F.count_if(mixed).alias("mixed"), F.round(F.sum(F.when(mixed, 0.5 * (F.col("d") + other)).otherwise(F.col("d"))), 6).alias("ranges"))
+
+
+@query(f"""WITH {PT}, g AS (SELECT frame, floor(d / 3)::BIGINT AS cell, count(*) AS n, max(l) - min(l) AS w, max(h) - min(h) AS t, max(d) - min(d) AS z, min(h) AS bottom FROM pt GROUP BY ALL),
+k AS (SELECT *, CASE WHEN n < 3 THEN 'speck' WHEN t >= 1.4e0 AND w <= 0.9e0 AND z <= 1e0 THEN 'person' WHEN w >= 1.5e0 AND t <= 0.9e0 THEN 'pipe' WHEN t <= 0.9e0 AND bottom <= 0.4e0 THEN 'debris' WHEN bottom >= 1.5e0 THEN 'hanging' ELSE 'box' END AS kind FROM g)
+SELECT kind, count(*) AS objects, sum(n)::BIGINT AS points, round(avg(t), 5) AS height, round(avg(w), 5) AS width FROM k GROUP BY kind""")
+def typed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components typed by their extents, in an ordered table of cases."""
+    span = lambda c: F.max(c) - F.min(c)
+    g = points(spark, sf_dir).groupBy("frame", C.floor_bin(F.col("d"), 3.0).alias("cell")).agg(F.count(F.lit(1)).alias("n"), span("l").alias("w"), span("h").alias("t"), span("d").alias("z"), F.min("h").alias("bottom"))
+    rules = [("speck", "n < 3"), ("person", "t >= 1.4D and w <= 0.9D and z <= 1D"), ("pipe", "w >= 1.5D and t <= 0.9D"), ("debris", "t <= 0.9D and bottom <= 0.4D"), ("hanging", "bottom >= 1.5D")]
+    kind = F.coalesce(*[F.when(F.expr(c), F.lit(n)) for n, c in rules], F.lit("box"))
+    return g.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("objects"), F.sum("n").alias("points"), F.round(F.avg("t"), 5).alias("height"), F.round(F.avg("w"), 5).alias("width"))
+
+
+@query(f"""WITH {FR}, c AS (SELECT bag, i, j, abs(dist / 20e0 - j) + 0.5e0 * power((j - 12) / 6e0, 2) AS cost FROM fr, (SELECT unnest(range(0, 26)) AS j)),
+n AS (SELECT *, lag(cost) OVER w AS before, lead(cost) OVER w AS after, row_number() OVER (PARTITION BY bag, i ORDER BY round(cost, 9), j) AS rn FROM c WINDOW w AS (PARTITION BY bag, i ORDER BY j)),
+s AS (SELECT bag, i, j + CASE WHEN before IS NULL OR after IS NULL OR before + after - 2 * cost < 1e-9 THEN 0e0 ELSE greatest(-0.5e0, least(0.5e0, 0.5e0 * (before - after) / (before + after - 2 * cost))) END AS shift FROM n WHERE rn = 1)
+SELECT bag, count(*) AS frames, round(sum(shift), 5) AS way, round(max(shift), 5) AS most, round(abs(sum(CASE WHEN i % 2 = 0 THEN shift ELSE -shift END)), 5) AS closure FROM s GROUP BY bag""")
+def refined_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shift of each frame with a Gaussian prior, refined by the parabola through its neighbours' costs, and how well shifts there and back close."""
+    c = frames(spark, sf_dir).select("bag", "i", F.explode(F.sequence(F.lit(0), F.lit(25))).alias("j"), "dist")
+    c = c.withColumn("cost", F.abs(F.col("dist") / 20.0 - F.col("j")) + 0.5 * F.pow((F.col("j") - 12) / 6.0, F.lit(2)))
+    w = Window.partitionBy("bag", "i").orderBy("j")
+    n = c.withColumn("before", F.lag("cost").over(w)).withColumn("after", F.lead("cost").over(w))
+    best = n.groupBy("bag", "i").agg(F.min(F.struct(F.round("cost", 9).alias("r"), "j", "cost", "before", "after")).alias("b")).select("bag", "i", "b.*")
+    bend = F.col("before") + F.col("after") - 2 * F.col("cost")
+    off = F.when(F.col("before").isNull() | F.col("after").isNull() | (bend < 1e-9), 0.0).otherwise(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (F.col("before") - F.col("after")) / bend)))
+    s = best.select("bag", "i", (F.col("j") + off).alias("shift"))
+    back = F.sum(F.when(F.col("i") % 2 == 0, F.col("shift")).otherwise(-F.col("shift")))
+    return s.groupBy("bag").agg(F.count(F.lit(1)).alias("frames"), F.round(F.sum("shift"), 5).alias("way"), F.round(F.max("shift"), 5).alias("most"), F.round(F.abs(back), 5).alias("closure"))
