@@ -182,3 +182,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
 FROM b
 """
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 fails, alone and with others, over all documents."""
+    return ablations(quality_ledger(read_table(spark, sf_dir, "documents")), "v1")
+
+
+ABLATIONS_SQL = f"WITH l AS ({ORACLE_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, count(*) FILTER (fail_bits & {1 << k} <> 0) AS n_failed, count(*) FILTER (fail_bits = {1 << k}) AS n_only FROM l" for k, (name, _) in enumerate(RULES)
+)

@@ -12,8 +12,8 @@ from .op7_recompress import op7_recompression
 from .op8_licences import ORACLE_SQL as LICENCE_SQL
 from .op8_licences import op8_sentence_rules
 from .op9_hosts import op9_host_words
+from .op10_ledger import ABLATIONS_SQL, op10_rule_ledger, rule_ablations
 from .op10_ledger import ORACLE_SQL as LEDGER_SQL
-from .op10_ledger import op10_rule_ledger
 
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
@@ -26,5 +26,6 @@ QUERIES = {
     "op8_sentence_rules": op8_sentence_rules,
     "op9_host_words": op9_host_words,
     "op10_rule_ledger": op10_rule_ledger,
+    "rule_ablations": rule_ablations,
 }
-ORACLE_SQL = {"op8_sentence_rules": LICENCE_SQL, "op10_rule_ledger": LEDGER_SQL}
+ORACLE_SQL = {"op8_sentence_rules": LICENCE_SQL, "op10_rule_ledger": LEDGER_SQL, "rule_ablations": ABLATIONS_SQL}

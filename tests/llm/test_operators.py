@@ -486,6 +486,8 @@ def test_10_matches_sql(spark):
     names = [x[0] for x in c.description]
     got = op10_ledger.op10_rule_ledger(spark, SF).select(names).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+    want = c.execute(op10_ledger.ABLATIONS_SQL).fetchall()
+    assert sorted(map(tuple, op10_ledger.rule_ablations(spark, SF).select("rule", "n_failed", "n_only").collect())) == sorted(want)
 
 
 @pytest.mark.parametrize("num", [85, 60, 30])
