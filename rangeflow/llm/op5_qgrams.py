@@ -5,10 +5,11 @@ white space made one space.  An item of m bytes may differ by an edit budget of
 m; an occurrence within k edits shares at least m - q + 1 - k * q of the item's q-grams, all within a
 diagonal band of width k.  q is ``Q``, or less where m would leave no shared q-gram, down to m // (k + 1).
 
-1. An item in k + 1 pieces has one that an occurrence holds unchanged, as an edit changes one piece.  A q-gram of
-   each piece is a seed.  A bitmap of all seeds' hashes, of ``BITS`` bits whatever the benchmark's size, is what is
-   broadcast; one pass over the texts keeps those with a q-gram in it, and the hits.
-2. Hits meet the seeds by an equi-join, which gives pairs of texts and items.
+1. The item's q-grams at multiples of q, its seeds, do not overlap, so an edit changes one of them at most: of D different
+   seeds an occurrence holds D - k unchanged, and one in any case.  A bitmap of all seeds' hashes, of ``BITS`` bits whatever the
+   benchmark's size, is what is broadcast; one pass over the texts keeps those with as many q-grams of it as any item
+   needs, within the length of the longest, and the hits.
+2. Hits meet the seeds by an equi-join, and are counted: pairs of texts and items with enough different seeds stay.
 3. Each pair's shared q-grams are counted in overlapping diagonal bands; bands that meet the bound are
    aligned with the item in a band, the rest can't hold an occurrence.
 
@@ -62,11 +63,11 @@ def budget_and_q(m: int) -> tuple[int, int]:
     return k, min(Q, m // (k + 1))
 
 
-def seeds(text: bytes) -> tuple[int, np.ndarray]:
-    """q, and the hash of one q-gram of each of an item's pieces."""
+def seeds(text: bytes) -> tuple[int, int, np.ndarray]:
+    """q, how many different seeds an occurrence has at least, and the hashes of an item's different seeds."""
     k, q = budget_and_q(len(text))
-    at = np.arange(k + 1) * (len(text) // (k + 1))
-    return q, grams(np.frombuffer(text, np.uint8), q)[at]
+    some = np.unique(grams(np.frombuffer(text, np.uint8), q)[:: q])
+    return q, max(1, len(some) - k), some
 
 
 class Items:
@@ -173,27 +174,31 @@ def _arrow_type(kind: str) -> pa.DataType:
 
 
 def seed_table(benchmark: DataFrame) -> DataFrame:
-    """``seed, q, item_id, item``: an item's seeds, and its normal form."""
+    """``seed, q, need, item_id, item``: an item's seeds, how many of them an occurrence has, and its normal form."""
     kind = dict(benchmark.dtypes)["item_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(released(batches)):
             texts = [normal(x) for x in as_bytes(b.column("text"))]
-            found = [seeds(t) if t else (0, np.empty(0, np.uint64)) for t in texts]
-            at = np.repeat(np.arange(len(texts)), [len(h) for _, h in found])
+            found = [seeds(t) if t else (0, 0, np.empty(0, np.uint64)) for t in texts]
+            at = np.repeat(np.arange(len(texts)), [len(h) for *_, h in found])
+            rows = at.tolist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([np.empty(0, np.uint64), *(h for _, h in found)]).view(np.int64)), pa.array([found[k][0] for k in at.tolist()], pa.int32()),
-                    b.column("item_id").take(pa.array(at, pa.int64())), pa.array([texts[k] for k in at.tolist()], pa.binary()),
+                    pa.array(np.concatenate([np.empty(0, np.uint64), *(h for *_, h in found)]).view(np.int64)), pa.array([found[k][0] for k in rows], pa.int32()),
+                    pa.array([found[k][1] for k in rows], pa.int32()), b.column("item_id").take(pa.array(at, pa.int64())), pa.array([texts[k] for k in rows], pa.binary()),
                 ],
-                ["seed", "q", "item_id", "item"],
+                ["seed", "q", "need", "item_id", "item"],
             )
 
-    return benchmark.select("item_id", "text").mapInArrow(cut, f"seed long, q int, item_id {kind}, item binary")
+    return benchmark.select("item_id", "text").mapInArrow(cut, f"seed long, q int, need int, item_id {kind}, item binary")
 
 
-def bitmap(seeds_: DataFrame) -> tuple[list[int], np.ndarray]:
-    """The lengths of all seeds, and a bitmap of the leading ``BITS`` bits of their hashes.  A task gives one bitmap, or none."""
+def bitmap(table: DataFrame) -> tuple[list[int], int, int, np.ndarray]:
+    """Lengths of all seeds, the least that an item needs, the longest occurrence, and a bitmap of the leading ``BITS`` bits of seeds' hashes.
+
+    A task gives one bitmap, or none.
+    """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, some = np.zeros(1 << BITS, bool), False
@@ -204,36 +209,37 @@ def bitmap(seeds_: DataFrame) -> tuple[list[int], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(1 << BITS >> 3, np.uint8)
-    for r in seeds_.select("seed").mapInArrow(mark, "bits binary").toLocalIterator():
+    for r in table.select("seed").mapInArrow(mark, "bits binary").toLocalIterator():
         out |= np.frombuffer(r.bits, np.uint8)
-    return sorted(r.q for r in seeds_.select("q").distinct().collect()), out
+    lengths, need, longest = table.agg(F.sort_array(F.collect_set("q")), F.min("need"), F.max(F.length("item"))).first()
+    return list(lengths), need or 1, (longest or 0) * (100 + EDITS) // 100, out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, end, edits`` of each item that a text holds (places in the normal form)."""
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     table = written(seed_table(benchmark.where("text is not null")), "op5-seeds")
-    lengths, bits = bitmap(table)
-    shared = docs.sparkSession.sparkContext.broadcast((lengths, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(table))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts with some seed, perhaps, and what they hit; rows are numbered, as doc_ids may be null or repeated."""
-        lengths, bits = shared.value
+        """Texts with enough seeds, perhaps, and what they hit; rows are numbered, as doc_ids may be null or repeated."""
+        lengths, need, longest, bits = shared.value
         part, row = TaskContext.get().partitionId(), 0
         for b in slices(released(batches)):
             at, texts, found, rows = [], [], [], []
             for k, raw in enumerate(as_bytes(b.column("text"))):
                 text = normal(raw)
-                data, hit = np.frombuffer(text, np.uint8), []
+                data, hit, places = np.frombuffer(text, np.uint8), [], []
                 for q in lengths:
                     h = grams(data, q)
                     p = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                    hit.append(h[(bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)])
-                hit = np.unique(np.concatenate([np.empty(0, np.uint64), *hit])).view(np.int64)
-                if len(hit):
+                    places.append(np.flatnonzero(bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1))
+                    hit.append(h[places[-1]])
+                place = np.sort(np.concatenate([np.empty(0, np.int64), *places]))
+                if len(place) >= need and (place[need - 1 :] - place[: len(place) - need + 1] <= longest).any():
                     at.append(k)
                     texts.append(text)
-                    found.append(hit)
+                    found.append(np.unique(np.concatenate(hit)).view(np.int64))
                     rows.append((part << 40) + row + k)
             row += b.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -241,7 +247,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             )
 
     some = written(docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, row long, text binary, hits array<long>"), "op5-texts")
-    pairs = some.select("row", F.explode("hits").alias("seed")).join(table.select("seed", "item_id", "item"), "seed").select("row", "item_id", "item").distinct()
+    pairs = some.select("row", F.explode("hits").alias("seed")).join(table.select("seed", "need", "item_id", "item"), "seed")
+    pairs = pairs.groupBy("row", "item_id", "item", "need").agg(F.count_distinct("seed").alias("c")).where("c >= need")
     wanted = pairs.groupBy("row").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
     item_type = _arrow_type(item_kind)
 
