@@ -139,6 +139,7 @@ class WordTokenizer:
         self.piece = regex.compile(rf"\p{{L}}+|{digit}|[^\s\p{{L}}\p{{N}}]+")
         self.letters = _byte_letters()
         self.pieces: dict[str, str] = {}
+        self.marks = {m: self._word(m, False) for m in ".,;:!?"}
         self.feed = self._encode("\n")
         self.power = np.cumprod(np.full(1 << 16, _BASE), dtype=np.uint64)
         self.known = _Known()
@@ -171,7 +172,28 @@ class WordTokenizer:
         return "".join(out)
 
     def _learn(self, keys: np.ndarray, words: list[bytes], leads: np.ndarray) -> None:
-        self.known.add(keys, [self._word(w.decode(), lead) for w, lead in zip(words, leads.tolist(), strict=True)])
+        """Words made of letters, perhaps with one mark at their end, are pieces as they are; others are cut first."""
+        tokenize, letters, lower, marks, out = self.model.tokenize, self.letters, self.lower, self.marks, []
+        space = letters[32]
+        for raw, lead in zip(words, leads.tolist(), strict=True):
+            whole = word = raw.decode()
+            mark = marks.get(word[-1], "")
+            if mark:
+                word = word[:-1]
+            if not word.isalpha():
+                out.append(self._word(whole, lead))
+                continue
+            if word.isascii():
+                piece = word.lower() if lower else space + word if lead else word
+            elif not lower:
+                piece = (" " + word if lead else word).encode().decode("latin-1").translate(letters)
+            elif "İ" in word or "Σ" in word or not unicodedata.is_normalized("NFC", whole):
+                out.append(self._word(whole, lead))
+                continue
+            else:
+                piece = word.lower().encode().decode("latin-1").translate(letters)
+            out.append("".join([chr(t.id) for t in tokenize(piece)]) + mark)
+        self.known.add(keys, out)
 
     def _split(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts whose only white space is single spaces and line feeds; ids of each text."""
