@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.tracks.batch import HITS, fold
 from ..operators.tracks.core import FusionRules, filter_step, fusion_step, is_reset, weighed
 from ..session import shared_dir, written
-from ..streaming.folds import stream_fold
+from ..streaming.folds import freshest, stream_fold
 from . import stream_queries
 from .views import FR, frames
 
@@ -59,13 +60,28 @@ def fusion_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold(candidate_frames(spark, sf_dir, 3), fused)
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, so it may outgrow an executor's heap."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
 def run_stream(spark: SparkSession, source: DataFrame, plan) -> DataFrame:
     """A table streamed through ``plan`` until all of it is processed, read back from the sink."""
     src = written(source, "stream-in")
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 4).parquet(src.written_path)
-    q = plan(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with state_on_disk(spark):
+        q = plan(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
@@ -92,8 +108,9 @@ def run_windows(spark: SparkSession, source: DataFrame, plan) -> DataFrame:
     src = written(source.unionByName(last, allowMissingColumns=True).coalesce(1), "stream-in")
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = plan(spark.readStream.schema(src.schema).parquet(src.written_path).withWatermark("ts", "400 days"))
-    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with state_on_disk(spark):
+        q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -227,3 +244,18 @@ h AS (SELECT *, CASE WHEN rejected THEN CASE WHEN weak AND standing AND voter AN
   n2 >= 3 AND z2 <= 1e0 AND NOT no2 AND free AND share >= 0.8e0 AND abs(d2 - db) <= 1.5e0 AND abs(l2 - lb) <= 0.5e0 AND NOT (beside AND (z1 > 1e0 OR (n1 >= 3 AND NOT paired))) AS pair2 FROM g),
 v AS (SELECT bag, i, CASE WHEN pair1 THEN greatest(coalesce(a1, CASE WHEN rejected THEN s1 END), 0.3e0) ELSE a1 END AS "first", CASE WHEN pair2 THEN greatest(a2, 0.3e0) ELSE a2 END AS "second", CASE WHEN pair1 OR pair2 THEN greatest(sb, 0.3e0) ELSE sb END AS beam FROM h)
 SELECT bag, i, 2 + ("first" IS NOT NULL)::BIGINT AS hits, "first", "second", beam FROM v"""
+
+
+@query
+def freshest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load shedding on a stream: of each micro-batch only the newest frame of a recording is served."""
+    src = written(frames(spark, sf_dir).select("bag", "i", "dist").repartition(4, "bag"), "stream-in")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(src.written_path)
+    serve = lambda batch, _: freshest(batch, "bag", "i").write.mode("append").parquet(f"{base}/out")
+    q = stream.writeStream.foreachBatch(serve).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(src.schema).parquet(f"{base}/out")
+
+
+ORACLE_SQL["freshest_stream"] = f"WITH {FR} SELECT bag, max(i) AS i, arg_max(dist, i) AS dist FROM fr GROUP BY bag"
