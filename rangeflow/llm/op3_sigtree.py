@@ -552,3 +552,18 @@ def _large_links(
 
 def op3_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(read_table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same by all pairs that share a shingle.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i:i + {WORDS - 1}], ' ')) AS k FROM d, unnest(range(1, greatest(1, len(w) - {WORDS - 1}) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {DEN} * c >= {NUM} * (x.n + y.n - c)),
+e AS (SELECT a AS s, b AS t FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS reach FROM d UNION SELECT e.t, r.reach FROM r JOIN e ON e.s = r.id WHERE r.reach < e.t),
+m AS (SELECT id, min(reach) AS component FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id
+"""

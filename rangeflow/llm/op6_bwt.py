@@ -360,3 +360,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op6_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+#: The same by windows of the bytes' hexadecimal digits.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, md5_number(substr(x, 2 * i - 1, {2 * WINDOW})) AS k FROM d, unnest(range(1, n - {WINDOW - 2})) AS u(i) WHERE n >= {WINDOW}),
+f AS (SELECT k, min(doc_id * 1000000000::HUGEINT + i) AS first FROM win GROUP BY k HAVING count(*) > 1),
+h AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW}, true) AS new FROM win JOIN f USING (k) WHERE doc_id * 1000000000::HUGEINT + i > first),
+r AS (SELECT doc_id, run, min(i) AS lo, max(i) + {WINDOW - 1} AS hi FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h) GROUP BY doc_id, run),
+g AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM r),
+s AS (SELECT doc_id, sum(hi - lo + 1)::BIGINT AS gone, count(*) AS spans, string_agg(substr(x, 2 * before + 1, 2 * (lo - before - 1)), '' ORDER BY lo) AS kept, max(hi) AS last FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""

@@ -305,3 +305,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The same by window texts; words of a window have no white space, so its text tells it.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5_number(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS k FROM d, unnest(range(1, len(w) - {WINDOW - 2})) AS u(i) WHERE len(w) >= {WINDOW}),
+f AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW}, true) AS new FROM win JOIN f USING (k) WHERE doc_id > first),
+r AS (SELECT doc_id, run, min(i) AS lo, max(i) + {WINDOW - 1} AS hi FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h) GROUP BY doc_id, run),
+s AS (SELECT doc_id, sum(hi - lo + 1)::BIGINT AS gone, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM r GROUP BY doc_id),
+k AS (SELECT d.doc_id, w, coalesce(gone, 0) AS gone, CASE WHEN gone IS NULL THEN w ELSE flatten(list_transform(range(1, len(los) + 2), lambda x: w[(CASE WHEN x = 1 THEN 1 ELSE his[x - 1] + 1 END):(CASE WHEN x > len(los) THEN len(w) ELSE los[x] - 1 END)])) END AS kept FROM d LEFT JOIN s USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, gone AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
