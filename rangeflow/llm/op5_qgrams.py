@@ -6,7 +6,8 @@ m; an occurrence within k edits shares at least m - q + 1 - k * q of the item's
 diagonal band of width k.  q is ``Q``, or less where m would leave no shared q-gram, down to m // (k + 1).
 
 1. The item's q-grams at multiples of q, its seeds, do not overlap, so an edit changes one of them at most: of D different
-   seeds an occurrence holds D - k unchanged, and one in any case.  A bitmap of all seeds' hashes, of ``BITS`` bits whatever the
+   seeds an occurrence holds D - k unchanged, and one in any case; so seeds that very many items share can be left out
+   as long as k + 1 stay.  A bitmap of all seeds' hashes, of ``BITS`` bits whatever the
    benchmark's size, is what is broadcast; one pass over the texts keeps those with as many q-grams of it as any item
    needs, within the length of the longest, and the hits.
 2. Hits meet the seeds by an equi-join, and are counted: pairs of texts and items with enough different seeds stay.
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import discard, read_table, written
 from .text import as_bytes, mix
@@ -35,6 +37,7 @@ from .tokens import released, slices
 Q = 10
 EDITS = 7
 BITS = 24
+COMMON = 100
 PIECE = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) ^ _BASE)
@@ -64,10 +67,9 @@ def budget_and_q(m: int) -> tuple[int, int]:
 
 
 def seeds(text: bytes) -> tuple[int, int, np.ndarray]:
-    """q, how many different seeds an occurrence has at least, and the hashes of an item's different seeds."""
+    """q, the edit budget, and the hashes of an item's different seeds."""
     k, q = budget_and_q(len(text))
-    some = np.unique(grams(np.frombuffer(text, np.uint8), q)[:: q])
-    return q, max(1, len(some) - k), some
+    return q, k, np.unique(grams(np.frombuffer(text, np.uint8), q)[:: q])
 
 
 class Items:
@@ -174,7 +176,10 @@ def _arrow_type(kind: str) -> pa.DataType:
 
 
 def seed_table(benchmark: DataFrame) -> DataFrame:
-    """``seed, q, need, item_id, item``: an item's seeds, how many of them an occurrence has, and its normal form."""
+    """``seed, q, need, item_id, item``: an item's seeds, how many of them an occurrence has, and its normal form.
+
+    Seeds that over ``COMMON`` items share, such as those of a common heading, are left out where enough others are left.
+    """
     kind = dict(benchmark.dtypes)["item_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +193,19 @@ def seed_table(benchmark: DataFrame) -> DataFrame:
                     pa.array(np.concatenate([np.empty(0, np.uint64), *(h for *_, h in found)]).view(np.int64)), pa.array([found[k][0] for k in rows], pa.int32()),
                     pa.array([found[k][1] for k in rows], pa.int32()), b.column("item_id").take(pa.array(at, pa.int64())), pa.array([texts[k] for k in rows], pa.binary()),
                 ],
-                ["seed", "q", "need", "item_id", "item"],
+                ["seed", "q", "k", "item_id", "item"],
             )
 
-    return benchmark.select("item_id", "text").mapInArrow(cut, f"seed long, q int, need int, item_id {kind}, item binary")
+    every = benchmark.select("item_id", "text").mapInArrow(cut, f"seed long, q int, k int, item_id {kind}, item binary").distinct()
+    every = written(every, "op5-seeds")
+    shared = every.join(every.groupBy("seed").agg(F.count(F.lit(1)).alias("items")), "seed")
+    own = Window.partitionBy("item_id", "item")
+    ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("items", "seed"))).withColumn("all", F.count(F.lit(1)).over(own))
+    kept = ranked.where((F.col("all") <= F.col("k")) | (F.col("rank") <= F.col("k") + 1) | (F.col("items") <= COMMON))
+    need = F.greatest(F.lit(1), F.count(F.lit(1)).over(own) - F.col("k")).cast("int")
+    out = written(kept.withColumn("need", need).select("seed", "q", "need", "item_id", "item"), "op5-seeds")
+    discard(every)
+    return out
 
 
 def bitmap(table: DataFrame) -> tuple[list[int], int, int, np.ndarray]:
@@ -218,7 +232,7 @@ def bitmap(table: DataFrame) -> tuple[list[int], int, int, np.ndarray]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, end, edits`` of each item that a text holds (places in the normal form)."""
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    table = written(seed_table(benchmark.where("text is not null")), "op5-seeds")
+    table = seed_table(benchmark.where("text is not null"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(table))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

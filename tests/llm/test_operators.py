@@ -305,6 +305,24 @@ def test_5_equals_brute_force(spark, monkeypatch):
         assert got == want and len(got) > 60
 
 
+def test_5_common_seeds_are_left_out(spark, monkeypatch):
+    """Items that share a long heading are told apart by what is their own, and none is lost."""
+    import random
+
+    rng = random.Random(4)
+    heading = "Answer the following question in the best way that you can: "
+    items = [heading + fx.prose(rng, 12, 10**6) for _ in range(30)] + [heading * 3]
+    monkeypatch.setattr(op5_qgrams, "COMMON", 5)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = op5_qgrams.seed_table(bench).groupBy("seed").count()
+    assert table.agg(F.max("count")).first()[0] <= 31
+    held = op5_qgrams.seed_table(bench).where("item_id < 30").count() / 30
+    assert held < len(items[0]) // 10 - 3
+    rows = [(k, fx.prose(rng, 30, 10**6) + " " + (x[:40] + "q" + x[41:]) + " " + fx.prose(rng, 5, 10**6)) for k, x in enumerate(items)] + [(99, heading + fx.prose(rng, 40, 10**6))]
+    got = {(r.doc_id, r.item_id) for r in op5_qgrams.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, k) for k in range(len(items))}
+
+
 def test_5_long_text(spark):
     import random
 
