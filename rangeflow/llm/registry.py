@@ -17,6 +17,7 @@ from .op8_licences import op8_sentence_rules
 from .op9_hosts import op9_host_words
 from .op10_ledger import ABLATIONS_SQL, op10_rule_ledger, rule_ablations
 from .op10_ledger import ORACLE_SQL as LEDGER_SQL
+from .op12_whiten import op12_embedding_whitening
 
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_sentence_rules": op8_sentence_rules,
     "op9_host_words": op9_host_words,
     "op10_rule_ledger": op10_rule_ledger,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "rule_ablations": rule_ablations,
 }
 ORACLE_SQL = {
