@@ -17,6 +17,7 @@ from .op8_licences import op8_sentence_rules
 from .op9_hosts import op9_host_words
 from .op10_ledger import ABLATIONS_SQL, op10_rule_ledger, rule_ablations
 from .op10_ledger import ORACLE_SQL as LEDGER_SQL
+from .op11_toxicity import op11_deobfuscated_toxicity
 from .op12_whiten import op12_embedding_whitening
 
 QUERIES = {
@@ -30,6 +31,7 @@ QUERIES = {
     "op8_sentence_rules": op8_sentence_rules,
     "op9_host_words": op9_host_words,
     "op10_rule_ledger": op10_rule_ledger,
+    "op11_deobfuscated_toxicity": op11_deobfuscated_toxicity,
     "op12_embedding_whitening": op12_embedding_whitening,
     "rule_ablations": rule_ablations,
 }
