@@ -78,7 +78,7 @@ def _merged(rows: DataFrame, sums: list[str]) -> list:
 def covariance(rows: DataFrame, centred: list[str], n: int) -> np.ndarray:
     """The covariance (divisor ``n``) of SQL expressions that are centred already: one sum a pair of the upper triangle."""
     d = len(centred)
-    cols = rows.selectExpr(*[f"{c} AS z{k}" for k, c in enumerate(centred)])
+    cols = rows.selectExpr(*[f"coalesce({c}, 0D) AS z{k}" for k, c in enumerate(centred)])  # none is null, which halves the sums' code
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     out = np.zeros((d, d))
     for lo in range(0, len(pairs), PAIRS):
