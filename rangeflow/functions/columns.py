@@ -156,6 +156,11 @@ def quantise(x: Column, step: float) -> Column:
     return F.rint(x / step) * step
 
 
+def status_of(kind: Column) -> Column:
+    """A frame's status by the kind of its event."""
+    return F.when(kind == "error", "detected").when(kind == "signup", "unknown").otherwise("clear")
+
+
 def standard_normal(a: Column, b: Column) -> Column:
     """A standard normal of two uniforms, the first above zero."""
     return F.sqrt(-2.0 * F.log(a)) * F.cos(2.0 * F.pi() * b)

@@ -30,6 +30,22 @@ def reset_epochs(df: DataFrame, keys: list[str], order: list[str], time: str, ba
     return marked.withColumn("epoch", F.sum(F.col("reset").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def last_before(df: DataFrame, keys: list[str], part: str, order: list[str], values: dict[str, str]) -> DataFrame:
+    """For each ``column: name`` the last known value of the rows before, in the order of ``part`` and ``order`` within ``keys``.
+
+    A key is worked on part by part (days, say), with what the parts before leave behind, so a key that holds much of the
+    table is no single task; what is left behind is one row a key and part.
+    """
+    within = by([*keys, part], order).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    left = df.groupBy(*keys, part).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_{name}") for c, name in values.items()])
+    earlier = by(keys, [part]).rowsBetween(Window.unboundedPreceding, -1)
+    left = left.select(*keys, part, *[F.last(f"_{name}", ignorenulls=True).over(earlier).alias(f"_{name}") for name in values.values()])
+    marked = df.withColumns({name: F.last(c, ignorenulls=True).over(within) for c, name in values.items()})
+    got = marked.join(left, [*keys, part], "left")
+    return got.withColumns({name: F.coalesce(name, f"_{name}") for name in values.values()}).drop(*[f"_{name}" for name in values.values()])
+
+
 def rolling_percentile(df: DataFrame, keys: list[str], order: list[str], value: str, before: int, after: int, name: str, p: float = 0.5) -> DataFrame:
     w = by(keys, order).rowsBetween(-before, after)
     return df.withColumn(name, F.percentile(value, p).over(w))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import status_of
 from ..session import read_table
 
 
@@ -12,12 +13,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as result frames of a recording (``bag``), numbered by time."""
     e = read_table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    status = F.when(F.col("event_type") == "error", "detected").when(F.col("event_type") == "signup", "unknown").otherwise("clear")
     return e.select(
         F.col("user_id").alias("bag"),
         (F.row_number().over(w) - 1).cast("long").alias("i"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
-        status.alias("status"),
+        status_of(F.col("event_type")).alias("status"),
         F.col("value").alias("dist"),
         F.regexp_extract("props", r'"k": *(-?\d+)', 1).cast("long").alias("k"),
         "event_id",

@@ -6,9 +6,12 @@ import os
 import duckdb
 import pytest
 
+from jobs import registry as jobs
 from rangeflow.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+QUERIES = catalog.QUERIES | jobs.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL | jobs.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -26,15 +29,15 @@ def rows(names, data):
     return [names[k] for k in order], sorted([[text(r[k]) for k in order] for r in data])
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    rel = duck.execute(catalog.ORACLE_SQL[name])
+    rel = duck.execute(ORACLE_SQL[name])
     assert got == rows([d[0] for d in rel.description], rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs_without_sql(spark, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     assert df.columns and df.count() > 0
