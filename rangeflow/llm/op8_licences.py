@@ -20,7 +20,9 @@ empty table gives an empty result; long texts are judged whole; other input colu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -151,7 +153,6 @@ RULES = [
 ]
 #: A licence that is not named where a more exact one is.
 EXACTER = {"bsd": ["bsd-2-clause", "bsd-3-clause"], "bsd-2-clause": ["bsd-3-clause"]}
-LINES = 12
 _END = "\x01"
 _V = re.compile(r"(?a)\bv\.[\x20\x09]+([0-9])")
 _ENDS = re.compile(r"[.!?][\x20\x09-\x0D]+")
@@ -174,7 +175,9 @@ def canonical(sentence: str) -> str:
 
 
 KNOWN = {canonical(s): i for s, i in VARIANTS.items()}
-_STARTS = {" ".join(s.split()[:2]) for s in KNOWN}
+_FIRST = {s.split()[0] for s in KNOWN}
+#: No known sentence has more words than this in a text: the normal form drops twenty at most before and after "under", and one a version number.
+_WORDS = 2 * max(len(s.split()) for s in KNOWN) + 20
 
 
 def sentence_ids(raw: bytes) -> list[str]:
@@ -206,10 +209,16 @@ def _in_lines(lines: list[str]) -> list[str]:
             if (not at or whole[at - 1] == " ") and end in ends and all(end <= a or b <= at for a, b, _ in taken):
                 taken.append((at, end, AFTER_TITLES[s]))
             at = whole.find(s, at + 1)
+    words = list(accumulate(len(x.split()) for x in lines))
     k = 0
     while k < len(lines):
         lo = ends[k] - len(lines[k])
-        for j in range(min(len(lines), k + LINES), k, -1):
+        last = max(k + 1, bisect_right(words, (words[k - 1] if k else 0) + _WORDS))
+        start = canonical(whole[lo : ends[last - 1]])
+        if start.split(None, 1)[0] not in _FIRST and canonical(lines[k]).split(None, 1)[0] not in _FIRST:
+            k += 1
+            continue
+        for j in range(last, k, -1):
             if any(a < ends[j - 1] and lo < b for a, b, _ in taken):
                 continue
             got = KNOWN.get(canonical(whole[lo : ends[j - 1]]))

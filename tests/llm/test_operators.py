@@ -679,6 +679,20 @@ def test_8_recall_on_other_notices():
     assert all(op8_licences._SIGNS.search(f"released {s}".encode()) for s in op8_licences.KNOWN)
 
 
+@pytest.mark.parametrize("width", [1, 14, 20, 40, 72])
+def test_8_sentences_over_any_number_of_lines(width):
+    import textwrap
+
+    from rangeflow.llm import op8_licences
+
+    for known, ids in op8_licences.KNOWN.items():
+        said = f"released {known}" if known.startswith("under ") else known
+        text = "\n".join(textwrap.wrap(said, width, break_long_words=False))
+        assert op8_licences.sentence_ids(f"Some words.\n{text}.\nMore words".encode()) == ids.split(), known
+    longest = "this module of eight words in all is released under the terms and conditions of the mit license"
+    assert op8_licences.sentence_ids("\n".join(longest.split()).encode()) == ["1"]
+
+
 def test_8_odd_cases(spark):
     from rangeflow.llm import op8_licences
 
