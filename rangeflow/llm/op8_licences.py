@@ -159,7 +159,7 @@ _ENDS = re.compile(r"[.!?][\x20\x09-\x0D]+")
 _OTHER = re.compile(rf"[^a-z0-9\n{_END}]+")
 _CUT = re.compile(rf" ?(?:{_END}|\n ?\n)[ \n{_END}]*")
 #: Every known sentence has one of these letters in it.
-_SIGNS = re.compile(rb"(?i)licen|rights|permi|warrant|redist|copyright|distribut|public domain|liable|endorse|compiled|mozilla|law|spdx|(?:released|available|published|provided|covered|shared|software) under")
+_SIGNS = re.compile(rb"(?i)licen|rights|permi|warrant|redist|copyright|distribut|public[^a-z0-9]+domain|liable|endorse|compiled|mozilla|law|spdx|(?:released|available|published|provided|covered|shared|software)[^a-z0-9]+under")
 _VERBS = "(?:licensed|released|distributed|available|published|provided|covered|shared|free software)"
 _UNDER = re.compile(rf"^((?:[a-z0-9]+ ){{0,8}}?){_VERBS} under (?:(?:the )?(?:terms|conditions|terms and conditions) of )?(?:the |a |an )?")
 _NO = re.compile(r"\b(?:not|never|longer|unless|if|cannot)\b")
