@@ -1,11 +1,13 @@
-"""Queries of ego-motion: shifts of frames from their points, and what is linked under them."""
+"""Queries of scenes in motion: shifts of frames from their points, rays against tables of faces."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.mesh import cast_rays
 from ..operators.motion import grid, segment_motion, smoothness
+from ..session import read_table
 from .views import PT, points
 
 QUERIES: dict = {}
@@ -68,3 +70,42 @@ def ego_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each frame of a ride is along the track: cost curves of its points against the frame before, the least-cost path in blocks, its vertex, and the check over two frames."""
     m = segment_motion(ride_points(spark, sf_dir), "ride", "k", LOW, HIGH, STEP, SIGMA, TRUNC, block=8)
     return m.select("ride", "k", F.round("shift", 6).alias("shift"), F.round("position", 6).alias("position"), "informative", F.round("closure", 6).alias("closure"))
+
+
+#: A scene's faces are the parts of its number modulo ``SCENES``, its beams the line items of such a supplier.
+SCENES = 8
+_FACE = f"""f AS (SELECT p_partkey % {SCENES} AS scene, p_partkey AS part, p_retailprice / 20e0 AS x, (p_partkey * 37 % 100 - 50) * 0.4e0 AS y, (p_partkey * 53 % 40 - 20) * 0.25e0 AS z, CASE WHEN p_partkey % 50 = 7 THEN 15e0 ELSE p_size * 0.04e0 END AS s FROM part),
+g AS (SELECT scene, part, x AS x0, y - s AS y0, z - s AS z0, x + s / 2 AS x1, y + s AS y1, z - s AS z1, x AS x2, y AS y2, z + s AS z2 FROM f)"""
+_BEAM = f"b AS (SELECT l_suppkey % {SCENES} AS scene, l_orderkey AS beam, l_linenumber AS line, 1e0 AS dx, (l_partkey % 401 - 200) / 400e0 AS dy, (l_orderkey % 101 - 50) / 400e0 AS dz FROM lineitem)"
+
+
+def scene_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as triangles; every fiftieth is as large as a wall."""
+    k = F.col("p_partkey")
+    f = read_table(spark, sf_dir, "part").select(
+        (k % SCENES).alias("scene"), k.alias("part"), (F.col("p_retailprice") / 20.0).alias("x"), ((k * 37 % 100 - 50) * 0.4).alias("y"), ((k * 53 % 40 - 20) * 0.25).alias("z"),
+        F.when(k % 50 == 7, 15.0).otherwise(F.col("p_size") * 0.04).alias("s"),
+    )
+    x, y, z, s = (F.col(c) for c in "xyzs")
+    corners = {"x0": x, "y0": y - s, "z0": z - s, "x1": x + s / 2, "y1": y + s, "z1": z - s, "x2": x, "y2": y, "z2": z + s}
+    return f.select("scene", "part", *[c.alias(name) for name, c in corners.items()])
+
+
+def scene_beams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as directions ahead."""
+    across, up = (F.col("l_partkey") % 401 - 200) / 400.0, (F.col("l_orderkey") % 101 - 50) / 400.0
+    return read_table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % SCENES).alias("scene"), F.col("l_orderkey").alias("beam"), F.col("l_linenumber").alias("line"), F.lit(1.0).alias("dx"), across.alias("dy"), up.alias("dz")
+    )
+
+
+@query(f"""WITH {_FACE}, {_BEAM},
+v AS (SELECT b.*, part, -x0 AS sx, -y0 AS sy, -z0 AS sz, x1 - x0 AS ux, y1 - y0 AS uy, z1 - z0 AS uz, x2 - x0 AS wx, y2 - y0 AS wy, z2 - z0 AS wz FROM b JOIN g USING (scene)),
+p AS (SELECT *, dy * wz - dz * wy AS px, dz * wx - dx * wz AS py, dx * wy - dy * wx AS pz, sy * uz - sz * uy AS qx, sz * ux - sx * uz AS qy, sx * uy - sy * ux AS qz FROM v),
+d AS (SELECT *, ux * px + uy * py + uz * pz AS det FROM p),
+h AS (SELECT scene, beam, line, part, (wx * qx + wy * qy + wz * qz) / det AS t FROM d WHERE abs(det) > 1e-12 AND (sx * px + sy * py + sz * pz) / det >= 0 AND (dx * qx + dy * qy + dz * qz) / det >= 0 AND (sx * px + sy * py + sz * pz) / det + (dx * qx + dy * qy + dz * qz) / det <= 1)
+SELECT scene, beam, line, arg_min(part, {{'t': t, 'part': part}}) AS part, round(min(t), 6) AS t FROM h WHERE t > 1e-9 GROUP BY ALL""")
+def mesh_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first face of a scene's table of triangles that each beam hits, by a grid of directions."""
+    h = cast_rays(scene_beams(spark, sf_dir), scene_faces(spark, sf_dir), ["scene"], ["beam", "line"], "part")
+    return h.select("scene", "beam", "line", "part", F.round("t", 6).alias("t"))
