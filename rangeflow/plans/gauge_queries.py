@@ -287,12 +287,12 @@ def annotated_obstacle_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("event").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(hit).alias("hits"), F.count_distinct(F.when(hit, F.col("bag"))).alias("recordings"))
 
 
-@query(f"""WITH {PT}, s AS (SELECT frame, slot, d, l, h FROM pt WHERE slot % 3 = 0), m AS (SELECT frame, max(CASE WHEN axis = 'd' THEN p98 END) AS reach, arg_max(axis, p98) AS along FROM (
+@query(f"""WITH {PT}, s AS (SELECT frame, slot, d, l, h FROM pt), m AS (SELECT frame, max(CASE WHEN axis = 'd' THEN p98 END) AS reach, arg_max(axis, p98) AS along FROM (
   SELECT frame, 'd' AS axis, quantile_cont(abs(d), 0.98) AS p98 FROM s GROUP BY frame UNION ALL SELECT frame, 'l', quantile_cont(abs(l), 0.98) FROM s GROUP BY frame UNION ALL SELECT frame, 'h', quantile_cont(abs(h), 0.98) FROM s GROUP BY frame) GROUP BY frame)
 SELECT m.frame, along, round(reach, 4) AS reach, round(max(-l), 4) AS side_max, round(min(h), 4) AS up_min FROM m JOIN s ON s.frame = m.frame GROUP BY ALL""")
 def axis_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The axis of longest reach, and coordinates under a signed permutation of axes."""
-    s = points(spark, sf_dir).where("slot % 3 = 0")
+    s = points(spark, sf_dir)
     d, side, up = C.permuted_axes(F.col("d"), F.col("l"), F.col("h"), ("+x", "-y", "+z"))
     g = s.groupBy("frame").agg(*[F.percentile(F.abs(c), 0.98).alias(f"p{c}") for c in "dlh"], F.max(side).alias("side_max"), F.min(up).alias("up_min"))
     along = F.array_max(F.array(*[F.struct(F.col(f"p{c}").alias("p"), F.lit(c).alias("axis")) for c in "dlh"]))["axis"]

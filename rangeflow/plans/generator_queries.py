@@ -105,7 +105,7 @@ def _depth_sql(upto: str) -> str:
     return " + ".join(f"{a}e0 * exp(-power((l - ({m}e0)) / 0.5e0, 2)) * 0.5e0 * ({_erf_sql(f'(({upto}) - {c}e0) / {s}e0')} - {_erf_sql(f'(0e0 - {c}e0) / {s}e0')})" for c, s, a, m in _PUFFS)
 
 
-@query(f"""WITH {PT}, p AS (SELECT frame, slot, d, l, {_depth_sql("d")} AS tau FROM pt WHERE slot % 4 = 0), k AS (SELECT p.*, unnest(range(1, 25)) AS step FROM p),
+@query(f"""WITH {PT}, p AS (SELECT frame, slot, d, l, {_depth_sql("d")} AS tau FROM pt), k AS (SELECT p.*, unnest(range(1, 25)) AS step FROM p),
 s AS (SELECT frame, slot, d, tau, step, ({_depth_sql("d * step / 24e0")}) - ({_depth_sql("d * (step - 1) / 24e0")}) AS gain, d * step / 24e0 AS x, l, exp(-({_depth_sql("d * (step - 1) / 24e0")})) AS before FROM k),
 b AS (SELECT frame, slot, any_value(tau) AS tau, any_value(d) AS d, max(round(gain * before, 9)) AS best, min(step) FILTER (top) AS step FROM (SELECT *, round(gain * before, 9) = max(round(gain * before, 9)) OVER (PARTITION BY frame, slot) AS top FROM s) GROUP BY ALL)
 SELECT frame, count(*) AS beams, round(avg(exp(-tau)), 5) AS survival, count(*) FILTER (best > 0.1e0 AND best > exp(-tau) * 0.5e0) AS dust_returns, round(sum(CASE WHEN best > 0.1e0 AND best > exp(-tau) * 0.5e0 THEN d * step / 24e0 ELSE d END), 2) AS ranges FROM b GROUP BY frame""")
@@ -118,11 +118,10 @@ def dust_puffs(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = out + a * beside * 0.5 * (C.erf((upto - c) / s) - C.erf((F.lit(0.0) - c) / s))
         return out
 
-    p = points(spark, sf_dir).where("slot % 4 = 0").withColumn("tau", depth(F.col("d")))
-    at = lambda k: F.col("d") * k / 24.0
-    p = p.withColumn("depths", F.array(*[depth(at(k)) for k in range(25)]))
-    gains = F.transform(F.sequence(F.lit(1), F.lit(24)), lambda k: F.struct(F.round((F.element_at("depths", k + 1) - F.element_at("depths", k)) * F.exp(-F.element_at("depths", k)), 9).alias("g"), (-k).alias("m")))
-    b = p.select("frame", "d", "tau", F.array_max(gains).alias("b"))
+    p = points(spark, sf_dir).withColumn("tau", depth(F.col("d"))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(24))))
+    p = p.withColumn("before", depth(F.col("d") * (F.col("k") - 1) / 24.0)).withColumn("after", depth(F.col("d") * F.col("k") / 24.0))
+    gain = F.struct(F.round((F.col("after") - F.col("before")) * F.exp(-F.col("before")), 9).alias("g"), (-F.col("k")).alias("m"))
+    b = p.groupBy("frame", "slot").agg(F.first("d").alias("d"), F.first("tau").alias("tau"), F.max(gain).alias("b"))
     dusty = (F.col("b.g") > 0.1) & (F.col("b.g") > F.exp(-F.col("tau")) * 0.5)
     return b.groupBy("frame").agg(
         F.count(F.lit(1)).alias("beams"), F.round(F.avg(F.exp(-F.col("tau"))), 5).alias("survival"), F.count_if(dusty).alias("dust_returns"), F.round(F.sum(F.when(dusty, F.col("d") * -F.col("b.m") / 24.0).otherwise(F.col("d"))), 2).alias("ranges")
@@ -326,17 +325,17 @@ def object_tracks_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("obj", "first_frame", "last_frame", "most", F.col("b.frame").alias("frame_of_most"), F.col("b.at").alias("at_most"), "share3")
 
 
-@query(f"""WITH RECURSIVE {FR}, t AS (SELECT bag, i, (dist * 7 + k * 13) % 300 AS want FROM fr WHERE i < 12), a AS (SELECT bag, -1::BIGINT AS i, []::DOUBLE[] AS placed, NULL::DOUBLE AS x, 0::BIGINT AS redraws FROM (SELECT DISTINCT bag FROM t)
-  UNION ALL SELECT bag, i, CASE WHEN x IS NULL THEN placed ELSE list_append(placed, x) END, x, CASE WHEN x IS NULL THEN -1 ELSE list_position(tries, x) - 1 END FROM (
-    SELECT *, list_filter(tries, lambda v: len(list_filter(placed, lambda p: abs(p - v) < 4.5e0)) = 0)[1] AS x FROM (SELECT t.bag, t.i, placed, list_transform(range(0, 21), lambda q: (want + q * 185.4e0) % 300) AS tries FROM a JOIN t ON t.bag = a.bag AND t.i = a.i + 1)))
+@query(f"""WITH RECURSIVE {FR}, t AS (SELECT bag, i // 12 AS scene, i % 12 AS n, i, (dist * 7 + k * 13) % 300 AS want FROM fr), a AS (SELECT bag, scene, -1::BIGINT AS n, -1::BIGINT AS i, []::DOUBLE[] AS placed, NULL::DOUBLE AS x, 0::BIGINT AS redraws FROM (SELECT DISTINCT bag, scene FROM t)
+  UNION ALL SELECT bag, scene, n, i, CASE WHEN x IS NULL THEN placed ELSE list_append(placed, x) END, x, CASE WHEN x IS NULL THEN -1 ELSE list_position(tries, x) - 1 END FROM (
+    SELECT *, list_filter(tries, lambda v: len(list_filter(placed, lambda p: abs(p - v) < 4.5e0)) = 0)[1] AS x FROM (SELECT t.bag, t.scene, t.n, t.i, placed, list_transform(range(0, 21), lambda q: (want + q * 185.4e0) % 300) AS tries FROM a JOIN t ON t.bag = a.bag AND t.scene = a.scene AND t.n = a.n + 1)))
 SELECT bag, i, redraws, round(coalesce(x, -1e0), 4) AS placed FROM a WHERE i >= 0""")
 def spaced_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects placed in turn with a least spacing: up to twenty redraws that follow from the first draw, else left out.
 
-    A scene has a dozen objects, folded inside the JVM.
+    A scene is a dozen objects of a recording, folded inside the JVM.
     """
-    t = frames(spark, sf_dir).where("i < 12").select("bag", "i", ((F.col("dist") * 7 + F.col("k") * 13) % 300).alias("want"))
-    rows = t.groupBy("bag").agg(F.sort_array(F.collect_list(F.struct("i", "want"))).alias("t"))
+    t = frames(spark, sf_dir).select("bag", F.floor(F.col("i") / 12).alias("scene"), "i", ((F.col("dist") * 7 + F.col("k") * 13) % 300).alias("want"))
+    rows = t.groupBy("bag", "scene").agg(F.sort_array(F.collect_list(F.struct("i", "want"))).alias("t"))
     kind = "struct<placed:array<double>,out:array<struct<i:bigint,redraws:bigint,x:double>>>"
     start = F.from_json(F.lit('{"placed":[],"out":[]}'), kind)
 

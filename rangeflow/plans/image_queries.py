@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import cells as cl
 from ..operators.graph import connected_components
+from ..operators.growth import grow_regions
 from ..session import written
 from .views import PT, points
 
@@ -25,12 +26,19 @@ def query(sql: str | None = None):
     return add
 
 
-#: One number a pixel, increasing with frame, row and column.
+#: Rows and columns of an image lie within half of this about zero, and frames below 2 ** 23.
+_SIDE = 1 << 20
+
+
 def pixel_id(frame: Column | str, row: Column | str, col: Column | str) -> Column:
-    return F.col(frame) * 10_000_000 + (F.col(row) + 1000) * 1000 + F.col(col) + 500
+    """One number a pixel, increasing with frame, row and column; a pixel outside the sides that fit is an error."""
+    f, r, c = (F.col(x) if isinstance(x, str) else x for x in (frame, row, col))
+    inside = (f >= 0) & (f < 1 << 23) & (F.abs(r) < _SIDE // 2) & (F.abs(c) < _SIDE // 2)
+    number = (f.cast("long") * _SIDE + r + _SIDE // 2) * _SIDE + c + _SIDE // 2
+    return F.when(f.isNull() | r.isNull() | c.isNull() | inside, number).otherwise(F.raise_error(F.lit("a pixel outside the sides that one number holds")).cast("long"))
 
 
-_ID = "frame * 10000000 + (row + 1000) * 1000 + col + 500"
+_ID = f"((frame * {_SIDE} + row + {_SIDE // 2}) * {_SIDE} + col + {_SIDE // 2})"
 
 
 def components_within(pixels: DataFrame, reach: int, same: Column | None = None) -> DataFrame:
@@ -54,11 +62,11 @@ ee AS (SELECT a.id AS s, b.id AS t FROM kk a JOIN kk b ON a.frame = b.frame AND
 ww AS (SELECT id, id AS reach FROM kk UNION SELECT ee.t, ww.reach FROM ww JOIN ee ON ee.s = ww.id WHERE ww.reach < ee.t), m AS (SELECT id, min(reach) AS comp FROM ww GROUP BY id)"""
 
 
-_CELLS = "c AS (SELECT frame, floor(d / 4)::BIGINT AS row, floor(l / 0.1e0)::BIGINT AS col, min(r) AS r, count(*) AS px, min(d) AS d0, max(d) AS d1, min(l) AS l0, max(l) AS l1, min(h) AS h0, max(h) AS h1 FROM pt WHERE r > 44 GROUP BY ALL)"
+_CELLS = "c AS (SELECT frame, floor(d / 0.5e0)::BIGINT AS row, floor(l / 0.1e0)::BIGINT AS col, min(r) AS r, count(*) AS px, min(d) AS d0, max(d) AS d1, min(l) AS l0, max(l) AS l1, min(h) AS h0, max(h) AS h1 FROM pt GROUP BY ALL)"
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).where("r > 44").groupBy("frame", C.floor_bin(F.col("d"), 4.0).alias("row"), C.floor_bin(F.col("l"), 0.1).alias("col")).agg(
+    return points(spark, sf_dir).groupBy("frame", C.floor_bin(F.col("d"), 0.5).alias("row"), C.floor_bin(F.col("l"), 0.1).alias("col")).agg(
         F.min("r").alias("r"), F.count(F.lit(1)).alias("px"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("l").alias("l0"), F.max("l").alias("l1"), F.min("h").alias("h0"), F.max("h").alias("h1")
     )
 
@@ -128,24 +136,27 @@ def region_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("frame", "pixels", F.round("e", 4).alias("ext_d"), F.round("f", 4).alias("ext_l"), ((F.col("e") <= 2.5) & (F.col("pixels") <= 6)).alias("straddles"))
 
 
-_ROUNDS = 4
-
-
-@query(f"""WITH {PT}, {_CELLS}, s AS (SELECT frame, arg_min(row, r * 1e6 + row * 1000 + col) AS row, arg_min(col, r * 1e6 + row * 1000 + col) AS col FROM c GROUP BY frame),
-g0 AS (SELECT frame, row, col, 0 AS k FROM s), {", ".join(f"e{k} AS (SELECT frame FROM g{k} JOIN c USING (frame, row, col) GROUP BY frame HAVING max(l1) - min(l0) <= 1e0 AND sum(px) <= 3000), n{k} AS (SELECT DISTINCT c.frame, c.row, c.col FROM g{k} JOIN e{k} USING (frame) JOIN c ON c.frame = g{k}.frame AND abs(c.row - g{k}.row) <= 2 AND abs(c.col - g{k}.col) <= 2 WHERE g{k}.k = {k}), g{k + 1} AS (SELECT * FROM g{k} UNION ALL SELECT n.frame, n.row, n.col, {k + 1} FROM n{k} n WHERE NOT EXISTS (SELECT 1 FROM g{k} h WHERE h.frame = n.frame AND h.row = n.row AND h.col = n.col))" for k in range(_ROUNDS))}
-SELECT frame, count(*) AS pixels, sum(px)::BIGINT AS points, max(k)::BIGINT AS rounds, round(max(l1) - min(l0), 4) AS ext_l FROM g{_ROUNDS} JOIN c USING (frame, row, col) GROUP BY frame""")
+@query(f"""WITH RECURSIVE {PT}, {_CELLS}, s AS (SELECT frame, arg_min(row, {{'r': r, 'row': row, 'col': col}}) AS row, arg_min(col, {{'r': r, 'row': row, 'col': col}}) AS col FROM c GROUP BY frame),
+g AS (SELECT frame, row, col FROM s UNION SELECT c.frame, c.row, c.col FROM g JOIN c ON c.frame = g.frame AND abs(c.row - g.row) <= 2 AND abs(c.col - g.col) <= 2),
+x AS (SELECT frame, count(*) AS pixels, sum(px)::BIGINT AS points, max(l1) - min(l0) AS ext FROM g JOIN c USING (frame, row, col) GROUP BY frame)
+SELECT frame, CASE WHEN ok THEN pixels END AS pixels, CASE WHEN ok THEN points END AS points, CASE WHEN ok THEN round(ext, 4) END AS ext_l FROM (SELECT *, ext <= 1e0 AND points <= 3000 AS ok FROM x)""")
 def frontier_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growth from the nearest pixel by fronts, in a bounded number of rounds; a region that is wide or large enough grows no more."""
+    """Growth from the nearest pixel by fronts until none is left; a region that gets wide or large runs into structure and gives nothing."""
     c = written(_cells(spark, sf_dir), "cells")
-    grown = c.groupBy("frame").agg(F.min(F.struct("r", "row", "col")).alias("s")).select("frame", F.col("s.row").alias("row"), F.col("s.col").alias("col"), F.lit(0).alias("k"))
-    for k in range(_ROUNDS):
-        grown = written(grown, "grown")
-        small = grown.join(c, ["frame", "row", "col"]).groupBy("frame").agg((F.max("l1") - F.min("l0")).alias("e"), F.sum("px").alias("n")).where("e <= 1D and n <= 3000").select("frame")
-        front = cl.neighbour_cells(grown.where(F.col("k") == k).join(small, "frame", "left_semi").drop("k"), "row", "col", 2, own=False).distinct()
-        new = front.join(c.select("frame", "row", "col"), ["frame", "row", "col"], "left_semi").join(grown, ["frame", "row", "col"], "left_anti")
-        grown = grown.unionByName(new.withColumn("k", F.lit(k + 1)))
-    g = grown.join(c, ["frame", "row", "col"]).groupBy("frame")
-    return g.agg(F.count(F.lit(1)).alias("pixels"), F.sum("px").alias("points"), F.max("k").cast("long").alias("rounds"), F.round(F.max("l1") - F.min("l0"), 4).alias("ext_l"))
+    front = c.groupBy("frame").agg(F.min(F.struct("r", "row", "col")).alias("s")).select("frame", F.col("s.row").alias("row"), F.col("s.col").alias("col"))
+    fronts = [written(front, "grown")]
+    while True:
+        grown = fronts[0]
+        for f in fronts[1:]:
+            grown = grown.unionByName(f)
+        found = grown.join(c, ["frame", "row", "col"]).groupBy("frame").agg(F.count(F.lit(1)).alias("pixels"), F.sum("px").alias("points"), (F.max("l1") - F.min("l0")).alias("ext"))
+        ok = (F.col("ext") <= 1.0) & (F.col("points") <= 3000)
+        wide = cl.neighbour_cells(fronts[-1].join(found.where(ok).select("frame"), "frame", "left_semi"), "row", "col", 2, own=False).distinct()
+        new = written(wide.join(c.select("frame", "row", "col"), ["frame", "row", "col"], "left_semi").join(grown, ["frame", "row", "col"], "left_anti"), "grown")
+        if new.isEmpty():
+            break
+        fronts.append(new)
+    return found.select("frame", F.when(ok, F.col("pixels")).alias("pixels"), F.when(ok, F.col("points")).alias("points"), F.when(ok, F.round("ext", 4)).alias("ext_l"))
 
 
 @query(f"""WITH RECURSIVE {PT}, {_CELLS}, i AS (SELECT frame, row, col, r FROM c WHERE r > 46), {_reach_sql("i", 2, "abs(a.r - b.r) < 1e0")} SELECT comp AS component, count(*) AS pixels, round(min(r), 4) AS r_min, round(max(r), 4) AS r_max FROM m JOIN kk USING (id) GROUP BY comp""")
@@ -195,3 +206,23 @@ def first_valid_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = steps.join(c.where("r <= 40").select("frame", "col", F.col("row").alias("at"), "r"), ["frame", "col", "at"])
     best = hit.groupBy("frame", "row", "col").agg(F.min_by("r", "steps").alias("above"), F.min("steps").alias("steps"))
     return s.join(best, ["frame", "row", "col"], "left").fillna(-1.0, ["above"]).fillna(-1, ["steps"]).select("frame", "row", "col", "above", "steps")
+
+
+#: Growth in space: radius and its slope by distance, the widest compact object, the most points of one.
+GROW, GROW_SLOPE, COMPACT, MOST = 0.45, 0.002, 2.5, 12
+
+
+@query(f"""WITH RECURSIVE {PT}, s AS (SELECT frame, slot AS region, {GROW}e0 + {GROW_SLOPE}e0 * d AS radius FROM pt WHERE r >= 49),
+e AS (SELECT a.frame, a.slot AS s, b.slot AS t, power(b.d - a.d, 2) + power(b.l - a.l, 2) + power(b.h - a.h, 2) AS far FROM pt a JOIN pt b ON a.frame = b.frame AND abs(a.d - b.d) <= 1 AND a.slot <> b.slot),
+g AS (SELECT frame, region, radius, region AS point FROM s UNION SELECT g.frame, g.region, g.radius, e.t FROM g JOIN e ON e.frame = g.frame AND e.s = g.point AND e.far <= g.radius * g.radius),
+x AS (SELECT g.frame, region, count(*) AS n, max(d) - min(d) AS ed, max(l) - min(l) AS el, max(h) - min(h) AS eh FROM g JOIN pt ON pt.frame = g.frame AND pt.slot = g.point GROUP BY ALL)
+SELECT frame, region, CASE WHEN ok THEN n END AS points, CASE WHEN ok THEN round(ed, 4) END AS ext_d, CASE WHEN ok THEN round(el, 4) END AS ext_l, CASE WHEN ok THEN round(eh, 4) END AS ext_h FROM (SELECT *, greatest(ed, el, eh) <= {COMPACT}e0 AND n <= {MOST} AS ok FROM x)""")
+def compact_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions grown from every strong point through all points near them, to their end or past the limits of a compact object."""
+    p = points(spark, sf_dir)
+    s = p.where("r >= 49")
+    box = [F.lit(None).cast("double").alias(f"{c}_{e}") for c in "dlh" for e in ("lo", "hi")]
+    regions = s.select("frame", F.col("slot").alias("region"), (GROW + GROW_SLOPE * F.col("d")).alias("radius"), *box)
+    g = grow_regions(p.withColumnRenamed("slot", "point"), regions, s.select("frame", F.col("slot").alias("region"), F.col("slot").alias("point")), "frame", 1.0, COMPACT, MOST)
+    ok = F.col("ext_d").isNotNull()
+    return g.select("frame", "region", F.when(ok, F.col("n")).alias("points"), *[F.round(f"ext_{c}", 4).alias(f"ext_{c}") for c in "dlh"])

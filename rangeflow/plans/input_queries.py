@@ -166,10 +166,10 @@ def status_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.groupBy("status").agg(F.count(F.lit(1)).alias("n")).join(x, "status").select("status", "examples", "n")
 
 
-@query(f"""WITH {PT}, b AS (SELECT frame, slot // 40 AS block, median(r) FILTER (r > 5) AS m FROM pt WHERE h < 1 OR slot % 3 = 0 GROUP BY ALL) SELECT frame, block, round(m, 4) AS m, row_number() OVER (PARTITION BY frame ORDER BY m DESC NULLS LAST, block) AS place FROM b""")
+@query(f"""WITH {PT}, b AS (SELECT frame, slot // 40 AS block, median(r) FILTER (r > 5) AS m FROM pt GROUP BY ALL) SELECT frame, block, round(m, 4) AS m, row_number() OVER (PARTITION BY frame ORDER BY m DESC NULLS LAST, block) AS place FROM b""")
 def block_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a cloud, the farthest by median range first, empty ones last."""
-    b = points(spark, sf_dir).where("h < 1 or slot % 3 = 0").groupBy("frame", F.floor(F.col("slot") / 40).cast("long").alias("block")).agg(F.percentile(F.when(F.col("r") > 5, F.col("r")), 0.5).alias("m"))
+    b = points(spark, sf_dir).groupBy("frame", F.floor(F.col("slot") / 40).cast("long").alias("block")).agg(F.percentile(F.when(F.col("r") > 5, F.col("r")), 0.5).alias("m"))
     w = Window.partitionBy("frame").orderBy(F.desc_nulls_last("m"), "block")
     return b.select("frame", "block", F.round("m", 4).alias("m"), F.row_number().over(w).cast("long").alias("place"))
 

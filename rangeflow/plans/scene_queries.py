@@ -11,6 +11,8 @@ from ..functions import columns as C
 from ..operators import cells as cl
 from ..operators import robust
 from ..operators.graph import connected_components
+from .image_queries import _ID as PIXEL_ID
+from .image_queries import pixel_id
 from .views import FR, PT, band_sql, frames, points
 
 QUERIES: dict = {}
@@ -101,14 +103,14 @@ def hashed_augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g
 
 
-@query(f"""WITH RECURSIVE {PT}, c AS (SELECT DISTINCT frame, floor(d / 4)::BIGINT AS row, floor(l / 0.1e0)::BIGINT AS col FROM pt WHERE r > 42), k AS (SELECT *, frame * 10000000 + (row + 1000) * 1000 + col + 500 AS id FROM c),
+@query(f"""WITH RECURSIVE {PT}, c AS (SELECT DISTINCT frame, floor(d / 0.4e0)::BIGINT AS row, floor(l / 0.1e0)::BIGINT AS col FROM pt), k AS (SELECT *, {PIXEL_ID} AS id FROM c),
 e AS (SELECT a.id AS s, b.id AS t FROM k a JOIN k b ON a.frame = b.frame AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id),
 w AS (SELECT id, id AS reach FROM k UNION SELECT e.t, w.reach FROM w JOIN e ON e.s = w.id WHERE w.reach < e.t), m AS (SELECT id, min(reach) AS comp FROM w GROUP BY id)
 SELECT comp AS component, count(*) AS pixels, min(row) AS row_lo, max(row) AS row_hi, min(col) AS col_lo, max(col) AS col_hi FROM m JOIN k USING (id) GROUP BY comp""")
 def pixel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight-connected components of occupied cells, with their boxes."""
-    c = points(spark, sf_dir).where("r > 42").select("frame", C.floor_bin(F.col("d"), 4.0).alias("row"), C.floor_bin(F.col("l"), 0.1).alias("col")).distinct()
-    k = c.withColumn("id", F.col("frame") * 10_000_000 + (F.col("row") + 1000) * 1000 + F.col("col") + 500)
+    c = points(spark, sf_dir).select("frame", C.floor_bin(F.col("d"), 0.4).alias("row"), C.floor_bin(F.col("l"), 0.1).alias("col")).distinct()
+    k = c.withColumn("id", pixel_id("frame", "row", "col"))
     near = cl.neighbour_cells(k.withColumnRenamed("id", "src"), "row", "col", own=False)
     e = near.join(k.withColumnRenamed("id", "dst"), ["frame", "row", "col"]).select("src", "dst")
     m = k.join(connected_components(e), "id", "left").withColumn("component", F.coalesce("component", "id"))
