@@ -40,3 +40,27 @@ def fold(frames: DataFrame, step: Callable[[dict, dict], dict], key: str = "bag"
 
     kind = dict(frames.dtypes)[key]
     return placed.mapInPandas(run, f"{key} {kind}, {OUT}")
+
+
+def ordered_fold(rows: DataFrame, key: str, order: str, step: Callable[[dict, object], list[dict]], start: Callable[[], dict], out: str) -> DataFrame:
+    """``key, order`` and the fields of ``out``: what ``step(state, row)`` gives for each row of a key in turn, state beginning as ``start()``.
+
+    Rows stream through the key's task: one batch and the state are held, whatever the key's length.
+    """
+    names = [f.split()[0] for f in out.split(", ")]
+    placed = rows.repartition(key).sortWithinPartitions(key, order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for b in batches:
+            got = []
+            for row in b.itertuples(index=False):
+                name = getattr(row, key)
+                if state is None or name != at:
+                    at, state = name, start()
+                got += [(name, getattr(row, order), *(r[n] for n in names)) for r in step(state, row)]
+            if got:
+                yield pd.DataFrame(got, columns=[key, order, *names])
+
+    kinds = dict(rows.dtypes)
+    return placed.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {out}")

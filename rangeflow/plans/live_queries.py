@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tracks.batch import ordered_fold
+from ..operators.tracks.line import OUT, LineRules, line_step, new_line
 from ..session import shared_dir
+from ..streaming.line_state import line_frame, stream_lines
 from ..streaming.silence import expected, silence_watch
 from .state_queries import state_on_disk
-from .views import frames
+from .views import FR, frames
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -58,3 +61,55 @@ def silence_watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = keys.unionByName(keys.where("bag % 50 = 0").select((F.col("bag") + 1_000_000).alias("bag")))
     edges = [z.lo + (z.hi - z.lo) * k / 4 for k in range(1, 4)] if z.lo else []
     return run_in_slices(spark, src, "ts", edges, lambda s: silence_watch(s.withWatermark("ts", f"{LAG} milliseconds"), "bag", "ts", STALE, EVERY, initial=expected(keys, "bag", z.t0 or 0)))
+
+
+#: Frames are hours apart: a model is held for half a day, a sequence ends after four days; bends and reaches are the events' values.
+LINE = LineRules(hold=DAY // 2, back=1, gap=4 * DAY, straight=150.0, keep_straight=300.0, far_reach=141.0)
+
+
+def line_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit a frame, of which some fail, with the share of the image that stands still."""
+    i, k = F.col("i"), F.col("k")
+    still = F.when(i % 40 < 18, 0.95).when(i % 40 < 32, 0.85).otherwise(0.2)
+    ok = k % 4 != 1
+    return frames(spark, sf_dir).select("bag", "i", F.floor(F.col("t") / 1000).alias("stamp"), still.alias("still"), F.when(ok, F.col("dist")).alias("b"), F.when(ok, 60.0 + k % 50).alias("reach"), F.timestamp_micros("t").alias("ts"))
+
+
+def _mid(xs: str) -> str:
+    return f"{{'b': list_aggregate(list_transform({xs}, lambda each: each.b), 'median'), 'reach': list_aggregate(list_transform({xs}, lambda each: each.reach), 'median')}}"
+
+
+_LINE_SQL = f"""WITH RECURSIVE {FR}, f AS (SELECT bag, i, t // 1000 AS t, CASE WHEN i % 40 < 18 THEN 0.95e0 WHEN i % 40 < 32 THEN 0.85e0 ELSE 0.2e0 END AS still, CASE WHEN k % 4 <> 1 THEN {{'b': dist, 'reach': 60e0 + k % 50}} END AS fit FROM fr),
+a AS (SELECT bag, -1::BIGINT AS i, NULL::BIGINT AS t, []::STRUCT(b DOUBLE, reach DOUBLE)[] AS st, []::STRUCT(b DOUBLE, reach DOUBLE)[] AS qs, NULL::STRUCT(b DOUBLE, reach DOUBLE) AS frozen, NULL::STRUCT(b DOUBLE, reach DOUBLE) AS held, NULL::BIGINT AS held_at, false AS ext, '' AS source, NULL::STRUCT(b DOUBLE, reach DOUBLE) AS model, false AS reset FROM (SELECT DISTINCT bag FROM f)
+UNION ALL SELECT bag, i, t, st2, qs2, frozen2, coalesce(m2, held), CASE WHEN m2 IS NOT NULL THEN t ELSE held_at END, ext2,
+  CASE WHEN m2 IS NOT NULL THEN CASE WHEN frozen2 IS NOT NULL THEN 'frozen' WHEN smooth THEN 'smoothed' ELSE 'fit' END WHEN fresh THEN 'held' ELSE 'none' END,
+  CASE WHEN m2 IS NOT NULL THEN {{'b': m2.b, 'reach': CASE WHEN ext2 THEN greatest(m2.reach, {LINE.far_reach}e0) ELSE m2.reach END}} WHEN fresh THEN held END, jump
+FROM (SELECT *, CASE WHEN m2 IS NOT NULL THEN abs(m2.b) < CASE WHEN ext THEN {LINE.keep_straight}e0 ELSE {LINE.straight}e0 END ELSE ext END AS ext2, held IS NOT NULL AND t - held_at <= {LINE.hold} AS fresh
+FROM (SELECT *, CASE WHEN frozen2 IS NOT NULL AND frozen IS NULL THEN frozen2 ELSE m END AS m2
+FROM (SELECT *, CASE WHEN frozen IS NULL AND add_static AND len(st2) >= {LINE.warm_up} THEN {_mid('st2')} ELSE frozen END AS frozen2
+FROM (SELECT *, CASE WHEN add_static THEN list_append(st, m) ELSE st END AS st2
+FROM (SELECT *, CASE WHEN frozen IS NOT NULL THEN frozen WHEN smooth THEN {_mid('list_append(qs, fit)')} ELSE fit END AS m, frozen IS NULL AND fit IS NOT NULL AND still >= {LINE.static} AS add_static,
+  CASE WHEN frozen IS NOT NULL THEN [] WHEN fit IS NULL THEN qs WHEN still >= {LINE.quasi} THEN list_slice(list_append(qs, fit), greatest(len(qs) + 2 - {LINE.smooth - 1}, 1), len(qs) + 1) ELSE [] END AS qs2
+FROM (SELECT *, frozen IS NULL AND fit IS NOT NULL AND still >= {LINE.quasi} AND len(qs) >= 2 AS smooth
+FROM (SELECT f.bag, f.i, f.t, f.still, f.fit, coalesce(f.t - a.t > {LINE.gap}, false) AS jump, CASE WHEN jump OR f.still < {LINE.static} THEN [] ELSE a.st END AS st, CASE WHEN jump THEN [] ELSE a.qs END AS qs,
+  CASE WHEN NOT jump AND f.still >= {LINE.static} THEN a.frozen END AS frozen, CASE WHEN NOT jump THEN a.held END AS held, a.held_at, NOT jump AND a.ext AS ext FROM a JOIN f ON f.bag = a.bag AND f.i = a.i + 1))))))))
+SELECT bag, i, source, round(model.b, 6) AS b, round(model.reach, 6) AS reach, ext AS extended, reset FROM a WHERE i >= 0"""
+
+
+def _told(lines: DataFrame) -> DataFrame:
+    return lines.select("bag", "i", "source", F.round("b", 6).alias("b"), F.round("reach", 6).alias("reach"), "extended", "reset")
+
+
+@query(_LINE_SQL)
+def line_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line model of each frame: smoothed, frozen in a stop, held by its age, with its extended reach; one ordered pass a recording."""
+    return _told(ordered_fold(line_fits(spark, sf_dir), "bag", "i", lambda state, row: [line_step(state, line_frame(row), LINE)], new_line, OUT))
+
+
+@query(_LINE_SQL)
+def line_model_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream in slices of time: lists and values of each recording in the state store."""
+    src = line_fits(spark, sf_dir)
+    z = src.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    edges = [z.lo + (z.hi - z.lo) * k / 4 for k in range(1, 4)] if z.lo else []
+    return _told(run_in_slices(spark, src, "ts", edges, lambda s: stream_lines(s, "bag", "i", LINE)))

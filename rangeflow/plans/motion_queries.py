@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.mesh import cast_rays
 from ..operators.motion import grid, segment_motion, smoothness
+from ..operators.tracks.batch import ordered_fold
+from ..operators.tracks.linking import COMPONENTS, link_step, new_links
+from ..operators.tracks.linking import OUT as LINKS
 from ..session import read_table
 from .views import PT, points
 
@@ -27,10 +30,10 @@ def query(sql: str):
     return add
 
 
-def ride_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ride_points(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Points with their frames numbered from 0 in rides of ``RIDE``."""
     p = points(spark, sf_dir)
-    return p.select(F.floor(F.col("frame") / RIDE).alias("ride"), (F.col("frame") % RIDE).alias("k"), "slot", "d", "l", "h")
+    return p.select(F.floor(F.col("frame") / RIDE).alias("ride"), (F.col("frame") % RIDE).alias("k"), "slot", "d", "l", "h", *more)
 
 
 _RIDE = f"""p AS (SELECT frame // {RIDE} AS ride, frame % {RIDE} AS k, slot, d, l, h FROM pt),
@@ -109,3 +112,18 @@ def mesh_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first face of a scene's table of triangles that each beam hits, by a grid of directions."""
     h = cast_rays(scene_beams(spark, sf_dir), scene_faces(spark, sf_dir), ["scene"], ["beam", "line"], "part")
     return h.select("scene", "beam", "line", "part", F.round("t", 6).alias("t"))
+
+
+def static_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong points of a ride's frames linked to static objects under the ride's own motion: all pairs of a frame, the cheapest first; one ordered pass a ride."""
+    p = ride_points(spark, sf_dir, "r", "flag")
+    moved = segment_motion(p, "ride", "k", LOW, HIGH, STEP, SIGMA, TRUNC, block=8).select("ride", "k", "position")
+    one = F.struct(F.col("slot").alias("c"), "d", "l", "h", F.col("d").alias("r"), F.col("flag").alias("kind"))
+    seen = p.where("r >= 47").groupBy("ride", "k").agg(F.collect_list(one).cast(COMPONENTS).alias("components"))  # a frame's components
+    rows = seen.join(moved, ["ride", "k"])
+    linked = ordered_fold(rows, "ride", "k", lambda state, r: link_step(state, int(r.k), r.position, list(r.components)), new_links, LINKS)
+    return linked.groupBy("ride", "track").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_k"), F.max("k").alias("last_k"), F.max("gap").alias("longest_gap"), F.min_by("c", "k").alias("first_c"))
+
+
+#: Matching by costs that are sorted over a whole frame is no SQL: tested against a plain form.
+QUERIES["static_objects"] = static_objects
