@@ -101,17 +101,18 @@ def cast_rays(beams: DataFrame, faces: DataFrame, keys: list[str], beam: list[st
     b = b.withColumn("_az", F.pmod(F.floor(F.atan2("dy", "dx") / size).cast("int"), F.lit(int(round(360.0 / cell_deg)))))
     b = b.withColumn("_el", F.floor(F.atan2(F.col("dz"), F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))) / size).cast("int"))
     g = face_cells(faces.select(*keys, face, *CORNERS), keys, cell_deg)
-    pairs = b.join(g, [*keys, "_az", "_el"])
-    if tested:
-        return pairs.groupBy(*keys, *beam).agg(F.count(F.lit(1)).alias("n"))
+    # with the beam from the origin, all but the direction is a face's own: three vectors and a number
     o, e1, e2 = _corner(0), _sub(_corner(1), _corner(0)), _sub(_corner(2), _corner(0))
-    p = _cross(d, e2)
-    det = _dot(e1, p)
     s = tuple(-x for x in o)
     q = _cross(s, e1)  # type: ignore[arg-type]
-    hit = pairs.withColumns({"_det": det, "_u": _dot(s, p), "_v": _dot(d, q), "_t": _dot(e2, q)})  # type: ignore[arg-type]
-    hit = hit.where(F.abs(F.col("_det")) > 1e-12)
-    u, v, t = (F.try_divide(F.col(f"_{c}"), F.col("_det")) for c in "uvt")
-    hit = hit.withColumns({"_u": u, "_v": v, "_t": t}).where("_u >= 0 and _v >= 0 and _u + _v <= 1 and _t > 1e-9")
-    best = hit.groupBy(*keys, *beam).agg(F.min(F.struct(F.col("_t").alias("t"), F.col(face).alias("face"))).alias("b"))
+    own = {"_d": _cross(e2, e1), "_u": _cross(e2, s), "_v": q}  # type: ignore[arg-type]
+    g = g.select(*keys, face, "_az", "_el", *[x.alias(f"{name}{c}") for name, vec in own.items() for c, x in zip("xyz", vec)], _dot(e2, q).alias("_t"))
+    pairs = b.join(g, [*keys, "_az", "_el"])
+    if tested:
+        return pairs.groupBy(*keys, *beam).agg(F.count(F.lit(1)).alias("n"))
+    det, u, v = (_dot(d, tuple(F.col(f"{name}{c}") for c in "xyz")) for name in own)  # type: ignore[arg-type]
+    side = F.signum(det)
+    hit = pairs.where((F.abs(det) > 1e-12) & (u * side >= 0) & (v * side >= 0) & ((u + v) * side <= F.abs(det)) & (F.col("_t") * side > F.abs(det) * 1e-9))
+    best = hit.select(*keys, *beam, F.try_divide("_t", det).alias("t"), F.col(face).alias("face"))
+    best = best.groupBy(*keys, *beam).agg(F.min(F.struct("t", "face")).alias("b"))
     return best.select(*keys, *beam, F.col("b.face").alias(face), F.col("b.t").alias("t"))
