@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..sources.manifest import update_manifest
 from ..sources.recording_source import message_at, read_recordings, recording_topics, register, write_recordings
 from ..sources.recordings import completeness, expected_counts
 from .state_queries import state_on_disk
@@ -98,3 +99,17 @@ def recording_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             q.awaitTermination()
     out = spark.read.schema("bag string, topic string, timestamp long").parquet(f"{base}/out")
     return out.groupBy("bag", "topic").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_ns"), F.max("timestamp").alias("last_ns"))
+
+
+@query(f"""WITH {FR}, {_MSG} SELECT bag, log, topic, count(*) AS n, (1 + replace(bag, 'bag_', '')::BIGINT % 2)::INT AS read_in FROM m GROUP BY ALL""")
+def recording_manifest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored manifest over growing recordings: its second run reads only the logs that came since, its third nothing."""
+    base = f"{shared_dir(spark)}/recordings-{uuid.uuid4().hex}"
+    m = event_messages(spark, sf_dir)
+    late = F.substring_index("bag", "_", -1).cast("long") % 2 == 1
+    for some in (m.where(~late), m.where(late)):
+        write_recordings(some, f"{base}/in", file_ns=WEEK)
+        update_manifest(spark, f"{base}/in", f"{base}/manifest")
+    got = update_manifest(spark, f"{base}/in", f"{base}/manifest").where("n > 0")
+    parts = F.regexp_extract("path", r"/(bag_\d+)_(\d+)\.db3$", 1), F.regexp_extract("path", r"/(bag_\d+)_(\d+)\.db3$", 2).cast("long")
+    return got.select(parts[0].alias("bag"), parts[1].alias("log"), "topic", "n", "read_in")
