@@ -35,7 +35,7 @@ SHIFT = 1_000_000
 LIMIT = 1 << 40
 #: Rows that partial sums are merged to before the last merge.
 GROUPS = 64
-#: Expressions of one aggregation: 64 dimensions have 2,080 pairs; from 90 dimensions on, pairs are taken in blocks, a pass each.
+#: Expressions of one aggregation: 64 dimensions have 2,080 pairs; from 91 dimensions on, pairs are taken in blocks, a pass each.
 PAIRS = 4_096
 #: Up to this distance from the mean, 64-bit sums of a vector's squares are exact; beyond it Python's whole numbers are used.
 _NEAR = 1 << 22
