@@ -12,6 +12,7 @@ from ..operators.tracks.batch import ordered_fold
 from ..operators.tracks.line import OUT, LineRules, line_step, new_line
 from ..session import shared_dir
 from ..streaming.line_state import line_frame, stream_lines
+from ..streaming.observer import StampAudit, coverage, watched
 from ..streaming.silence import expected, silence_watch
 from .state_queries import state_on_disk
 from .views import FR, frames
@@ -43,7 +44,9 @@ def run_in_slices(spark: SparkSession, src: DataFrame, time: str, edges: list, p
     with state_on_disk(spark):
         q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    out = spark.read.schema(stream.schema).parquet(f"{base}/out")
+    out.query_id = str(q.id)
+    return out
 
 
 @query(f"""WITH e AS (SELECT user_id AS bag, epoch_us(ts) // 1000 AS t FROM events), z AS (SELECT min(t) AS t0, max(t) - {LAG} AS w FROM e),
@@ -113,3 +116,30 @@ def line_model_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = src.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     edges = [z.lo + (z.hi - z.lo) * k / 4 for k in range(1, 4)] if z.lo else []
     return _told(run_in_slices(spark, src, "ts", edges, lambda s: stream_lines(s, "bag", "i", LINE)))
+
+
+@query(f"""WITH {FR}, z AS (SELECT min(t) AS lo, max(t) AS hi FROM fr), f AS (SELECT fr.*, least(3, (t - lo) * 4 // (hi - lo)) AS batch FROM fr, z),
+s AS (SELECT batch, count(*) AS sent, count(*) FILTER (status <> 'unknown') AS processed, count(*) FILTER (status <> 'unknown' AND dist < 480) AS published FROM f GROUP BY batch)
+SELECT batch, 'processed' AS stage, sent, processed AS "later", sent - processed AS lost, sent = processed AS same FROM s UNION ALL SELECT batch, 'published', sent, published, sent - published, sent = published FROM s UNION ALL SELECT batch, 'received', sent, sent, 0, true FROM s""")
+def stamp_audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps sent, received, processed and published by a stream, batch by batch, as a listener beside it saw them."""
+    src = frames(spark, sf_dir).select("t", "status", "dist", F.timestamp_micros("t").alias("ts"))
+    z = src.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    edges = [z.lo + (z.hi - z.lo) * k / 4 for k in range(1, 4)] if z.lo else []
+
+    def plan(s: DataFrame) -> DataFrame:
+        got = watched(watched(s, "sent", "t").select("t", "status", "dist"), "received", "t")
+        done = watched(got.where("status <> 'unknown'"), "processed", "t")
+        return watched(done.where("dist < 480"), "published", "t").select("t")
+
+    audit = StampAudit()
+    spark.streams.addListener(audit)
+    try:
+        out = run_in_slices(spark, src, "ts", edges, plan)
+        if not audit.wait(out.query_id):
+            raise TimeoutError("the stream's progress did not arrive")
+    finally:
+        spark.streams.removeListener(audit)
+    table = audit.table(spark).where(F.col("query") == out.query_id)
+    each = [coverage(table, "sent", stage).withColumn("stage", F.lit(stage)) for stage in ("received", "processed", "published")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).select("batch", "stage", "sent", "later", "lost", "same")
