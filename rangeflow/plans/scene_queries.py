@@ -128,7 +128,7 @@ def gated_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bin")
-        return g[["frame", "bin"]].assign(accepted=robust.gated_chain(g["bin"].to_numpy() * 1.0, g["y"].to_numpy(), 0.3))
+        return g[["frame", "bin"]].assign(accepted=robust.gated_chain(g["bin"].to_numpy() * 1.0, g["y"].to_numpy(), 0.3 + 1e-9))
 
     return _bins(spark, sf_dir).groupBy("frame").applyInPandas(one, "frame long, bin long, accepted boolean")
 
