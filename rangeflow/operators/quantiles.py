@@ -1,4 +1,4 @@
-"""Order statistics under the five index conventions in use, as window selections.
+"""Order statistics under the index conventions in use, as window selections.
 
 No group is gathered into an array: values are ranked within their group and the wanted ranks
 selected, so a large group spills instead of failing.
@@ -24,17 +24,31 @@ def rank_index(n: Column, p: float, rule: str) -> Column:
 
 
 def rank_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
-    """``keys`` and a column for each wanted ``name: (p, rule)``; ``linear`` interpolates."""
+    """``keys`` and a column for each wanted ``name: (p, rule)``; ``linear`` interpolates, ``fused`` does with one rounding at the end.
+
+    Interpolated values that are compared with each other differ in their last bits by the rule; ``fused`` is DuckDB's ``quantile_cont``.
+    """
     ordered = Window.partitionBy(*keys).orderBy(value)
     ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(ordered) - 1)
     ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    aggs = [
-        F.percentile(value, p).alias(name) if rule == "linear" else F.max(F.when(F.col("_i") == rank_index(F.col("_n"), p, rule), F.col(value))).alias(name)
-        for name, (p, rule) in wanted.items()
-    ]
+    aggs = [_wanted(value, p, rule).alias(name) for name, (p, rule) in wanted.items()]
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs)
 
 
+def _wanted(value: str, p: float, rule: str) -> Column:
+    """Aggregate of values ranked ``_i`` of ``_n``."""
+    ranked = lambda at: F.max(F.when(F.col("_i") == at, F.col(value)))
+    if rule == "linear":
+        return F.percentile(value, p)
+    if rule != "fused":
+        return ranked(rank_index(F.col("_n"), p, rule))
+    at = (F.col("_n") - 1) * F.lit(float(p))
+    part = F.max(at - F.floor(at))
+    lower, upper = ranked(F.floor(at)), ranked(F.ceil(at))
+    mixed = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), lower, 1.0 - part, upper * part).cast("double")
+    return F.when(part == 0, lower).otherwise(mixed)
+
+
 def robust_nearest(value: str, few: int = 10, p: float = 0.1) -> Column:
     """Aggregate: a low percentile, or the minimum of fewer than ``few`` values."""
     return F.when(F.count(value) >= few, F.percentile(value, p)).otherwise(F.min(value))

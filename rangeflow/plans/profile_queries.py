@@ -260,7 +260,7 @@ SELECT frame, min(lim) AS sweep_limit, sum(sweeps)::BIGINT AS sweeps, arg_min(si
 def wall_sweep_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a wall sweeps into the corridor: three edges in a row that close in enough, together or deep inside."""
     s = points(spark, sf_dir).where("l <> 0 and h between 0.5D and 3D").select("frame", C.floor_bin(F.col("d"), 5.0).alias("bin"), F.when(F.col("l") > 0, 1).otherwise(-1).alias("side"), F.abs("l").alias("a"), "h")
-    e = s.groupBy("frame", "side", "bin").agg(F.percentile("a", 0.2).alias("edge"), F.count(F.lit(1)).alias("n")).where("n >= 4")
+    e = rank_quantiles(s, ["frame", "side", "bin"], "a", {"edge": (0.2, "fused")}).where("n >= 4")
     w = s.join(e, ["frame", "side", "bin"]).where("a <= edge + 0.5D").groupBy("frame", "side", "bin", "edge").agg((F.max("h") - F.min("h")).alias("span")).where("span >= 1.2D")
     v = Window.partitionBy("frame", "side").orderBy("bin")
     t = w.select("frame", "side", F.col("bin").alias("k0"), F.col("edge").alias("o0"), *[f(c, k).over(v).alias(f"{n}{k}") for k in (1, 2) for c, n, f in (("bin", "k", F.lead), ("edge", "o", F.lead))])
