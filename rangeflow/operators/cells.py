@@ -37,6 +37,30 @@ def neighbour_cells(df: DataFrame, row: str, col: str, reach: int = 1, own: bool
     return df.withColumn("_s", s).withColumn(row, F.col(row) + F.col("_s.a")).withColumn(col, F.col(col) + F.col("_s.b")).drop("_s")
 
 
+def row_runs(cells: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """``cells`` (``keys, row, col, id``; ids grow along a row) with ``run``, the first id of the run of cells of a row at most ``reach`` apart."""
+    w = Window.partitionBy(*keys, "row").orderBy("col")
+    first = F.coalesce(F.col("col") - F.lag("col").over(w) > reach, F.lit(True))
+    g = cells.withColumn("_first", F.when(first, F.col("id")))
+    return g.withColumn("run", F.last("_first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_first")
+
+
+def run_links(cells: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """``keys, run, o_run``: pairs of runs that connect all cells at most ``reach`` rows and columns apart, once each.
+
+    Cells of a row within ``reach`` columns on one side of a column lie in one run, so a cell is linked to the nearest on each side of it in each
+    of the rows before its own: ``2 * reach`` links at most, and no row is met in more than ``reach + 1`` copies.
+    """
+    up = F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_up")
+    g = cells.select(*keys, "row", "col", "run", up).withColumn("row", F.col("row") - F.col("_up"))
+    here = F.when(F.col("_up") == 0, F.struct("col", "run"))
+    w = Window.partitionBy(*keys, "row")
+    before, after = (F.last(here, ignorenulls=True).over(w.orderBy(c, "_up").rowsBetween(Window.unboundedPreceding, 0)) for c in (F.asc("col"), F.desc("col")))
+    g = g.withColumn("_a", before).withColumn("_b", after).where("_up > 0")
+    g = g.select(*keys, "run", "col", F.explode(F.array("_a", "_b")).alias("_o")).where(F.abs(F.col("col") - F.col("_o.col")) <= reach)
+    return g.select(*keys, "run", F.col("_o.run").alias("o_run")).distinct()
+
+
 def densest_window(df: DataFrame, keys: list[str], x: str, width: float, cells: int) -> DataFrame:
     """``keys, start, n``: the first of the windows of ``cells`` neighbouring bins with the most rows."""
     h = df.groupBy(*keys, floor_bin(F.col(x), width).alias("bin")).agg(F.count(F.lit(1)).alias("c"))

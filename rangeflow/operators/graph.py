@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +57,64 @@ def connected_components(
     out = written(vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "cc-labels")
     discard(both, e)
     return out
+
+
+#: Edges that a task holds at once.
+HELD = 200_000
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of some edges, each with the least that they connect it to."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(ids)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    return ids, ids[[root(x) for x in range(len(ids))]]
+
+
+def grouped_components(edges: DataFrame, group: str, src: str, dst: str, held: int = HELD) -> DataFrame:
+    """``connected_components`` of edges that never leave a ``group``, mostly in one pass over them.
+
+    A task holds ``held`` edges at a time, of whole groups where they fit.  A group of more is brought to stars piece by
+    piece, and the stars are joined in rounds.
+    """
+    e = edges.select(group, F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, split = None, None  # rows of the last group, and the group that was cut
+
+        def told(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            part = rows[group] == split
+            for some, whole in ((rows[~part], True), (rows[part], False)):
+                if len(some):
+                    ids, least = _least(some["a"].to_numpy(), some["b"].to_numpy())
+                    yield pd.DataFrame({"id": ids, "component": least, "whole": whole})
+
+        for b in batches:
+            rest = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if len(rest) < held:
+                continue
+            last = rest[group] == rest[group].iloc[-1]
+            if last.all():
+                split = rest[group].iloc[-1]
+                yield from told(rest)
+                rest = None
+            else:
+                yield from told(rest[~last])
+                rest = rest[last]
+        if rest is not None:
+            yield from told(rest)
+
+    got = written(e.repartition(group).sortWithinPartitions(group).mapInPandas(run, "id long, component long, whole boolean"), "cc-groups")
+    done, cut = got.where("whole").select("id", "component"), got.where("not whole")
+    if cut.isEmpty():
+        return done
+    return done.unionByName(connected_components(cut, "id", "component"))

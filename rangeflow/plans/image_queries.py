@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import cells as cl
-from ..operators.graph import connected_components
+from ..operators.graph import grouped_components
 from ..operators.growth import grow_regions
 from ..session import written
 from .views import PT, points
@@ -41,17 +41,25 @@ def pixel_id(frame: Column | str, row: Column | str, col: Column | str) -> Colum
 _ID = f"((frame * {_SIDE} + row + {_SIDE // 2}) * {_SIDE} + col + {_SIDE // 2})"
 
 
-def components_within(pixels: DataFrame, reach: int, same: Column | None = None) -> DataFrame:
-    """``pixels`` (``frame, row, col`` and more) with ``id`` and ``component``, the least id that steps of ``reach`` cells lead to.
+def components_within(pixels: DataFrame, reach: int) -> DataFrame:
+    """``pixels`` (``frame, row, col`` and more) with ``id`` and ``component``, the least id that steps of ``reach`` cells lead to."""
+    k = written(pixels.withColumn("id", pixel_id("frame", "row", "col")), "pixels")
+    runs = written(cl.row_runs(k.select("frame", "row", "col", "id"), ["frame"], reach), "runs")
+    c = grouped_components(cl.run_links(runs, ["frame"], reach), "frame", "run", "o_run")
+    at = runs.select("id", "run").join(c.withColumnRenamed("id", "run"), "run", "left")
+    return k.join(at.select("id", F.coalesce("component", "run").alias("component")), "id")
 
-    ``same``: a condition on both ends of a step, the neighbour's columns with a leading ``o_``.
-    """
+
+def components_alike(pixels: DataFrame, reach: int, same: Column, seen: list[str]) -> DataFrame:
+    """The same where ``same`` holds on both ends of a step too: the columns ``seen``, the neighbour's with a leading ``o_``."""
     k = written(pixels.withColumn("id", pixel_id("frame", "row", "col")), "pixels")
-    rest = [c for c in k.columns if c not in ("frame", "row", "col")]
-    near = cl.neighbour_cells(k.select("frame", "row", "col", *[F.col(c).alias(f"o_{c}") for c in rest]), "row", "col", reach, own=False)
-    e = near.join(k, ["frame", "row", "col"]).where(F.col("id") > F.col("o_id"))
-    e = e.where(same) if same is not None else e
-    c = connected_components(e.select("id", F.col("o_id").alias("src")), "src", "id")
+    here = k.select("frame", "row", "col", "id", *seen)
+    ahead = [(a, b) for a in range(reach + 1) for b in range(-reach, reach + 1) if (a, b) > (0, 0)]
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ahead])).alias("_s")
+    near = here.select("frame", "row", "col", F.col("id").alias("o_id"), *[F.col(c).alias(f"o_{c}") for c in seen], step)
+    near = near.withColumn("row", F.col("row") + F.col("_s.a")).withColumn("col", F.col("col") + F.col("_s.b")).drop("_s")
+    e = near.join(here, ["frame", "row", "col"]).where(same)
+    c = grouped_components(e, "frame", "id", "o_id")
     return k.join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
@@ -105,16 +113,11 @@ f AS (SELECT kk.*, comp FROM m JOIN kk USING (id)), o AS (SELECT *, r - lag(r) O
 p AS (SELECT *, sum((coalesce(gap, 0) > greatest(1e0, 0.02e0 * r))::INT) OVER (PARTITION BY comp ORDER BY r, id) AS part FROM o)
 SELECT comp AS component, part::BIGINT AS part, count(*) AS pixels, round(min(r), 4) AS r_min, round(max(r), 4) AS r_max FROM p GROUP BY ALL""")
 def bin_bridging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels joined over an empty bin between them, and the groups cut where sorted ranges jump."""
-    k = written(_cells(spark, sf_dir).select("frame", "row", "col", "r").withColumn("id", pixel_id("frame", "row", "col")), "pixels")
-    near = cl.neighbour_cells(k.select("frame", "row", "col", F.col("row").alias("o_row"), F.col("col").alias("o_col"), F.col("id").alias("o_id")), "row", "col", 2, own=False)
-    e = near.join(k, ["frame", "row", "col"]).where(F.col("id") > F.col("o_id"))
-    half = lambda a, b: F.expr(f"({a} + {b}) div 2")  # noqa: E731  the middle cell, as integer division rounds towards zero
-    e = e.withColumn("z_row", half("row", "o_row")).withColumn("z_col", half("col", "o_col")).withColumn("next", (F.abs(F.col("row") - F.col("o_row")) <= 1) & (F.abs(F.col("col") - F.col("o_col")) <= 1))
-    held = k.select("frame", F.col("row").alias("z_row"), F.col("col").alias("z_col"))
-    over = e.where("not next").join(held, ["frame", "z_row", "z_col"], "left_anti")
-    edges = e.where("next").select("o_id", "id").unionByName(over.select("o_id", "id"))
-    f = k.join(connected_components(edges, "o_id", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """Pixels joined over an empty bin between them, and the groups cut where sorted ranges jump.
+
+    A bin between two pixels that is not empty is next to both, so it joins them itself: the groups are those of steps of two cells.
+    """
+    f = components_within(_cells(spark, sf_dir).select("frame", "row", "col", "r"), 2)
     w = Window.partitionBy("component").orderBy("r", "id")
     jump = F.coalesce((F.col("r") - F.lag("r").over(w) > F.greatest(F.lit(1.0), 0.02 * F.col("r"))).cast("long"), F.lit(0).cast("long"))
     p = f.withColumn("jump", jump).withColumn("part", F.sum("jump").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -163,7 +166,7 @@ def frontier_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def insertion_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserted pixels joined within two rows and columns where their ranges differ by less than a metre."""
     i = _cells(spark, sf_dir).select("frame", "row", "col", "r").where("r > 46")
-    m = components_within(i, 2, F.abs(F.col("r") - F.col("o_r")) < 1.0)
+    m = components_alike(i, 2, F.abs(F.col("r") - F.col("o_r")) < 1.0, ["r"])
     return m.groupBy("component").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.min("r"), 4).alias("r_min"), F.round(F.max("r"), 4).alias("r_max"))
 
 

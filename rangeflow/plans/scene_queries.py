@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import cells as cl
 from ..operators import robust
-from ..operators.graph import connected_components
 from .image_queries import _ID as PIXEL_ID
-from .image_queries import pixel_id
+from .image_queries import components_within
 from .views import FR, PT, band_sql, frames, points
 
 QUERIES: dict = {}
@@ -110,10 +108,7 @@ SELECT comp AS component, count(*) AS pixels, min(row) AS row_lo, max(row) AS ro
 def pixel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight-connected components of occupied cells, with their boxes."""
     c = points(spark, sf_dir).select("frame", C.floor_bin(F.col("d"), 0.4).alias("row"), C.floor_bin(F.col("l"), 0.1).alias("col")).distinct()
-    k = c.withColumn("id", pixel_id("frame", "row", "col"))
-    near = cl.neighbour_cells(k.withColumnRenamed("id", "src"), "row", "col", own=False)
-    e = near.join(k.withColumnRenamed("id", "dst"), ["frame", "row", "col"]).select("src", "dst")
-    m = k.join(connected_components(e), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    m = components_within(c, 1)
     return m.groupBy("component").agg(F.count(F.lit(1)).alias("pixels"), F.min("row").alias("row_lo"), F.max("row").alias("row_hi"), F.min("col").alias("col_lo"), F.max("col").alias("col_hi"))
 
 
