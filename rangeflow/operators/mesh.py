@@ -2,7 +2,8 @@
 
 Every face is seen from the origin inside a cone (its corners' mean direction and the widest angle from that to a corner), and the cone
 inside a box of azimuth and elevation cells.  A beam has one cell, so beams and faces meet in an equi-join on the cell, and only
-what may hit is tested.  A face that is seen wide is cut into a grid of parts first, each with a cone of its own; the test is
+what may hit is tested.  Where a face fills a cell, faces that begin behind it are left out there, so a beam meets those in front of the first
+such face and not all of a scene's depth.  A face that is seen wide is cut into a grid of parts first, each with a cone of its own; the test is
 always against the whole face.  Cones and boxes hold all of their face, so no hit is lost whatever the size of cells and parts.
 
 Cases: a beam without direction or a face with a null or non-finite corner hits nothing; a face in a plane through the origin is seen edge on and
@@ -11,9 +12,13 @@ hit by nothing; of equal hits the least face wins; repeated beams are told each;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 CORNERS = [f"{c}{k}" for k in range(3) for c in "xyz"]
 #: Parts a side of a face at most: what is wider than that many parts' cones takes more cells.
 PARTS = 32
@@ -89,6 +94,42 @@ def face_cells(faces: DataFrame, keys: list[str], cell_deg: float) -> DataFrame:
     return f.select(*faces.columns, "_az", "_el").distinct()
 
 
+def in_front(cells: DataFrame, keys: list[str], cell_deg: float) -> DataFrame:
+    """Rows of ``face_cells`` without those whose face lies behind another that fills the cell.
+
+    A cell is held by a cone about its middle; a face fills it if the cone lies within the planes through the origin and the face's sides, and
+    its plane's distances in the cone are between those at the least and the widest angle to the plane's normal.
+    """
+    size = F.radians(F.lit(float(cell_deg)))
+    az, el = (F.col("_az") + 0.5) * size, (F.col("_el") + 0.5) * size
+    d = cells.withColumns({"_mx": F.cos(el) * F.cos(az), "_my": F.cos(el) * F.sin(az), "_mz": F.sin(el)})
+    m: Vec = (F.col("_mx"), F.col("_my"), F.col("_mz"))
+    half = 2 * math.asin(min(1.0, math.sqrt(2.0) * math.sin(math.radians(cell_deg) / 4))) + 1e-6  # no direction of a cell is farther from its middle
+    wide = F.lit(half)
+    a, b, c = (_corner(k) for k in range(3))
+    d = d.withColumns({f"_n{x}": v for x, v in zip("xyz", _cross(_sub(b, a), _sub(c, a)))})
+    normal: Vec = (F.col("_nx"), F.col("_ny"), F.col("_nz"))
+    d = d.withColumns({"_length": F.sqrt(_dot(normal, normal)), "_height": _dot(normal, a)})
+    length, height = F.col("_length"), F.col("_height")
+    side = F.signum(height)
+    # in front of what fills a cell nothing else may be told by the limits of the test of a hit
+    filled = F.lit(half < 1.5) & (F.abs(height) > 1e-2 * length)
+    for p, q in ((a, b), (b, c), (c, a)):
+        plane = _cross(p, q)
+        # the sides' planes look inwards if the face is seen from the side its normal points away from
+        filled = filled & (_dot(plane, m) * side > (F.sin(wide) + 1e-9) * F.sqrt(_dot(plane, plane)))
+    d = d.withColumn("_upward", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(_dot(normal, m) * side, length)))))
+    up = F.col("_upward")
+    filled = filled & (up + wide < 1.57) & (length * F.cos(up + wide) > 1e-3)
+    far = F.when(filled, F.try_divide(F.abs(height), length * F.cos(up + wide)))
+    near = F.coalesce(F.try_divide(F.abs(height), length * F.cos(F.greatest(up - wide, F.lit(0.0)))), F.lit(0.0))
+    near = F.when(up - wide < 1.57, F.nanvl(near, F.lit(0.0))).otherwise(0.0)
+    d = written(d.withColumn("_near", near).withColumn("_far", far).select(*cells.columns, "_near", "_far"), "mesh-depths")
+    bound = d.where("_far is not null and not isnan(_far)").groupBy(*keys, "_az", "_el").agg(F.min("_far").alias("_bound"))
+    d = d.join(bound, [*keys, "_az", "_el"], "left")
+    return d.where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * (1 + 1e-9))).select(cells.columns)
+
+
 def cast_rays(beams: DataFrame, faces: DataFrame, keys: list[str], beam: list[str], face: str, cell_deg: float = 2.0, tested: bool = False) -> DataFrame:
     """``keys, beam, face, t``: the first face that each beam hits, ``t`` in lengths of its direction; beams that hit nothing are absent.
 
@@ -100,14 +141,17 @@ def cast_rays(beams: DataFrame, faces: DataFrame, keys: list[str], beam: list[st
     b = beams.select(*keys, *beam, "dx", "dy", "dz").where("dx is not null and dy is not null and dz is not null and (dx <> 0 or dy <> 0 or dz <> 0)")
     b = b.withColumn("_az", F.pmod(F.floor(F.atan2("dy", "dx") / size).cast("int"), F.lit(int(round(360.0 / cell_deg)))))
     b = b.withColumn("_el", F.floor(F.atan2(F.col("dz"), F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))) / size).cast("int"))
-    g = face_cells(faces.select(*keys, face, *CORNERS), keys, cell_deg)
+    g = written(face_cells(faces.select(*keys, face, *CORNERS), keys, cell_deg), "mesh-cells")
     # with the beam from the origin, all but the direction is a face's own: three vectors and a number
     o, e1, e2 = _corner(0), _sub(_corner(1), _corner(0)), _sub(_corner(2), _corner(0))
     s = tuple(-x for x in o)
     q = _cross(s, e1)  # type: ignore[arg-type]
     own = {"_d": _cross(e2, e1), "_u": _cross(e2, s), "_v": q}  # type: ignore[arg-type]
-    g = g.select(*keys, face, "_az", "_el", *[x.alias(f"{name}{c}") for name, vec in own.items() for c, x in zip("xyz", vec)], _dot(e2, q).alias("_t"))
-    pairs = b.join(g, [*keys, "_az", "_el"])
+    vectors = [*keys, face, "_az", "_el", *[x.alias(f"{name}{c}") for name, vec in own.items() for c, x in zip("xyz", vec)], _dot(e2, q).alias("_t")]
+    # a beam so short or long that the limits below may pass over a face that fills its cell meets all faces of the cell
+    usual = F.sqrt(_dot(d, d)).between(1e-8, 1e6)
+    pairs = b.where(usual).join(in_front(g, keys, cell_deg).select(vectors), [*keys, "_az", "_el"])
+    pairs = pairs.unionByName(b.where(~usual).join(g.select(vectors), [*keys, "_az", "_el"]))
     if tested:
         return pairs.groupBy(*keys, *beam).agg(F.count(F.lit(1)).alias("n"))
     det, u, v = (_dot(d, tuple(F.col(f"{name}{c}") for c in "xyz")) for name in own)  # type: ignore[arg-type]
