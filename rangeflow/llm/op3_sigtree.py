@@ -10,7 +10,9 @@ many documents last, the most frequent at the end, so that prefixes are made of
    of their members' shingle bitmaps and the range of their sizes, two nodes are walked together, and left
    as soon as the largest overlap that bitmaps and sizes allow is too small.  A group gives no more
    than a forest over what its pairs join: a row a member at most, whatever the group holds.  A group of
-   more than ``BLOCK`` members is not walked, its members are all joined with one of them.
+   more than ``BLOCK`` members is dealt out by bands of size, two neighbouring bands a part; a part that still
+   has more is not walked, its members are all joined with one of them.  A bitmap travels to each of its
+   class's groups, whose number grows with the corpus, so it has a bit or two a shingle.
 2. Clusters.  All pairs that may be similar lie in one connected component of the forests.  Its texts
    meet in one place, each once, where a second signature tree over them finds the pairs and each that
    would join two components is verified on the shingle sets themselves.
@@ -39,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -347,6 +349,11 @@ def _sets(src: DataFrame, words: int) -> tuple[DataFrame, DataFrame, list[int]]:
     return members, classes, [r.k1 for r in often_.orderBy("n", "k1").collect()]
 
 
+def _band(num: int, den: int) -> Column:
+    """Band of a set's size ``n``: similar sets' sizes differ by a factor of den / num at most, so by one band."""
+    return F.floor(F.log(F.col("n")) / (math.log(den / num) * 1.000001))
+
+
 def _candidates(src: DataFrame, classes: DataFrame, frequent: list[int], words: int, num: int, den: int, block: int) -> DataFrame:
     """A written table ``id, component, n, bytes`` of texts: clusters that hold all similar pairs of classes."""
     kind = dict(src.dtypes)["doc_id"]
@@ -375,7 +382,7 @@ def _candidates(src: DataFrame, classes: DataFrame, frequent: list[int], words:
                 p = s[np.argsort(r, kind="stable")][:length] if r.max() >= 0 else s[:length]
                 at.append(np.full(length + 1, k))
                 token += [p, np.zeros(1, np.uint64)]
-                maps += [None] * length + [signature(s)]
+                maps += [None] * length + [signature(s, 1)]
                 amount += [None] * length + [len(texts[k])]
             if at:
                 at = np.concatenate(at)
@@ -391,12 +398,15 @@ def _candidates(src: DataFrame, classes: DataFrame, frequent: list[int], words:
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = written(postings.join(counts, "token"), "op3-shared")
 
-    hot = met.where(F.col("c") > block)
-    star = hot.join(hot.groupBy("token").agg(F.min("rep").alias("hub")), "token").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    # similar sets lie in one band of size or in two that follow each other, so each pair meets in the upper one's part
+    parts = met.where(F.col("c") > block).withColumn("chain", F.explode(F.array(_band(num, den), _band(num, den) + 1)))
+    parts = parts.join(parts.groupBy("token", "chain").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("hub")), ["token", "chain"])
+    star = parts.where((F.col("k") > block) & (F.col("rep") != F.col("hub"))).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
 
     by_size = Window.partitionBy("token").orderBy("n", "rep")
     far = F.coalesce(F.lit(den) * F.lag("n").over(by_size) < F.lit(num) * F.col("n"), F.lit(False))
     chains = met.where(F.col("c") <= block).withColumn("far", far.cast("int")).withColumn("chain", F.sum("far").over(by_size))
+    chains = chains.select("token", "chain", "rep").unionByName(parts.where(F.col("k") <= block).select("token", "chain", "rep"))
     lists = chains.groupBy("token", "chain").agg(F.sort_array(F.collect_set("rep")).alias("m")).where(F.size("m") > 1)
     lists = lists.groupBy(F.xxhash64("m").alias("g1"), F.xxhash64(F.lit(1), "m").alias("g2")).agg(F.first("m").alias("m"))
     groups = lists.select("g1", "g2", F.explode("m").alias("rep")).join(maps, "rep").select("g1", "g2", "rep", "n", "map")
@@ -415,9 +425,9 @@ def _candidates(src: DataFrame, classes: DataFrame, frequent: list[int], words:
 
     sorted_ = groups.repartition("g1").sortWithinPartitions("g1", "g2", "rep")
     pairs = sorted_.mapInArrow(solve, f"a {kind}, b {kind}").unionByName(star).distinct()
-    parts = connected_components(pairs, "a", "b")
-    near = written(parts.join(maps.select(F.col("rep").alias("id"), "n", "bytes").distinct(), "id"), "op3-near")
-    discard(posted, met, parts)
+    joined = connected_components(pairs, "a", "b")
+    near = written(joined.join(maps.select(F.col("rep").alias("id"), "n", "bytes").distinct(), "id"), "op3-near")
+    discard(posted, met, joined)
     return near
 
 
@@ -458,8 +468,7 @@ def _large_links(
     """A written table of links within clusters of many texts: against one text a band first, then by pairs of blocks."""
     kind = dict(texts.dtypes)["id"]
     fields = f"src {kind}, dst {kind}"
-    # similar sets' sizes differ by a factor of den / num at most, so by one band
-    big = big.withColumn("band", F.floor(F.log(F.col("n")) / (math.log(den / num) * 1.000001)))
+    big = big.withColumn("band", _band(num, den))
 
     def blocks(keys: list[str]) -> tuple[DataFrame, DataFrame]:
         """Members with a block ``s`` among those of their keys, and the keys' number of blocks and least member."""

@@ -821,3 +821,19 @@ def test_queries_match_sql(spark, name):
     df = registry.QUERIES[name](spark, SF)
     assert sorted(df.columns) == sorted(columns)
     assert sorted(map(str, map(tuple, df.select(*columns).collect()))) == sorted(map(str, rel.fetchall()))
+
+
+def test_op3_a_common_shingle_joins_no_texts_of_other_sizes(spark):
+    """Texts that share one shingle that very many have are no candidates: their group is dealt out by size, not joined whole."""
+    from rangeflow.llm import op3_sigtree as op3
+
+    phrase = min((f"some words in common{k}" for k in range(5000)), key=lambda t: op3.shingle_sets([t.encode()], 4)[0][0])
+    sizes = [20 + 5 * k + k * k for k in range(40)]
+    rows = [(k, phrase + "".join(f" w{k}x{j}" for j in range(n))) for k, n in enumerate(sizes)]
+    rows += [(100, rows[30][1] + " more"), (101, rows[9][1] + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, classes, _ = op3._sets(docs, 4)
+    near = {r.id: r.component for r in op3._candidates(docs, classes, [], 4, 85, 100, 12).collect()}
+    assert near == {30: 30, 100: 30, 9: 9, 101: 9}
+    got = {r.doc_id: r.component_id for r in op3.similarity_classes(docs, block=12).collect()}
+    assert got == {k: near.get(k, k) for k, _ in rows}
