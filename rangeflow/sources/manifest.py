@@ -1,7 +1,7 @@
 """A stored manifest of recordings' logs: what each holds, read again only where a log changed.
 
 A manifest is a folder of versions.  A run finds the logs, keeps the rows of those whose size, time and code version are as they were, reads the
-others, and writes the next version whole; a version counts once Spark has marked it as written, so a run that breaks off leaves
+others (in a mounted folder where they lie, else through Spark's binary reader), and writes the next version whole; a version counts once Spark has marked it as written, so a run that breaks off leaves
 the one before in place.  The two newest versions stay, for readers of the older one.  A run that finds nothing new writes nothing.
 
 Cases: logs that are gone leave the manifest; a file that is no log is a row with ``error`` and is not read again until it changes; a log
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, written
 from .recordings import changed, count_messages, find_recordings
 
 SCHEMA = "path string, bytes long, modified timestamp, version int, topic string, n long, error string, read_in int"
@@ -49,19 +50,23 @@ def update_manifest(spark: SparkSession, root: str, store: str) -> DataFrame:
     old = read_manifest(spark, store)
     found = find_recordings(spark, root).select(*_KEY)
     logs = old.select(*_KEY).distinct()
-    # the driver names the files that are read, as Spark's own listing does
-    paths = [r.path for r in changed(found, logs).select("path").collect()]
-    if held and not paths and logs.join(found, _KEY, "left_anti").isEmpty():
+    fresh = written(changed(found, logs), "manifest-fresh")
+    if held and fresh.isEmpty() and logs.join(found, _KEY, "left_anti").isEmpty():
+        discard(fresh)
         return old
     number = held[-1] + 1 if held else 1
     kept = old.join(found, _KEY, "left_semi").select([c.split()[0] for c in SCHEMA.split(", ")])
     new = spark.createDataFrame([], SCHEMA)
-    if paths:
-        counts = count_messages(spark.read.format("binaryFile").load(paths).select("path", "content")).withColumnRenamed("bag", "path")
-        new = changed(found, logs).join(counts, "path", "left").select(*_KEY, "topic", "n", "error", F.lit(number).alias("read_in"))
+    if not fresh.isEmpty():
+        if fresh.where("path not like 'file:%'").isEmpty():
+            files = fresh.select("path").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        else:  # the driver names the files that are read, as Spark's own listing does
+            files = spark.read.format("binaryFile").load([r.path for r in fresh.select("path").collect()]).select("path", "content")
+        new = fresh.join(count_messages(files).withColumnRenamed("bag", "path"), "path", "left").select(*_KEY, "topic", "n", "error", F.lit(number).alias("read_in"))
     fs, _, path = _files(spark, store)
     fs.delete(path(f"{store}/v{number}"), True)  # of a run that broke off
     kept.unionByName(new).write.parquet(f"{store}/v{number}")
+    discard(fresh)
     for n in held[:-1]:
         fs.delete(path(f"{store}/v{n}"), True)
     return read_manifest(spark, store, number)

@@ -23,6 +23,8 @@ import shutil
 import sqlite3
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import closing
 from dataclasses import dataclass, field
 from urllib.parse import unquote, urlparse
 
@@ -39,8 +41,8 @@ MESSAGES = "bag string, file string, topic string, type string, id long, timesta
 TOPICS = "bag string, file string, topic string, type string, n long, first_ns long, last_ns long, error string"
 #: Bytes of log a task, rows and bytes of an output batch.
 PARTITION_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 4096, 8 << 20
-#: What opening a log costs in bytes read.
-OPEN_BYTES = 64 << 10
+#: What opening a log costs in bytes read; small logs are dealt out to so many tasks at most; threads that name and open logs on the driver.
+OPEN_BYTES, TASKS, THREADS = 64 << 10, 1024, 16
 _OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 _COLUMNS = {"topic": "t.name", "timestamp": "+m.timestamp", "id": "m.id"}  # "+": the range of ids is walked, not the index of times
 _PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -77,11 +79,11 @@ def bag_of(file: str) -> str:
 
 @dataclass
 class Span:
-    """Messages of a log with ids from ``lo`` to ``hi``, about ``size`` bytes of it."""
+    """Messages of a log with ids from ``lo`` to ``hi``, where they are told, about ``size`` bytes of it."""
 
     file: str
-    lo: int = 0
-    hi: int = -1
+    lo: int | None = None
+    hi: int | None = None
     error: str | None = None
     size: int = 0
 
@@ -97,7 +99,8 @@ class Task(InputPartition):
 
 
 def packed(spans: list[Span], size: int) -> list[Task]:
-    """Spans in their order, as many a task as fit in ``size`` bytes; a log counts ``OPEN_BYTES`` at least."""
+    """Spans in their order, as many a task as fit in ``size`` bytes, or more if that made over ``TASKS`` tasks; a log counts ``OPEN_BYTES`` at least."""
+    size = max(size, sum(max(OPEN_BYTES, s.size) for s in spans) // TASKS)
     out: list[Task] = []
     held = size
     for s in spans:
@@ -111,16 +114,21 @@ def packed(spans: list[Span], size: int) -> list[Task]:
 
 
 def spans(file: str, lo: int | None, hi: int | None, size: int) -> list[Span]:
-    """A log's ids in ranges of about ``size`` bytes of file; the two ends are found in the log's tree without a scan."""
+    """A log's ids in ranges of about ``size`` bytes of file; the two ends are found in the log's tree without a scan.
+
+    A log of ``size`` bytes or less is one range, and left to its task to open.
+    """
+    whole = os.path.getsize(file)
+    if whole <= size:
+        return [Span(file, lo, hi, size=whole)]
     try:
-        with opened(file) as db:
+        with closing(opened(file)) as db:
             a, b = db.execute("select min(id) from messages").fetchone()[0], db.execute("select max(id) from messages").fetchone()[0]
     except sqlite3.Error as e:
         return [Span(file, error=str(e))]
     if a is None:
         return []
     a, b = max(a, a if lo is None else lo), min(b, b if hi is None else hi)
-    whole = os.path.getsize(file)
     n = max(1, min(b - a + 1, -(-whole // size)))
     step = -(-(b - a + 1) // n)
     return [Span(file, k, min(b, k + step - 1), size=whole // n) for k in range(a, b + 1, step)]
@@ -163,10 +171,11 @@ class Wanted:
             yield (bag, file, None, None, None, None, None, span.error)
             return
         try:
-            with opened(span.file) as db:
+            with closing(opened(span.file)) as db:
                 kind = _type_column(db)
-                where = " and ".join(["m.id between ? and ?", *self.where])
-                values = [span.lo, span.hi, *self.values]
+                ends = [(f"m.id {op} ?", v) for op, v in ((">=", span.lo), ("<=", span.hi)) if v is not None]
+                where = " and ".join([*(e for e, _ in ends), *self.where]) or "true"
+                values = [*(v for _, v in ends), *self.values]
                 data = "null" if self.head else "m.data"
                 sql = f"select t.name, {kind}, m.id, m.timestamp, {data} from messages m join topics t on t.id = m.topic_id where {where}"
                 if self.first or self.at >= 0:
@@ -186,7 +195,7 @@ class Wanted:
         """A log's topics with their counts and times, told by the log without reading a message."""
         bag, file = bag_of(span.file), os.path.basename(span.file)
         try:
-            with opened(span.file) as db:
+            with closing(opened(span.file)) as db:
                 times = "count(m.id), min(m.timestamp), max(m.timestamp)"
                 for row in db.execute(f"select t.name, {_type_column(db)}, {times} from topics t left join messages m on m.topic_id = t.id group by t.id"):
                     yield (bag, file, *row, None)
@@ -226,7 +235,8 @@ class RecordingReader(DataSourceReader):
             return packed([Span(f) for f in logs], self.size) or [Task([])]
         # what picks messages of a whole log by their rank is one span a log
         size = self.size if not (self.wanted.first or self.wanted.at >= 0) else 1 << 62
-        return packed([s for f in logs for s in spans(f, None, None, size)], self.size) or [Task([])]
+        with ThreadPoolExecutor(THREADS) as pool:
+            return packed([s for some in pool.map(lambda f: spans(f, None, None, size), logs) for s in some], self.size) or [Task([])]
 
     def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
         rows = self.wanted.topics if self.topics else self.wanted.messages
@@ -243,14 +253,16 @@ class RecordingStream(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        out = {}
-        for f in find_logs(self.path):
+        def last(f: str) -> int | None:
             try:
-                with opened(f) as db:
-                    out[f] = db.execute("select max(id) from messages").fetchone()[0] or 0
+                with closing(opened(f)) as db:
+                    return db.execute("select max(id) from messages").fetchone()[0] or 0
             except sqlite3.Error:  # it is being written, or broken: looked at again with the next batch
-                continue
-        return out
+                return None
+
+        logs = find_logs(self.path)
+        with ThreadPoolExecutor(THREADS) as pool:
+            return {f: k for f, k in zip(logs, pool.map(last, logs), strict=True) if k is not None}
 
     def partitions(self, start: dict, end: dict) -> Sequence[Task]:
         grown = [s for f, hi in end.items() if hi > start.get(f, -1) for s in spans(f, start.get(f, -1) + 1, hi, self.size)]
@@ -281,19 +293,24 @@ class RecordingWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         logs: dict[tuple, dict] = {}
         db, at = None, None
+
+        def close() -> None:
+            if db is not None:
+                db.execute("create index if not exists timestamp_idx on messages (timestamp)")
+                db.commit()
+                db.close()
+
         try:
             for r in iterator:
                 if (r.bag, r.slice) != at:
-                    if db is not None:
-                        db.commit()
-                        db.close()
+                    close()
                     at = (r.bag, r.slice)
                     log = logs.get(at)
                     if log is None:
                         log = logs[at] = {"bag": r.bag, "file": os.path.join(self.staging, f"{uuid.uuid4().hex}.db3"), "first": r.timestamp, "last": r.timestamp, "topics": {}}
                         os.makedirs(self.staging, exist_ok=True)
                     db = sqlite3.connect(log["file"])
-                    db.executescript("pragma journal_mode = off; pragma synchronous = off")
+                    db.executescript("pragma journal_mode = off; pragma synchronous = off; pragma locking_mode = exclusive; begin")
                     db.execute("create table if not exists topics (id integer primary key, name text not null, type text, serialization_format text not null)")
                     db.execute("create table if not exists messages (id integer primary key, topic_id integer not null, timestamp integer not null, data blob not null)")
                 topic = log["topics"].get(r.topic)
@@ -304,13 +321,7 @@ class RecordingWriter(DataSourceWriter):
                 topic[2] += 1
                 log["first"], log["last"] = min(log["first"], r.timestamp), max(log["last"], r.timestamp)
         finally:
-            if db is not None:
-                db.commit()
-                db.close()
-        for log in logs.values():
-            with sqlite3.connect(log["file"]) as done:
-                done.execute("create index timestamp_idx on messages (timestamp)")
-            done.close()
+            close()
         return Written(list(logs.values()))
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -321,7 +332,9 @@ class RecordingWriter(DataSourceWriter):
         if there and not self.overwrite:
             self.abort(messages)
             raise FileExistsError(f"recordings that are there already: {sorted(there)[:5]}")
-        for bag, logs in bags.items():
+
+        def settle(bag: str) -> None:
+            logs = bags[bag]
             made = os.path.join(self.staging, f"bag-{uuid.uuid4().hex}")
             os.makedirs(made)
             logs.sort(key=lambda x: (x["first"], x["last"], x["file"]))
@@ -334,6 +347,10 @@ class RecordingWriter(DataSourceWriter):
             if os.path.exists(home):
                 os.replace(home, os.path.join(self.staging, f"old-{uuid.uuid4().hex}"))
             os.replace(made, home)
+
+        with ThreadPoolExecutor(THREADS) as pool:
+            for _ in pool.map(settle, bags):
+                pass
         shutil.rmtree(self.staging, ignore_errors=True)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -405,4 +422,7 @@ def write_recordings(messages: DataFrame, path: str, mode: str = "append", file_
     register(messages.sparkSession)
     part = F.lit(0).cast("long") if file_ns is None else F.floor(F.col("timestamp") / file_ns)
     rows = messages.select("bag", part.alias("slice"), "topic", "type", "timestamp", "data")
-    rows.repartition("bag", "slice").sortWithinPartitions("bag", "slice", "timestamp", "topic").write.format("recording").mode(mode).save(local_path(path))
+    # logs cost by their number more than by their bytes, so the number of tasks is told and not left to what bytes need
+    context = messages.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(tasks, "bag", "slice").sortWithinPartitions("bag", "slice", "timestamp", "topic").write.format("recording").mode(mode).save(local_path(path))

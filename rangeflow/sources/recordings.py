@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 CAND = "struct<distance_m:double,forward_m:double,lateral_m:double,height_m:double,n_points:long,confidence:double,confirmed:boolean>"
 #: One JSON object a frame; never inferred.
 RESULT = f"""bag string, topic string, frame_index long, bag_time_ns long, relative_time_s double, header_time_ns long, frame_id string, status string,
@@ -30,6 +33,7 @@ def ordered_results(spark: SparkSession, path: str, corrupt: str = "keep") -> Da
 
 #: Changes when what is kept of a file changes, so that manifests of older code are made again.
 MANIFEST_VERSION = 2
+_OPEN_COST = "spark.sql.files.openCostInBytes"
 
 
 def find_recordings(spark: SparkSession, root: str, max_depth: int = 5) -> DataFrame:
@@ -42,6 +46,13 @@ def find_recordings(spark: SparkSession, root: str, max_depth: int = 5) -> DataF
     top = root.rstrip("/").split(":")[-1].lstrip("/") + "/"
     below = F.substring_index("path", top, -1)
     f = files.where(~F.col("path").rlike(r"/\.")).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), below.alias("below"))
+    # files are listed once and only named here: what Spark adds to each one's bytes for its opening would make a task of every 32 small logs
+    before = spark.conf.get(_OPEN_COST)
+    spark.conf.set(_OPEN_COST, "4096")
+    try:
+        f = written(f, "recordings-found")
+    finally:
+        spark.conf.set(_OPEN_COST, before)
     f = f.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).withColumn("depth", F.size(F.split("below", "/")) - 1)
     homes = f.where(F.col("path").endswith("/metadata.yaml")).select(F.col("folder").alias("home")).distinct()
     logs = f.where(F.col("path").endswith(".db3") & (F.col("depth") <= max_depth))
@@ -88,14 +99,20 @@ def read_messages(spark: SparkSession, path: str, topic: str | None = None) -> D
 
 
 def _queried(files: DataFrame, sql: str, args: tuple, names: list[str], kinds: list[pa.DataType], fields: str, numbered: bool) -> DataFrame:
-    """Rows of a query on each SQLite log ``path, content``, with the log's path before them; a file that is no log becomes a row with ``error``."""
+    """Rows of a query on each SQLite log ``path, content``, with the log's path before them; a file that is no log becomes a row with ``error``.
+
+    Without ``content`` logs are opened where they lie, in a mounted folder, and of them only what the query needs is read.
+    """
+    whole = "content" in files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                db = sqlite3.connect(":memory:")
+            for k in range(b.num_rows):  # one log at a time: all of a batch's logs again as Python's bytes took as much memory as the batch
+                name = b.column("path")[k].as_py()
+                db = sqlite3.connect(":memory:" if whole else f"file:{quote('/' + name.removeprefix('file:').lstrip('/'))}?mode=ro", uri=True)
                 try:
-                    db.deserialize(content)
+                    if whole:
+                        db.deserialize(b.column("content")[k].as_py())
                     cursor = db.execute(sql, args)
                     i = 0
                     while rows := cursor.fetchmany(64):
@@ -109,7 +126,7 @@ def _queried(files: DataFrame, sql: str, args: tuple, names: list[str], kinds: l
                 finally:
                     db.close()
 
-    return files.select("path", "content").mapInArrow(run, fields)
+    return files.select("path", *["content"] * whole).mapInArrow(run, fields)
 
 
 def unpack(files: DataFrame, topic: str | None = None) -> DataFrame:

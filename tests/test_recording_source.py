@@ -159,3 +159,18 @@ def test_stream_takes_what_logs_grew_by(spark, tmp_path):
     got = follow()
     assert got.count() == 122 and got.select("bag", "file", "id").distinct().count() == 122
     assert got.where("timestamp >= 1000000000").count() == 2
+
+
+def test_many_small_logs_are_left_to_few_tasks(spark, tmp_path, monkeypatch):
+    """The driver opens no small log to plan a read, and neither writing nor reading takes tasks by the bytes of small logs alone."""
+    df, _ = messages(spark, 400, 10)
+    R.write_recordings(df, str(tmp_path), file_ns=10**9)
+    whole = R.read_recordings(spark, str(tmp_path)).select("bag", "timestamp", "id").collect()
+    assert len(whole) == df.count()
+    monkeypatch.setattr(R, "TASKS", 3)
+    monkeypatch.setattr(R, "opened", lambda f: 1 / 0)
+    logs = R.find_logs(str(tmp_path))
+    tasks = R.RecordingReader({"path": str(tmp_path), "partition_bytes": str(1 << 20)}).partitions()
+    assert len(logs) > 3 and sorted(s.file for t in tasks for s in t.spans) == logs and all(s.hi is None for t in tasks for s in t.spans)
+    many = R.packed([R.Span(str(k)) for k in range(1000)], 1 << 16)
+    assert len(many) <= 4 and [s.file for t in many for s in t.spans] == [str(k) for k in range(1000)]
