@@ -3,7 +3,8 @@
 A round looks for the points within a region's radius of its front; what is new is the next front.  A region whose box gets wider than
 ``max_extent`` in any direction, or which holds more than ``max_points`` points, has run into larger structure: it stops at
 once and has no extent.  A region that goes on adds a point a round, so there are at most ``max_points`` rounds, each a few equi-joins on
-cells whose cost follows the fronts; only a front and what has been reached are read again.
+cells whose cost follows the fronts.  A point near a front was reached with it, with the front before or not at all, as being near goes both
+ways, so only these two are read again.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def grow_regions(points: DataFrame, regions: DataFrame, seeds: DataFrame, key: s
     own = [at(c).alias(f"_c{c}") for c in _AXES]
     p = written(points.select(key, "point", *_AXES, *own), "growth-points")
     front = written(seeds.select(key, "region", "point").distinct().join(p, [key, "point"]).select(key, "region", "point", *_AXES), "growth-front")
-    reached = [front]
+    before = None
     start = regions.select(key, "region", "radius", *[F.col(f"{c}_{e}").cast("double").alias(f"{c}_{e}") for c in _AXES for e in ("lo", "hi")])
     state = start.withColumn("n", F.lit(0).cast("long")).withColumn("rounds", F.lit(0))
     over = F.greatest(*[F.col(f"{c}_hi") - F.col(f"{c}_lo") for c in _AXES]) > max_extent
@@ -56,15 +57,17 @@ def grow_regions(points: DataFrame, regions: DataFrame, seeds: DataFrame, key: s
         far = sum((F.pow(F.col(f"t{c}") - F.col(c), F.lit(2.0)) for c in _AXES[1:]), F.pow(F.col("td") - F.col("d"), F.lit(2.0)))
         found = wide.join(q, [key, *[f"_c{c}" for c in _AXES]]).where(far <= F.col("radius") * F.col("radius"))
         found = found.select(key, "region", F.col("to").alias("point"), *[F.col(f"t{c}").alias(c) for c in _AXES]).distinct()
-        seen = reached[0]
-        for r in reached[1:]:
-            seen = seen.unionByName(r)
-        front = written(found.join(seen.select(key, "region", "point"), [key, "region", "point"], "left_anti"), "growth-front")
+        seen = front.select(key, "region", "point")
+        if before is not None:
+            seen = seen.unionByName(before.select(key, "region", "point"))
+        new = written(found.join(seen, [key, "region", "point"], "left_anti"), "growth-front")
+        if before is not None:
+            discard(before)
+        before, front = front, new
         if front.isEmpty():
             break
-        reached.append(front)
         k += 1
     ext = [F.when(~over, F.col(f"{c}_hi") - F.col(f"{c}_lo")).alias(f"ext_{c}") for c in _AXES]
     out = written(state.where("n > 0").select(key, "region", "n", "rounds", *ext), "growth-regions")
-    discard(p, state, front, *[r for r in reached if r is not front])
+    discard(p, state, front, before)
     return out

@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import cells as cl
 from ..operators.graph import grouped_components
 from ..operators.growth import grow_regions
-from ..session import written
+from ..session import discard, written
 from .views import PT, points
 
 QUERIES: dict = {}
@@ -147,19 +147,26 @@ def frontier_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth from the nearest pixel by fronts until none is left; a region that gets wide or large runs into structure and gives nothing."""
     c = written(_cells(spark, sf_dir), "cells")
     front = c.groupBy("frame").agg(F.min(F.struct("r", "row", "col")).alias("s")).select("frame", F.col("s.row").alias("row"), F.col("s.col").alias("col"))
-    fronts = [written(front, "grown")]
+    front, before = written(front, "grown"), None
+    lo_hi = lambda f: f.join(c, ["frame", "row", "col"]).groupBy("frame").agg(F.count(F.lit(1)).alias("pixels"), F.sum("px").alias("points"), F.min("l0").alias("lo"), F.max("l1").alias("hi"))
+    found = written(lo_hi(front), "grown-found")
+    ext = F.col("hi") - F.col("lo")
+    ok = (ext <= 1.0) & (F.col("points") <= 3000)
     while True:
-        grown = fronts[0]
-        for f in fronts[1:]:
-            grown = grown.unionByName(f)
-        found = grown.join(c, ["frame", "row", "col"]).groupBy("frame").agg(F.count(F.lit(1)).alias("pixels"), F.sum("px").alias("points"), (F.max("l1") - F.min("l0")).alias("ext"))
-        ok = (F.col("ext") <= 1.0) & (F.col("points") <= 3000)
-        wide = cl.neighbour_cells(fronts[-1].join(found.where(ok).select("frame"), "frame", "left_semi"), "row", "col", 2, own=False).distinct()
-        new = written(wide.join(c.select("frame", "row", "col"), ["frame", "row", "col"], "left_semi").join(grown, ["frame", "row", "col"], "left_anti"), "grown")
+        wide = cl.neighbour_cells(front.join(found.where(ok).select("frame"), "frame", "left_semi"), "row", "col", 2, own=False).distinct()
+        # what is near a front was reached with it, with the front before, or not at all
+        seen = front if before is None else front.unionByName(before)
+        new = written(wide.join(c.select("frame", "row", "col"), ["frame", "row", "col"], "left_semi").join(seen, ["frame", "row", "col"], "left_anti"), "grown")
+        if before is not None:
+            discard(before)
+        before, front = front, new
         if new.isEmpty():
             break
-        fronts.append(new)
-    return found.select("frame", F.when(ok, F.col("pixels")).alias("pixels"), F.when(ok, F.col("points")).alias("points"), F.when(ok, F.round("ext", 4)).alias("ext_l"))
+        both = found.unionByName(lo_hi(new)).groupBy("frame").agg(F.sum("pixels").alias("pixels"), F.sum("points").alias("points"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        last, found = found, written(both, "grown-found")
+        discard(last)
+    discard(before, front)
+    return found.select("frame", F.when(ok, F.col("pixels")).alias("pixels"), F.when(ok, F.col("points")).alias("points"), F.when(ok, F.round(ext, 4)).alias("ext_l"))
 
 
 @query(f"""WITH RECURSIVE {PT}, {_CELLS}, i AS (SELECT frame, row, col, r FROM c WHERE r > 46), {_reach_sql("i", 2, "abs(a.r - b.r) < 1e0")} SELECT comp AS component, count(*) AS pixels, round(min(r), 4) AS r_min, round(max(r), 4) AS r_max FROM m JOIN kk USING (id) GROUP BY comp""")

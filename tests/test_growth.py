@@ -68,3 +68,24 @@ def test_pixels_have_numbers_of_their_own(spark):
     assert len(set(ids)) == len(rows) and ids == sorted(ids)
     with pytest.raises(Exception, match="outside the sides"):
         spark.createDataFrame([(0, 0, 10**6)], "frame long, row long, col long").select(pixel_id("frame", "row", "col")).collect()
+
+
+def test_fronts_that_are_passed_are_dropped(spark, monkeypatch):
+    """A round reads the last two fronts only, however many there were."""
+    from rangeflow import session
+    from rangeflow.operators import growth
+
+    held = []
+    real = growth.written
+
+    def counted(df, label, **options):
+        held.append(sum("growth-front" in path for path in session._live))
+        return real(df, label, **options)
+
+    monkeypatch.setattr(growth, "written", counted)
+    points = spark.createDataFrame([(1, k, 0.5 * k, 0.0, 0.0) for k in range(9)], "frame int, point int, d double, l double, h double")
+    box = ", ".join(f"{c}_{e} double" for c in "dlh" for e in ("lo", "hi"))
+    regions = spark.createDataFrame([(1, 7, 0.6, *[None] * 6)], f"frame int, region int, radius double, {box}")
+    seeds = spark.createDataFrame([(1, 7, 0)], "frame int, region int, point int")
+    got = growth.grow_regions(points, regions, seeds, "frame", 1.0, 100.0, 100).collect()
+    assert [(r.n, r.rounds, r.ext_d) for r in got] == [(9, 8, 4.0)] and max(held) == 2
