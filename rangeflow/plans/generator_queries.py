@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rays as R
+from ..functions.dust import soft_return
 from ..operators import islands as isl
 from ..session import written
 from .views import FR, PT, V3, frames, points, vectors
@@ -110,21 +111,11 @@ s AS (SELECT frame, slot, d, tau, step, ({_depth_sql("d * step / 24e0")}) - ({_d
 b AS (SELECT frame, slot, any_value(tau) AS tau, any_value(d) AS d, max(round(gain * before, 9)) AS best, min(step) FILTER (top) AS step FROM (SELECT *, round(gain * before, 9) = max(round(gain * before, 9)) OVER (PARTITION BY frame, slot) AS top FROM s) GROUP BY ALL)
 SELECT frame, count(*) AS beams, round(avg(exp(-tau)), 5) AS survival, count(*) FILTER (best > 0.1e0 AND best > exp(-tau) * 0.5e0) AS dust_returns, round(sum(CASE WHEN best > 0.1e0 AND best > exp(-tau) * 0.5e0 THEN d * step / 24e0 ELSE d END), 2) AS ranges FROM b GROUP BY frame""")
 def dust_puffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optical depth of puffs along each beam, the strongest of 24 samples as a soft return, and what passes through."""
-    def depth(upto: Column) -> Column:
-        out = F.lit(0.0)
-        for c, s, a, m in _PUFFS:
-            beside = F.exp(-F.pow((F.col("l") - m) / 0.5, F.lit(2)))
-            out = out + a * beside * 0.5 * (C.erf((upto - c) / s) - C.erf((F.lit(0.0) - c) / s))
-        return out
-
-    p = points(spark, sf_dir).withColumn("tau", depth(F.col("d"))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(24))))
-    p = p.withColumn("before", depth(F.col("d") * (F.col("k") - 1) / 24.0)).withColumn("after", depth(F.col("d") * F.col("k") / 24.0))
-    gain = F.struct(F.round((F.col("after") - F.col("before")) * F.exp(-F.col("before")), 9).alias("g"), (-F.col("k")).alias("m"))
-    b = p.groupBy("frame", "slot").agg(F.first("d").alias("d"), F.first("tau").alias("tau"), F.max(gain).alias("b"))
-    dusty = (F.col("b.g") > 0.1) & (F.col("b.g") > F.exp(-F.col("tau")) * 0.5)
+    """Optical depth of puffs along each beam, the strongest of 24 samples as a soft return, and what passes through; a beam's samples never leave its row."""
+    b = points(spark, sf_dir).select("frame", "d", soft_return(_PUFFS, 24)("d", "l").alias("s")).select("frame", "d", "s.*")
+    dusty = (F.col("best") > 0.1) & (F.col("best") > F.exp(-F.col("tau")) * 0.5)
     return b.groupBy("frame").agg(
-        F.count(F.lit(1)).alias("beams"), F.round(F.avg(F.exp(-F.col("tau"))), 5).alias("survival"), F.count_if(dusty).alias("dust_returns"), F.round(F.sum(F.when(dusty, F.col("d") * -F.col("b.m") / 24.0).otherwise(F.col("d"))), 2).alias("ranges")
+        F.count(F.lit(1)).alias("beams"), F.round(F.avg(F.exp(-F.col("tau"))), 5).alias("survival"), F.count_if(dusty).alias("dust_returns"), F.round(F.sum(F.when(dusty, F.col("d") * F.col("step") / 24.0).otherwise(F.col("d"))), 2).alias("ranges")
     )
 
 
