@@ -105,7 +105,7 @@ def run_windows(spark: SparkSession, source: DataFrame, plan) -> DataFrame:
     columns but ``ts``, moves it past every window, which are then written; its own window never is.
     """
     last = source.agg((F.max("ts") + F.expr("interval 900 days")).alias("ts"))
-    src = written(source.unionByName(last, allowMissingColumns=True).coalesce(1), "stream-in")
+    src = written(source.unionByName(last, allowMissingColumns=True), "stream-in")  # all files are one batch
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = plan(spark.readStream.schema(src.schema).parquet(src.written_path).withWatermark("ts", "400 days"))
     with state_on_disk(spark):
