@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tracks.batch import ordered_fold
 from ..operators.tracks.line import OUT, LineRules, line_step, new_line
-from ..session import shared_dir
+from ..session import discard, shared_dir, written
 from ..streaming.line_state import line_frame, stream_lines
 from ..streaming.observer import StampAudit, coverage, watched
 from ..streaming.silence import expected, silence_watch
@@ -22,6 +22,8 @@ ORACLE_SQL: dict = {}
 DAY = 86_400_000
 #: A recording is silent after a day and a half; the clock ticks every day, and the watermark lags by a day.
 STALE, EVERY, LAG = 3 * DAY // 2, DAY, DAY
+#: Rows of a file of a stream's slice.
+SLICE_ROWS = 50_000
 
 
 def query(sql: str):
@@ -34,13 +36,23 @@ def query(sql: str):
 
 
 def run_in_slices(spark: SparkSession, src: DataFrame, time: str, edges: list, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream gives that gets ``src`` in slices of time, one file each, a slice a batch: all of it, read back from its sink."""
+    """What a stream gives that gets ``src`` in slices of time, a slice a batch: all of it, read back from its sink.
+
+    Every slice has as many files, of some ``SLICE_ROWS`` rows in the smallest slice, so tasks share the writing and reading of a large one.
+    """
     base = f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}"
+    table = written(src, "slices-source")
+    slices = []
     for lo, hi in zip([None, *edges], [*edges, None]):
-        some = src if lo is None else src.where(F.col(time) >= F.lit(lo))
-        some = some if hi is None else some.where(F.col(time) < F.lit(hi))
-        some.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = plan(spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+        some = table if lo is None else table.where(F.col(time) >= F.lit(lo))
+        slices.append(some if hi is None else some.where(F.col(time) < F.lit(hi)))
+    files = max(1, min(some.count() for some in slices) // SLICE_ROWS)
+    for some in slices:
+        some.repartition(files).write.mode("append").parquet(f"{base}/in")
+    discard(table)
+    if len(spark.read.schema(src.schema).parquet(f"{base}/in").inputFiles()) != files * len(slices):
+        raise RuntimeError("a slice has files without rows")
+    stream = plan(spark.readStream.schema(src.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in"))
     with state_on_disk(spark):
         q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         q.awaitTermination()
@@ -111,7 +123,7 @@ def line_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LINE_SQL)
 def line_model_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream in slices of time: lists and values of each recording in the state store."""
+    """The same as a stream in slices of time: each recording's model in the state store."""
     src = line_fits(spark, sf_dir)
     z = src.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     edges = [z.lo + (z.hi - z.lo) * k / 4 for k in range(1, 4)] if z.lo else []

@@ -1,11 +1,12 @@
-"""The line model as a stream: list and value state in the state store, the step that the batch form uses.
+"""The line model as a stream: state in the state store, the step that the batch form uses.
 
-A key's two lists of models and its values are state variables of their own, so a frame rewrites only what it changed.  With ``idle_ms`` keys that
+A key's two short lists of models and its values are one state variable, as each call to the store costs more than its few bytes.  With ``idle_ms`` keys that
 stay silent for so much of the machine's time are dropped by the store; such a stream runs on its clock and so has no end of input.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +15,6 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.tracks.line import OUT, LineRules, line_step, new_line
 
-_VALUES = "last long, frozen_b double, frozen_reach double, held_b double, held_reach double, held_at long, extended boolean"
-
 
 def line_frame(row) -> dict:
     known = lambda v: None if pd.isna(v) else v
@@ -30,31 +29,17 @@ class LineModel(StatefulProcessor):
         self.key, self.order, self.rules, self.idle = key, order, rules, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getValueState("values", _VALUES, self.idle)
-        self.lists = {name: handle.getListState(name, "b double, reach double", self.idle) for name in ("static", "quasi")}
-
-    def _load(self) -> dict:
-        state = new_line()
-        if self.values.exists():
-            state["last"], fb, fr, hb, hr, at, state["extended"] = self.values.get()
-            state["frozen"] = None if fb is None else (fb, fr)
-            state["held"] = None if hb is None else (hb, hr, at)
-        for name, kept in self.lists.items():
-            state[name] = [tuple(m) for m in kept.get()] if kept.exists() else []
-        return state
-
-    def _store(self, before: dict, state: dict) -> None:
-        self.values.update((state["last"], *(state["frozen"] or (None, None)), *(state["held"] or (None, None, None)), state["extended"]))
-        for name, kept in self.lists.items():
-            if state[name] != before[name]:
-                kept.put(state[name]) if state[name] else kept.clear()
+        self.model = handle.getValueState("model", "model string", self.idle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self._load()
-        before = dict(state)
-        frames = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        kept = self.model.get()
+        state = new_line() if kept is None else json.loads(kept[0])
+        parts = list(rows)
+        frames = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if not frames[self.order].is_monotonic_increasing:
+            frames = frames.sort_values(self.order, kind="stable")
         out = [{self.key: key[0], self.order: getattr(r, self.order), **line_step(state, line_frame(r), self.rules)} for r in frames.itertuples(index=False)]
-        self._store(before, state)
+        self.model.update((json.dumps(state),))
         yield pd.DataFrame(out)
 
     def close(self) -> None:
