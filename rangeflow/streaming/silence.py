@@ -60,12 +60,12 @@ class SilenceWatch(StatefulProcessor):
         self._expect(start, first_tick(start, self.stale, self.every), False, None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        times = pd.concat([b["ms"] for b in rows]).dropna().astype("int64").sort_values().tolist()
+        times = sorted(int(t) for b in rows for t in b["ms"].tolist() if not pd.isna(t))
         if not times:
             return
         if not self.by_event:
             times = [timerValues.getCurrentProcessingTimeInMs()]
-        last, due, spoken = self.state.get() if self.state.exists() else (None, None, True)
+        last, due, spoken = self.state.get() or (None, None, True)
         timer = due
         for t in times:
             if last is not None:
