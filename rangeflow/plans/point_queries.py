@@ -10,7 +10,7 @@ from ..operators import cells as cl
 from ..operators import fit
 from ..operators.graph import connected_components
 from ..operators.match import radius_pairs
-from ..operators.quantiles import rank_quantiles, robust_nearest
+from ..operators.quantiles import rank_quantiles, robust_nearest, spread_quantiles
 from ..session import read_table
 from .views import PT, V3, band_sql, points, vectors
 
@@ -34,7 +34,7 @@ SELECT flag, max(n) AS n, round(quantile_cont(x, 0.98), 4) AS q_linear, max(x) F
 def quantile_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five quantile conventions side by side."""
     li = read_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("x"))
-    got = rank_quantiles(li, ["flag"], "x", {"q_linear": (0.98, "linear"), "q_floor": (0.98, "floor"), "q_int": (0.98, "int"), "q_round": (0.98, "round"), "q_upper": (0.5, "upper")})
+    got = spread_quantiles(li, ["flag"], "x", {"q_linear": (0.98, "linear"), "q_floor": (0.98, "floor"), "q_int": (0.98, "int"), "q_round": (0.98, "round"), "q_upper": (0.5, "upper")})
     return got.withColumn("q_linear", F.round("q_linear", 4))
 
 
@@ -66,7 +66,7 @@ SELECT flag, bin, max(n) AS n, round(max(h) FILTER (i = floor((n - 1) * 0.1e0)),
 def binned_floor_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Low height of 2 m bins by the floor-index quantile; near bins need more points."""
     p = points(spark, sf_dir).select("flag", C.floor_bin(F.col("d"), 2.0).alias("bin"), "h")
-    q = rank_quantiles(p, ["flag", "bin"], "h", {"floor_h": (0.1, "floor")}).where(F.col("n") >= F.when(F.col("bin") * 2 <= 45, 40).otherwise(8))
+    q = spread_quantiles(p, ["flag", "bin"], "h", {"floor_h": (0.1, "floor")}).where(F.col("n") >= F.when(F.col("bin") * 2 <= 45, 40).otherwise(8))
     return q.select("flag", "bin", "n", F.round("floor_h", 6).alias("floor_h"), F.least(F.col("n"), F.lit(500).cast("long")).alias("weight"))
 
 
