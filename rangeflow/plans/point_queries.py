@@ -219,9 +219,9 @@ SELECT frame, count(*) AS shared, round(avg((r >= lo - (0.05e0 + 0.002e0 * r) AN
 def static_fraction_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of cells that lie within the 3 x 3 range of the frame before."""
     c = points(spark, sf_dir).groupBy("frame", C.floor_bin(F.col("d"), 10.0).alias("row"), C.floor_bin(F.col("l"), 0.25).alias("col")).agg(F.min("r").alias("r"))
-    before = cl.neighbour_cells(c.select((F.col("frame") + 1).alias("frame"), "row", "col", "r", F.lit(0).alias("x")).withColumn("r0", F.col("row")).withColumn("c0", F.col("col")), "row", "col")
-    own = F.max(((F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))).cast("int")) == 1
-    span = before.groupBy("frame", "row", "col").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), own.alias("own")).where("own")
+    rows = c.select((F.col("frame") + 1).alias("frame"), F.explode(F.array(*[F.struct((F.col("row") + k).alias("row"), F.lit(k).alias("off")) for k in (-1, 0, 1)])).alias("_s"), "col", "r").select("frame", "_s.*", "col", "r")
+    beside = Window.partitionBy("frame", "row").orderBy("col").rangeBetween(-1, 1)  # cells of three rows meet in the middle one
+    span = rows.select("frame", "row", "col", "off", F.min("r").over(beside).alias("lo"), F.max("r").over(beside).alias("hi")).where("off = 0")
     tol = 0.05 + 0.002 * F.col("r")
     k = c.join(span, ["frame", "row", "col"]).select("frame", ((F.col("r") >= F.col("lo") - tol) & (F.col("r") <= F.col("hi") + tol)).cast("int").alias("ok"))
     return k.groupBy("frame").agg(F.count(F.lit(1)).alias("shared"), F.round(F.avg("ok"), 6).alias("still"))
