@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -296,15 +296,17 @@ b AS (SELECT *, max(bins) OVER (PARTITION BY frame) AS most FROM s JOIN n USING
 SELECT frame, axes, round(extent, 4) AS extent, bins::BIGINT AS bins, beyond, surface FROM k WHERE rn = 1""")
 def axis_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axes of an unknown sensor: of the conventions with enough bins, one with returns beyond its surface, then the likeliest."""
-    p = points(spark, sf_dir)
-    sides = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(f + u).alias("axes"), F.expr(x).alias("along"), F.expr(z).alias("up")) for k, (f, u, x, z) in enumerate(_AXES)])
-    a = p.select("frame", F.inline(sides))
-    s = a.groupBy("frame", "rank", "axes").agg(F.percentile("along", 0.98).alias("extent"), F.percentile("up", 0.5).alias("level"))
-    off = F.col("up") - F.col("level")
-    n = a.join(s, ["frame", "rank", "axes"]).groupBy("frame", "rank", "axes", "extent").agg(
-        F.count_if(F.abs(off) <= 0.25).alias("surface"), F.count_if((off < -0.25) & (off > -1.0)).alias("beyond"), F.count_distinct(C.floor_bin(F.col("along"), 20.0)).alias("bins")
-    )
-    b = n.withColumn("most", F.max("bins").over(Window.partitionBy("frame"))).where(F.col("bins") >= 0.4 * F.col("most"))
+    p = points(spark, sf_dir).select("frame", "d", "l", "h").repartition("frame")  # points move once, as themselves and not once a convention
+    s = p.groupBy("frame").agg(*[F.percentile(F.expr(x), 0.98).alias(f"extent{k}") for k, (_, _, x, _) in enumerate(_AXES)], *[F.percentile(F.expr(z), 0.5).alias(f"level{k}") for k, (_, _, _, z) in enumerate(_AXES)])
+
+    def counted(k: int) -> list[Column]:
+        off = F.expr(_AXES[k][3]) - F.col(f"level{k}")
+        bins = F.collect_set(C.floor_bin(F.expr(_AXES[k][2]), 20.0))  # of a frame
+        return [F.first(f"extent{k}").alias(f"extent{k}"), F.count_if(F.abs(off) <= 0.25).alias(f"surface{k}"), F.count_if((off < -0.25) & (off > -1.0)).alias(f"beyond{k}"), F.size(bins).cast("long").alias(f"bins{k}")]
+
+    n = p.join(s, "frame").groupBy("frame").agg(*[c for k in range(len(_AXES)) for c in counted(k)])
+    sides = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(f + u).alias("axes"), *[F.col(f"{c}{k}").alias(c) for c in ("extent", "surface", "beyond", "bins")]) for k, (f, u, _, _) in enumerate(_AXES)])
+    b = n.withColumn("most", F.greatest(*[F.col(f"bins{k}") for k in range(len(_AXES))])).select("frame", "most", F.inline(sides)).where(F.col("bins") >= 0.4 * F.col("most"))
     best = b.groupBy("frame").agg(F.min(F.struct((~(F.col("beyond") > 0.1 * F.col("surface"))).alias("m"), "rank", "axes", "extent", "bins", "beyond", "surface")).alias("b"))
     return best.select("frame", F.col("b.axes").alias("axes"), F.round("b.extent", 4).alias("extent"), F.col("b.bins").alias("bins"), F.col("b.beyond").alias("beyond"), F.col("b.surface").alias("surface"))
 
