@@ -33,21 +33,25 @@ def smoothness(points: list[float], sigma: float) -> np.ndarray:
     return np.floor(0.5 * ((g[:, None] - g[None, :]) / sigma) ** 2 * UNIT + 0.5).astype(np.int64)
 
 
-def shift_costs(earlier: DataFrame, later: DataFrame, keys: list[str], low: float, step: float, m: int, trunc: float) -> DataFrame:
+def shift_costs(earlier: DataFrame, later: DataFrame, keys: list[str], low: float, step: float, m: int, trunc: float, counts: DataFrame | None = None) -> DataFrame:
     """``keys, costs``: the mean distance, at most ``trunc``, of the later frame's points to the earlier one's nearest, a shift.
 
-    Both have ``keys, d, l, h``; points of one pair of frames meet in cells, along the track as wide as the grid.  A pair with an
-    empty frame has null ``costs``.
+    Both have ``keys, d, l, h``; points of one pair of frames meet in cells, along the track as wide as the grid, across it four ``trunc``
+    wide, so that most of the later ones go to one or two.  A pair with an empty frame has no row.  ``counts``, where it is known, has ``keys, n``
+    of the pairs without: the number of later points.
     """
-    reach = step * (m - 1) + 2 * trunc
-    side = lambda c: F.floor(F.col(c) / trunc)
-    a = earlier.select(*keys, F.col("d").alias("da"), F.col("l").alias("la"), F.col("h").alias("ha"), F.floor(F.col("d") / reach).alias("cd"), side("l").alias("cl"), side("h").alias("ch"))
+    reach, wide = step * (m - 1) + 2 * trunc, 4 * trunc
+    cell = lambda c: F.floor(c / wide)
+    # one number goes before the keys, as rows sort by their first key's prefix, which all of a recording would share
+    met = ["_at", *keys, "cd", "cl", "ch"]
+    marked = lambda df: df.withColumn("_at", F.xxhash64(*met[1:]))
+    a = marked(earlier.select(*keys, F.col("d").alias("da"), F.col("l").alias("la"), F.col("h").alias("ha"), F.floor(F.col("d") / reach).alias("cd"), cell(F.col("l")).alias("cl"), cell(F.col("h")).alias("ch")))
     b = later.withColumn("_id", F.monotonically_increasing_id())
-    near = lambda c: F.explode(F.sequence(side(c) - 1, side(c) + 1))
+    near = lambda c: F.explode(F.sequence(cell(F.col(c) - 1.001 * trunc), cell(F.col(c) + 1.001 * trunc)))
     first = F.floor((F.col("d") + low - trunc) / reach)
-    cells = b.withColumn("cd", F.explode(F.array(first, first + 1))).withColumn("cl", near("l")).withColumn("ch", near("h"))
+    cells = marked(b.withColumn("cd", F.explode(F.array(first, first + 1))).withColumn("cl", near("l")).withColumn("ch", near("h")))
     flat = F.pow(F.col("la") - F.col("l"), F.lit(2.0)) + F.pow(F.col("ha") - F.col("h"), F.lit(2.0))
-    pairs = cells.join(a, [*keys, "cd", "cl", "ch"]).withColumn("_flat", flat).where(F.col("_flat") < trunc * trunc)
+    pairs = cells.join(a, met).withColumn("_flat", flat).where(F.col("_flat") < trunc * trunc)
     off = F.col("da") - F.col("d")
     from_, to = F.greatest(F.ceil((off - trunc - low) / step), F.lit(0)), F.least(F.floor((off + trunc - low) / step), F.lit(m - 1))
     at = pairs.where(from_ <= to).withColumn("j", F.explode(F.sequence(from_.cast("int"), to.cast("int"))))
@@ -55,8 +59,7 @@ def shift_costs(earlier: DataFrame, later: DataFrame, keys: list[str], low: floa
     best = at.groupBy(*keys, "_id", "j").agg(F.min(dist).alias("dist"))
     gain = best.where(F.col("dist") < trunc).groupBy(*keys, "j").agg(F.sum(trunc - F.col("dist")).alias("gain"))
     gains = gain.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("j", "gain"))).alias("gains"))  # ``m`` entries at most
-    n = later.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    seen = n.join(earlier.select(*keys).distinct(), keys)
+    seen = later.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(earlier.select(*keys).distinct(), keys) if counts is None else counts
     one = lambda j: F.round(trunc - F.coalesce(F.try_element_at("gains", j), F.lit(0.0)) / F.col("n"), 9)  # noqa: E731  # whatever the order of the sum
     costs = seen.join(gains, keys, "left").withColumn("gains", F.coalesce("gains", F.create_map().cast("map<int,double>")))
     return costs.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), one).alias("costs"))
@@ -64,13 +67,13 @@ def shift_costs(earlier: DataFrame, later: DataFrame, keys: list[str], low: floa
 
 def scaled_costs(costs: Column, m: int) -> Column:
     """Whole-number costs over a curve's least one, in its own noise (three medians of the steps between neighbours); null gives a flat curve."""
-    steps = F.transform(F.sequence(F.lit(1), F.lit(m - 1)), lambda j: F.abs(F.get(costs, j) - F.get(costs, j - 1)))
-    ordered = F.array_sort(steps)
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  # ``f`` of a value that is computed once and not wherever ``f`` names it
     half = (m - 1) // 2
-    median = ordered[half] if (m - 1) % 2 else (ordered[half - 1] + ordered[half]) / 2
-    noise = F.greatest(median * 3, F.lit(1e-4))
-    least = F.array_min(costs)
-    return F.coalesce(F.transform(costs, lambda c: F.floor((c - least) / noise * UNIT + 0.5).cast("long")), F.array_repeat(F.lit(0).cast("long"), m))
+    steps = F.transform(F.sequence(F.lit(1), F.lit(m - 1)), lambda j: F.abs(F.get(costs, j) - F.get(costs, j - 1)))
+    median = once(F.sort_array(steps), lambda o: o[half] if (m - 1) % 2 else (o[half - 1] + o[half]) / 2)
+    scale = F.struct(F.array_min(costs).alias("least"), F.greatest(median * 3, F.lit(1e-4)).alias("noise"))
+    scaled = once(scale, lambda s: F.transform(costs, lambda c: F.floor((c - s["least"]) / s["noise"] * UNIT + 0.5).cast("long")))
+    return F.coalesce(scaled, F.array_repeat(F.lit(0).cast("long"), m))
 
 
 def refined(costs: Column, j: Column, low: float, step: float, m: int) -> Column:
@@ -108,24 +111,24 @@ def least_cost_path(curves: DataFrame, key: str, order: str, costs: str, change:
     m = len(change)
     kind, place = dict(curves.dtypes)[key], dict(curves.dtypes)[order]
     ints = lambda raw, *shape: np.frombuffer(raw, np.int64).reshape(shape)
+    # a number of tasks is given, as the blocks are few bytes and much work, and adaptive execution makes one task of few bytes
+    tasks = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return pd.DataFrame({key: [rows[key].iloc[0]], "block": [rows["block"].iloc[0]], "first": [rows[order].iloc[0]], "e": [np.stack(rows[costs].to_list()).astype(np.int64).tobytes()]})
-
-    numbered = curves.select(key, order, costs, F.floor(F.col(order) / block).cast("long").alias("block"))
-    blocks = written(numbered.groupBy(key, "block").applyInPandas(gather, f"{key} {kind}, block long, first {place}, e binary"), "motion-blocks")
+    numbered = curves.select(key, order, costs, F.floor(F.col(order) / block).cast("long").alias("block")).repartition(tasks, key, "block")
+    held = F.array_sort(F.collect_list(F.struct(order, costs)))  # ``block`` rows at most
+    rows = numbered.groupBy(key, "block").agg(F.min(order).alias("first"), held.alias("rows"))
+    blocks = written(rows.select(key, "block", "first", F.flatten(F.col(f"rows.{costs}")).alias("e")), "motion-blocks")
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for number, raw in zip(b["block"], b["e"]):
-                e = ints(raw, -1, m)
+                e = np.reshape(raw, (-1, m))
                 out.append((_walk(e, change, None)[0] if number == 0 else _product(e, change)).tobytes())
             yield pd.DataFrame({key: b[key], "block": b["block"], "matrix": out})
 
     def in_order(df: DataFrame) -> DataFrame:
-        return df.repartition(key).sortWithinPartitions(key, "block")
+        return df.repartition(tasks, key).sortWithinPartitions(key, "block")
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Streams a key's blocks: only the vector before the next one is held."""
@@ -138,14 +141,14 @@ def least_cost_path(curves: DataFrame, key: str, order: str, costs: str, change:
             yield pd.DataFrame({key: b[key], "block": b["block"], "before": out})
 
     start = in_order(blocks.select(key, "block", "e").mapInPandas(products, f"{key} {kind}, block long, matrix binary")).mapInPandas(prefixes, f"{key} {kind}, block long, before binary")
-    walked = written(blocks.join(start, [key, "block"]), "motion-walks")
+    walked = written(blocks.join(start, [key, "block"]).repartition(tasks, key, "block"), "motion-walks")
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The state before the block by the state at its end, and the best end."""
         for b in batches:
             origin, best = [], []
             for raw, before in zip(b["e"], b["before"]):
-                acc, back = _walk(ints(raw, -1, m), change, None if before is None else ints(before, m))
+                acc, back = _walk(np.reshape(raw, (-1, m)), change, None if before is None else ints(before, m))
                 at = np.arange(m)
                 for row in back[::-1]:
                     at = np.where(at >= 0, row[at], -1)
@@ -166,46 +169,58 @@ def least_cost_path(curves: DataFrame, key: str, order: str, costs: str, change:
             yield pd.DataFrame({key: b[key], "block": b["block"], "end": out})
 
     last = walked.mapInPandas(ends, f"{key} {kind}, block long, origin binary, best int")
-    last = last.repartition(key).sortWithinPartitions(F.col(key), F.desc("block")).mapInPandas(backwards, f"{key} {kind}, block long, end int")
+    last = last.repartition(tasks, key).sortWithinPartitions(F.col(key), F.desc("block")).mapInPandas(backwards, f"{key} {kind}, block long, end int")
 
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, first, raw, before, end in zip(b[key], b["first"], b["e"], b["before"], b["end"]):
-                _, back = _walk(ints(raw, -1, m), change, None if before is None else ints(before, m))
+            out = []
+            for first, raw, before, end in zip(b["first"], b["e"], b["before"], b["end"]):
+                _, back = _walk(np.reshape(raw, (-1, m)), change, None if before is None else ints(before, m))
                 path = np.empty(len(back), np.int64)
                 for k in range(len(back) - 1, -1, -1):
                     path[k] = end
                     end = int(back[k][end])
-                yield pd.DataFrame({key: [name] * len(path), order: first + np.arange(len(path)), "state": path})
+                out.append((first + np.arange(len(path)), path))
+            if out:
+                yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), [len(p) for _, p in out]), order: np.concatenate([n for n, _ in out]), "state": np.concatenate([p for _, p in out])})
 
-    out = written(walked.join(last, [key, "block"]).mapInPandas(states, f"{key} {kind}, {order} {place}, state long"), "motion-path")
+    ended = walked.join(last, [key, "block"]).repartition(tasks, key, "block")
+    out = written(ended.mapInPandas(states, f"{key} {kind}, {order} {place}, state long"), "motion-path")
     discard(blocks, walked)
     return out
 
 
-def segment_motion(points: DataFrame, key: str, frame: str, low: float = -0.2, high: float = 3.0, step: float = 0.02, sigma: float = 0.03, trunc: float = 0.15, block: int = 256) -> DataFrame:
+def segment_motion(points: DataFrame, key: str, frame: str, low: float = -0.2, high: float = 3.0, step: float = 0.02, sigma: float = 0.03, trunc: float = 0.15, block: int = 256, check: bool = True) -> DataFrame:
     """``key, frame, shift, position, informative, closure``: how far each frame is along the track after the one before.
 
     ``points`` has ``key, frame, d, l, h`` with frames counted from 0.  ``closure`` is, on every second frame, how far the shift over two frames (looked
-    for within half a metre) is from the sum of its two; frames without structure are bridged by the smoothness alone.
+    for within half a metre) is from the sum of its two, and left out without ``check``; frames without structure are bridged by the smoothness alone.
     """
     p = points.select(key, F.col(frame).alias("k"), "d", "l", "h")
-    seen = p.where("d > 2 and d < 50 and abs(l) < 4.5 and h > -1")
-    structure = p.where("d > 4 and d < 45 and abs(l) < 4 and h > -0.9")
+    is_seen, is_structure = F.expr("d > 2 and d < 50 and abs(l) < 4.5 and h > -1"), F.expr("d > 4 and d < 45 and abs(l) < 4 and h > -0.9")
+    tally = written(p.groupBy(key, "k").agg(F.count_if(is_structure).alias("n"), F.count_if(is_seen).alias("seen")), "motion-frames")
+    seen = written(p.where(is_seen), "motion-points")  # and so all structure
+    structure = seen.where(is_structure)
+    after = lambda df, lag: df.withColumn("k", F.col("k") + lag)
+    counts = lambda lag: tally.where("n > 0").select(key, "k", "n").join(after(tally.where("seen > 0").select(key, "k"), lag), [key, "k"])
     g, g2 = grid(low, high, step), grid(low, 2 * high, step)
-    frames = p.groupBy(key).agg(F.max("k").alias("last")).where("last > 0").select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("last").cast("long"))).alias("k"))
-    one = shift_costs(seen.withColumn("k", F.col("k") + 1), structure, [key, "k"], low, step, len(g), trunc)
+    frames = tally.groupBy(key).agg(F.max("k").alias("last")).where("last > 0").select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("last").cast("long"))).alias("k"))
+    one = shift_costs(after(seen, 1), structure, [key, "k"], low, step, len(g), trunc, counts(1))
     curves = frames.join(one, [key, "k"], "left")
     curves = written(curves.select(key, (F.col("k") - 1).alias("n"), "costs", scaled_costs(F.col("costs"), len(g)).alias("scaled")), "motion-curves")
     path = least_cost_path(curves, key, "n", "scaled", smoothness(g, sigma), block)
     j = F.col("state")
     found = curves.join(path, [key, "n"]).select(key, (F.col("n") + 1).alias("k"), F.coalesce(refined(F.col("costs"), j, low, step, len(g)), low + j * step).alias("shift"), F.col("costs").isNotNull().alias("informative"))
-    start = p.groupBy(key).agg(F.lit(0).cast("long").alias("k")).select(key, "k", F.lit(0.0).alias("shift"), F.lit(True).alias("informative"))
+    start = tally.groupBy(key).agg(F.lit(0).cast("long").alias("k")).select(key, "k", F.lit(0.0).alias("shift"), F.lit(True).alias("informative"))
     w = Window.partitionBy(key).orderBy("k")
     steps = found.unionByName(start).withColumn("position", F.sum("shift").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if not check:
+        discard(seen)
+        return steps.select(key, F.col("k").alias(frame), "shift", "position", "informative")
     steps = steps.withColumn("two", F.when(F.col("k") % 2 == 0, F.col("shift") + F.lag("shift").over(w)))
     even = F.col("k") % 2 == 0
-    two = shift_costs(seen.where(even).withColumn("k", F.col("k") + 2), structure.where(even), [key, "k"], low, step, len(g2), trunc)
+    two = written(shift_costs(after(seen.where(even), 2), structure.where(even), [key, "k"], low, step, len(g2), trunc, counts(2).where(even)), "motion-check")
+    discard(seen)
     half = int(round(0.5 / step))
     at = F.least(F.greatest(F.floor((F.col("two") - low) / step + 0.5).cast("int"), F.lit(0)), F.lit(len(g2) - 1))
     lo, hi = F.greatest(at - half, F.lit(0)), F.least(at + half, F.lit(len(g2) - 1))
