@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+
 COMPONENTS = "array<struct<c:long,d:double,l:double,h:double,r:double,kind:string>>"
 OUT = "c long, track long, gap long"
 
@@ -24,8 +26,12 @@ class LinkRules:
     max_gap: int = 25
 
 
+#: Columns of a track: its number, last frame, place (``d`` with its frame's position, ``l``, ``h``) and the number of its kind.
+ID, FRAME, AT, SIDE, UP, KIND = range(6)
+
+
 def new_links() -> dict:
-    return {"next": 0, "tracks": []}
+    return {"next": 0, "tracks": np.empty((0, 6)), "kinds": {}}
 
 
 def link_step(state: dict, frame: int, position: float, components: list[dict], rules: LinkRules = LinkRules()) -> list[dict]:
@@ -35,30 +41,33 @@ def link_step(state: dict, frame: int, position: float, components: list[dict],
     forgotten, so the state does not grow with the recording.
     """
     found = sorted(components, key=lambda c: (c["r"], c["c"]))
-    live = [t for t in state["tracks"] if 1 <= frame - t["frame"] <= rules.max_gap]
-    pairs = []
-    for t in live:
-        gap = frame - t["frame"]
-        expected = t["at"] - position
-        distance = max(rules.least_distance, expected)
-        for k, c in enumerate(found):
-            off = abs(c["d"] - expected), abs(c["l"] - t["l"]), abs(c["h"] - t["h"])
-            gates = rules.along[0] + rules.along[1] * distance + rules.along[2] * gap, rules.across[0] + rules.across[1] * distance, rules.up[0] + rules.up[1] * distance
-            if c["kind"] == t["kind"] and all(x < g for x, g in zip(off, gates)):
-                pairs.append((sum(off) + rules.price * gap, t["id"], k))
-    by_id = {t["id"]: t for t in live}
-    out: list[dict | None] = [None] * len(found)
-    for _, name, k in sorted(pairs):
-        t = by_id.get(name)
-        if t is None or out[k] is not None:
-            continue
-        out[k] = {"c": found[k]["c"], "track": name, "gap": frame - t["frame"]}
-        t.update(frame=frame, at=found[k]["d"] + position, l=found[k]["l"], h=found[k]["h"])
-        del by_id[name]
-    for k, c in enumerate(found):
-        if out[k] is None:
-            out[k] = {"c": c["c"], "track": state["next"], "gap": 0}
-            live.append({"id": state["next"], "frame": frame, "at": c["d"] + position, "l": c["l"], "h": c["h"], "kind": c["kind"]})
+    kinds = state["kinds"]
+    rows = [(0, frame, c["d"] + position, c["l"], c["h"], kinds.setdefault(c["kind"], len(kinds))) for c in found]
+    seen, ahead = np.array(rows, np.float64).reshape(-1, 6), np.array([c["d"] for c in found], np.float64)
+    gaps = frame - state["tracks"][:, FRAME]
+    live = state["tracks"][(gaps >= 1) & (gaps <= rules.max_gap)]
+    gap, expected = frame - live[:, FRAME], live[:, AT] - position
+    distance = np.fmax(rules.least_distance, expected)
+    gates = rules.along[0] + rules.along[1] * distance + rules.along[2] * gap, rules.across[0] + rules.across[1] * distance, rules.up[0] + rules.up[1] * distance
+    # the gate along the track leaves few pairs, so the others are tried on those only
+    t, k = np.nonzero((np.abs(ahead - expected[:, None]) < gates[0][:, None]) & (seen[:, KIND] == live[:, KIND, None]))
+    off = np.abs(ahead[k] - expected[t]), np.abs(seen[k, SIDE] - live[t, SIDE]), np.abs(seen[k, UP] - live[t, UP])
+    inside = (off[1] < gates[1][t]) & (off[2] < gates[2][t])
+    t, k, price = t[inside], k[inside], (off[0] + off[1] + off[2] + rules.price * gap[t])[inside]
+    cheapest = np.lexsort((k, live[t, ID], price))
+    of, taken = [-1] * len(found), set()
+    for i, j in zip(t[cheapest].tolist(), k[cheapest].tolist()):
+        if of[j] < 0 and i not in taken:
+            of[j] = i
+            taken.add(i)
+    out = []
+    for j, (c, i) in enumerate(zip(found, of)):
+        if i < 0:
+            seen[j, ID] = state["next"]
             state["next"] += 1
-    state["tracks"] = live
+            out.append({"c": c["c"], "track": int(seen[j, ID]), "gap": 0})
+        else:
+            seen[j, ID] = live[i, ID]
+            out.append({"c": c["c"], "track": int(live[i, ID]), "gap": int(gap[i])})
+    state["tracks"] = np.concatenate([np.delete(live, sorted(taken), 0), seen])
     return out
