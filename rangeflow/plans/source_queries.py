@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, written
 from ..sources.clouds import decode_headers, decode_points, explode_points, write_cloud
-from ..sources.recordings import completeness, count_messages, message_at, topic_counts, unpack
+from ..sources.recordings import completeness, count_messages, inspect_logs, message_at, read_in_batches, unpack
 from .views import FR, PT, frames, points
 
 QUERIES: dict = {}
@@ -102,7 +102,7 @@ _LOG = "g AS (SELECT 'bag_' || bag::VARCHAR AS bag, CASE WHEN k % 3 <> 0 THEN '/
 @query(f"""WITH {FR}, {_LOG} SELECT bag, topic, row_number() OVER (PARTITION BY bag ORDER BY t, i) - 1 AS i, t AS bag_time_ns, event_id::VARCHAR AS data, false AS broken FROM g UNION ALL SELECT DISTINCT 'bag_' || bag::VARCHAR, NULL, NULL, NULL, NULL, true FROM fr WHERE bag % 7 = 6""")
 def recording_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of SQLite logs in the order of storage; a broken log stays as a row."""
-    m = unpack(written(recordings(spark, sf_dir), "logs"))
+    m = read_in_batches(unpack(written(recordings(spark, sf_dir), "logs")), "log-messages")
     return m.select("bag", "topic", "i", "bag_time_ns", F.decode("raw", "utf-8").alias("data"), F.col("error").isNotNull().alias("broken"))
 
 
@@ -110,7 +110,7 @@ def recording_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT bag, topic, n, expected, ceil(expected / 2e0)::BIGINT, true FROM x WHERE n = ceil(expected / 2e0)""")
 def recording_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts pushed into each log, held against what its manifest tells, of which every second is wanted."""
-    c = count_messages(written(recordings(spark, sf_dir), "logs")).where("error is null and n > 0").withColumnRenamed("bag", "folder")
+    c = read_in_batches(count_messages(written(recordings(spark, sf_dir), "logs")), "log-counts").where("error is null and n > 0").withColumnRenamed("bag", "folder")
     e = c.select("folder", "topic", (F.col("n") + F.when(F.col("topic") == "/status", 1).otherwise(0)).alias("expected"))
     return completeness(c, e, 2).withColumnRenamed("folder", "bag")
 
@@ -118,11 +118,11 @@ def recording_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FR}, {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY bag, topic ORDER BY t, i) - 1 AS n FROM g) SELECT bag, t AS bag_time_ns, event_id::VARCHAR AS data FROM r WHERE topic = '/points' AND n = 7""")
 def recording_message_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eighth message of a topic of each log, fetched by offset."""
-    m = message_at(written(recordings(spark, sf_dir), "logs"), "/points", 7).where("error is null")
+    m = read_in_batches(message_at(written(recordings(spark, sf_dir), "logs"), "/points", 7), "log-messages").where("error is null")
     return m.select("bag", "bag_time_ns", F.decode("raw", "utf-8").alias("data"))
 
 
 @query(f"""WITH {FR}, {_LOG} SELECT bag, topic, count(*) AS n, 0 AS backward FROM g GROUP BY ALL""")
 def recording_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of each log and topic, and steps back in time, of which an ordered log has none."""
-    return topic_counts(unpack(written(recordings(spark, sf_dir), "logs")))
+    return read_in_batches(inspect_logs(written(recordings(spark, sf_dir), "logs")), "log-counts").where("error is null").select("bag", "topic", "n", "backward")

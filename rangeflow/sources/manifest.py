@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, written
-from .recordings import changed, count_messages, find_recordings
+from .recordings import changed, count_messages, find_recordings, read_in_batches
 
 SCHEMA = "path string, bytes long, modified timestamp, version int, topic string, n long, error string, read_in int"
 _KEY = ["path", "bytes", "modified", "version"]
@@ -62,7 +62,10 @@ def update_manifest(spark: SparkSession, root: str, store: str) -> DataFrame:
             files = fresh.select("path").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         else:  # the driver names the files that are read, as Spark's own listing does
             files = spark.read.format("binaryFile").load([r.path for r in fresh.select("path").collect()]).select("path", "content")
-        new = fresh.join(count_messages(files).withColumnRenamed("bag", "path"), "path", "left").select(*_KEY, "topic", "n", "error", F.lit(number).alias("read_in"))
+        counted = count_messages(files)
+        if "content" in files.columns:
+            counted = read_in_batches(counted, "manifest-counts")
+        new = fresh.join(counted.withColumnRenamed("bag", "path"), "path", "left").select(*_KEY, "topic", "n", "error", F.lit(number).alias("read_in"))
     fs, _, path = _files(spark, store)
     fs.delete(path(f"{store}/v{number}"), True)  # of a run that broke off
     kept.unionByName(new).write.parquet(f"{store}/v{number}")

@@ -98,6 +98,22 @@ def read_messages(spark: SparkSession, path: str, topic: str | None = None) -> D
     return unpack(files.where(~big).select("path", "content"), topic).unionByName(late)
 
 
+#: Bytes of logs that a Python worker is handed at once.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def read_in_batches(df: DataFrame, label: str) -> DataFrame:
+    """What is read of whole logs ``path, content``, written while batches are bounded by bytes: Spark bounds them by 10,000 rows, whatever a log's size."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        return written(df, label)
+    finally:
+        conf.set(_BATCH, before)
+
+
 def _queried(files: DataFrame, sql: str, args: tuple, names: list[str], kinds: list[pa.DataType], fields: str, numbered: bool) -> DataFrame:
     """Rows of a query on each SQLite log ``path, content``, with the log's path before them; a file that is no log becomes a row with ``error``.
 
@@ -142,6 +158,14 @@ def count_messages(files: DataFrame, topic: str | None = None) -> DataFrame:
     return _queried(files, sql, (topic,) if topic else (), ["bag", "topic", "n", "error"], [pa.string(), pa.string(), pa.int64(), pa.string()], "bag string, topic string, n long, error string", False)
 
 
+def inspect_logs(files: DataFrame) -> DataFrame:
+    """``bag, topic, n, backward, error``: messages and steps back in time as they were logged, counted by each log itself: no payload is read."""
+    rows = "select t.name, m.timestamp, lag(m.timestamp) over (partition by t.name order by m.id) as before from messages m join topics t on t.id = m.topic_id"
+    sql = f"select name, count(*), coalesce(sum(timestamp < before), 0) from ({rows}) group by name"
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    return _queried(files, sql, (), ["bag", "topic", "n", "backward", "error"], kinds, "bag string, topic string, n long, backward long, error string", False)
+
+
 def message_at(files: DataFrame, topic: str, index: int) -> DataFrame:
     """The ``index``-th message of a topic of each log, found by the log's own order and offset."""
     sql = "select t.name, m.timestamp, m.data from messages m join topics t on t.id = m.topic_id where t.name = ? order by m.timestamp, m.id limit 1 offset ?"
