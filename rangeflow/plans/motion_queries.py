@@ -120,8 +120,14 @@ def static_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = segment_motion(p, "ride", "k", LOW, HIGH, STEP, SIGMA, TRUNC, block=8, check=False).select("ride", "k", "position")
     one = F.struct(F.col("slot").alias("c"), "d", "l", "h", F.col("d").alias("r"), F.col("flag").alias("kind"))
     seen = p.where("r >= 47").groupBy("ride", "k").agg(F.collect_list(one).cast(COMPONENTS).alias("components"))  # a frame's components
-    rows = seen.join(moved, ["ride", "k"])
-    linked = ordered_fold(rows, "ride", "k", lambda state, r: link_step(state, int(r.k), r.position, list(r.components)), new_links, LINKS)
+    # an array a field: a batch of frames as Python's objects, one a component, took many times its bytes
+    names = ["c", "d", "l", "h", "r", "kind"]
+    rows = seen.select("ride", "k", *[F.col(f"components.{n}").alias(n) for n in names]).join(moved, ["ride", "k"])
+
+    def step(state: dict, r) -> list[dict]:
+        return link_step(state, int(r.k), r.position, [dict(zip(names, one)) for one in zip(*(getattr(r, n) for n in names))])
+
+    linked = ordered_fold(rows, "ride", "k", step, new_links, LINKS)
     return linked.groupBy("ride", "track").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_k"), F.max("k").alias("last_k"), F.max("gap").alias("longest_gap"), F.min_by("c", "k").alias("first_c"))
 
 
