@@ -4,10 +4,11 @@ Every face is seen from the origin inside a cone (its corners' mean direction an
 inside a box of azimuth and elevation cells.  A beam has one cell, so beams and faces meet in an equi-join on the cell, and only
 what may hit is tested.  Where a face fills a cell, faces that begin behind it are left out there, so a beam meets those in front of the first
 such face and not all of a scene's depth.  A face that is seen wide is cut into a grid of parts first, each with a cone of its own; the test is
-always against the whole face.  Cones and boxes hold all of their face, so no hit is lost whatever the size of cells and parts.
+always against the whole face.  Cones and boxes hold all of their face, so no hit is lost whatever the size of cells and parts.  Faces with the same
+corners are one face, beams with the same direction are one beam until the first hit is known, so the work grows with different faces and directions.
 
 Cases: a beam without direction or a face with a null or non-finite corner hits nothing; a face in a plane through the origin is seen edge on and
-hit by nothing; of equal hits the least face wins; repeated beams are told each; a face around or at the origin takes all cells.
+hit by nothing; of equal hits the least face wins; a beam that is there several times is told once, by its first hit; a face around or at the origin takes all cells.
 """
 
 from __future__ import annotations
@@ -134,14 +135,22 @@ def cast_rays(beams: DataFrame, faces: DataFrame, keys: list[str], beam: list[st
     """``keys, beam, face, t``: the first face that each beam hits, ``t`` in lengths of its direction; beams that hit nothing are absent.
 
     ``beams`` has ``keys, beam, dx, dy, dz`` from the origin, ``faces`` has ``keys, face`` and corners ``x0 .. z2``.  360 degrees must be a
-    multiple of ``cell_deg``.  With ``tested`` it is ``keys, beam, n``: how many faces each beam was tested against.
+    multiple of ``cell_deg``.  With ``tested`` it is ``keys, beam, n``: how many different faces each beam was tested against.
     """
     size = F.radians(F.lit(float(cell_deg)))
+    way = [*keys, "dx", "dy", "dz"]
     d = (F.col("dx"), F.col("dy"), F.col("dz"))
-    b = beams.select(*keys, *beam, "dx", "dy", "dz").where("dx is not null and dy is not null and dz is not null and (dx <> 0 or dy <> 0 or dz <> 0)")
+    beams = beams.select(*keys, *beam, "dx", "dy", "dz").where("dx is not null and dy is not null and dz is not null and (dx <> 0 or dy <> 0 or dz <> 0)")
+    b = beams.select(way).distinct()
     b = b.withColumn("_az", F.pmod(F.floor(F.atan2("dy", "dx") / size).cast("int"), F.lit(int(round(360.0 / cell_deg)))))
     b = b.withColumn("_el", F.floor(F.atan2(F.col("dz"), F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))) / size).cast("int"))
-    g = written(face_cells(faces.select(*keys, face, *CORNERS), keys, cell_deg), "mesh-cells")
+    # directions are few bytes and much work, so the number of tasks is told and not left to what bytes need
+    spark = beams.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    b = b.repartition(tasks, *keys, "_az", "_el")
+    # equal faces are hit at once, and of equal hits the least face wins
+    alike = written(faces.groupBy(*keys, *CORNERS).agg(F.min(face).alias(face)).select(*keys, face, *CORNERS), "mesh-faces")
+    g = written(face_cells(alike, keys, cell_deg), "mesh-cells")
     # with the beam from the origin, all but the direction is a face's own: three vectors and a number
     o, e1, e2 = _corner(0), _sub(_corner(1), _corner(0)), _sub(_corner(2), _corner(0))
     s = tuple(-x for x in o)
@@ -153,10 +162,13 @@ def cast_rays(beams: DataFrame, faces: DataFrame, keys: list[str], beam: list[st
     pairs = b.where(usual).join(in_front(g, keys, cell_deg).select(vectors), [*keys, "_az", "_el"])
     pairs = pairs.unionByName(b.where(~usual).join(g.select(vectors), [*keys, "_az", "_el"]))
     if tested:
-        return pairs.groupBy(*keys, *beam).agg(F.count(F.lit(1)).alias("n"))
+        return beams.join(pairs.groupBy(way).agg(F.count(F.lit(1)).alias("n")), way).select(*keys, *beam, "n")
     det, u, v = (_dot(d, tuple(F.col(f"{name}{c}") for c in "xyz")) for name in own)  # type: ignore[arg-type]
     side = F.signum(det)
     hit = pairs.where((F.abs(det) > 1e-12) & (u * side >= 0) & (v * side >= 0) & ((u + v) * side <= F.abs(det)) & (F.col("_t") * side > F.abs(det) * 1e-9))
-    best = hit.select(*keys, *beam, F.try_divide("_t", det).alias("t"), F.col(face).alias("face"))
-    best = best.groupBy(*keys, *beam).agg(F.min(F.struct("t", "face")).alias("b"))
-    return best.select(*keys, *beam, F.col("b.face").alias(face), F.col("b.t").alias("t"))
+    best = hit.select(way + [F.try_divide("_t", det).alias("t"), F.col(face).alias("face")])
+    # written, so that Spark knows the size of what it joins to the beams
+    best = written(best.groupBy(way).agg(F.min(F.struct("t", "face")).alias("b")), "mesh-hits")
+    told = beams.join(best, way).select(*keys, *beam, "b").repartition(*[F.col(c) for c in (*keys, *beam)])
+    told = told.groupBy(*keys, *beam).agg(F.min("b").alias("b"))
+    return told.select(*keys, *beam, F.col("b.face").alias(face), F.col("b.t").alias("t"))
