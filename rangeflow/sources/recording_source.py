@@ -7,7 +7,11 @@
 
 A log is split by ranges of message ids, about ``partition_bytes`` of file each, so a log of any size is read by many tasks, each of which
 walks its own part of the log's tree and never holds the log; small logs share a task.  Filters on topic, timestamp and id go into the log's own query.
-The stream's offset is the last id of each log: a batch holds what logs grew by, and new logs.
+The stream's offset is the last id of each log: a batch holds what logs grew by, and new logs.  The offset itself tells them, or, with ``offsets``,
+a folder of this one stream that is kept as long as its checkpoint, it names a file there that does.
+
+Nothing on the driver grows with the number of logs but that: with ``plans``, a folder that all share, what a task reads stands in a file there, and logs
+are written, named and moved to their recordings by tasks.
 
 SQLite opens files by name, so the folder must be mounted at the same path on the driver and all executors (a plain path or
 ``file:``); logs in other stores are read whole by ``recordings.read_messages``.
@@ -18,54 +22,51 @@ hidden folders are left out; an id, time or topic may be null in no log.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import shutil
 import sqlite3
 import uuid
-from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextlib import closing
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import closing, suppress
 from dataclasses import dataclass, field
-from urllib.parse import unquote, urlparse
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In,
-    InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In,
+    InputPartition, IsNotNull, LessThan, LessThanOrEqual,
 )
 from pyspark.sql.types import StructType
 
+from ..session import discard
+from .folders import in_chunks, is_local, lines, local_path, place, put_lines, walked
+from .recordings import read_in_batches
+
 MESSAGES = "bag string, file string, topic string, type string, id long, timestamp long, data binary, error string"
 TOPICS = "bag string, file string, topic string, type string, n long, first_ns long, last_ns long, error string"
+_MADE = "bag string, file string, first long, last long, topics string"
 #: Bytes of log a task, rows and bytes of an output batch.
 PARTITION_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 4096, 8 << 20
-#: What opening a log costs in bytes read; small logs are dealt out to so many tasks at most; threads that name and open logs on the driver.
-OPEN_BYTES, TASKS, THREADS = 64 << 10, 1024, 16
+#: What opening a log costs in bytes read; small logs are dealt out to so many tasks at most.
+OPEN_BYTES, TASKS = 64 << 10, 1024
 _OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 _COLUMNS = {"topic": "t.name", "timestamp": "+m.timestamp", "id": "m.id"}  # "+": the range of ids is walked, not the index of times
 _PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
-def local_path(path: str) -> str:
-    """The path in this machine's file system of a plain path or ``file:`` address."""
-    at = urlparse(path)
-    if at.scheme not in ("", "file"):
-        raise ValueError(f"logs are opened by name and {path} is in no mounted folder; read_messages takes logs of any store")
-    return unquote(at.path) if at.scheme else path
+def each_log(path: str) -> Iterator[str]:
+    """The logs of a folder and those below it, or the one log that is named."""
+    root = local_path(path)
+    return iter([root]) if os.path.isfile(root) else walked(root, (".db3",))
 
 
 def find_logs(path: str) -> list[str]:
-    """The logs of a folder and those below it, or the one log that is named."""
-    root = local_path(path)
-    if os.path.isfile(root):
-        return [root]
-    out = []
-    for folder, below, names in os.walk(root):
-        below[:] = [d for d in below if d[:1] not in "._"]
-        out += [os.path.join(folder, n) for n in names if n.endswith(".db3")]
-    return sorted(out)
+    """The logs of a folder in one list."""
+    return sorted(each_log(path))
 
 
 def opened(file: str) -> sqlite3.Connection:
@@ -90,13 +91,17 @@ class Span:
 
 @dataclass
 class Task(InputPartition):
-    """Spans of one task: a part of a large log, or many small logs."""
+    """Spans of one task: a part of a large log, or many small logs; told here, or in a file from one byte to another."""
 
     spans: list[Span]
+    listed: tuple[str, int, int] | None = None
 
     def __post_init__(self) -> None:
         super().__init__(None)
 
+    def each(self) -> Iterator[Span]:
+        return (Span(*row) for row in lines(*self.listed)) if self.listed else iter(self.spans)
+
 
 def packed(spans: list[Span], size: int) -> list[Task]:
     """Spans in their order, as many a task as fit in ``size`` bytes, or more if that made over ``TASKS`` tasks; a log counts ``OPEN_BYTES`` at least."""
@@ -113,6 +118,32 @@ def packed(spans: list[Span], size: int) -> list[Task]:
     return out
 
 
+def planned(spans: Iterable[Span], size: int, folder: str | None) -> list[Task]:
+    """``packed``, with the spans in a file of ``folder`` where one is told."""
+    if folder is None:
+        return packed(list(spans), size)
+    path, total = os.path.join(folder, f"spans-{uuid.uuid4().hex}.jsonl"), 0
+
+    def rows() -> Iterator[list]:
+        nonlocal total
+        for s in spans:
+            total += max(OPEN_BYTES, s.size)
+            yield [s.file, s.lo, s.hi, s.error, s.size]
+
+    put_lines(path, rows())
+    size = max(size, total // TASKS)
+    out: list[Task] = []
+    start = at = held = 0
+    with open(path, "rb") as f:
+        for line in f:
+            cost = max(OPEN_BYTES, json.loads(line)[-1])
+            if held and held + cost > size:
+                out.append(Task([], (path, start, at)))
+                start, held = at, 0
+            at, held = at + len(line), held + cost
+    return [*out, Task([], (path, start, at))] if held else out
+
+
 def spans(file: str, lo: int | None, hi: int | None, size: int) -> list[Span]:
     """A log's ids in ranges of about ``size`` bytes of file; the two ends are found in the log's tree without a scan.
 
@@ -210,6 +241,7 @@ class RecordingReader(DataSourceReader):
         self.path = options["path"]
         self.size = int(options.get("partition_bytes", PARTITION_BYTES))
         self.topics = options.get("mode") == "topics"
+        self.plans = local_path(options["plans"]) if options.get("plans") else None
         self.wanted = Wanted(head=int(options.get("head_bytes", 0)), first=int(options.get("first", 0)), at=int(options.get("at", -1)))
         if options.get("topic"):
             self.wanted.where, self.wanted.values = ["t.name = ?"], [options["topic"]]
@@ -230,131 +262,157 @@ class RecordingReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> Sequence[Task]:
-        logs = find_logs(self.path)
+        logs = each_log(self.path)
         if self.topics:
-            return packed([Span(f) for f in logs], self.size) or [Task([])]
+            return planned((Span(f) for f in logs), self.size, self.plans) or [Task([])]
         # what picks messages of a whole log by their rank is one span a log
         size = self.size if not (self.wanted.first or self.wanted.at >= 0) else 1 << 62
-        with ThreadPoolExecutor(THREADS) as pool:
-            return packed([s for some in pool.map(lambda f: spans(f, None, None, size), logs) for s in some], self.size) or [Task([])]
+        cut = in_chunks(lambda f: spans(f, None, None, size), logs)
+        return planned((s for some in cut for s in some), self.size, self.plans) or [Task([])]
 
     def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
         rows = self.wanted.topics if self.topics else self.wanted.messages
-        yield from _row_batches((r for s in partition.spans for r in rows(s)), TOPICS if self.topics else MESSAGES)
+        yield from _row_batches((r for s in partition.each() for r in rows(s)), TOPICS if self.topics else MESSAGES)
 
 
 class RecordingStream(DataSourceStreamReader):
-    """Batches of what logs grew by: the offset is each log's last id."""
+    """Batches of what logs grew by: the offset is each log's last id, or names a file of ``offsets`` that tells them in the order of ``place``."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.size, self.wanted = options["path"], int(options.get("partition_bytes", PARTITION_BYTES)), Wanted()
+        self.offsets = local_path(options["offsets"]) if options.get("offsets") else None
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        def last(f: str) -> int | None:
+        def last(f: str) -> tuple[str, int | None]:
             try:
                 with closing(opened(f)) as db:
-                    return db.execute("select max(id) from messages").fetchone()[0] or 0
+                    return f, db.execute("select max(id) from messages").fetchone()[0] or 0
             except sqlite3.Error:  # it is being written, or broken: looked at again with the next batch
-                return None
-
-        logs = find_logs(self.path)
-        with ThreadPoolExecutor(THREADS) as pool:
-            return {f: k for f, k in zip(logs, pool.map(last, logs), strict=True) if k is not None}
+                return f, None
+
+        found = (one for one in in_chunks(last, each_log(self.path)) if one[1] is not None)
+        if self.offsets is None:
+            return dict(found)
+        digest, n, part = hashlib.sha256(), 0, os.path.join(self.offsets, f"new-{uuid.uuid4().hex}")
+
+        def told() -> Iterator[tuple]:
+            nonlocal n
+            for one in found:
+                digest.update(repr(one).encode("utf-8", "surrogateescape"))
+                n += 1
+                yield one
+
+        put_lines(part, told())
+        # the same logs give the same name, so Spark sees that nothing came
+        os.replace(part, self._told(digest.hexdigest()))
+        return {"logs": digest.hexdigest()} if n else {}
+
+    def _told(self, name: str) -> str:
+        return os.path.join(self.offsets, f"logs-{name}.jsonl")
+
+    def _logs(self, offset: dict) -> Iterator[Sequence]:
+        return lines(self._told(offset["logs"])) if "logs" in offset else iter(sorted(offset.items(), key=lambda one: place(one[0])))
+
+    def _grown(self, start: dict, end: dict) -> Iterator[tuple[str, int, int]]:
+        """Logs of ``end`` with the first and last id that ``start`` did not have."""
+        before = self._logs(start)
+        held = next(before, None)
+        for f, hi in self._logs(end):
+            while held is not None and place(held[0]) < place(f):
+                held = next(before, None)
+            lo = held[1] + 1 if held is not None and held[0] == f else 0
+            if hi >= lo:
+                yield f, lo, hi
 
     def partitions(self, start: dict, end: dict) -> Sequence[Task]:
-        grown = [s for f, hi in end.items() if hi > start.get(f, -1) for s in spans(f, start.get(f, -1) + 1, hi, self.size)]
-        return packed(grown, self.size)
-
-    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
-        yield from _row_batches((r for s in partition.spans for r in self.wanted.messages(s)), MESSAGES)
+        cut = in_chunks(lambda g: spans(*g, self.size), self._grown(start, end))
+        return planned((s for some in cut for s in some), self.size, self.offsets)
 
+    def commit(self, end: dict) -> None:
+        """Files of offsets before ``end`` are not asked for again."""
+        if self.offsets is None or "logs" not in end:
+            return
+        with suppress(FileNotFoundError):
+            at = os.stat(self._told(end["logs"])).st_mtime_ns
+            for one in os.scandir(self.offsets):
+                if one.stat().st_mtime_ns < at:
+                    os.remove(one.path)
 
-@dataclass
-class Written(WriterCommitMessage):
-    """Logs of a task: recording, staged file, times and counts of its topics."""
-
-    logs: list
-
-
-class RecordingWriter(DataSourceWriter):
-    """Each task writes its logs to a staging folder; they get their names, and their recordings a manifest, when all tasks are done.
-
-    Rows have ``bag, slice, topic, type, timestamp, data``; each slice of a recording is a log.  A recording that is there already is an error, or is replaced where the mode says so.
-    """
-
-    def __init__(self, options: dict, overwrite: bool) -> None:
-        self.root = local_path(options["path"])
-        self.overwrite = overwrite
-        self.staging = os.path.join(self.root, f"_staging-{uuid.uuid4().hex}")
-
-    def write(self, iterator: Iterator) -> Written:
-        logs: dict[tuple, dict] = {}
-        db, at = None, None
-
-        def close() -> None:
-            if db is not None:
-                db.execute("create index if not exists timestamp_idx on messages (timestamp)")
-                db.commit()
-                db.close()
-
-        try:
-            for r in iterator:
-                if (r.bag, r.slice) != at:
-                    close()
-                    at = (r.bag, r.slice)
-                    log = logs.get(at)
-                    if log is None:
-                        log = logs[at] = {"bag": r.bag, "file": os.path.join(self.staging, f"{uuid.uuid4().hex}.db3"), "first": r.timestamp, "last": r.timestamp, "topics": {}}
-                        os.makedirs(self.staging, exist_ok=True)
-                    db = sqlite3.connect(log["file"])
-                    db.executescript("pragma journal_mode = off; pragma synchronous = off; pragma locking_mode = exclusive; begin")
-                    db.execute("create table if not exists topics (id integer primary key, name text not null, type text, serialization_format text not null)")
-                    db.execute("create table if not exists messages (id integer primary key, topic_id integer not null, timestamp integer not null, data blob not null)")
-                topic = log["topics"].get(r.topic)
-                if topic is None:
-                    topic = log["topics"][r.topic] = [len(log["topics"]) + 1, r.type, 0]
-                    db.execute("insert into topics values (?, ?, ?, 'cdr')", (topic[0], r.topic, r.type))
-                db.execute("insert into messages (topic_id, timestamp, data) values (?, ?, ?)", (topic[0], r.timestamp, bytes(r.data)))
-                topic[2] += 1
-                log["first"], log["last"] = min(log["first"], r.timestamp), max(log["last"], r.timestamp)
-        finally:
-            close()
-        return Written(list(logs.values()))
-
-    def commit(self, messages: list[Written | None]) -> None:
-        bags: dict[str, list[dict]] = {}
-        for log in (x for m in messages if m is not None for x in m.logs):
-            bags.setdefault(log["bag"], []).append(log)
-        there = [b for b in bags if os.path.exists(os.path.join(self.root, b))]
-        if there and not self.overwrite:
-            self.abort(messages)
-            raise FileExistsError(f"recordings that are there already: {sorted(there)[:5]}")
-
-        def settle(bag: str) -> None:
-            logs = bags[bag]
-            made = os.path.join(self.staging, f"bag-{uuid.uuid4().hex}")
-            os.makedirs(made)
-            logs.sort(key=lambda x: (x["first"], x["last"], x["file"]))
-            for k, log in enumerate(logs):
-                log["name"] = f"{bag}_{k}.db3"
-                os.replace(log["file"], os.path.join(made, log["name"]))
-            with open(os.path.join(made, "metadata.yaml"), "w", encoding="utf-8") as f:
-                f.write(manifest(logs))
-            home = os.path.join(self.root, bag)
-            if os.path.exists(home):
-                os.replace(home, os.path.join(self.staging, f"old-{uuid.uuid4().hex}"))
-            os.replace(made, home)
-
-        with ThreadPoolExecutor(THREADS) as pool:
-            for _ in pool.map(settle, bags):
-                pass
-        shutil.rmtree(self.staging, ignore_errors=True)
-
-    def abort(self, messages: list[Written | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        yield from _row_batches((r for s in partition.each() for r in self.wanted.messages(s)), MESSAGES)
+
+
+class _Log:
+    """A log that is being written, in the order of its messages."""
+
+    def __init__(self, bag: str, file: str) -> None:
+        self.bag, self.file, self.topics, self.first, self.last = bag, file, {}, None, None
+        self.db = sqlite3.connect(file)
+        self.db.executescript("pragma journal_mode = off; pragma synchronous = off; pragma locking_mode = exclusive; begin")
+        self.db.execute("create table topics (id integer primary key, name text not null, type text, serialization_format text not null)")
+        self.db.execute("create table messages (id integer primary key, topic_id integer not null, timestamp integer not null, data blob not null)")
+
+    def put(self, name: str, kind: str | None, ns: int, data: bytes) -> None:
+        topic = self.topics.get(name)
+        if topic is None:
+            topic = self.topics[name] = [len(self.topics) + 1, kind, 0]
+            self.db.execute("insert into topics values (?, ?, ?, 'cdr')", (topic[0], name, kind))
+        self.db.execute("insert into messages (topic_id, timestamp, data) values (?, ?, ?)", (topic[0], ns, data))
+        topic[2] += 1
+        self.first, self.last = ns if self.first is None else min(self.first, ns), ns if self.last is None else max(self.last, ns)
+
+    def close(self) -> tuple:
+        """What is told of the log: a row of ``_MADE``."""
+        self.db.execute("create index timestamp_idx on messages (timestamp)")
+        self.db.commit()
+        self.db.close()
+        return self.bag, self.file, self.first, self.last, json.dumps(self.topics)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
+
+
+def _logs_made(batches: Iterator[pa.RecordBatch], staging: str) -> Iterator[pa.RecordBatch]:
+    """Write rows ``bag, slice, topic, type, timestamp, data``, in order, as logs of the staging folder; each slice of a recording is one."""
+    folder = os.path.join(staging, uuid.uuid4().hex)
+
+    def made() -> Iterator[tuple]:
+        for k, ((bag, _), rows) in enumerate(groupby(_rows(batches), key=lambda r: r[:2])):
+            os.makedirs(folder, exist_ok=True)
+            log = _Log(bag, os.path.join(folder, f"{k}.db3"))
+            with closing(log.db):
+                for r in rows:
+                    log.put(*r[2:])
+                yield log.close()
+
+    return _row_batches(made(), _MADE)
+
+
+def _logs_settled(batches: Iterator[pa.RecordBatch], root: str, staging: str) -> Iterator[pa.RecordBatch]:
+    """Give the logs of a recording, rows of ``_MADE`` in order, their names and a manifest and put them in place; a task that is run again goes on where the other ended."""
+
+    def settled() -> Iterator[tuple]:
+        for bag, rows in groupby(_rows(batches), key=lambda r: r[0]):
+            logs = [{"file": file, "first": first, "last": last, "topics": json.loads(topics), "name": f"{bag}_{k}.db3"} for k, (_, file, first, last, topics) in enumerate(rows)]
+            made, home = os.path.join(staging, f"bag-{hashlib.sha256(bag.encode()).hexdigest()}"), os.path.join(root, bag)
+            if os.path.isdir(made) or any(os.path.exists(x["file"]) for x in logs):
+                os.makedirs(made, exist_ok=True)
+                for x in logs:
+                    if not os.path.exists(os.path.join(made, x["name"])):
+                        os.replace(x["file"], os.path.join(made, x["name"]))
+                with open(os.path.join(made, "metadata.yaml"), "w", encoding="utf-8") as f:
+                    f.write(manifest(logs))
+                if os.path.exists(home):
+                    os.replace(home, os.path.join(staging, f"old-{uuid.uuid4().hex}"))
+                os.replace(made, home)
+            yield (bag,)
+
+    return _row_batches(settled(), "bag string")
 
 
 def manifest(logs: list[dict]) -> str:
@@ -374,7 +432,7 @@ def manifest(logs: list[dict]) -> str:
 
 
 class RecordingSource(DataSource):
-    """Format ``recording``; options ``topic``, ``partition_bytes``, ``head_bytes``, ``first``, ``at`` and ``mode`` (``topics``)."""
+    """Format ``recording``; options ``topic``, ``partition_bytes``, ``head_bytes``, ``first``, ``at``, ``mode`` (``topics``), ``plans`` and, of a stream, ``offsets``."""
 
     @classmethod
     def name(cls) -> str:
@@ -389,9 +447,6 @@ class RecordingSource(DataSource):
     def streamReader(self, schema: StructType) -> RecordingStream:  # noqa: N802
         return RecordingStream(dict(self.options))
 
-    def writer(self, schema: StructType, overwrite: bool) -> RecordingWriter:
-        return RecordingWriter(dict(self.options), overwrite)
-
 
 def register(spark: SparkSession) -> None:
     """Make the format known to a session and let filters through to it."""
@@ -401,6 +456,9 @@ def register(spark: SparkSession) -> None:
 
 def read_recordings(spark: SparkSession, path: str, **options) -> DataFrame:
     register(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared and is_local(shared):
+        options = {"plans": f"{shared.rstrip('/')}/recording-plans"} | options
     return spark.read.format("recording").options(**options).load(path)
 
 
@@ -417,12 +475,33 @@ def message_at(spark: SparkSession, path: str, topic: str, index: int) -> DataFr
 def write_recordings(messages: DataFrame, path: str, mode: str = "append", file_ns: int | None = None) -> None:
     """Write ``bag, topic, type, timestamp, data`` as recordings, in the order of time.
 
-    With ``file_ns`` a recording has a log a span of so much time, so a long one is written by several tasks.
+    With ``file_ns`` a recording has a log a span of so much time, so a long one is written by several tasks.  Tasks write logs to a staging folder;
+    when all are there, tasks give them their names and their recordings a manifest.  A recording that is there already is an error, or is replaced
+    by mode ``overwrite``.
     """
-    register(messages.sparkSession)
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"mode is append or overwrite, not {mode}")
+    spark, root = messages.sparkSession, local_path(path)
+    staging = os.path.join(root, f"_staging-{uuid.uuid4().hex}")
     part = F.lit(0).cast("long") if file_ns is None else F.floor(F.col("timestamp") / file_ns)
     rows = messages.select("bag", part.alias("slice"), "topic", "type", "timestamp", "data")
     # logs cost by their number more than by their bytes, so the number of tasks is told and not left to what bytes need
-    context = messages.sparkSession.sparkContext
-    tasks = max(context.defaultParallelism, int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows.repartition(tasks, "bag", "slice").sortWithinPartitions("bag", "slice", "timestamp", "topic").write.format("recording").mode(mode).save(local_path(path))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    made = None
+    try:
+        rows = rows.repartition(tasks, "bag", "slice").sortWithinPartitions("bag", "slice", "timestamp", "topic")
+        made = read_in_batches(rows.mapInArrow(lambda batches: _logs_made(batches, staging), _MADE), "recordings-made")
+        if mode == "append":
+
+            def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                return _row_batches((r for r in _rows(batches) if os.path.exists(os.path.join(root, r[0]))), "bag string")
+
+            names = [r.bag for r in made.select("bag").mapInArrow(there, "bag string").limit(5).collect()]
+            if names:
+                raise FileExistsError(f"recordings that are there already: {sorted(set(names))}")
+        logs = made.repartition(tasks, "bag").sortWithinPartitions("bag", "first", "last", "file")
+        logs.mapInArrow(lambda batches: _logs_settled(batches, root, staging), "bag string").write.format("noop").mode("overwrite").save()
+    finally:
+        shutil.rmtree(staging, ignore_errors=True)
+        if made is not None:
+            discard(made)
