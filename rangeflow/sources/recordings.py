@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -10,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import shared_dir, written
+from .folders import in_chunks, is_local, local_path, put_lines, walked
 
 CAND = "struct<distance_m:double,forward_m:double,lateral_m:double,height_m:double,n_points:long,confidence:double,confirmed:boolean>"
 #: One JSON object a frame; never inferred.
@@ -36,16 +39,41 @@ MANIFEST_VERSION = 2
 _OPEN_COST = "spark.sql.files.openCostInBytes"
 
 
+def listed_files(spark: SparkSession, root: str, *names: str) -> DataFrame | None:
+    """``path, bytes, modified`` of the files of a mounted folder whose names end so: listed in a file, as Spark's own listing holds them all on the driver.
+
+    None where that can't be: the folder, or the one that all share, is in another store.
+    """
+    shared = shared_dir(spark)
+    if not (is_local(root) and is_local(shared) and os.path.isdir(local_path(root))):
+        return None
+
+    def told(path: str) -> dict | None:
+        try:
+            at = os.stat(path)
+        except FileNotFoundError:  # gone since
+            return None
+        return {"path": f"file:{path}", "bytes": at.st_size, "modified": at.st_mtime_ns // 1_000_000}
+
+    path = f"{local_path(shared)}/files-{uuid.uuid4().hex}.jsonl"
+    put_lines(path, (row for row in in_chunks(told, walked(os.path.abspath(local_path(root)), names, follow=True)) if row))
+    files = spark.read.schema("path string, bytes long, modified long").json(f"file://{path}")
+    return files.where(~F.col("path").rlike(r"/[._][^/]*$")).withColumn("modified", F.timestamp_millis("modified"))
+
+
 def find_recordings(spark: SparkSession, root: str, max_depth: int = 5) -> DataFrame:
     """``path, bytes, modified, version, depth`` of message logs below a folder, read by no one yet.
 
     Hidden files and folders are left out, as are logs more than ``max_depth`` folders down, and logs inside a folder of
     another recording (one with a ``metadata.yaml``).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{*.db3,metadata.yaml}").load(root)
+    files = listed_files(spark, root, ".db3", "metadata.yaml")
+    if files is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{*.db3,metadata.yaml}").load(root)
+        files = files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
     top = root.rstrip("/").split(":")[-1].lstrip("/") + "/"
     below = F.substring_index("path", top, -1)
-    f = files.where(~F.col("path").rlike(r"/\.")).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), below.alias("below"))
+    f = files.where(~F.col("path").rlike(r"/\.")).select("path", "bytes", "modified", below.alias("below"))
     # files are listed once and only named here: what Spark adds to each one's bytes for its opening would make a task of every 32 small logs
     before = spark.conf.get(_OPEN_COST)
     spark.conf.set(_OPEN_COST, "4096")
@@ -69,9 +97,26 @@ def changed(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return found.join(manifest.select(*key), key, "left_anti")
 
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small files of a mounted folder with their bytes."""
+    for b in batches:
+        for k in range(0, b.num_rows, 64):
+            names = b.column("path")[k : k + 64].to_pylist()
+            held = []
+            for n in names:
+                with open(n.removeprefix("file:"), "rb") as f:
+                    held.append(f.read())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], ["path", "content"])
+
+
 def expected_counts(spark: SparkSession, root: str) -> DataFrame:
     """``folder, topic, kind, expected`` of the topics that recordings' ``metadata.yaml`` list."""
-    text = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.yaml").load(root)
+    found = listed_files(spark, root, "metadata.yaml")
+    if found is None:
+        text = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.yaml").load(root)
+    else:
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        text = found.where("path like '%/metadata.yaml'").select("path").repartition(tasks).mapInArrow(_contents, "path string, content binary")
     topics = F.regexp_extract_all(F.decode("content", "utf-8"), F.lit(r"(topic_metadata:\s+name: [^\n]*(?:\n(?!\s*- topic_metadata)[^\n]*)*)"), F.lit(1))
     t = text.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.explode(topics).alias("t"))
     field = lambda name: F.trim(F.regexp_extract("t", rf"\b{name}: *'?\"?([^\s'\"]+)", 1))
