@@ -93,7 +93,7 @@ def recording_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for some in (m.where(~late), m.where(late)):
         write_recordings(some, f"{base}/in", file_ns=WEEK)
         register(spark)
-        s = spark.readStream.format("recording").load(f"{base}/in")
+        s = spark.readStream.format("recording").option("offsets", f"{base}/offsets").load(f"{base}/in")
         with state_on_disk(spark):
             q = s.select("bag", "topic", "timestamp").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
             q.awaitTermination()
