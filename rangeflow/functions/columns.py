@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 #: Half-open distance bands of every report; 300 and over has no band.
@@ -204,3 +204,22 @@ def erf(x: Column) -> Column:
     t = 1.0 / (1.0 + 0.3275911 * F.abs(x))
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     return F.signum(x) * (1.0 - poly * F.exp(-x * x))
+
+
+def exact_sum(x: Column, over: WindowSpec | None = None) -> Column:
+    """Sum of doubles that is rounded once, so it is the same in any order of the rows and a tie at a limit is decided by the values alone.
+
+    Values are whole numbers of 2^-24 and of 2^-64, summed as such; where one is 2^28 or more or not finite, or there are too many, it is the plain sum.
+    """
+    part = (lambda c: c) if over is None else (lambda c: c.over(over))
+    scaled = x * 2.0**24
+    usual = F.abs(scaled) < 2.0**52
+    high = F.when(usual, F.rint(scaled))
+    low = F.rint((scaled - high) * 2.0**40)
+    total = (part(F.try_sum(high.cast("long"))) + part(F.try_sum(low.cast("long"))) * 2.0**-40) * 2.0**-24
+    return F.coalesce(F.when(part(F.bool_and(usual)), total), part(F.sum(x)))
+
+
+def exact_avg(x: Column) -> Column:
+    """Average of doubles by ``exact_sum``."""
+    return exact_sum(x) / F.nullif(F.count(x), F.lit(0))

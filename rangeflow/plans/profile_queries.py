@@ -278,7 +278,7 @@ SELECT frame, coalesce(max(x) FILTER (NOT ended), 0e0) AS shape_range, count(*)
 def chain_shape_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the line follows the chain's shape: to the first sample off the usual residual, or a gap."""
     x = C.floor_bin(F.col("d"), 10.0) * 10.0 + 5.0
-    c = points(spark, sf_dir).where("r > 20").groupBy("frame", x.alias("x")).agg(F.avg("l").alias("l")).select("frame", "x", (F.col("l") - 0.0005 * F.col("x")).alias("res"))
+    c = points(spark, sf_dir).where("r > 20").groupBy("frame", x.alias("x")).agg(C.exact_avg(F.col("l")).alias("l")).select("frame", "x", (F.col("l") - 0.0005 * F.col("x")).alias("res"))
     o = c.where("x between 20 and 60").groupBy("frame").agg(F.percentile("res", 0.5).alias("off"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     w = Window.partitionBy("frame").orderBy("x")
     t = c.join(o, "frame").where("x >= 20").withColumn("prev", F.lag("x").over(w))
