@@ -338,13 +338,13 @@ SELECT cls, count(*) AS groups, sum(n)::BIGINT AS pixels, round(sum(score * fact
 def beam_group_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixel groups with their ring, roughness and what stands above, scored by support and classed by nine rules."""
     px = points(spark, sf_dir).groupBy("frame", C.floor_bin(F.col("d"), 2.0).alias("row"), C.floor_bin(F.col("l"), 0.25).alias("col")).agg(
-        F.min("r").alias("r"), F.max("r").alias("r_far"), F.avg("h").alias("h"), F.avg("d").alias("d"), F.avg("l").alias("l"), F.max("h").alias("top")
+        F.min("r").alias("r"), F.max("r").alias("r_far"), C.exact_avg(F.col("h")).alias("h"), C.exact_avg(F.col("d")).alias("d"), C.exact_avg(F.col("l")).alias("l"), F.max("h").alias("top")
     )
     g = px.where("r between 20 and 30").withColumn("grp", F.floor(F.col("row") / 2).cast("long"))
     through = (F.col("r_far") > F.col("r") + F.greatest(F.lit(1.0), 0.03 * F.col("r"))).cast("int")
     a = g.groupBy("frame", "grp").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("n_rows"), F.percentile("d", 0.5).alias("d_near"), F.percentile("r", 0.5).alias("r_med"), (F.max("d") - F.min("d")).alias("ext_d"), (F.max("l") - F.min("l")).alias("ext_l"),
-        (F.max("h") - F.min("h")).alias("ext_h"), F.avg("l").alias("mean_l"), F.avg("h").alias("mean_h"), F.min("h").alias("min_h"), F.avg(through).alias("see_through"), (1.4 - 0.003 * F.percentile("d", 0.5)).alias("hw"),
+        (F.max("h") - F.min("h")).alias("ext_h"), C.exact_avg(F.col("l")).alias("mean_l"), C.exact_avg(F.col("h")).alias("mean_h"), F.min("h").alias("min_h"), F.avg(through).alias("see_through"), (1.4 - 0.003 * F.percentile("d", 0.5)).alias("hw"),
     )
     step = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])).alias("s")
     around = g.select("frame", "grp", F.col("row").alias("row0"), F.col("col").alias("col0"), F.col("r").alias("r0"), step).select("frame", "grp", "row0", "col0", "r0", (F.col("row0") + F.col("s.x")).alias("row"), (F.col("col0") + F.col("s.y")).alias("col"))
